@@ -84,3 +84,30 @@ def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.col("c") % 4 == 1, F.concat(F.lit('{"content_hash":null,'), j.substr(F.lit(2), F.length(j))))\
         .otherwise(j)
     return rec.select(F.col("c").alias("idx"), raw.alias("raw"))
+
+
+def alpaca_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alpaca SFT rows from ``documents``: instruction = first line, output = the rest.
+
+    input is ``lang: xx`` for doc_id % 3 == 0; outputs of doc_id % 11 == 0 are blanked.
+    """
+    from ..functions import text as T
+    d = tables.load(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    return d.select(
+        i.alias("idx"),
+        T.first_line(F.col("text")).alias("instruction"),
+        F.when(i % 3 == 0, F.concat(F.lit("lang: "), F.col("lang"))).otherwise(F.lit("")).alias("input"),
+        F.when(i % 11 == 0, F.lit("")).otherwise(T.after_first_line(F.col("text"))).alias("output"),
+        F.col("source").alias("category"),
+        F.col("lang"),
+    )
+
+
+def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, messages) of the unmodified conversations, in turn order."""
+    conv = tables.load(spark, sf_dir, "conversations")
+    return (conv.groupBy("conv_id")
+            .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+            .select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"),
+                                                                   x["text"].alias("content"))).alias("messages")))
