@@ -9,8 +9,12 @@ partitions of the same group.  The per-(partition, group) table has at most
 ``partitions + groups`` rows; AQE broadcasts it when it is small (a runtime
 size check) and sort-merge joins it otherwise.
 
-The order columns must be unique within a group (add an id as tie-breaker),
-otherwise a recomputed partition could number tied rows differently.
+The numbered rows are written once with a reliable ``checkpoint()`` to the
+shared checkpoint folder before the counts are taken: two separate range
+exchanges would each sample their own boundaries, so partition ids could
+disagree between the counts and the rows, and a re-run after an executor
+loss must see the same numbering.  The order columns must be unique within
+a group (add an id as tie-breaker).
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def rank_within(df: DataFrame, group: list[str], order: list[str | Column], name: str = "rank",
                 partitions: int | None = None) -> DataFrame:
@@ -26,9 +32,9 @@ def rank_within(df: DataFrame, group: list[str], order: list[str | Column], name
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     keys = [F.col(g) for g in group] + order_cols
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = cut_lineage(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()))
     gcols = ["_pid", *group]
     stats = ranged.groupBy(*gcols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) if group \

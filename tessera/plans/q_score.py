@@ -8,6 +8,7 @@ from ..functions import rewards as W
 from ..functions import text as T
 from ..sources import tables
 from .catalog import register
+from .common import r6
 
 WS = T.WS
 STRIP_SQL = "'^" + WS + "+|" + WS + r"+\z'"
@@ -98,8 +99,8 @@ def eval_accuracy(spark, sf_dir):
     e = eval_table_df(spark, sf_dir)
     return e.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg((F.col("gt_answer") == F.col("model_answer")).cast("double")), 6).alias("answer_accuracy"),
-        F.round(F.avg((F.col("gt_solution") == F.col("model_solution")).cast("double")), 6).alias("solution_accuracy"))
+        r6(F.avg((F.col("gt_answer") == F.col("model_answer")).cast("double"))).alias("answer_accuracy"),
+        r6(F.avg((F.col("gt_solution") == F.col("model_solution")).cast("double"))).alias("solution_accuracy"))
 
 
 # suffixes appended to real text (which rarely has units or '=') to exercise each rule
@@ -126,7 +127,7 @@ def structural_reward(spark, sf_dir):
     """R2: structural reward of whole reply texts."""
     d = tables.load(spark, sf_dir, "documents")
     r = F.concat(F.col("text"), _suffix_col(STRUCT_SUFFIXES, F.col("doc_id") % 8))
-    return d.select("doc_id", F.round(W.structural_reward(r), 6).alias("reward"))
+    return d.select("doc_id", r6(W.structural_reward(r)).alias("reward"))
 
 
 REPLY_SUFFIXES = [" 解: ∫ 2x dx = x^2 + C", " 积分 = \\frac{1}{2}x^2 + C", " 步骤 = \\sin(x)<|im_end|>",
@@ -184,9 +185,9 @@ def symbolic_reward(spark, sf_dir):
     correct = W.expression_match(F.col("reply"), F.col("correct_answer"))
     pol = W.partial_credit_reward(F.col("reply"), correct)
     return x.select("doc_id", W.extract_expression(F.col("reply")).alias("model_expr"), correct.alias("correct"),
-                    F.round(pol, 6).alias("policy_reward"),
-                    F.round(W.reward_model_credit(F.col("reply"), correct), 6).alias("rm_reward"),
-                    F.round(W.combined_reward(F.col("learned"), pol), 6).alias("combined_reward"))
+                    r6(pol).alias("policy_reward"),
+                    r6(W.reward_model_credit(F.col("reply"), correct)).alias("rm_reward"),
+                    r6(W.combined_reward(F.col("learned"), pol)).alias("combined_reward"))
 
 
 KEYWORDS = ["the", "und", "les", "los"]
@@ -201,4 +202,4 @@ def keyword_accuracy(spark, sf_dir):
     d = tables.load(spark, sf_dir, "documents")
     hit = W.keyword_hit(F.col("text"), F.array(*[F.lit(k) for k in KEYWORDS]))
     return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"),
-                                 F.round(F.avg(F.when(hit, 100.0).otherwise(0.0)), 6).alias("accuracy_pct"))
+                                 r6(F.avg(F.when(hit, 100.0).otherwise(0.0))).alias("accuracy_pct"))
