@@ -10,8 +10,6 @@ split a hot group.
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,16 +157,12 @@ def best_worst_pairs(scored: DataFrame, group: list[str], score: str = "reward",
 
 # ------------------------------------------------------------------ GAE
 
-def _chunk_len(x: float) -> int:
-    """Steps per chunk so that x**chunk stays a normal double."""
-    if x <= 0.0 or x >= 1.0:
-        return 256
-    return max(1, min(256, int(300 / -math.log10(x))))
+GAE_CHUNK = 4096
 
 
 def gae(steps: DataFrame, last_values: DataFrame | None = None, gamma: float = GAE_GAMMA,
-        lam: float = GAE_LAMBDA, traj: str = "traj_id", t: str = "t") -> DataFrame:
-    """Generalised advantage estimation per trajectory, exact.
+        lam: float = GAE_LAMBDA, traj: str = "traj_id", t: str = "t", chunk: int = GAE_CHUNK) -> DataFrame:
+    """Generalised advantage estimation per trajectory.
 
     steps: (traj_id, t, reward, v, death) with t = 0..T-1 dense per trajectory;
     last_values: (traj_id, v_final), the value after the last step (0 when absent).
@@ -176,16 +170,19 @@ def gae(steps: DataFrame, last_values: DataFrame | None = None, gamma: float = G
         delta_t = r_t + gamma (1 - d_t) V_{t+1} - V_t
         A_t     = delta_t + gamma lam (1 - d_t) A_{t+1},   A_T = 0,   R_t = A_t + V_t
 
-    Plan: V_{t+1} by an equi-join on (traj, t + 1) -- the key is unique, so a
-    long trajectory does not skew it.  Steps are cut into chunks of at most
-    256; inside a chunk A is the closed form sum_k x^(k-t) delta_k over the
-    death-free segment (x = gamma lam), a window whose partition is bounded by
-    the chunk.  The carry between chunks is the short recurrence
-    A_start(j) = a_j + G_j A_start(j+1) over chunk summaries, one small
-    pandas group per trajectory (T / 256 rows).
+    Plan (no group larger than ``chunk`` rows, whatever the trajectory length):
+      1. V_{t+1} by an equi-join on (traj, t + 1): the key is unique, so a long
+         trajectory does not skew it.  delta is a JVM column expression.
+      2. Steps are cut into chunks of ``chunk`` steps; one Arrow batch per
+         (traj, chunk) runs the backward recurrence with A = 0 after the chunk,
+         in the reference's operation order, and the carry factor
+         f_t = prod_{k>=t in chunk} gamma lam (1 - d_k).
+      3. The chunk carries A_start(j) = a_j + f_j A_start(j+1) form a recurrence
+         over T / chunk rows per trajectory (one small pandas group).
+      4. A_t = a_t + f_t A_start(next chunk).  A trajectory within one chunk gets
+         exactly the sequential result; longer ones differ by rounding only.
     """
     x = gamma * lam
-    C = _chunk_len(x)
     s = steps.select(traj, t, F.col("reward").cast("double").alias("r"), F.col("v").cast("double").alias("v"),
                      F.col("death").cast("int").alias("d"))
     nxt = s.select(F.col(traj).alias("_tr"), (F.col(t) - 1).alias("_t"), F.col("v").alias("v_next"))
@@ -197,28 +194,31 @@ def gae(steps: DataFrame, last_values: DataFrame | None = None, gamma: float = G
     else:
         vnext = F.coalesce(F.col("v_next"), F.lit(0.0))
     s = (s.withColumn("delta", F.col("r") + F.lit(gamma) * (1 - F.col("d")) * vnext - F.col("v"))
-         .withColumn("chunk", F.floor(F.col(t) / C))
-         .withColumn("k", F.col(t) - F.col("chunk") * C))
-    # segment: deaths strictly before k inside the chunk; A_t sums delta over t..first death
-    wc = Window.partitionBy(traj, "chunk").orderBy("k")
-    s = s.withColumn("seg", F.coalesce(F.sum("d").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    wseg = Window.partitionBy(traj, "chunk", "seg").orderBy("k").rowsBetween(0, Window.unboundedFollowing)
-    if x > 0:
-        s = s.withColumn("a_local", F.sum(F.col("delta") * F.pow(F.lit(x), F.col("k"))).over(wseg)
-                         / F.pow(F.lit(x), F.col("k")))
-    else:
-        s = s.withColumn("a_local", F.col("delta"))
-    # carry factor from the row to the next chunk: x^(remaining) if no death from here to chunk end
-    wrest = Window.partitionBy(traj, "chunk").orderBy("k").rowsBetween(0, Window.unboundedFollowing)
-    s = (s.withColumn("_deaths_rest", F.sum("d").over(wrest))
-         .withColumn("_n_rest", F.count(F.lit(1)).over(wrest))
-         .withColumn("f", F.when(F.col("_deaths_rest") > 0, F.lit(0.0))
-                     .otherwise(F.pow(F.lit(x), F.col("_n_rest")))))
-    summ = s.where(F.col("k") == 0).select(traj, "chunk", F.col("a_local").alias("a"), F.col("f").alias("g"))
+         .withColumn("chunk", F.floor(F.col(t) / chunk))
+         .select(traj, t, "chunk", "delta", "d", "v"))
+    ttype = dict(steps.dtypes)[traj]
+    t_type = dict(steps.dtypes)[t]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(t)
+        delta, d = pdf["delta"].to_numpy(), pdf["d"].to_numpy()
+        n = len(delta)
+        a_loc, f = [0.0] * n, [0.0] * n
+        acc, fac = 0.0, 1.0
+        for i in range(n - 1, -1, -1):
+            acc = delta[i] + x * (1 - d[i]) * acc
+            fac = x * (1 - d[i]) * fac
+            a_loc[i], f[i] = acc, fac
+        return pd.DataFrame({traj: pdf[traj].to_numpy(), t: pdf[t].to_numpy(), "chunk": pdf["chunk"].to_numpy(),
+                             "a_local": a_loc, "f": f, "v": pdf["v"].to_numpy()})
+
+    local = s.groupBy(traj, "chunk").applyInPandas(
+        fold, schema=f"{traj} {ttype}, {t} {t_type}, chunk long, a_local double, f double, v double")
+    summ = local.where(F.col(t) == F.col("chunk") * chunk).select(traj, "chunk", "a_local", "f")
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
-        a, g = pdf["a"].to_numpy(), pdf["g"].to_numpy()
+        a, g = pdf["a_local"].to_numpy(), pdf["f"].to_numpy()
         start = [0.0] * len(a)
         nxt_val = 0.0
         for i in range(len(a) - 1, -1, -1):
@@ -227,8 +227,8 @@ def gae(steps: DataFrame, last_values: DataFrame | None = None, gamma: float = G
         return pd.DataFrame({traj: pdf[traj].to_numpy(), "chunk": pdf["chunk"].to_numpy() - 1,
                              "a_next_chunk": start})
 
-    carried = summ.groupBy(traj).applyInPandas(
-        carry, schema=f"{traj} {dict(steps.dtypes)[traj]}, chunk long, a_next_chunk double")
-    out = s.join(carried, [traj, "chunk"], "left")
-    adv = F.col("a_local") + F.col("f") * F.coalesce(F.col("a_next_chunk"), F.lit(0.0))
+    carried = summ.groupBy(traj).applyInPandas(carry, schema=f"{traj} {ttype}, chunk long, a_next_chunk double")
+    out = local.join(carried, [traj, "chunk"], "left")
+    adv = F.when(F.col("a_next_chunk").isNull(), F.col("a_local")) \
+        .otherwise(F.col("a_local") + F.col("f") * F.col("a_next_chunk"))
     return out.select(traj, t, adv.alias("advantage"), (adv + F.col("v")).alias("ret"))
