@@ -26,4 +26,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     # importing the modules fills the registries
-    from . import q_lint, q_render, q_rl, q_runlog, q_score  # noqa: F401
+    from . import q_lint, q_metrics, q_render, q_rl, q_runlog, q_score  # noqa: F401
