@@ -1,0 +1,30 @@
+"""Inventory jobs (S15, A16, A17) over the table files themselves (rows-only checks)."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from ..operators import inventory as I
+from .catalog import register
+
+
+@register("file_listing")
+def file_listing(spark, sf_dir):
+    """The Parquet files of the tables with their sizes (content column pruned)."""
+    return I.list_files(spark, sf_dir, "*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
+                                                            "length")
+
+
+@register("directory_summary")
+def directory_summary(spark, sf_dir):
+    """Files, bytes and sub-directories per directory of the test-data tree."""
+    root = os.path.dirname(os.path.abspath(sf_dir))
+    return I.directory_summary(I.list_files(spark, root, "*.parquet"), root)
+
+
+@register("weight_inventory")
+def weight_inventory(spark, sf_dir):
+    """Count and total size of data files matching a pattern (Parquet here)."""
+    return I.weight_inventory(I.list_files(spark, sf_dir), r"\.parquet$")
