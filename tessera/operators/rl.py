@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # ---- fixed values (defaults of the reference) ----
 DPO_BETA = 0.1
 GRPO_CLIP, GRPO_KL = 0.2, 0.04
@@ -173,12 +175,14 @@ def gae(steps: DataFrame, last_values: DataFrame | None = None, gamma: float = G
     Plan (no group larger than ``chunk`` rows, whatever the trajectory length):
       1. V_{t+1} by an equi-join on (traj, t + 1): the key is unique, so a long
          trajectory does not skew it.  delta is a JVM column expression.
-      2. Steps are cut into chunks of ``chunk`` steps; one Arrow batch per
-         (traj, chunk) runs the backward recurrence with A = 0 after the chunk,
-         in the reference's operation order, and the carry factor
-         f_t = prod_{k>=t in chunk} gamma lam (1 - d_k).
+      2. Steps are cut into chunks of ``chunk`` steps, hash-partitioned by
+         (traj, chunk) and sorted by t descending inside each partition; one
+         ``mapInPandas`` pass runs the backward recurrence (A = 0 after each
+         chunk, in the reference's operation order) and the carry factor
+         f_t = prod_{k>=t in chunk} gamma lam (1 - d_k).  The result is
+         checkpointed: it is read twice below.
       3. The chunk carries A_start(j) = a_j + f_j A_start(j+1) form a recurrence
-         over T / chunk rows per trajectory (one small pandas group).
+         over T / chunk rows per trajectory, again a sorted ``mapInPandas`` pass.
       4. A_t = a_t + f_t A_start(next chunk).  A trajectory within one chunk gets
          exactly the sequential result; longer ones differ by rounding only.
     """
@@ -198,36 +202,47 @@ def gae(steps: DataFrame, last_values: DataFrame | None = None, gamma: float = G
          .select(traj, t, "chunk", "delta", "d", "v"))
     ttype = dict(steps.dtypes)[traj]
     t_type = dict(steps.dtypes)[t]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t)
-        delta, d = pdf["delta"].to_numpy(), pdf["d"].to_numpy()
-        n = len(delta)
-        a_loc, f = [0.0] * n, [0.0] * n
-        acc, fac = 0.0, 1.0
-        for i in range(n - 1, -1, -1):
-            acc = delta[i] + x * (1 - d[i]) * acc
-            fac = x * (1 - d[i]) * fac
-            a_loc[i], f[i] = acc, fac
-        return pd.DataFrame({traj: pdf[traj].to_numpy(), t: pdf[t].to_numpy(), "chunk": pdf["chunk"].to_numpy(),
-                             "a_local": a_loc, "f": f, "v": pdf["v"].to_numpy()})
-
-    local = s.groupBy(traj, "chunk").applyInPandas(
-        fold, schema=f"{traj} {ttype}, {t} {t_type}, chunk long, a_local double, f double, v double")
+    n_parts = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def fold(batches):
+        # rows arrive sorted by (traj, chunk, t desc); state carries across Arrow batches
+        key, acc, fac = None, 0.0, 1.0
+        for pdf in batches:
+            tr, ch = pdf[traj].to_numpy(), pdf["chunk"].to_numpy()
+            delta, d = pdf["delta"].to_numpy(), pdf["d"].to_numpy()
+            n = len(pdf)
+            a_loc, f = [0.0] * n, [0.0] * n
+            for i in range(n):
+                k = (tr[i], ch[i])
+                if k != key:
+                    key, acc, fac = k, 0.0, 1.0
+                acc = delta[i] + x * (1 - d[i]) * acc
+                fac = x * (1 - d[i]) * fac
+                a_loc[i], f[i] = acc, fac
+            yield pd.DataFrame({traj: tr, t: pdf[t].to_numpy(), "chunk": ch, "a_local": a_loc, "f": f,
+                                "v": pdf["v"].to_numpy()})
+
+    ordered = s.repartition(n_parts, traj, "chunk").sortWithinPartitions(traj, "chunk", F.col(t).desc())
+    local = cut_lineage(ordered.mapInPandas(
+        fold, schema=f"{traj} {ttype}, {t} {t_type}, chunk long, a_local double, f double, v double"))
     summ = local.where(F.col(t) == F.col("chunk") * chunk).select(traj, "chunk", "a_local", "f")
 
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        a, g = pdf["a_local"].to_numpy(), pdf["f"].to_numpy()
-        start = [0.0] * len(a)
-        nxt_val = 0.0
-        for i in range(len(a) - 1, -1, -1):
-            nxt_val = a[i] + g[i] * nxt_val
-            start[i] = nxt_val
-        return pd.DataFrame({traj: pdf[traj].to_numpy(), "chunk": pdf["chunk"].to_numpy() - 1,
-                             "a_next_chunk": start})
-
-    carried = summ.groupBy(traj).applyInPandas(carry, schema=f"{traj} {ttype}, chunk long, a_next_chunk double")
+    def carry(batches):
+        # chunk summaries sorted by (traj, chunk desc): A_start(j) = a_j + f_j A_start(j + 1)
+        key, nxt_val = None, 0.0
+        for pdf in batches:
+            tr, ch = pdf[traj].to_numpy(), pdf["chunk"].to_numpy()
+            a, g = pdf["a_local"].to_numpy(), pdf["f"].to_numpy()
+            start = [0.0] * len(pdf)
+            for i in range(len(pdf)):
+                if tr[i] != key:
+                    key, nxt_val = tr[i], 0.0
+                nxt_val = a[i] + g[i] * nxt_val
+                start[i] = nxt_val
+            yield pd.DataFrame({traj: tr, "chunk": ch - 1, "a_next_chunk": start})
+
+    carried = (summ.repartition(n_parts, traj).sortWithinPartitions(traj, F.col("chunk").desc())
+               .mapInPandas(carry, schema=f"{traj} {ttype}, chunk long, a_next_chunk double"))
     out = local.join(carried, [traj, "chunk"], "left")
     adv = F.when(F.col("a_next_chunk").isNull(), F.col("a_local")) \
         .otherwise(F.col("a_local") + F.col("f") * F.col("a_next_chunk"))

@@ -26,9 +26,16 @@ def build_vocab(texts: DataFrame, col: str, size: int) -> DataFrame:
                       .alias("id"))
 
 
-def token_ids(df: DataFrame, key: str, text: Column, vocab: DataFrame) -> DataFrame:
-    """(key, ids) -- each whitespace token looked up in the (bounded) vocabulary, UNK otherwise."""
-    t = df.select(key, F.posexplode(whitespace_tokens(text)).alias("pos", "token"))
+def token_ids(df: DataFrame, key: str, text: Column, vocab: DataFrame, limit: int | None = None) -> DataFrame:
+    """(key, ids) -- each whitespace token looked up in the (bounded) vocabulary, UNK otherwise.
+
+    With ``limit`` only the ids of the first ``limit`` tokens are looked up
+    (the text is still split whole; truncation is the caller's output).
+    """
+    toks = whitespace_tokens(text)
+    if limit is not None:
+        toks = F.slice(toks, 1, limit)
+    t = df.select(key, F.posexplode(toks).alias("pos", "token"))
     j = t.join(F.broadcast(vocab), "token", "left")
     ids = F.sort_array(F.collect_list(F.struct("pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id"))))
     return j.groupBy(key).agg(ids.alias("_p")).select(key, F.col("_p.id").alias("ids"))
@@ -41,12 +48,16 @@ def masked_labels(ids: Column, n_prompt: Column, max_len: int) -> Column:
 
 def tokenise_masked(df: DataFrame, key: str, prompt: Column, full: Column, vocab: DataFrame,
                     max_len: int) -> DataFrame:
-    """P10 + P11: (key, input_ids, labels, n_prompt, trainable_tokens, fully_masked)."""
+    """P10 + P11: (key, n_prompt, n_tokens, input_ids, labels, trainable_tokens, fully_masked).
+
+    n_tokens is the length of the whole text before truncation to max_len.
+    """
     base = df.select(key, F.size(whitespace_tokens(prompt)).alias("n_prompt"), full.alias("_full"))
-    ids = token_ids(base, key, F.col("_full"), vocab)
-    j = base.drop("_full").join(ids, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    ids = token_ids(base, key, F.col("_full"), vocab, limit=max_len)
+    j = (base.withColumn("n_tokens", F.size(whitespace_tokens(F.col("_full")))).drop("_full")
+         .join(ids, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>"))))
     labels = masked_labels(F.col("ids"), F.col("n_prompt"), max_len)
-    out = j.select(key, "n_prompt", F.slice("ids", 1, max_len).alias("input_ids"), labels.alias("labels"))
+    out = j.select(key, "n_prompt", "n_tokens", F.slice("ids", 1, max_len).alias("input_ids"), labels.alias("labels"))
     trainable = F.size(F.filter("labels", lambda x: x != IGNORE))
     return out.withColumn("trainable_tokens", trainable).withColumn("fully_masked", trainable == 0)
 

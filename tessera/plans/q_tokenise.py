@@ -29,9 +29,9 @@ v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id
       FROM (SELECT token, count(*) AS n FROM w GROUP BY token ORDER BY n DESC, token LIMIT {VOCAB})),
 t AS (SELECT idx, len({TOK % 'prompt'}) AS n_prompt, {TOK % 'full_text'} AS toks FROM s),
 u AS (SELECT idx, n_prompt, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM t),
-ids AS (SELECT u.idx, any_value(n_prompt) AS n_prompt, list(coalesce(v.id, 1) ORDER BY pos) AS ids
+ids AS (SELECT u.idx, any_value(n_prompt) AS n_prompt, count(*) AS n_tokens, list(coalesce(v.id, 1) ORDER BY pos) AS ids
         FROM u LEFT JOIN v ON u.token = v.token GROUP BY u.idx),
-r AS (SELECT idx, n_prompt, ids[1:{MAX_LEN}] AS input_ids,
+r AS (SELECT idx, n_prompt, n_tokens, ids[1:{MAX_LEN}] AS input_ids,
              list_transform(range(least(len(ids), {MAX_LEN})), lambda p: CASE WHEN p < n_prompt THEN -100 ELSE ids[p + 1] END)
                AS labels FROM ids)"""
 
@@ -52,11 +52,13 @@ def _tokenised(spark, sf_dir):
 
 
 @register("tokenise_masked", TOK_SQL + """
-SELECT idx, n_prompt, input_ids, labels, len(list_filter(labels, lambda x: x <> -100)) AS trainable_tokens FROM r""")
+SELECT idx, n_prompt, n_tokens, input_ids, labels, len(list_filter(labels, lambda x: x <> -100)) AS trainable_tokens
+FROM r""")
 def tokenise_masked(spark, sf_dir):
     """P10 + J5: word ids from a top-4096 vocabulary, prompt masked with -100, truncated to 64."""
     t = _tokenised(spark, sf_dir)
-    return t.select("idx", "n_prompt", F.col("input_ids").cast("array<bigint>").alias("input_ids"),
+    return t.select("idx", "n_prompt", F.col("n_tokens").cast("bigint").alias("n_tokens"),
+                    F.col("input_ids").cast("array<bigint>").alias("input_ids"),
                     F.col("labels").cast("array<bigint>").alias("labels"),
                     F.col("trainable_tokens").cast("bigint").alias("trainable_tokens"))
 
