@@ -84,9 +84,10 @@ def require_rows(df: DataFrame, what: str = "dataset") -> DataFrame:
 
 def with_row_index(df: DataFrame, name: str = "idx") -> DataFrame:
     """Stable 0-based record index in file order (path, split offset, position)."""
-    keyed = (df.withColumn("_fp", F.col("_metadata.file_path")).withColumn("_off", F.input_file_block_start())
-             .withColumn("_pos", F.monotonically_increasing_id()))
-    return global_index(keyed, ["_fp", "_off", "_pos"], name).drop("_fp", "_off", "_pos")
+    keyed = (df.withColumn("_src_fp", F.col("_metadata.file_path"))
+             .withColumn("_src_off", F.input_file_block_start())
+             .withColumn("_src_pos", F.monotonically_increasing_id()))
+    return global_index(keyed, ["_src_fp", "_src_off", "_src_pos"], name).drop("_src_fp", "_src_off", "_src_pos")
 
 
 def read_features_csv(spark: SparkSession, path: str, n_features: int) -> DataFrame:
