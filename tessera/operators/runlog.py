@@ -197,3 +197,13 @@ def classification_report(pred: DataFrame, group: list[str], batch: str, label:
 def next_version(names: DataFrame, group: list[str], version: Column) -> DataFrame:
     """Next model version = highest existing version + 1."""
     return names.groupBy(*group).agg((F.max(version) + 1).alias("next_version"))
+
+
+def logging_cadence(log: DataFrame, step: str, every: int) -> DataFrame:
+    """the rows a trainer logs -- every ``every``-th optimiser step (the cadence is the feature)."""
+    return log.where(F.col(step) % every == 0)
+
+
+def refuse_existing(candidates: DataFrame, existing: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) -- a candidate whose version already exists is refused (anti / semi join)."""
+    return candidates.join(existing, key, "left_anti"), candidates.join(existing, key, "left_semi")

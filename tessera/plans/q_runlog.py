@@ -246,3 +246,28 @@ def next_version(spark, sf_dir):
     p = tables.load(spark, sf_dir, "pages").where(F.col("url").rlike("/[a-z]{2}/[0-9]+"))
     v = F.regexp_extract("url", "/[a-z]{2}/([0-9]+)", 1).cast("bigint")
     return RL.next_version(p.withColumn("lang", F.regexp_extract("url", "/([a-z]{2})/", 1)), ["lang"], v)
+
+
+@register("logged_steps", "WITH " + LOG_SQL + """
+SELECT run_id, step, train_loss FROM lg WHERE step % 50 = 0""")
+def logged_steps(spark, sf_dir):
+    """rows at the logging cadence (every 50th step)."""
+    return RL.logging_cadence(training_log(spark, sf_dir), "step", 50).select("run_id", "step", "train_loss")
+
+
+@register("new_versions", r"""
+WITH ex AS (SELECT DISTINCT regexp_extract(url, '/([a-z]{2})/', 1) AS lang,
+                   CAST(regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1) AS BIGINT) AS version
+            FROM pages WHERE regexp_matches(url, '/[a-z]{2}/[0-9]+')),
+c AS (SELECT lang, max(version) + d AS version FROM ex, (VALUES (0), (1)) t(d) GROUP BY lang, d)
+SELECT lang, version, NOT EXISTS (SELECT 1 FROM ex WHERE ex.lang = c.lang AND ex.version = c.version) AS accepted
+FROM c""")
+def new_versions(spark, sf_dir):
+    """J7 + A20: candidate versions (latest and latest + 1); one that exists already is refused."""
+    p = tables.load(spark, sf_dir, "pages").where(F.col("url").rlike("/[a-z]{2}/[0-9]+"))
+    ex = p.select(F.regexp_extract("url", "/([a-z]{2})/", 1).alias("lang"),
+                  F.regexp_extract("url", "/[a-z]{2}/([0-9]+)", 1).cast("bigint").alias("version")).distinct()
+    top = ex.groupBy("lang").agg(F.max("version").alias("v"))
+    cand = top.select("lang", F.explode(F.array(F.col("v"), F.col("v") + 1)).alias("version"))
+    ok, refused = RL.refuse_existing(cand, ex, ["lang", "version"])
+    return ok.withColumn("accepted", F.lit(True)).unionByName(refused.withColumn("accepted", F.lit(False)))
