@@ -168,17 +168,22 @@ def gen_sft(index: DataFrame, split: str = "train", start: int = 0, seed: int =
 
 
 def gen_pairs(index: DataFrame, start: int = 0, seed: int = 0) -> DataFrame:
-    """Preference pairs -- chosen = think + answer, rejected = only what follows the last '='."""
-    p = physics_items(index, start)
+    """Preference pairs -- chosen = think + answer, rejected = only what follows the last '='.
+
+    Returns the record columns plus ``chosen_text`` / ``rejected_text`` (the assistant turns).
+    """
+    p = physics_items(index, start).select(
+        "i", "category", "difficulty", "question",
+        F.concat(F.lit("<think>\n"), F.col("think"), F.lit("\n</think>\n\n"), F.col("answer")).alias("chosen_text"),
+        F.concat(F.lit("The answer is "), F.trim(F.element_at(F.split(F.col("answer"), "="), -1)))
+        .alias("rejected_text"))
     system, user = _msg("system", F.lit(SYSTEM_PROMPT)), _msg("user", F.col("question"))
-    chosen = F.concat(F.lit("<think>\n"), F.col("think"), F.lit("\n</think>\n\n"), F.col("answer"))
-    rejected = F.concat(F.lit("The answer is "), F.trim(F.element_at(F.split(F.col("answer"), "="), -1)))
-    cm = F.array(system, user, _msg("assistant", chosen))
-    rm = F.array(system, user, _msg("assistant", rejected))
-    rec = p.select("i", deterministic_uuid(seed + 1, F.col("i")).alias("id"), F.lit("v1.0.0").alias("version"),
-                   F.lit("train").alias("split"), "difficulty", "category", F.lit(GENERATOR_SOURCE).alias("source"),
-                   content_hash_of_messages(cm).alias("content_hash"), cm.alias("chosen"), rm.alias("rejected"))
-    return rec
+    cm = F.array(system, user, _msg("assistant", F.col("chosen_text")))
+    rm = F.array(system, user, _msg("assistant", F.col("rejected_text")))
+    return p.select("i", deterministic_uuid(seed + 1, F.col("i")).alias("id"), F.lit("v1.0.0").alias("version"),
+                    F.lit("train").alias("split"), "difficulty", "category", F.lit(GENERATOR_SOURCE).alias("source"),
+                    content_hash_of_messages(cm).alias("content_hash"), cm.alias("chosen"), rm.alias("rejected"),
+                    "chosen_text", "rejected_text")
 
 
 def gen_calculus(index: DataFrame, seed: int = 0) -> DataFrame:

@@ -55,9 +55,8 @@ def generated_sft_lint(spark, sf_dir):
 def generated_pairs(spark, sf_dir):
     """Physics preference pairs (rows-only)."""
     p = G.gen_pairs(doc_index(spark, sf_dir), seed=5)
-    return p.select("i", "id", "category", "content_hash",
-                    F.element_at("chosen", -1)["content"].alias("chosen"),
-                    F.element_at("rejected", -1)["content"].alias("rejected"))
+    return p.select("i", "id", "category", "content_hash", F.col("chosen_text").alias("chosen"),
+                    F.col("rejected_text").alias("rejected"))
 
 
 @register("generated_calculus")
