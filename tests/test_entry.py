@@ -17,7 +17,7 @@ def test_every_job_has_an_oracle_or_is_listed_rows_only():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     rows_only = set(q) - set(o)
-    assert rows_only <= {"generated_sft_lint", "generated_pairs", "generated_calculus", "generated_integrals",
+    assert rows_only <= {"generated_pairs", "generated_calculus", "generated_integrals",
                          "generated_arithmetic", "seeded_shuffle", "file_listing", "directory_summary",
                          "weight_inventory"}
 
