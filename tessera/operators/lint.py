@@ -78,8 +78,18 @@ def _enum_rules(v: Column, key: str, valid: list[str], miss_rule: str, bad_rule:
 def lint(records: DataFrame, strict: bool = False) -> DataFrame:
     """records(idx, raw) -> issues(idx, level, field, rule, msg)."""
     warn = "error" if strict else "warning"
-    v = F.try_parse_json(F.col("raw"))
-    keys = F.json_object_keys(F.col("raw"))
+    # Parse once: the record text, its VARIANT and its key list are projected
+    # first, so the rules below read columns instead of re-parsing the text.
+    parsed = (records.select("idx", F.try_parse_json(F.col("raw")).alias("_v"),
+                             F.json_object_keys(F.col("raw")).alias("_keys"))
+              .withColumn("_msgs_x", F.try_variant_get(F.col("_v"), "$.messages", "variant"))
+              .withColumn("_msgs", F.try_variant_get(F.col("_msgs_x"), "$", "array<variant>"))
+              .withColumn("_m", F.transform("_msgs", lambda m: F.struct(
+                  F.try_variant_get(m, "$.role", "variant").alias("rx"),
+                  F.try_variant_get(m, "$.role", "string").alias("r"),
+                  F.try_variant_get(m, "$.content", "string").alias("c"),
+                  _kind(m).startswith("OBJECT").alias("obj")))))
+    v, keys = F.col("_v"), F.col("_keys")
     is_obj = _kind(v).startswith("OBJECT")
 
     id_x = _vget(v, "$.id")
@@ -87,12 +97,13 @@ def lint(records: DataFrame, strict: bool = False) -> DataFrame:
     ver_x = _vget(v, "$.version")
     ver_s = F.try_variant_get(ver_x, "$", "string")
     src_x = _vget(v, "$.source")
-    msgs_x = _vget(v, "$.messages")
+    msgs_x = F.col("_msgs_x")
     msgs_kind = _kind(msgs_x)
-    msgs = F.try_variant_get(msgs_x, "$", "array<variant>")
+    msgs = F.col("_msgs")
     is_list = msgs_kind.startswith("ARRAY")
     n_msgs = F.size(msgs)
-    roles = F.transform(msgs, lambda m: F.try_variant_get(m, "$.role", "string"))
+    mcols = F.col("_m")
+    roles = F.transform(mcols, lambda m: m["r"])
     list_ok = is_list & (n_msgs >= 2)
 
     record_rules = [
@@ -116,9 +127,8 @@ def lint(records: DataFrame, strict: bool = False) -> DataFrame:
         _issue(list_ok & ~F.array_contains(roles, "assistant"), "error", "messages", "L16",
                "messages: no message with role=assistant"),
         _issue(~F.array_contains(keys, "content_hash"), warn, "content_hash", "L22", "content_hash: missing"),
-        _issue(F.exists(F.coalesce(msgs, F.array()),
-                        lambda m: F.coalesce(F.try_variant_get(m, "$.content", "string"), F.lit(""))
-                        .contains("tool_call") & _kind(m).startswith("OBJECT"))
+        _issue(F.exists(F.coalesce(mcols, F.array()),
+                        lambda m: F.coalesce(m["c"], F.lit("")).contains("tool_call") & m["obj"])
                & ~F.array_contains(keys, "tool_calls"),
                "error", "tool_calls", "L23", "tool_calls: content has a tool call but tool_calls is absent"),
     ]
@@ -133,9 +143,7 @@ def lint(records: DataFrame, strict: bool = False) -> DataFrame:
 
     def per_message(m: Column, i: Column) -> Column:
         field = F.concat(F.lit("messages["), i.cast("string"), F.lit("]"))
-        r_x = F.try_variant_get(m, "$.role", "variant")
-        r = F.try_variant_get(m, "$.role", "string")
-        c = F.try_variant_get(m, "$.content", "string")
+        r_x, r, c = m["rx"], m["r"], m["c"]
         pre = F.concat(field, F.lit(": "))
         return F.array(
             _issue(~_truthy(r_x), "error", field, "L17", F.concat(pre, F.lit("role missing"))),
@@ -147,11 +155,11 @@ def lint(records: DataFrame, strict: bool = False) -> DataFrame:
                    warn, field, "L21", F.concat(pre, F.lit("assistant turn without <think>"))),
         )
 
-    msg_rules = F.when(list_ok, F.flatten(F.transform(msgs, per_message))).otherwise(F.array())
+    msg_rules = F.when(list_ok, F.flatten(F.transform(mcols, per_message))).otherwise(F.array())
     parse_rule = _issue(F.lit(True), "error", "record", "L0", "record: not a JSON object")
     all_issues = F.when(~is_obj | v.isNull(), F.array(parse_rule)).otherwise(
         F.concat(F.array(*record_rules), msg_rules))
-    return (records
+    return (parsed
             .select("idx", F.explode(F.array_compact(all_issues)).alias("i"))
             .select("idx", "i.level", "i.field", "i.rule", "i.msg"))
 
