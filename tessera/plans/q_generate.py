@@ -98,3 +98,25 @@ def split_exact_counts(spark, sf_dir):
     """Exact 90/10 split by seeded order; the counts are exact (randomSplit's are not)."""
     d = tables.load(spark, sf_dir, "documents").select("doc_id")
     return O.split_exact(d, "doc_id", 0.9, seed=42).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+CHAT_SCHEMA = ("id string, version string, split string, difficulty string, category string, source string, "
+               "content_hash string, messages array<struct<role:string,content:string>>")
+
+
+@register("corpus_file_roundtrip", """
+SELECT count(*) AS total_records, CAST(0 AS BIGINT) AS error_count, CAST(0 AS BIGINT) AS warning_count,
+       true AS passed, count(*) AS n_indexed FROM documents""")
+def corpus_file_roundtrip(spark, sf_dir):
+    """F8 + S10 + S1 + S8: gated write of a clean generated corpus, read back from files, indexed, linted."""
+    from ..sources import io
+    from ..streaming.metrics import new_run_dirs
+    d = new_run_dirs(spark, "corpus")
+    recs = G.gen_sft(doc_index(spark, sf_dir), "train", 0, seed=9)
+    if not L.gated_write(recs, False, d["out"] + "/train"):
+        raise RuntimeError("generated corpus did not lint clean")
+    back = io.require_rows(spark.read.option("recursiveFileLookup", True).text(d["out"]), "written corpus")
+    back = io.with_row_index(back.withColumnRenamed("value", "raw"), "idx")
+    typed = io.read_corpus(spark, d["out"] + "/train", CHAT_SCHEMA).where(F.col("id").isNotNull())
+    rep = L.report(L.lint(back), back)
+    return rep.crossJoin(typed.agg(F.count(F.lit(1)).alias("n_indexed")))
