@@ -34,6 +34,23 @@ ANSWER_TO_END = rf"(?s){ANSWER_MARK}{WS}*{COLONS}{WS}*(.*)\z"
 ANSWER_TO_BREAK = rf"(?s){ANSWER_MARK}{WS}*{COLONS}{WS}*(.*?)(?:\n\n|\n{SOLUTION_MARK}|\n?\z)"
 EQUATION = rf"[A-Za-z]{WS}*={WS}*[-+]?{DIGIT}"
 UNIT = rf"(^|{NONWORD})(" + "|".join(UNITS) + rf")({NONWORD}|$)"
+# Same language, faster in Java: a first-character gate, the left boundary as a look-behind, then the
+# units as a trie grouped by first character (built from UNITS, longest suffix first).
+_WORD = r"[\p{L}\p{N}_]"
+
+
+def _unit_trie() -> str:
+    groups: dict[str, list[str]] = {}
+    for u in UNITS:
+        groups.setdefault(u[0], []).append(u[1:])
+    alts = []
+    for c, rest in groups.items():
+        rest = sorted(rest, key=len, reverse=True)
+        alts.append(c if rest == [""] else c + "(?:" + "|".join(rest) + ")")
+    return rf"(?=[{''.join(groups)}])(?<!{_WORD})(?:" + "|".join(alts) + rf")(?!{_WORD})"
+
+
+UNIT_JAVA = _unit_trie()
 # expression after '=' (three patterns, tried in order; '.' is any char but \n)
 EXPR_PATTERNS = [
     rf"={WS}*([^\n]+?){WS}*\+?{WS}*C",
@@ -69,8 +86,8 @@ def structural_reward(response: Column) -> Column:
     r = F.coalesce(response, F.lit(""))
     w = STRUCT_WEIGHTS
     return (F.when(r.contains(THINK_OPEN) & r.contains(THINK_CLOSE), F.lit(w["think"])).otherwise(F.lit(0.0))
-            + F.when(r.rlike(EQUATION), F.lit(w["equation"])).otherwise(F.lit(0.0))
-            + F.when(r.rlike(UNIT), F.lit(w["unit"])).otherwise(F.lit(0.0))
+            + F.when(r.contains("=") & r.rlike(EQUATION), F.lit(w["equation"])).otherwise(F.lit(0.0))
+            + F.when(r.rlike(UNIT_JAVA), F.lit(w["unit"])).otherwise(F.lit(0.0))
             + F.when(r.rlike(DIGIT), F.lit(w["number"])).otherwise(F.lit(0.0)))
 
 

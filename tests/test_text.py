@@ -85,3 +85,15 @@ def test_expression_match_and_credit(spark):
     # '解', '=', '+ C', 'C' and the integral sign: -0.5 + 4 * 0.15 + 0.1
     assert cred[0] == pytest.approx(0.2)
     assert cred[2] == pytest.approx(-0.5)
+
+
+def test_unit_java_form_equals_portable_form(spark):
+    probes = UNIT_PROBES + ["kg", "xkg", "kgx", "m/s^2", "am/s", "_N", "N_", "２N", "Nº", "\nK\n", "mol/L", "prad"]
+    a = _one(spark, lambda c: c.rlike(W.UNIT), probes)
+    b = _one(spark, lambda c: c.rlike(W.UNIT_JAVA), probes)
+    assert a == b == [bool(UNIT_PY.search(p)) for p in probes]
+
+
+def test_strip_all_python_whitespace(spark):
+    v = T.WS_CHARS + "x" + T.WS_CHARS[::-1] + "y" + T.WS_CHARS
+    assert _one(spark, T.strip, [v])[0] == v.strip()
