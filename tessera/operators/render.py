@@ -175,3 +175,8 @@ def empty_outputs(df: DataFrame, idx: str = "idx", output: str = "output",
     first = bad.select(idx, F.substring(F.coalesce(F.col(instruction), F.lit("")), 1, 80).alias("instruction80")) \
         .orderBy(idx).limit(n)
     return count, first
+
+
+def render_with(df: DataFrame, fn, out: str = "text", *cols: str) -> DataFrame:
+    """Formatting hook: apply any ``Column -> Column`` template (or several columns -> Column)."""
+    return df.withColumn(out, fn(*[F.col(c) for c in cols]))

@@ -247,3 +247,15 @@ def gae(steps: DataFrame, last_values: DataFrame | None = None, gamma: float = G
     adv = F.when(F.col("a_next_chunk").isNull(), F.col("a_local")) \
         .otherwise(F.col("a_local") + F.col("f") * F.col("a_next_chunk"))
     return out.select(traj, t, adv.alias("advantage"), (adv + F.col("v")).alias("ret"))
+
+
+def score_completions(df: DataFrame, text: str = "text", reward=None, out: str = "reward") -> DataFrame:
+    """Reward hook (the reference's replaceable reward body): ``reward`` is any ``Column -> Column``.
+
+    Built-in expressions keep the scoring inside codegen; a vectorised
+    ``pandas_udf`` is accepted as well (Arrow batches, never per row).
+    Default: the structural reward R2.
+    """
+    from ..functions.rewards import structural_reward
+    fn = reward or structural_reward
+    return df.withColumn(out, fn(F.col(text)))

@@ -12,7 +12,7 @@ from ..sources import tables
 from . import derive
 from .catalog import register
 from .common import r6
-from .q_render import ALPACA_SQL
+from .q_render import ALPACA_SQL, PAIRS_SQL
 
 VOCAB = 4096
 MAX_LEN = 64
@@ -86,3 +86,25 @@ def padding_report(spark, sf_dir):
     r = TK.padding_report(lens, F.floor(F.col("k") / BATCH), "n_tok")
     return r.select("n_batches", F.col("real_tokens").cast("bigint"), F.col("padded_tokens").cast("bigint"),
                     r6(F.col("waste_ratio")).alias("waste_ratio"))
+
+
+@register("pair_padding_report", "WITH " + PAIRS_SQL + f""",
+l AS (SELECT 'chosen' AS side, lang, k, len({TOK % 'chosen'}) AS n_tok FROM pairs
+      UNION ALL SELECT 'rejected', lang, k, len({TOK % 'rejected'}) FROM pairs),
+o AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY lang, k) - 1 AS i FROM l),
+b AS (SELECT side, i // {BATCH} AS batch, count(*) AS n, sum(n_tok) AS real_t, max(n_tok) AS max_t FROM o GROUP BY 1, 2)
+SELECT side, count(*) AS n_batches, CAST(sum(real_t) AS BIGINT) AS real_tokens,
+       CAST(sum(n * max_t) AS BIGINT) AS padded_tokens, round(1 - sum(real_t) / sum(n * max_t), 6) AS waste_ratio
+FROM b GROUP BY side""")
+def pair_padding_report(spark, sf_dir):
+    """P12 for preference pairs: chosen and rejected sides padded separately, batches of 8 in pair order."""
+    from ..functions.text import whitespace_tokens
+    from .q_render import preference_source
+    p = preference_source(spark, sf_dir)
+    sides = (p.select(F.lit("chosen").alias("side"), "lang", "k", F.size(whitespace_tokens(F.col("chosen"))).alias("n_tok"))
+             .unionByName(p.select(F.lit("rejected").alias("side"), "lang", "k",
+                                   F.size(whitespace_tokens(F.col("rejected"))).alias("n_tok"))))
+    ranked = O.rank_within(sides, ["side"], ["lang", "k"], "_r")
+    r = TK.padding_report(ranked, F.floor((F.col("_r") - 1) / BATCH), "n_tok", ["side"])
+    return r.select("side", "n_batches", F.col("real_tokens").cast("bigint"), F.col("padded_tokens").cast("bigint"),
+                    r6(F.col("waste_ratio")).alias("waste_ratio"))

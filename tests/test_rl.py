@@ -74,3 +74,18 @@ def test_dpo_loss_at_zero_margin(spark):
     df = spark.createDataFrame([(0, -1.0, -1.0, -1.0, -1.0)], "step long, pol_c double, pol_r double, ref_c double, ref_r double")
     r = rl.dpo_report(df).first()
     assert r.loss == pytest.approx(0.6931471805599453)
+
+
+def test_reward_hook_accepts_expression_and_pandas_udf(spark):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def length_reward(s: pd.Series) -> pd.Series:
+        return s.str.len().astype("float64") / 10.0
+
+    df = spark.createDataFrame([("<think>x</think> v = 3 m/s",), ("abc",)], "text string")
+    default = [r.reward for r in rl.score_completions(df).collect()]
+    assert default == pytest.approx([1.0, 0.0])
+    custom = [r.reward for r in rl.score_completions(df, reward=length_reward).collect()]
+    assert custom == pytest.approx([2.6, 0.3])
