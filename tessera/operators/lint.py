@@ -172,12 +172,16 @@ def rule_counts(issues: DataFrame) -> DataFrame:
 
 
 def report(issues: DataFrame, records: DataFrame) -> DataFrame:
-    """A1 headline: totals, error / warning counts and pass flag (one row)."""
-    total = records.agg(F.count(F.lit(1)).alias("total_records"))
-    counts = issues.agg(F.count_if(F.col("level") == "error").alias("error_count"),
-                        F.count_if(F.col("level") != "error").alias("warning_count"))
-    return (total.crossJoin(counts)  # one row x one row
-            .withColumn("passed", F.col("error_count") == 0))
+    """A1 headline: totals, error / warning counts and pass flag (one row).
+
+    The record total is a scalar count applied as a literal to the one-row
+    issue aggregate (no join).
+    """
+    total = records.count()
+    return (issues.agg(F.count_if(F.col("level") == "error").alias("error_count"),
+                       F.count_if(F.col("level") != "error").alias("warning_count"))
+            .select(F.lit(total).cast("bigint").alias("total_records"), "error_count", "warning_count",
+                    (F.col("error_count") == 0).alias("passed")))
 
 
 def first_issues(issues: DataFrame, level: str, n: int) -> DataFrame:

@@ -37,6 +37,7 @@ def rank_within(df: DataFrame, group: list[str], order: list[str | Column], name
                          .withColumn("_mid", F.monotonically_increasing_id()))
     gcols = ["_pid", *group]
     stats = ranged.groupBy(*gcols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # over the per-(partition, group) counts: at most partitions + groups rows, never the data
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) if group \
         else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))

@@ -134,12 +134,15 @@ def ppo_report(batch: DataFrame, clip: float = PPO_CLIP, kl_coef: float = PPO_KL
 
 
 def normalise_global(df: DataFrame, col: str = "advantage", out: str = "advantage_norm") -> DataFrame:
-    """(A - mean) / (std + 1e-8) over the whole table (sample std, as torch)."""
-    st = df.agg(F.avg(col).alias("_m"), F.stddev_samp(col).alias("_s"))
-    # one row, so the broadcast is bounded by construction
-    return (df.crossJoin(F.broadcast(st))
-            .withColumn(out, (F.col(col) - F.col("_m")) / (F.col("_s") + F.lit(STD_FLOOR)))
-            .drop("_m", "_s"))
+    """(A - mean) / (std + 1e-8) over the whole table (sample std, as torch).
+
+    The two statistics are one aggregate (partial aggregation, one row back
+    to the driver) applied as literals -- no join at all.
+    """
+    st = df.agg(F.avg(col).alias("m"), F.stddev_samp(col).alias("s")).first()
+    m = F.lit(st["m"]).cast("double")
+    sd = F.lit(st["s"]).cast("double")
+    return df.withColumn(out, (F.col(col) - m) / (sd + F.lit(STD_FLOOR)))
 
 
 def best_worst_pairs(scored: DataFrame, group: list[str], score: str = "reward",

@@ -22,6 +22,7 @@ def build_vocab(texts: DataFrame, col: str, size: int) -> DataFrame:
     words = texts.select(F.explode(whitespace_tokens(F.col(col))).alias("token"))
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.col("n").desc(), F.col("token")).limit(size)  # bounded: a top-k is the feature
+    # a window without partition is fine here: it numbers the at most ``size`` rows of the top-k
     return top.select("token", (F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("token"))) + 1)
                       .alias("id"))
 
