@@ -237,3 +237,79 @@ def gated_write(repaired: DataFrame, strict: bool, path: str) -> bool:
         return False
     fixed.select("raw").write.mode("overwrite").text(path)
     return True
+
+
+def lint_turns(records: DataFrame, turns: DataFrame, strict: bool = False) -> DataFrame:
+    """F5 for a chat corpus kept as tables: the same issues as ``lint`` without gathering a record.
+
+    records: (idx, id, version, split, difficulty, category, source, has_hash_key, has_messages,
+              has_tool_calls_key, rejection_reason) -- typed columns, null = absent.
+    turns:   (idx, pos, role, content) -- one row per message, pos = 0-based position.
+
+    Message rules run on turn rows; the record rules that look at all messages
+    (count, has user / assistant, tool call) are algebraic aggregates per
+    record, so a conversation holding a third of all turns is pre-aggregated
+    map-side and its turn rows stay spread over many tasks.
+    """
+    warn = "error" if strict else "warning"
+    stats = turns.groupBy("idx").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max((F.col("role") == "user").cast("int")).alias("_has_user"),
+        F.max((F.col("role") == "assistant").cast("int")).alias("_has_asst"),
+        F.max(F.coalesce(F.col("content"), F.lit("")).contains("tool_call").cast("int")).alias("_has_tool"))
+    r = records.join(stats, "idx", "left")
+    t = T.truthy_string
+    n = F.coalesce(F.col("_n"), F.lit(0))
+    has_msgs = F.col("has_messages")
+    list_ok = has_msgs & (n >= 2)
+
+    def enum(key, valid, miss, bad):
+        c = F.col(key)
+        return [_issue(~t(c), "error", key, miss, f"{key}: missing"),
+                _issue(t(c) & ~c.isin(*valid), "error", key, bad,
+                       F.concat(F.lit(f"{key}: invalid value '"), c, F.lit(f"', allowed {_sorted_list(valid)}")))]
+
+    rr = F.col("rejection_reason")
+    rec_rules = [
+        _issue(~t(F.col("id")), "error", "id", "L1", "id: missing"),
+        _issue(t(F.col("id")) & ~T.re_fullmatch_unicode(F.col("id"), UUID_BODY, ignore_case=True),
+               "error", "id", "L2", F.concat(F.lit("id: not a UUID: "), F.col("id"))),
+        _issue(~t(F.col("version")), "error", "version", "L3", "version: missing"),
+        _issue(t(F.col("version")) & ~T.re_fullmatch_unicode(F.col("version"), VERSION_BODY),
+               "error", "version", "L4", F.concat(F.lit("version: expected vX.Y.Z, got "), F.col("version"))),
+        *enum("split", VALID_SPLIT, "L5", "L6"),
+        *enum("difficulty", VALID_DIFFICULTY, "L7", "L8"),
+        *enum("category", VALID_CATEGORY, "L9", "L10"),
+        _issue(~t(F.col("source")), "error", "source", "L11", "source: missing or empty"),
+        _issue(~has_msgs, "error", "messages", "L12", "messages: missing"),
+        _issue(has_msgs & (n < 2), "error", "messages", "L14",
+               F.concat(F.lit("messages: at least 2 messages needed, got "), n.cast("string"))),
+        _issue(list_ok & (F.col("_has_user") == 0), "error", "messages", "L15", "messages: no message with role=user"),
+        _issue(list_ok & (F.col("_has_asst") == 0), "error", "messages", "L16",
+               "messages: no message with role=assistant"),
+        _issue(~F.col("has_hash_key"), warn, "content_hash", "L22", "content_hash: missing"),
+        _issue(has_msgs & (F.coalesce(F.col("_has_tool"), F.lit(0)) == 1) & ~F.col("has_tool_calls_key"),
+               "error", "tool_calls", "L23", "tool_calls: content has a tool call but tool_calls is absent"),
+        _issue(rr.isNotNull() & ~rr.isin(*VALID_REJECTION), "error", "rejection_reason", "L24",
+               F.concat(F.lit("rejection_reason: invalid value '"), rr,
+                        F.lit(f"', allowed {_sorted_list(VALID_REJECTION)}"))),
+    ]
+    rec_issues = r.select("idx", F.explode(F.array_compact(F.array(*rec_rules))).alias("i"))
+
+    ok_records = r.where(list_ok).select("idx")
+    tt = turns.join(ok_records, "idx", "left_semi")
+    field = F.concat(F.lit("messages["), F.col("pos").cast("string"), F.lit("]"))
+    pre = F.concat(field, F.lit(": "))
+    role, content = F.col("role"), F.col("content")
+    msg_rules = [
+        _issue(~t(role), "error", field, "L17", F.concat(pre, F.lit("role missing"))),
+        _issue(t(role) & ~role.isin(*VALID_ROLE), "error", field, "L18",
+               F.concat(pre, F.lit("invalid role '"), role, F.lit("'"))),
+        _issue(content.isNull(), "error", field, "L19", F.concat(pre, F.lit("content missing"))),
+        _issue(content.isNotNull() & T.is_blank(content), "error", field, "L20", F.concat(pre, F.lit("content empty"))),
+        _issue((F.coalesce(role, F.lit("")) == "assistant") & ~F.coalesce(content, F.lit("None")).contains("<think>"),
+               warn, field, "L21", F.concat(pre, F.lit("assistant turn without <think>"))),
+    ]
+    msg_issues = tt.select("idx", F.explode(F.array_compact(F.array(*msg_rules))).alias("i"))
+    return (rec_issues.unionByName(msg_issues)
+            .select("idx", "i.level", "i.field", "i.rule", "i.msg"))

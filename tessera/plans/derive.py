@@ -111,3 +111,23 @@ def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
             .select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"),
                                                                    x["text"].alias("content"))).alias("messages")))
+
+
+def chat_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The chat corpus of ``chat_records`` kept as two tables, (records, turns), nothing gathered.
+
+    records carry presence flags where the JSON form would omit a key; turns
+    get their 0-based message position from the skew-safe rank.
+    """
+    from ..operators.ordering import rank_within
+    conv = tables.load(spark, sf_dir, "conversations")
+    t = conversation_turns(conv).where(F.col("c") % 41 != 0)   # c % 41 == 0: the record has no messages key
+    ids = conv.select(F.col("conv_id").alias("c")).distinct()
+    rec = chat_record_columns(ids.withColumn("messages", F.lit(None)))
+    c = F.col("c")
+    records = rec.select(c.alias("idx"), "id", "version", "split", "difficulty", "category", "source",
+                         (c % 4 != 0).alias("has_hash_key"), (c % 41 != 0).alias("has_messages"),
+                         F.lit(False).alias("has_tool_calls_key"), "rejection_reason")
+    turns = rank_within(t, ["c"], ["turn"], "_r").select(
+        F.col("c").alias("idx"), (F.col("_r") - 1).alias("pos"), "role", "content")
+    return records, turns

@@ -169,3 +169,22 @@ def repair_then_lint(spark, sf_dir):
     """F6 + F5: after repair, id / version / hash issues are gone, others stay."""
     fixed = L.repair(derive.chat_records(spark, sf_dir), seed=7)
     return L.lint(fixed).groupBy("rule").agg(F.count(F.lit(1)).alias("n_issues"))
+
+
+def _turn_issues(spark, sf_dir, strict=False):
+    records, turns = derive.chat_tables(spark, sf_dir)
+    return L.lint_turns(records, turns, strict)
+
+
+@register("lint_turns_issues", ISSUES_SQL + " SELECT * FROM issues")
+def lint_turns_issues(spark, sf_dir):
+    """F5 on the corpus as (records, turns) tables: same issues, no per-record gather."""
+    return _turn_issues(spark, sf_dir)
+
+
+@register("lint_turns_rule_counts", ISSUES_SQL + """
+SELECT level, rule, field, count(*) AS n_issues, count(DISTINCT idx) AS n_records
+FROM issues GROUP BY level, rule, field""")
+def lint_turns_rule_counts(spark, sf_dir):
+    """A2 over the long-form lint (the flagship job)."""
+    return L.rule_counts(_turn_issues(spark, sf_dir))

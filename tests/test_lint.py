@@ -126,3 +126,13 @@ def test_gated_write(spark, tmp_dir):
     bad = spark.createDataFrame([(0, json.dumps(rec(split="dev")))], "idx long, raw string")
     assert L.gated_write(ok, False, tmp_dir + "/ok") is True
     assert L.gated_write(bad, False, tmp_dir + "/bad") is False
+
+
+def test_long_form_lint_equals_record_lint(spark):
+    from tessera.plans import derive
+    sf = "/root/testdata/sf0.001"
+    a = L.lint(derive.chat_records(spark, sf))
+    records, turns = derive.chat_tables(spark, sf)
+    b = L.lint_turns(records, turns)
+    assert a.count() > 0
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
