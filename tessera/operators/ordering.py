@@ -19,6 +19,7 @@ a group (add an id as tie-breaker).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +33,15 @@ def rank_within(df: DataFrame, group: list[str], order: list[str | Column], name
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     keys = [F.col(g) for g in group] + order_cols
-    ranged = cut_lineage(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-                         .withColumn("_pid", F.spark_partition_id())
-                         .withColumn("_mid", F.monotonically_increasing_id()))
+    # The range exchange samples its input in a job of its own before shuffling it; the cache
+    # lets the sample and the shuffle read one computation of the input.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ranged = cut_lineage(src.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                             .withColumn("_pid", F.spark_partition_id())
+                             .withColumn("_mid", F.monotonically_increasing_id()))
+    finally:
+        src.unpersist(blocking=False)
     gcols = ["_pid", *group]
     stats = ranged.groupBy(*gcols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     # over the per-(partition, group) counts: at most partitions + groups rows, never the data

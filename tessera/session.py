@@ -72,9 +72,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss, unlike localCheckpoint)."""
+    """Reliable checkpoint (survives executor loss, unlike localCheckpoint).
+
+    The input is persisted while it is checkpointed: the eager count and the
+    checkpoint write are two jobs, and without the cache the second would
+    compute the input again.  The cache is dropped once the files are written.
+    """
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist(blocking=False)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
