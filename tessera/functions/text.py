@@ -49,8 +49,12 @@ def after_first_line(c: Column) -> Column:
 
 
 def whitespace_tokens(c: Column) -> Column:
-    """``str.split()``: runs of Unicode whitespace separate tokens."""
-    return F.filter(F.split(c, f"{WS}+"), lambda t: t != F.lit(""))
+    """``str.split()``: runs of Unicode whitespace separate tokens.
+
+    The split leaves an empty string only before a leading or after a trailing
+    run; ``array_remove`` drops them without a per-element lambda.
+    """
+    return F.array_remove(F.split(c, f"{WS}+"), "")
 
 
 def truthy_string(c: Column) -> Column:
