@@ -19,7 +19,9 @@ PAD_ID, UNK_ID, IGNORE = 0, 1, -100
 
 def build_vocab(texts: DataFrame, col: str, size: int) -> DataFrame:
     """(token, id): the ``size`` most frequent whitespace tokens, ids from 2 in frequency order."""
-    words = texts.select(F.explode(whitespace_tokens(F.col(col))).alias("token"))
+    # explode_outer + null filter: a plain explode adds an inferred size() > 0 filter that splits twice
+    words = texts.select(F.explode_outer(whitespace_tokens(F.col(col))).alias("token")) \
+        .where(F.col("token").isNotNull())
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.col("n").desc(), F.col("token")).limit(size)  # bounded: a top-k is the feature
     # a window without partition is fine here: it numbers the at most ``size`` rows of the top-k
@@ -36,7 +38,7 @@ def token_ids(df: DataFrame, key: str, text: Column, vocab: DataFrame, limit: in
     toks = whitespace_tokens(text)
     if limit is not None:
         toks = F.slice(toks, 1, limit)
-    t = df.select(key, F.posexplode(toks).alias("pos", "token"))
+    t = df.select(key, F.posexplode_outer(toks).alias("pos", "token")).where(F.col("pos").isNotNull())
     j = t.join(F.broadcast(vocab), "token", "left")
     ids = F.sort_array(F.collect_list(F.struct("pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id"))))
     return j.groupBy(key).agg(ids.alias("_p")).select(key, F.col("_p.id").alias("ids"))

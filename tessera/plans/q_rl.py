@@ -17,9 +17,15 @@ WS = T.WS
 def token_rows(spark, sf_dir):
     """(seq_id, pos, lp, mask, prompt_len): one row per whitespace token of every whole document."""
     d = tables.load(spark, sf_dir, "documents").select("doc_id", "text")
-    t = d.select(F.col("doc_id").alias("seq_id"),
-                 F.size(T.whitespace_tokens(T.first_line(F.col("text")))).alias("prompt_len"),
-                 F.posexplode(T.whitespace_tokens(F.col("text"))).alias("pos", "tok"))
+    # per-document values are projected before the explode, so they are computed once per
+    # document and the text is not carried along with every token row
+    base = d.select(F.col("doc_id").alias("seq_id"),
+                    F.size(T.whitespace_tokens(T.first_line(F.col("text")))).alias("prompt_len"),
+                    T.whitespace_tokens(F.col("text")).alias("_toks"))
+    # explode_outer: a plain explode makes the optimizer add a size(tokens) > 0 filter that splits
+    # every text a second time; documents without tokens give one null row, dropped here
+    t = base.select("seq_id", "prompt_len", F.posexplode_outer("_toks").alias("pos", "tok")) \
+        .where(F.col("pos").isNotNull())
     return t.select("seq_id", "pos", "prompt_len",
                     (-((F.col("seq_id") * 31 + F.col("pos") * 7) % 97) / 97.0).alias("lp"),
                     F.when((F.col("seq_id") + F.col("pos")) % 13 == 12, 0).otherwise(1).alias("mask"))
