@@ -123,7 +123,7 @@ def rollouts(spark, sf_dir):
     """(step, prompt_id, g, reward, old_lp, new_lp, ref_lp) from events: step = day, prompt = user."""
     e = tables.load(spark, sf_dir, "events")
     i = F.col("event_id")
-    r = e.select(F.datediff(F.col("ts"), F.lit("2024-01-01")).alias("step"), F.col("user_id").alias("prompt_id"),
+    r = e.select(F.datediff(F.col("ts"), F.lit("2024-01-01")).cast("bigint").alias("step"), F.col("user_id").alias("prompt_id"),
                  "event_id", F.col("value").alias("reward"),
                  (-((i * 13) % 17) / 17.0).alias("old_lp"), (-((i * 7) % 19) / 19.0).alias("new_lp"),
                  (-((i * 5) % 23) / 23.0).alias("ref_lp"))

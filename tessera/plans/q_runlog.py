@@ -223,7 +223,7 @@ WITH x AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda v: CAST(
 y AS (SELECT vec_id // 64 AS batch, label, list_position(z, list_max(z)) - 1 AS prediction,
              ln(list_sum(list_transform(z, lambda v: exp(v)))) - z[label + 1] AS loss FROM x),
 b AS (SELECT batch, avg(loss) AS bl, count(*) AS n, count(*) FILTER (WHERE label = prediction) AS ok FROM y GROUP BY batch)
-SELECT sum(n) AS n, round(sum(ok) * 100.0 / sum(n), 6) AS accuracy_pct, round(avg(bl), 6) AS loss FROM b""")
+SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(ok) * 100.0 / sum(n), 6) AS accuracy_pct, round(avg(bl), 6) AS loss FROM b""")
 def classification_report(spark, sf_dir):
     """Accuracy and batch-mean cross-entropy of an argmax classifier over the first 10 components."""
     e = tables.load(spark, sf_dir, "embeddings")

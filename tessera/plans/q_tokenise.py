@@ -57,7 +57,8 @@ FROM r""")
 def tokenise_masked(spark, sf_dir):
     """P10 + J5: word ids from a top-4096 vocabulary, prompt masked with -100, truncated to 64."""
     t = _tokenised(spark, sf_dir)
-    return t.select("idx", "n_prompt", F.col("n_tokens").cast("bigint").alias("n_tokens"),
+    return t.select("idx", F.col("n_prompt").cast("bigint").alias("n_prompt"),
+                    F.col("n_tokens").cast("bigint").alias("n_tokens"),
                     F.col("input_ids").cast("array<bigint>").alias("input_ids"),
                     F.col("labels").cast("array<bigint>").alias("labels"),
                     F.col("trainable_tokens").cast("bigint").alias("trainable_tokens"))
