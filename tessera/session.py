@@ -28,6 +28,8 @@ _BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files of DataFrames that are no longer referenced are removed by the context cleaner
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # ANSI mode would turn a bad cast in a malformed corpus row into a
     # failed job; corpus jobs must be total, so bad values become null.
     "spark.sql.ansi.enabled": "false",

@@ -107,15 +107,20 @@ def write_points(points: DataFrame, path: str, files: int = 8) -> None:
 
 def write_in_time_order(df: DataFrame, path: str, time_col: str, files: int, save) -> None:
     """Append ``df`` as ``files`` commits of consecutive ``time_col`` ranges (one file each)."""
+    from pyspark import StorageLevel
     t = F.col(time_col).cast("double") if dict(df.dtypes)[time_col] in ("bigint", "int", "double") \
         else F.unix_micros(F.col(time_col).cast("timestamp")).cast("double")
-    lo, hi = df.agg(F.min(t), F.max(t)).first()
-    if lo is None:
-        return
-    span = (hi - lo) or 1.0
-    bucket = F.least(F.floor((t - F.lit(lo)) * files / F.lit(span)), F.lit(files - 1))
-    for b in range(files):
-        save(df.where(bucket == b).coalesce(1).sortWithinPartitions(time_col).write.mode("append"))
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)   # one computation for the range and all commits
+    try:
+        lo, hi = src.agg(F.min(t), F.max(t)).first()
+        if lo is None:
+            return
+        span = (hi - lo) or 1.0
+        bucket = F.least(F.floor((t - F.lit(lo)) * files / F.lit(span)), F.lit(files - 1))
+        for b in range(files):
+            save(src.where(bucket == b).coalesce(1).sortWithinPartitions(time_col).write.mode("append"))
+    finally:
+        src.unpersist(blocking=False)
 
 
 def read_points_stream(spark: SparkSession, path: str, files_per_trigger: int = 2) -> DataFrame:
