@@ -75,14 +75,19 @@ def _enum_rules(v: Column, key: str, valid: list[str], miss_rule: str, bad_rule:
     ]
 
 
-def lint(records: DataFrame, strict: bool = False) -> DataFrame:
-    """records(idx, raw) -> issues(idx, level, field, rule, msg)."""
+def lint(records: DataFrame, strict: bool = False, messages_key: str = "messages") -> DataFrame:
+    """records(idx, raw) -> issues(idx, level, field, rule, msg).
+
+    ``messages_key`` names the message list the message rules look at
+    (``chosen`` / ``rejected`` for preference-pair records, see lint_pairs).
+    """
+    mk = messages_key
     warn = "error" if strict else "warning"
     # Parse once: the record text, its VARIANT and its key list are projected
     # first, so the rules below read columns instead of re-parsing the text.
     parsed = (records.select("idx", F.try_parse_json(F.col("raw")).alias("_v"),
                              F.json_object_keys(F.col("raw")).alias("_keys"))
-              .withColumn("_msgs_x", F.try_variant_get(F.col("_v"), "$.messages", "variant"))
+              .withColumn("_msgs_x", F.try_variant_get(F.col("_v"), f"$.{mk}", "variant"))
               .withColumn("_msgs", F.try_variant_get(F.col("_msgs_x"), "$", "array<variant>"))
               .withColumn("_m", F.transform("_msgs", lambda m: F.struct(
                   F.try_variant_get(m, "$.role", "variant").alias("rx"),
@@ -117,15 +122,15 @@ def lint(records: DataFrame, strict: bool = False) -> DataFrame:
         *_enum_rules(v, "difficulty", VALID_DIFFICULTY, "L7", "L8"),
         *_enum_rules(v, "category", VALID_CATEGORY, "L9", "L10"),
         _issue(~_truthy(src_x), "error", "source", "L11", "source: missing or empty"),
-        _issue(msgs_x.isNull() | F.is_variant_null(msgs_x), "error", "messages", "L12", "messages: missing"),
+        _issue(msgs_x.isNull() | F.is_variant_null(msgs_x), "error", mk, "L12", f"{mk}: missing"),
         _issue(msgs_x.isNotNull() & ~F.is_variant_null(msgs_x) & ~is_list,
-               "error", "messages", "L13", "messages: must be an array"),
-        _issue(is_list & (n_msgs < 2), "error", "messages", "L14",
-               F.concat(F.lit("messages: at least 2 messages needed, got "), n_msgs.cast("string"))),
-        _issue(list_ok & ~F.array_contains(roles, "user"), "error", "messages", "L15",
-               "messages: no message with role=user"),
-        _issue(list_ok & ~F.array_contains(roles, "assistant"), "error", "messages", "L16",
-               "messages: no message with role=assistant"),
+               "error", mk, "L13", f"{mk}: must be an array"),
+        _issue(is_list & (n_msgs < 2), "error", mk, "L14",
+               F.concat(F.lit(f"{mk}: at least 2 messages needed, got "), n_msgs.cast("string"))),
+        _issue(list_ok & ~F.array_contains(roles, "user"), "error", mk, "L15",
+               f"{mk}: no message with role=user"),
+        _issue(list_ok & ~F.array_contains(roles, "assistant"), "error", mk, "L16",
+               f"{mk}: no message with role=assistant"),
         _issue(~F.array_contains(keys, "content_hash"), warn, "content_hash", "L22", "content_hash: missing"),
         _issue(F.exists(F.coalesce(mcols, F.array()),
                         lambda m: F.coalesce(m["c"], F.lit("")).contains("tool_call") & m["obj"])
@@ -142,7 +147,7 @@ def lint(records: DataFrame, strict: bool = False) -> DataFrame:
                         F.lit(f"', allowed {_sorted_list(VALID_REJECTION)}"))))
 
     def per_message(m: Column, i: Column) -> Column:
-        field = F.concat(F.lit("messages["), i.cast("string"), F.lit("]"))
+        field = F.concat(F.lit(f"{mk}["), i.cast("string"), F.lit("]"))
         r_x, r, c = m["rx"], m["r"], m["c"]
         pre = F.concat(field, F.lit(": "))
         return F.array(
@@ -164,6 +169,13 @@ def lint(records: DataFrame, strict: bool = False) -> DataFrame:
             .select("idx", "i.level", "i.field", "i.rule", "i.msg"))
 
 
+def lint_pairs(records: DataFrame, strict: bool = False) -> DataFrame:
+    """F5 for preference-pair records: record rules once, message rules on both ``chosen`` and ``rejected``."""
+    chosen = lint(records, strict, "chosen")
+    rejected = lint(records, strict, "rejected").where(F.col("field").startswith("rejected"))
+    return chosen.unionByName(rejected)
+
+
 def rule_counts(issues: DataFrame) -> DataFrame:
     """A2: issues per (level, rule, field); partial aggregation absorbs skew."""
     return (issues.groupBy("level", "rule", "field")

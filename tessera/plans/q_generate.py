@@ -120,3 +120,14 @@ def corpus_file_roundtrip(spark, sf_dir):
     typed = io.read_corpus(spark, d["out"] + "/train", CHAT_SCHEMA).where(F.col("id").isNotNull())
     rep = L.report(L.lint(back), back)
     return rep.withColumn("n_indexed", F.lit(typed.count()).cast("bigint"))
+
+
+@register("generated_pairs_lint", """
+SELECT count(*) AS total_records, CAST(0 AS BIGINT) AS error_count, count(*) AS warning_count, true AS passed
+FROM documents""")
+def generated_pairs_lint(spark, sf_dir):
+    """G2 -> F5 round trip for pair files: no error; each rejected answer lacks <think> (one warning per pair)."""
+    p = G.gen_pairs(doc_index(spark, sf_dir), seed=5)
+    recs = p.select(F.col("i").alias("idx"), F.to_json(F.struct(
+        "id", "version", "split", "difficulty", "category", "source", "content_hash", "chosen", "rejected")).alias("raw"))
+    return L.report(L.lint_pairs(recs), recs)

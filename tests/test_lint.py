@@ -136,3 +136,13 @@ def test_long_form_lint_equals_record_lint(spark):
     b = L.lint_turns(records, turns)
     assert a.count() > 0
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_pair_lint_checks_both_sides(spark):
+    pair = {k: v for k, v in GOOD.items() if k != "messages"}
+    pair["chosen"] = GOOD["messages"]
+    pair["rejected"] = [{"role": "user", "content": "q"}, {"role": "bot", "content": "x"}]
+    df = spark.createDataFrame([(0, json.dumps(pair))], "idx long, raw string")
+    rows = {(r.field, r.rule) for r in L.lint_pairs(df).collect()}
+    assert ("rejected[1]", "L18") in rows and ("rejected", "L16") in rows
+    assert not any(f.startswith("chosen") for f, _ in rows)
