@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import content_hash_of_messages
-from .render import chatml_messages  # noqa: F401  (re-export for callers rendering generated chats)
 
 SYSTEM_PROMPT = "You are a physics reasoning assistant. Show the full derivation and give the final numeric result."
 GENERATOR_SOURCE = "synthetic_generator"

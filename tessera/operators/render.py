@@ -25,9 +25,6 @@ FALLBACK_TURN_END = "\n\n"
 NAN_SENTINEL = -999999.0
 # ---------------------------------------------------
 
-MESSAGE = "struct<role:string,content:string>"
-
-
 def prefix_from_base64(b64: str) -> Column:
     """A prompt prefix passed as base64 (decoded by Spark, UTF-8)."""
     return F.decode(F.unbase64(F.lit(b64)), "UTF-8")
