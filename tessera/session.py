@@ -57,9 +57,39 @@ def configure(spark: SparkSession) -> SparkSession:
     for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
         spark.conf.set(k, _BASE_CONF[k])
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable in the Python workers (once per SparkContext).
+
+    Arrow functions that live in the package (the stateful stream, the GAE
+    folds) are unpickled on executors; the package is zipped and added with
+    ``addPyFile``, as ``--py-files`` would on spark-submit.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="tessera-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; create a private one only if unset."""
     sc = spark.sparkContext

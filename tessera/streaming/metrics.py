@@ -129,6 +129,24 @@ def read_points_stream(spark: SparkSession, path: str, files_per_trigger: int =
             .json(path))
 
 
+def start_stateful(spark: SparkSession, start):
+    """Start a stateful stream with one state partition per available core.
+
+    The number of state-store partitions is taken from
+    ``spark.sql.shuffle.partitions`` when a query first starts and is then
+    fixed in its checkpoint; batch-oriented settings (200, or thousands on a
+    cluster sized for shuffles) would make every micro-batch visit that many
+    stores.  ``defaultParallelism`` grows with the cluster.
+    """
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        return start()
+    finally:
+        spark.conf.set(key, old)
+
+
 def run_available(query) -> None:
     query.awaitTermination()
     if query.exception():
@@ -139,8 +157,8 @@ def stream_dedup_to_table(spark: SparkSession, src: str, out: str, ckpt: str) ->
     """M1 + M6 as a stream: decode, drop duplicates within the watermark, append to Parquet (exactly once)."""
     s = decode(read_points_stream(spark, src)).withWatermark("time", WATERMARK) \
         .dropDuplicatesWithinWatermark(dedup_key())
-    q = (s.writeStream.format("parquet").option("checkpointLocation", ckpt).option("path", out)
-         .outputMode("append").trigger(availableNow=True).start())
+    q = start_stateful(spark, lambda: s.writeStream.format("parquet").option("checkpointLocation", ckpt)
+                       .option("path", out).outputMode("append").trigger(availableNow=True).start())
     run_available(q)
 
 
@@ -151,8 +169,8 @@ def stream_agg_to_changelog(spark: SparkSession, src: str, out: str, ckpt: str,
     def sink(df: DataFrame, batch_id: int) -> None:
         df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
 
-    q = (s.writeStream.outputMode("update").option("checkpointLocation", ckpt).foreachBatch(sink)
-         .trigger(availableNow=True).start())
+    q = start_stateful(spark, lambda: s.writeStream.outputMode("update").option("checkpointLocation", ckpt)
+                       .foreachBatch(sink).trigger(availableNow=True).start())
     run_available(q)
 
 
@@ -193,8 +211,8 @@ def stream_status_changes(spark: SparkSession, src: str, out: str, ckpt: str, sc
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src)
     r = s.groupBy("job_id").applyInPandasWithState(status_change_fn, STATUS_OUT, STATUS_STATE, "append",
                                                    GroupStateTimeout.NoTimeout)
-    q = (r.writeStream.format("parquet").option("checkpointLocation", ckpt).option("path", out)
-         .outputMode("append").trigger(availableNow=True).start())
+    q = start_stateful(spark, lambda: r.writeStream.format("parquet").option("checkpointLocation", ckpt)
+                       .option("path", out).outputMode("append").trigger(availableNow=True).start())
     run_available(q)
 
 
