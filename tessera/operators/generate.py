@@ -185,11 +185,12 @@ def gen_pairs(index: DataFrame, start: int = 0, seed: int = 0) -> DataFrame:
                     "chosen_text", "rejected_text")
 
 
-def gen_calculus(index: DataFrame, seed: int = 0) -> DataFrame:
+def gen_calculus(index: DataFrame, seed: int = 0, mode: str = "fixed") -> DataFrame:
     """Power-rule derivative / integral problems and a chain-rule family, closed form.
 
-    (instruction, output, type).  The coefficient a/(n+1) is reduced once
-    (the reference divides twice when it divides evenly, Q12).
+    (instruction, output, type).  mode="fixed" reduces the coefficient a/(n+1)
+    once; mode="reference" keeps the reference's output when a divides evenly,
+    which divides twice (3x^2 -> "1x^3/3", Q12).
     """
     i = F.col("i")
     a = i % 9 + 1
@@ -203,6 +204,9 @@ def gen_calculus(index: DataFrame, seed: int = 0) -> DataFrame:
         F.format_string("%d/%d", num, den))
     integ_q = F.format_string("Compute the integral ∫ %dx^%d dx.", a, n)
     integ_a = F.format_string("∫ %dx^%d dx = %sx^%d + C", a, n, coef, n + 1)
+    if mode == "reference":
+        twice = F.format_string("∫ %dx^%d dx = %dx^%d/%d + C", a, n, (num / den).cast("int"), n + 1, den)
+        integ_a = F.when(num % den == 0, twice).otherwise(integ_a)
     chain_q = F.format_string("Find the derivative of sin(%dx^%d).", a, n)
     chain_a = F.format_string("d/dx = %dx^%d cos(%dx^%d)", a * n, n - 1, a, n)
     return index.select(

@@ -28,3 +28,10 @@ def directory_summary(spark, sf_dir):
 def weight_inventory(spark, sf_dir):
     """Count and total size of data files matching a pattern (Parquet here)."""
     return I.weight_inventory(I.list_files(spark, sf_dir), r"\.parquet$")
+
+
+@register("largest_files")
+def largest_files(spark, sf_dir):
+    """A16 detail: the 50 largest files of the test-data tree (a top-k listing; the limit is the feature)."""
+    root = os.path.dirname(os.path.abspath(sf_dir))
+    return I.largest_children(I.list_files(spark, root, "*.parquet"), 50)

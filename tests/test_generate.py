@@ -60,3 +60,13 @@ def test_corruption_kinds(spark):
 def test_arithmetic_smoke_corpus(spark):
     out = G.gen_arithmetic(idx(spark, 100)).collect()
     assert len(out) == 38 and sum(r.split == "train" for r in out) == 30
+
+
+def test_calculus_reference_mode_keeps_double_division(spark):
+    df = spark.createDataFrame([(i,) for i in range(200)], "i long")
+    fixed = {r.i: r.output for r in G.gen_calculus(df, seed=2).collect()}
+    ref = {r.i: r.output for r in G.gen_calculus(df, seed=2, mode="reference").collect()}
+    # i = 2: a = 3, n = 3 -> 3/4 not divisible: same; i = 1: a = 2, n = 2 -> 2/3; i = 7: a = 8, n = 3 -> 8/4 = 2
+    diff = [i for i in fixed if fixed[i] != ref[i]]
+    assert diff and all(ref[i].endswith(f"/{i % 5 + 2} + C") for i in diff)
+    assert all((i % 9 + 1) % (i % 5 + 2) == 0 for i in diff)
