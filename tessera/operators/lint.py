@@ -325,3 +325,19 @@ def lint_turns(records: DataFrame, turns: DataFrame, strict: bool = False) -> Da
     msg_issues = tt.select("idx", F.explode(F.array_compact(F.array(*msg_rules))).alias("i"))
     return (rec_issues.unionByName(msg_issues)
             .select("idx", "i.level", "i.field", "i.rule", "i.msg"))
+
+
+def records_from_table(df: DataFrame, idx: str | None = None) -> DataFrame:
+    """(idx, raw) from a typed table (e.g. a Parquet corpus) for ``lint``.
+
+    Typed list columns stay JSON arrays (a Parquet list is a list, Q2) and a
+    null cell is written as a JSON null: in a table the key exists, so L22
+    does not fire for a null content_hash; a missing *column* is an absent key.
+    Without ``idx`` the stable file-order index of ``sources.io`` is used.
+    """
+    cols = [c for c in df.columns if c != idx]
+    raw = F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"})
+    if idx is not None:
+        return df.select(F.col(idx).alias("idx"), raw.alias("raw"))
+    from ..sources.io import with_row_index
+    return with_row_index(df.select(raw.alias("raw")), "idx")

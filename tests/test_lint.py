@@ -146,3 +146,15 @@ def test_pair_lint_checks_both_sides(spark):
     rows = {(r.field, r.rule) for r in L.lint_pairs(df).collect()}
     assert ("rejected[1]", "L18") in rows and ("rejected", "L16") in rows
     assert not any(f.startswith("chosen") for f, _ in rows)
+
+
+def test_parquet_corpus_lint(spark, tmp_dir):
+    rows = [dict(GOOD, content_hash=None), {k: v for k, v in GOOD.items()} | {"split": "dev"}]
+    schema = ("id string, version string, split string, difficulty string, category string, source string, "
+              "content_hash string, messages array<struct<role:string,content:string>>")
+    spark.createDataFrame(rows, schema).write.parquet(tmp_dir + "/corpus")
+    df = spark.read.parquet(tmp_dir + "/corpus")
+    issues = L.lint(L.records_from_table(df)).collect()
+    assert [(i.rule, i.field) for i in issues] == [("L6", "split")]   # null hash is present; arrays are arrays
+    no_hash_col = L.lint(L.records_from_table(df.drop("content_hash"))).collect()
+    assert sorted(i.rule for i in no_hash_col) == ["L22", "L22", "L6"]
