@@ -158,3 +158,22 @@ def test_parquet_corpus_lint(spark, tmp_dir):
     assert [(i.rule, i.field) for i in issues] == [("L6", "split")]   # null hash is present; arrays are arrays
     no_hash_col = L.lint(L.records_from_table(df.drop("content_hash"))).collect()
     assert sorted(i.rule for i in no_hash_col) == ["L22", "L22", "L6"]
+
+
+def test_long_form_lint_with_a_hot_conversation(spark):
+    # conversation 0 holds a third of all turns; its issues must come out exactly as for small ones
+    n_hot, n_small = 3000, 2000
+    turns = [(0, p, "user" if p % 2 == 0 else "assistant", "q" if p % 2 == 0 else ("<think>a" if p % 3 else "a"))
+             for p in range(n_hot)]
+    turns += [(c, p, "user" if p == 0 else "assistant", "x" if p == 0 else "<think>y")
+              for c in range(1, n_small // 2 + 1) for p in range(2)]
+    tdf = spark.createDataFrame(turns, "idx long, pos long, role string, content string").repartition(8)
+    ids = sorted({t[0] for t in turns})
+    rec = spark.createDataFrame(
+        [(i, GOOD["id"], "v1.0.0", "train", "graduate", "optics", "s", True, True, False, None) for i in ids],
+        "idx long, id string, version string, split string, difficulty string, category string, source string, "
+        "has_hash_key boolean, has_messages boolean, has_tool_calls_key boolean, rejection_reason string")
+    out = L.lint_turns(rec, tdf).collect()
+    expected = {(0, f"messages[{p}]") for p in range(n_hot) if p % 2 == 1 and p % 3 == 0}
+    assert {(r.idx, r.field) for r in out} == expected
+    assert all(r.rule == "L21" for r in out)
