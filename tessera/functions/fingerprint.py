@@ -26,8 +26,11 @@ def json_string(c: Column) -> Column:
     """
     j = F.to_json(F.array(c))
     out = j.substr(F.lit(2), F.length(j) - 2)
+    low = out
     for up in "ABCDEF":
-        out = F.regexp_replace(out, r"(?<!\\)((?:\\\\)*)\\u00([01])" + up, "$1\\\\u00$2" + up.lower())
+        low = F.regexp_replace(low, r"(?<!\\)((?:\\\\)*)\\u00([01])" + up, "$1\\\\u00$2" + up.lower())
+    # the six passes only matter when a \u00XX escape is present (control characters are rare)
+    out = F.when(out.contains("\\u00"), low).otherwise(out)
     return F.when(c.isNull(), F.lit("null")).otherwise(out)
 
 

@@ -177,3 +177,26 @@ def empty_outputs(df: DataFrame, idx: str = "idx", output: str = "output",
 def render_with(df: DataFrame, fn, out: str = "text", *cols: str) -> DataFrame:
     """Formatting hook: apply any ``Column -> Column`` template (or several columns -> Column)."""
     return df.withColumn(out, fn(*[F.col(c) for c in cols]))
+
+
+def join_turns(turns: DataFrame, key: str, order: str, piece: Column, sep: str = "", out: str = "text") -> DataFrame:
+    """Render per turn row, then concatenate the pieces of each record in ``order``.
+
+    The piece (a template of one message) is built row by row inside codegen;
+    only the finished strings are gathered per record, so the gather carries
+    no structs and no lambda runs over the list.
+    """
+    rows = turns.select(key, F.struct(F.col(order).alias("o"), piece.alias("p")).alias("_x"))
+    return (rows.groupBy(key).agg(F.sort_array(F.collect_list("_x")).alias("_l"))
+            .select(key, F.array_join(F.col("_l.p"), sep).alias(out)))
+
+
+def fallback_piece(role: Column, content: Column) -> Column:
+    """P3 piece of one turn (system turns render as '')."""
+    return (F.when(role == "user", F.concat(F.lit(FALLBACK_USER), content, F.lit(FALLBACK_ASSISTANT)))
+            .when(role == "assistant", F.concat(content, F.lit(FALLBACK_TURN_END))).otherwise(F.lit("")))
+
+
+def chatml_piece(role: Column, content: Column) -> Column:
+    """P4 piece of one turn."""
+    return F.concat(F.lit(IM_START), role, F.lit("\n"), F.coalesce(content, F.lit("")), F.lit(IM_END + "\n"))

@@ -153,13 +153,13 @@ FROM t GROUP BY c"""
 
 @register("content_hash", CANON_SQL)
 def content_hash(spark, sf_dir):
-    """fingerprint of each conversation's message list."""
+    """fingerprint of each conversation's message list (message JSON built per turn row)."""
+    from ..operators.render import join_turns
     conv = tables.load(spark, sf_dir, "conversations")
-    msgs = (conv.groupBy("conv_id")
-            .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-            .select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"),
-                                                                   x["text"].alias("content"))).alias("messages")))
-    return msgs.select("conv_id", FP.content_hash_of_messages(F.col("messages")).alias("content_hash"))
+    piece = F.concat(F.lit('{"content": '), FP.json_string(F.col("text")), F.lit(', "role": '),
+                     FP.json_string(F.col("role")), F.lit("}"))
+    joined = join_turns(conv, "conv_id", "turn", piece, sep=", ", out="_body")
+    return joined.select("conv_id", FP.digest(F.concat(F.lit("["), F.col("_body"), F.lit("]"))).alias("content_hash"))
 
 
 @register("repair_then_lint", ISSUES_SQL + """

@@ -49,9 +49,9 @@ SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' || text || chr(
        AS chat_text
 FROM conversations GROUP BY conv_id""")
 def chat_fallback_text(spark, sf_dir):
-    """Fallback chat template text per conversation (system turns drop out)."""
-    m = derive.conversation_messages(spark, sf_dir)
-    return m.select("conv_id", R.fallback_chat_text(F.col("messages")).alias("chat_text"))
+    """Fallback chat template text per conversation (system turns drop out), rendered per turn."""
+    t = tables.load(spark, sf_dir, "conversations")
+    return R.join_turns(t, "conv_id", "turn", R.fallback_piece(F.col("role"), F.col("text")), out="chat_text")
 
 
 @register("chatml_conversations", r"""
@@ -59,9 +59,9 @@ SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_en
        AS chatml
 FROM conversations GROUP BY conv_id""")
 def chatml_conversations(spark, sf_dir):
-    """ChatML of each conversation, system turns included."""
-    m = derive.conversation_messages(spark, sf_dir)
-    return m.select("conv_id", R.chatml_messages(F.col("messages")).alias("chatml"))
+    """ChatML of each conversation, system turns included, rendered per turn."""
+    t = tables.load(spark, sf_dir, "conversations")
+    return R.join_turns(t, "conv_id", "turn", R.chatml_piece(F.col("role"), F.col("text")), out="chatml")
 
 
 @register("chatml_alpaca_system", "WITH " + ALPACA_SQL + r"""
