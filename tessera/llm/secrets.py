@@ -71,6 +71,16 @@ def spans_text(spans: list[dict]) -> str:
     return ",".join(f"{KINDS[s['kind']]}:{s['start']}:{s['end']}" for s in spans)
 
 
+def may_match(text: Column) -> Column:
+    """True wherever a base pattern can match: plain substring tests that let most texts pass by."""
+    low = F.lower(text)
+    words = [F.contains(low, F.lit(w)) for w in ("password", "passwd", "secret", "token", "apikey", "api_key")]
+    some = F.contains(text, F.lit("AKIA")) | text.rlike("[0-9a-f]{24}")
+    for w in words:
+        some = some | w
+    return F.coalesce(some, F.lit(False))
+
+
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """(row, doc_id, text_key, owner, repository, spans, base_sha256): base spans of every row, written once."""
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("owner", pa.string()), ("repository", pa.string()),
@@ -87,7 +97,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
                                               pa.array(spans, schema.field("spans").type), pa.array(sha)], schema=schema)
             row += n
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col(owner).cast("string").alias("owner"),
-                       F.col(repository).cast("string").alias("repository"), F.col("text").cast("string").alias("text"))
+                       F.col(repository).cast("string").alias("repository"), F.when(may_match(F.col("text").cast("string")), F.col("text").cast("string")).alias("text"))
     return stored(cols.mapInArrow(run, f"row long, doc_id long, text_key long, owner string, repository string, spans {_SPAN_SQL}, base_sha256 string"), "secret-spans")
 
 
@@ -147,7 +157,8 @@ def redact(docs: DataFrame, mark: str = "[secret]", owner: str = "source", repos
     cut = (with_status(found, example_owners).where(F.col("status") != "example")
            .groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(F.col("vstart").alias("start"), F.col("vend").alias("end"))).alias("s"))
            .select(F.col("doc_id").alias(d), F.col("text_key").alias(k), merged(F.col("s")).alias(c)))
-    hit = docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(k)), "left")
+    some = may_match(F.col("text"))
+    hit = docs.where(some).join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(k)), "left")
     n = F.size(c)
     begin = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col(c), i - 1)["end"])
     end = lambda i: F.when(i == n, F.length("text").cast("long")).otherwise(F.get(F.col(c), i)["start"])
@@ -156,5 +167,8 @@ def redact(docs: DataFrame, mark: str = "[secret]", owner: str = "source", repos
     out = {x: F.col(quoted(x)) for x in docs.columns}
     out["text"] = text
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col(c).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
-    return hit.select(*[x.alias(name) for name, x in out.items()])
+        gone = F.aggregate(F.col(c), F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
+        size = F.length("text") - gone + F.size(c) * len(mark)
+        out["n_chars"] = F.when(F.col(c).isNull(), F.col("n_chars")).otherwise(size).cast(docs.schema["n_chars"].dataType)
+    # a text that no pattern can match is not shuffled
+    return hit.select(*[x.alias(name) for name, x in out.items()]).unionByName(docs.where(~some))
