@@ -18,8 +18,8 @@ three, fitted on labelled rows the counts have not seen (a bounded sample,
 Counts come from all labelled training rows, distributed: tasks count
 distinct words, then their n-grams, and send one row per n-gram; sums and
 continuation counts are aggregations.  Tasks get the model as tables of
-2**``slot_bits`` hashed slots per order, whatever the corpus; colliding rare
-n-grams share a slot.
+2**``slot_bits`` hashed slots per order, whatever the corpus (sent as their
+non-zero slots); colliding rare n-grams share a slot.
 
 Edge cases: null and empty texts have no words and get the score of an
 all-zero document; without training rows of both classes every score is 0;
@@ -30,6 +30,7 @@ table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,6 +143,40 @@ class Model:
         self.ready = False
         self.key = ""
 
+    def __getstate__(self) -> dict:
+        """For sending: tables as their non-zero slots, compressed."""
+        return {k: _sparse(v) for k, v in self.__dict__.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update({k: _dense(v) for k, v in state.items()})
+
+
+class _Packed(tuple):
+    """(length, compressed slots, compressed values) of an array."""
+
+
+def _sparse(v):
+    if isinstance(v, list):
+        return [_sparse(x) for x in v]
+    if isinstance(v, dict):
+        return {k: _sparse(x) for k, x in v.items()}
+    if isinstance(v, np.ndarray) and v.dtype == np.float32:
+        at = np.flatnonzero(v)
+        return _Packed((len(v), zlib.compress(np.diff(at, prepend=0).astype("<u4").tobytes(), 1), zlib.compress(v[at].tobytes(), 1)))
+    return v
+
+
+def _dense(v):
+    if isinstance(v, list):
+        return [_dense(x) for x in v]
+    if isinstance(v, dict):
+        return {k: _dense(x) for k, x in v.items()}
+    if isinstance(v, _Packed):
+        out = np.zeros(v[0], np.float32)
+        out[np.cumsum(np.frombuffer(zlib.decompress(v[1]), "<u4"), dtype=np.int64)] = np.frombuffer(zlib.decompress(v[2]), np.float32)
+        return out
+    return v
+
 
 def train_counts(rows: DataFrame, bits: int = SLOT_BITS) -> Model:
     """Both models from (text, label); the tables collected have at most 2**bits rows each."""
