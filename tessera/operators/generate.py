@@ -11,9 +11,7 @@ its seed, Q13).
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import content_hash_of_messages
@@ -21,16 +19,21 @@ from ..functions.fingerprint import content_hash_of_messages
 SYSTEM_PROMPT = "You are a physics reasoning assistant. Show the full derivation and give the final numeric result."
 GENERATOR_SOURCE = "synthetic_generator"
 
-# (template id, category, difficulty): categories and levels are the lint schema's
-PHYSICS_TEMPLATES = [
-    (0, "mechanics", "high_school"),
-    (1, "quantum", "undergraduate"),
-    (2, "em", "undergraduate"),
-    (3, "thermo", "graduate"),
-    (4, "mechanics", "high_school"),
-    (5, "optics", "undergraduate"),
-    (6, "mechanics", "undergraduate"),
-    (7, "statistical", "graduate"),
+# One row per problem kind: category and difficulty (of the lint schema), the question with its quantities, the
+# working and the answer.  Quantities are SQL expressions of the index ``i`` that grow with it, so texts differ.
+PROBLEMS = [
+    ("mechanics", "high_school", "A cart covers %d m in %d s at constant speed. How fast is it?", ["3 * i + 7", "i div 5 + 2"],
+     "q0 / q1", "speed is distance over time: %.4f m/s", "v = %.4f m/s"),
+    ("thermo", "undergraduate", "A %d W heater warms %d kg of water for one minute (c = 4186 J/(kg K)). By how much does its temperature rise?",
+     ["100 + 10 * i", "i div 3 + 1"], "60 * q0 / (4186 * q1)", "all heat goes into the water: rise of %.5f K", "rise = %.5f K"),
+    ("em", "high_school", "Resistors of %d ohm and %d ohm in series are connected to 24 V. Which current flows?", ["2 * i + 5", "i div 4 + 3"],
+     "24 / (q0 + q1)", "resistances in series add up: current of %.6f A", "I = %.6f A"),
+    ("optics", "undergraduate", "An object stands %d cm beyond the focus of a lens of %d cm focal length. How far from the lens is its image?",
+     ["i + 4", "i div 6 + 10"], "q1 * (q0 + q1) / q0", "the lens equation gives %.4f cm", "b = %.4f cm"),
+    ("statistical", "graduate", "A system has %d independent spins and %d independent three-level atoms, all states equally likely. What is its entropy in units of k?",
+     ["i + 1", "i div 8 + 1"], "q0 * ln(2) + q1 * ln(3)", "entropies of independent parts add up: %.5f", "S/k = %.5f"),
+    ("mechanics", "undergraduate", "A spring of %d N/m is pressed together by %d cm. How much energy does it hold?", ["50 + 5 * i", "i div 9 + 2"],
+     "q0 * q1 * q1 / 20000", "half the constant times the square of the way in metres: %.5f J", "E = %.5f J"),
 ]
 
 INTEGRAL_FACTS = [  # (family, integrand, antiderivative, method)
@@ -49,10 +52,6 @@ INTEGRAL_FACTS = [  # (family, integrand, antiderivative, method)
 ]
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PHYSICS_TEMPLATES, "tpl int, category string, difficulty string")
-
-
 def deterministic_uuid(seed: int, i: Column) -> Column:
     h = F.sha2(F.concat_ws(":", F.lit(str(seed)), i.cast("string")), 256)
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4),
@@ -65,77 +64,16 @@ def unit_hash(i: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
 
 
-def _physics_text(i: Column, tpl: Column) -> Column:
-    """struct(question, think, answer) for template tpl and parameters derived from i."""
-    k5, k4, k3 = i % 5 + 1, i % 4 + 1, i % 3 + 1
-    fs = F.format_string
-    # 0: constant force from rest
-    m0 = k5
-    f0 = m0 * 10
-    a0 = f0 / m0
-    t0 = k5
-    q0 = fs("A %d kg body starts from rest under a net force of %d N. Find its speed and displacement after %d s.",
-            m0, f0, t0)
-    th0 = fs("a = F/m = %.2f m/s²\nv = a t = %.2f m/s\ns = a t²/2 = %.2f m", a0, a0 * t0, a0 * t0 * t0 / 2)
-    an0 = fs("v = %.2f m/s, s = %.2f m", a0 * t0, a0 * t0 * t0 / 2)
-    # 1: hydrogen transition to the ground state
-    n1 = i % 4 + 2
-    de = F.lit(13.6) * (1 - 1 / (n1 * n1))
-    q1 = fs("A hydrogen atom falls from level n = %d to n = 1. What photon energy in eV is released?", n1)
-    th1 = fs("E_n = -13.6/n² eV\nΔE = 13.6 (1 - 1/%d²) = %.4f eV", n1, de)
-    an1 = fs("E = %.4f eV", de)
-    # 2: Coulomb force
-    r2 = k3 * 0.1
-    f2 = F.lit(9e9) * k4 * 1e-6 * k3 * 1e-6 / (r2 * r2)
-    q2 = fs("Two charges of %d μC and %d μC are %.1f m apart. Find the Coulomb force (k = 9e9 N m²/C²).",
-            k4, k3, r2)
-    th2 = fs("F = k q1 q2 / r² = %.4e N", f2)
-    an2 = fs("F = %.4e N", f2)
-    # 3: isobaric heating of one mole of ideal gas
-    dt3 = 50 + (i % 3) * 20
-    q3_heat = F.lit(2.5 * 8.314) * dt3
-    q3 = fs("One mole of ideal gas is heated at constant pressure by %d K. How much heat is absorbed "
-            "(Cp = 5/2 R, R = 8.314 J/(mol K))?", dt3)
-    th3 = fs("Q = n Cp ΔT = 2.5 × 8.314 × %d = %.2f J", dt3, q3_heat)
-    an3 = fs("Q = %.2f J", q3_heat)
-    # 4: perfectly inelastic collision
-    v4 = 300 + (i % 7) * 50
-    big = k5
-    vf = F.lit(0.01) * v4 / (F.lit(0.01) + big)
-    q4 = fs("A 0.01 kg bullet at %d m/s embeds in a %d kg block at rest. Find the common speed.", v4, big)
-    th4 = fs("m v0 = (m + M) v\nv = %.3f m/s", vf)
-    an4 = fs("v = %.3f m/s", vf)
-    # 5: single-slit half-angle
-    lam = 400 + (i % 5) * 50
-    d5 = 2 + i % 3
-    theta = F.degrees(F.asin(F.least(F.lit(1e-9) * lam / (F.lit(1e-6) * d5), F.lit(1.0))))
-    q5 = fs("Light of wavelength %d nm passes a slit %d μm wide. Find the half-angle of the central maximum.",
-            lam, d5)
-    th5 = fs("sin θ = λ/d\nθ = %.3f°", theta)
-    an5 = fs("θ = %.3f°", theta)
-    # 6: uniform circular motion
-    r6 = k4 * 0.5
-    t6 = i % 4 + 2
-    acc = F.lit(4 * math.pi ** 2) * r6 / (t6 * t6)
-    q6 = fs("A %d kg body moves on a circle of radius %.1f m with period %d s. Find the centripetal "
-            "acceleration and force.", k5, r6, t6)
-    th6 = fs("a = 4π² R / T² = %.4f m/s²\nF = m a = %.4f N", acc, acc * k5)
-    an6 = fs("a = %.4f m/s², F = %.4f N", acc, acc * k5)
-    # 7: mean kinetic energy of a gas molecule
-    t7 = 300 + (i % 10) * 50
-    eps = F.lit(1.5 * 1.381e-23) * t7
-    q7 = fs("Find the mean kinetic energy (3/2) k T of a gas molecule at %d K (k = 1.381e-23 J/K).", t7)
-    th7 = fs("ε = 1.5 × 1.381e-23 × %d = %.4e J", t7, eps)
-    an7 = fs("ε = %.4e J = %.4f eV", eps, eps / 1.602e-19)
-
-    def pick(vals):
-        out = vals[-1]
-        for k in range(len(vals) - 2, -1, -1):
-            out = F.when(tpl == k, vals[k]).otherwise(out)
-        return out
-    return F.struct(pick([q0, q1, q2, q3, q4, q5, q6, q7]).alias("question"),
-                    pick([th0, th1, th2, th3, th4, th5, th6, th7]).alias("think"),
-                    pick([an0, an1, an2, an3, an4, an5, an6, an7]).alias("answer"))
+def _problem(k: int) -> Column:
+    """struct(category, difficulty, question, think, answer) of problem kind k for the index ``i``."""
+    category, difficulty, question, quantities, result, working, answer = PROBLEMS[k]
+    q = [F.expr(f"cast({e} as bigint)") for e in quantities]
+    text = result
+    for n, e in enumerate(quantities):
+        text = text.replace(f"q{n}", f"cast({e} as double)")
+    r = F.expr(text)
+    return F.struct(F.lit(category).alias("category"), F.lit(difficulty).alias("difficulty"), F.format_string(question, *q).alias("question"),
+                    F.format_string(working, r).alias("think"), F.format_string(answer, r).alias("answer"))
 
 
 def _msg(role: str, content: Column) -> Column:
@@ -143,14 +81,13 @@ def _msg(role: str, content: Column) -> Column:
 
 
 def physics_items(index: DataFrame, start: int = 0) -> DataFrame:
-    """Index (column i) x template table on pmod(i, n) -> (i, category, difficulty, question, think, answer)."""
-    spark = index.sparkSession
-    t = templates(spark)
-    idx = index.select((F.col("i") + start).alias("i")).withColumn("tpl", F.pmod(F.col("i"), F.lit(len(PHYSICS_TEMPLATES))).cast("int"))
-    j = idx.join(F.broadcast(t), "tpl")
-    txt = _physics_text(F.col("i"), F.col("tpl"))
-    return j.select("i", "category", "difficulty", txt["question"].alias("question"),
-                    txt["think"].alias("think"), txt["answer"].alias("answer"))
+    """Index (column i) with the problem table on pmod(i, kinds) -> (i, category, difficulty, question, think, answer)."""
+    idx = index.select((F.col("i") + start).cast("bigint").alias("i"))
+    kind = F.pmod("i", F.lit(len(PROBLEMS)))
+    p = _problem(len(PROBLEMS) - 1)
+    for k in range(len(PROBLEMS) - 2, -1, -1):
+        p = F.when(kind == k, _problem(k)).otherwise(p)
+    return idx.select("i", p.alias("p")).select("i", "p.*")
 
 
 def gen_sft(index: DataFrame, split: str = "train", start: int = 0, seed: int = 0) -> DataFrame:
@@ -193,14 +130,14 @@ def gen_calculus(index: DataFrame, seed: int = 0, mode: str = "fixed") -> DataFr
     which divides twice (3x^2 -> "1x^3/3", Q12).
     """
     i = F.col("i")
-    a = i % 9 + 1
+    a = F.floor(i / 5) + 1
     n = i % 5 + 1
     kind = F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(3))
     deriv_q = F.format_string("Find the derivative of %dx^%d.", a, n)
     deriv_a = F.when(n == 1, F.format_string("d/dx = %d", a)).otherwise(
         F.format_string("d/dx = %dx^%d", a * n, n - 1))
     num, den = a, n + 1
-    coef = F.when(num % den == 0, (num / den).cast("int").cast("string")).otherwise(
+    coef = F.when(num % den == 0, (num / den).cast("bigint").cast("string")).otherwise(
         F.format_string("%d/%d", num, den))
     integ_q = F.format_string("Compute the integral ∫ %dx^%d dx.", a, n)
     integ_a = F.format_string("∫ %dx^%d dx = %sx^%d + C", a, n, coef, n + 1)
@@ -234,8 +171,8 @@ def gen_integrals(index: DataFrame, seed: int = 0, polynomial_share: float = 0.7
     fact = F.pmod(F.xxhash64(i, F.lit(seed + 17)), F.lit(len(INTEGRAL_FACTS))).cast("int")
     base = index.select(i, poly.alias("is_poly"), fact.alias("fact"))
     j = base.join(F.broadcast(facts_table(spark)), "fact")
-    a, n = i % 9 + 1, i % 5 + 1
-    coef = F.when(a % (n + 1) == 0, (a / (n + 1)).cast("int").cast("string")).otherwise(
+    a, n = F.floor(i / 5) + 1, i % 5 + 1
+    coef = F.when(a % (n + 1) == 0, (a / (n + 1)).cast("bigint").cast("string")).otherwise(
         F.format_string("%d/%d", a, n + 1))
     return j.select(
         "i",
@@ -258,7 +195,7 @@ def corrupt(answer: Column, i: Column, seed: int = 0, kinds: list[str] | None =
                      (F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(len(kinds))) + 1).cast("int"))
     forms = {
         "drop_constant": F.regexp_replace(answer, r"\s*\+\s*C\s*$", ""),
-        "truncate": F.substring_index(answer, "=", 1),
+        "truncate": F.rtrim(F.substr(answer, F.lit(1), F.ceil(F.length(answer) / 2).cast("int"))),
         "swap_function": F.replace(F.replace(F.replace(answer, F.lit("sin"), F.lit("#")), F.lit("cos"), F.lit("sin")),
                                    F.lit("#"), F.lit("cos")),
         "flip_sign": F.regexp_replace(answer, "^= ", "= -"),
@@ -267,16 +204,17 @@ def corrupt(answer: Column, i: Column, seed: int = 0, kinds: list[str] | None =
     out = F.lit(None).cast("string")
     for name in reversed(kinds):
         out = F.when(k == name, forms[name]).otherwise(out)
+    # a form that leaves the answer as it is, or nothing of it, gives way to a changed sign
+    same = (out == answer) | (F.trim(F.replace(out, F.lit("="), F.lit(""))) == "")
+    out = F.when(same, F.concat(F.lit("= -("), F.regexp_replace(answer, "^= ", ""), F.lit(")"))).otherwise(out)
     return F.struct(k.alias("kind"), out.alias("text"))
 
 
 def gen_arithmetic(index: DataFrame, n_train: int = 30, n_test: int = 8) -> DataFrame:
-    """Arithmetic smoke corpus -- the first n_train + n_test indexes, a + b questions."""
-    i = F.col("i")
-    first = index.orderBy("i").limit(n_train + n_test)  # fixed-size smoke corpus: the limit is the feature
-    ranked = first.withColumn("_r", F.row_number().over(Window.orderBy("i")))  # 38 rows
-    a, b = i % 50 + 1, (i * 7) % 50 + 1
-    return ranked.select(
-        i, F.format_string("What is %d + %d?", a, b).alias("instruction"), F.lit("").alias("input"),
+    """A + b questions over the whole index, n_train training rows to n_test test rows."""
+    i = F.col("i").cast("bigint")
+    a, b = i + 1, i * 7 + 3
+    return index.select(
+        i.alias("i"), F.format_string("What is %d + %d?", a, b).alias("instruction"), F.lit("").alias("input"),
         (a + b).cast("string").alias("output"),
-        F.when(F.col("_r") <= n_train, F.lit("train")).otherwise(F.lit("test")).alias("split"))
+        F.when(F.pmod(i, F.lit(n_train + n_test)) < n_train, F.lit("train")).otherwise(F.lit("test")).alias("split"))

@@ -172,8 +172,11 @@ def lint(records: DataFrame, strict: bool = False, messages_key: str = "messages
 def lint_pairs(records: DataFrame, strict: bool = False) -> DataFrame:
     """F5 for preference-pair records: record rules once, message rules on both ``chosen`` and ``rejected``."""
     chosen = lint(records, strict, "chosen")
-    rejected = lint(records, strict, "rejected").where(F.col("field").startswith("rejected"))
-    return chosen.unionByName(rejected)
+    rejected = lint(records, strict, "rejected")
+    own = rejected.where(F.col("field").startswith("rejected") & (F.col("rule") != "L23"))
+    # L23 names a record field although either list may cause it: once per record
+    l23 = chosen.where("rule = 'L23'").unionByName(rejected.where("rule = 'L23'")).distinct()
+    return chosen.where("rule <> 'L23'").unionByName(own).unionByName(l23)
 
 
 def rule_counts(issues: DataFrame) -> DataFrame:

@@ -48,7 +48,11 @@ def rank_within(df: DataFrame, group: list[str], order: list[str | Column], name
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) if group \
         else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    joined = ranged.join(stats.select(*gcols, "_first", "_off"), on=gcols, how="inner")
+    right = stats.select(*[F.col(c).alias(f"_s_{c}") for c in gcols], "_first", "_off")
+    same = F.lit(True)
+    for c in gcols:  # null is a group like any other
+        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    joined = ranged.join(right, same, "inner").drop(*[f"_s_{c}" for c in gcols])
     return (joined.withColumn(name, F.col("_mid") - F.col("_first") + F.col("_off") + 1)
             .drop("_pid", "_mid", "_first", "_off"))
 

@@ -87,7 +87,11 @@ def group_advantage(df: DataFrame, group: list[str], reward: str = "reward") ->
     st = group_stats(df, group, reward)
     adv = F.when(F.col("_n") < 2, F.lit(0.0)).otherwise(
         (F.col(reward) - F.col("_mean")) / F.greatest(F.col("_std"), F.lit(STD_FLOOR)))
-    return df.join(st, group).withColumn("advantage", adv).drop("_mean", "_std", "_n")
+    st = st.select(*[F.col(c).alias(f"_s_{c}") for c in group], "_mean", "_std", "_n")
+    same = F.lit(True)
+    for c in group:  # null is a group like any other
+        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    return df.join(st, same).withColumn("advantage", adv).drop("_mean", "_std", "_n", *[f"_s_{c}" for c in group])
 
 
 def grpo_report(rollouts: DataFrame, clip: float = GRPO_CLIP, kl_coef: float = GRPO_KL,

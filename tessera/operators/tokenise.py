@@ -1,10 +1,10 @@
 """Word tokenisation, prompt masking and padding reports.
 
 Model-specific BPE is out of scope; tokens are whitespace words and ids come
-from a vocabulary of the V most frequent words (ties by text), built by
-Spark: a word count (partial aggregation absorbs hot words) and a top-V
-TakeOrdered.  The vocabulary therefore has at most V + 2 rows, so its
-broadcast is bounded by construction; ids 0 and 1 are PAD and UNK.
+from a vocabulary of all words, or the V most frequent ones (ties by text),
+built by Spark: a word count (partial aggregation absorbs hot words) and a
+rank.  The lookup is a plain join, so that only a side measured to be small
+is broadcast; ids 0 and 1 are PAD and UNK.
 """
 
 from __future__ import annotations
@@ -13,16 +13,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import whitespace_tokens
+from .ordering import rank_within
 
 PAD_ID, UNK_ID, IGNORE = 0, 1, -100
 
 
-def build_vocab(texts: DataFrame, col: str, size: int) -> DataFrame:
-    """(token, id): the ``size`` most frequent whitespace tokens, ids from 2 in frequency order."""
+def build_vocab(texts: DataFrame, col: str, size: int | None = None) -> DataFrame:
+    """(token, id): all whitespace tokens, or the ``size`` most frequent ones, ids from 2 in frequency order."""
     # explode_outer + null filter: a plain explode adds an inferred size() > 0 filter that splits twice
     words = texts.select(F.explode_outer(whitespace_tokens(F.col(col))).alias("token")) \
         .where(F.col("token").isNotNull())
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    if size is None:  # numbered without a window over the whole vocabulary
+        return rank_within(counts, [], [F.col("n").desc(), F.col("token")], "_r").select("token", (F.col("_r") + 1).cast("int").alias("id"))
     top = counts.orderBy(F.col("n").desc(), F.col("token")).limit(size)  # bounded: a top-k is the feature
     # a window without partition is fine here: it numbers the at most ``size`` rows of the top-k
     return top.select("token", (F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("token"))) + 1)
@@ -39,7 +42,7 @@ def token_ids(df: DataFrame, key: str, text: Column, vocab: DataFrame, limit: in
     if limit is not None:
         toks = F.slice(toks, 1, limit)
     t = df.select(key, F.posexplode_outer(toks).alias("pos", "token")).where(F.col("pos").isNotNull())
-    j = t.join(F.broadcast(vocab), "token", "left")
+    j = t.join(vocab, "token", "left")  # broadcast only if measured small; a hot word is split by AQE
     ids = F.sort_array(F.collect_list(F.struct("pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id"))))
     return j.groupBy(key).agg(ids.alias("_p")).select(key, F.col("_p.id").alias("ids"))
 
@@ -55,7 +58,7 @@ def tokenise_masked(df: DataFrame, key: str, prompt: Column, full: Column, vocab
 
     n_tokens is the length of the whole text before truncation to max_len.
     """
-    base = df.select(key, F.size(whitespace_tokens(prompt)).alias("n_prompt"), full.alias("_full"))
+    base = df.select(key, F.size(whitespace_tokens(F.coalesce(prompt, F.lit("")))).alias("n_prompt"), F.coalesce(full, F.lit("")).alias("_full"))
     ids = token_ids(base, key, F.col("_full"), vocab, limit=max_len)
     j = (base.withColumn("n_tokens", F.size(whitespace_tokens(F.col("_full")))).drop("_full")
          .join(ids, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>"))))

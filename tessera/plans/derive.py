@@ -36,8 +36,7 @@ def conversation_turns(conv: DataFrame) -> DataFrame:
                .when((c % 23 == 0) & (turn == 1), F.lit("  \n "))
                .when((c % 31 == 0) & (turn == 0), F.concat(F.col("text"), F.lit(" <tool_call>")))
                .otherwise(F.col("text")))
-    return (conv.where(~((c % 43 == 0) & (turn > 0)))
-            .select(c.alias("c"), turn, role.alias("role"), content.alias("content")))
+    return conv.select(c.alias("c"), turn, role.alias("role"), content.alias("content"))
 
 
 def chat_messages(conv: DataFrame) -> DataFrame:
@@ -89,19 +88,22 @@ def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alpaca_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alpaca SFT rows from ``documents``: instruction = first line, output = the rest.
 
-    input is ``lang: xx`` for doc_id % 3 == 0; outputs of doc_id % 11 == 0 are blanked.
+    input is ``lang: xx`` for doc_id % 3 == 0; for doc_id % 11 == 0 a row with an
+    empty output is added under idx = -doc_id - 1.
     """
     from ..functions import text as T
     d = tables.load(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    return d.select(
+    rows = d.select(
         i.alias("idx"),
         T.first_line(F.col("text")).alias("instruction"),
         F.when(i % 3 == 0, F.concat(F.lit("lang: "), F.col("lang"))).otherwise(F.lit("")).alias("input"),
-        F.when(i % 11 == 0, F.lit("")).otherwise(T.after_first_line(F.col("text"))).alias("output"),
+        T.after_first_line(F.col("text")).alias("output"),
         F.col("source").alias("category"),
         F.col("lang"),
     )
+    blank = rows.where(F.col("idx") % 11 == 0).withColumn("idx", -F.col("idx") - 1).withColumn("output", F.lit(""))
+    return rows.unionByName(blank)
 
 
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

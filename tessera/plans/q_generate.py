@@ -26,10 +26,9 @@ def corpus_composition(spark, sf_dir):
 @register("generated_sft_summary", """
 WITH g AS (SELECT doc_id AS i, 'train' AS split FROM documents
            UNION ALL SELECT doc_id + (SELECT count(*) FROM documents), 'test' FROM documents)
-SELECT split, ['mechanics','quantum','em','thermo','mechanics','optics','mechanics','statistical'][i % 8 + 1]
+SELECT split, ['mechanics','thermo','em','optics','statistical','mechanics'][i % 6 + 1]
          AS category,
-       ['high_school','undergraduate','undergraduate','graduate','high_school','undergraduate','undergraduate',
-        'graduate'][i % 8 + 1] AS difficulty, count(*) AS n_records
+       ['high_school','undergraduate','high_school','undergraduate','graduate','undergraduate'][i % 6 + 1] AS difficulty, count(*) AS n_records
 FROM g GROUP BY ALL""")
 def generated_sft_summary(spark, sf_dir):
     """G1 + J6 + T4 + T5: train and test SFT corpora (test ids start after train), counted per kind."""
@@ -77,9 +76,11 @@ def generated_integrals(spark, sf_dir):
                     c["text"].alias("rejected_answer"))
 
 
-@register("generated_arithmetic")
+@register("generated_arithmetic", """
+SELECT doc_id AS i, 'What is ' || CAST(doc_id + 1 AS VARCHAR) || ' + ' || CAST(doc_id * 7 + 3 AS VARCHAR) || '?' AS instruction, '' AS input,
+       CAST(doc_id * 8 + 4 AS VARCHAR) AS output, CASE WHEN doc_id % 38 < 30 THEN 'train' ELSE 'test' END AS split FROM documents""")
 def generated_arithmetic(spark, sf_dir):
-    """30 train + 8 test arithmetic smoke records (rows-only)."""
+    """Arithmetic records, 30 training rows to 8 test rows."""
     return G.gen_arithmetic(doc_index(spark, sf_dir))
 
 

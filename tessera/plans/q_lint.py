@@ -19,7 +19,7 @@ t AS (
               WHEN conv_id % 23 = 0 AND turn = 1 THEN '  ' || chr(10) || ' '
               WHEN conv_id % 31 = 0 AND turn = 0 THEN text || ' <tool_call>'
               ELSE text END AS content
-  FROM conversations WHERE NOT (conv_id % 43 = 0 AND turn > 0)),
+  FROM conversations),
 m AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn) - 1 AS pos FROM t WHERE c % 41 <> 0),
 agg AS (SELECT c, count(*) AS n, bool_or(role = 'user') AS has_user, bool_or(role = 'assistant') AS has_asst,
                bool_or(coalesce(content, '') LIKE '%tool_call%') AS has_tool FROM m GROUP BY c),

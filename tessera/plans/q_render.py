@@ -13,13 +13,14 @@ from . import derive
 from .catalog import register
 
 ALPACA_SQL = r"""
-alp AS (
+alp0 AS (
   SELECT doc_id AS idx, split_part(text, chr(10), 1) AS instruction,
          CASE WHEN doc_id % 3 = 0 THEN 'lang: ' || lang ELSE '' END AS input,
-         CASE WHEN doc_id % 11 = 0 THEN ''
-              WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS output,
+         CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS output,
          source AS category, lang
-  FROM documents)"""
+  FROM documents),
+alp AS (SELECT * FROM alp0 UNION ALL
+  SELECT -idx - 1 AS idx, instruction, input, '' AS output, category, lang FROM alp0 WHERE idx % 11 = 0)"""
 
 PREFIX = "请解答下面的问题：{instruction}"
 PREFIX_NO_PLACEHOLDER = "Answer the question."
@@ -123,21 +124,30 @@ PAIRS_SQL = r"""
 dl AS (SELECT d.doc_id, d.lang, d.text, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 ch AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM dl WHERE quality = 1),
 rj AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM dl WHERE quality = 0),
-pairs AS (SELECT ch.lang, ch.k, ch.doc_id AS chosen_id, rj.doc_id AS rejected_id,
-                 'Write a passage in ' || ch.lang || '.' AS prompt, ch.text AS chosen, rj.text AS rejected
-          FROM ch JOIN rj ON ch.lang = rj.lang AND ch.k = rj.k)"""
+cnt AS (SELECT lang, count(*) FILTER (WHERE quality = 1) AS nc, count(*) FILTER (WHERE quality = 0) AS nr FROM dl GROUP BY lang),
+p AS (SELECT lang, nc, nr, unnest(range(1, greatest(nc, nr) + 1)) AS k FROM cnt WHERE nc > 0 AND nr > 0),
+pairs AS (SELECT p.lang, p.k, ch.doc_id AS chosen_id, rj.doc_id AS rejected_id,
+                 'Write a passage in ' || p.lang || '.' AS prompt, ch.text AS chosen, rj.text AS rejected
+          FROM p JOIN ch ON ch.lang = p.lang AND ch.k = (p.k - 1) % nc + 1 JOIN rj ON rj.lang = p.lang AND rj.k = (p.k - 1) % nr + 1)"""
 
 
 def preference_source(spark, sf_dir):
-    """J2 / P8 input: per language the k-th quality-1 document is chosen, the k-th quality-0 rejected."""
+    """J2 / P8 input: per language, quality-1 documents are chosen and quality-0 ones rejected, in doc_id order.
+
+    The shorter side is used again from its start, so every labelled document
+    of a language with both sides is in a pair.
+    """
     d = tables.load(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     lab = tables.load(spark, sf_dir, "labels").select("doc_id", "quality")
-    dl = d.join(lab, "doc_id")
-    ch = O.rank_within(dl.where(F.col("quality") == 1), ["lang"], ["doc_id"], "k")
-    rj = O.rank_within(dl.where(F.col("quality") == 0), ["lang"], ["doc_id"], "k")
-    return (ch.select("lang", "k", F.col("doc_id").alias("chosen_id"), F.col("text").alias("chosen"))
-            .join(rj.select("lang", "k", F.col("doc_id").alias("rejected_id"), F.col("text").alias("rejected")),
-                  ["lang", "k"])
+    ids = d.select("doc_id", "lang").join(lab, "doc_id").where(F.col("quality").isin(0, 1))
+    ranked = O.rank_within(ids, ["quality", "lang"], ["doc_id"], "k")
+    n = ids.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("nc"), F.count_if(F.col("quality") == 0).alias("nr"))
+    side = lambda q, name, size, other: (  # noqa: E731  a document of the shorter side once per round
+        ranked.where(F.col("quality") == q).join(n, "lang").where((F.col("nc") > 0) & (F.col("nr") > 0))
+        .select("lang", F.col("doc_id").alias(name), F.explode(F.sequence(F.col("k").cast("long"), F.greatest(F.col(size), F.col(other)), F.col(size))).alias("k")))
+    pairs = side(1, "chosen_id", "nc", "nr").join(side(0, "rejected_id", "nr", "nc"), ["lang", "k"])
+    text = lambda key, name: d.select(F.col("doc_id").alias(key), F.col("text").alias(name))
+    return (pairs.join(text("chosen_id", "chosen"), "chosen_id").join(text("rejected_id", "rejected"), "rejected_id")
             .withColumn("prompt", F.concat(F.lit("Write a passage in "), F.col("lang"), F.lit("."))))
 
 

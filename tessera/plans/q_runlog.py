@@ -219,15 +219,15 @@ def best_checkpoint(spark, sf_dir):
 
 
 @register("classification_report", """
-WITH x AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda v: CAST(v AS DOUBLE)) AS z FROM embeddings),
+WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS z FROM embeddings),
 y AS (SELECT vec_id // 64 AS batch, label, list_position(z, list_max(z)) - 1 AS prediction,
              ln(list_sum(list_transform(z, lambda v: exp(v)))) - z[label + 1] AS loss FROM x),
 b AS (SELECT batch, avg(loss) AS bl, count(*) AS n, count(*) FILTER (WHERE label = prediction) AS ok FROM y GROUP BY batch)
 SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(ok) * 100.0 / sum(n), 6) AS accuracy_pct, round(avg(bl), 6) AS loss FROM b""")
 def classification_report(spark, sf_dir):
-    """Accuracy and batch-mean cross-entropy of an argmax classifier over the first 10 components."""
+    """Accuracy and batch-mean cross-entropy of an argmax classifier over all components."""
     e = tables.load(spark, sf_dir, "embeddings")
-    z = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double"))
+    z = F.transform("embedding", lambda v: v.cast("double"))
     p = e.select((F.floor(F.col("vec_id") / 64)).alias("batch"), "label", z.alias("z")).select(
         "batch", "label", (F.array_position("z", F.array_max("z")) - 1).cast("int").alias("prediction"),
         (F.log(F.aggregate(F.transform("z", lambda v: F.exp(v)), F.lit(0.0), lambda a, b: a + b))

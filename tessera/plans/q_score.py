@@ -38,7 +38,7 @@ def eval_inputs(spark, sf_dir):
     """Ground truth and model replies with answer / solution markers, built from doc_id."""
     d = tables.load(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     i = F.col("doc_id").cast("string")
-    fl = T.first_line(F.col("text"))
+    fl = F.col("text")  # whole texts
     gt = d.select("doc_id", "lang", F.concat(F.lit("答案："), i, F.lit("\n\n解答："), fl).alias("gt_full"))
     k = F.col("doc_id") % 7
     reply = (F.when(F.col("doc_id") % 10 == 9, F.lit(None).cast("string"))
@@ -55,7 +55,7 @@ def eval_inputs(spark, sf_dir):
 
 EVAL_INPUT_SQL = r"""
 gt AS (SELECT doc_id, lang, '答案：' || CAST(doc_id AS VARCHAR) || chr(10) || chr(10) || '解答：'
-              || split_part(text, chr(10), 1) AS gt_full, split_part(text, chr(10), 1) AS fl FROM documents),
+              || text AS gt_full, text AS fl FROM documents),
 rep AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 9 THEN NULL
    WHEN doc_id % 7 = 0 THEN '答案：' || CAST(doc_id AS VARCHAR) || chr(10) || chr(10) || '解答：' || fl
    WHEN doc_id % 7 = 1 THEN '答案:' || CAST(doc_id AS VARCHAR) || chr(10) || '解答: ' || fl

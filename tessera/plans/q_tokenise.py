@@ -14,8 +14,7 @@ from .catalog import register
 from .common import r6
 from .q_render import ALPACA_SQL, PAIRS_SQL
 
-VOCAB = 4096
-MAX_LEN = 64
+MAX_LEN = 1024  # the reference default of max_length
 BATCH = 8
 
 TOK = f"list_filter(regexp_split_to_array(%s, '{WS}+'), lambda x: x <> '')"
@@ -26,7 +25,7 @@ s AS (SELECT idx, 'User: ' || instruction || chr(10) || chr(10) || 'Assistant: '
       FROM alp),
 w AS (SELECT unnest({TOK % 'text'}) AS token FROM documents),
 v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id
-      FROM (SELECT token, count(*) AS n FROM w GROUP BY token ORDER BY n DESC, token LIMIT {VOCAB})),
+      FROM (SELECT token, count(*) AS n FROM w GROUP BY token)),
 t AS (SELECT idx, len({TOK % 'prompt'}) AS n_prompt, {TOK % 'full_text'} AS toks FROM s),
 u AS (SELECT idx, n_prompt, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM t),
 ids AS (SELECT u.idx, any_value(n_prompt) AS n_prompt, count(*) AS n_tokens, list(coalesce(v.id, 1) ORDER BY pos) AS ids
@@ -46,7 +45,7 @@ def _prompt_full(a):
 
 def _tokenised(spark, sf_dir):
     a = derive.alpaca_records(spark, sf_dir)
-    vocab = TK.build_vocab(tables.load(spark, sf_dir, "documents"), "text", VOCAB)
+    vocab = TK.build_vocab(tables.load(spark, sf_dir, "documents"), "text")
     prompt, full = _prompt_full(a)
     return TK.tokenise_masked(a, "idx", prompt, full, vocab, MAX_LEN)
 
@@ -55,7 +54,7 @@ def _tokenised(spark, sf_dir):
 SELECT idx, n_prompt, n_tokens, input_ids, labels, len(list_filter(labels, lambda x: x <> -100)) AS trainable_tokens
 FROM r""")
 def tokenise_masked(spark, sf_dir):
-    """P10 + J5: word ids from a top-4096 vocabulary, prompt masked with -100, truncated to 64."""
+    """P10 + J5: word ids from the whole vocabulary, prompt masked with -100, truncated to MAX_LEN."""
     t = _tokenised(spark, sf_dir)
     return t.select("idx", F.col("n_prompt").cast("bigint").alias("n_prompt"),
                     F.col("n_tokens").cast("bigint").alias("n_tokens"),

@@ -191,19 +191,20 @@ STATUS_STATE = "last_status string, done boolean"
 def status_change_fn(key, pdfs, state):
     """applyInPandasWithState: emit polls whose status changed, stop after a terminal status."""
     last, done = (state.get if state.exists else (None, False))
-    out = []
-    for pdf in pdfs:
-        for row in pdf.sort_values(["polled_at", "event_id"]).itertuples(index=False):
-            if done:
-                break
-            if last is None or row.status != last:
-                out.append((key[0], row.k, row.polled_at, row.status, last))
-            last = row.status
-            if row.status in TERMINAL:
-                done = True
+    # a key's polls of one micro-batch may come in several Arrow chunks without an order between them
+    polls = pd.concat(list(pdfs), ignore_index=True).sort_values(["polled_at", "event_id"], ignore_index=True)
+    if not done and len(polls):
+        terminal = polls["status"].isin(list(TERMINAL)).to_numpy()
+        if terminal.any():  # nothing counts after the first terminal status
+            polls = polls.iloc[:int(terminal.argmax()) + 1]
+            done = True
+        prev = polls["status"].shift(1)
+        prev.iloc[0] = last
+        changed = polls.assign(job_id=key[0], prev_status=prev)[(polls["status"] != prev).to_numpy()]
+        last = polls["status"].iloc[-1]
+        if len(changed):
+            yield changed[["job_id", "k", "polled_at", "status", "prev_status"]]
     state.update((last, done))
-    if out:
-        yield pd.DataFrame(out, columns=["job_id", "k", "polled_at", "status", "prev_status"])
 
 
 def stream_status_changes(spark: SparkSession, src: str, out: str, ckpt: str, schema: str) -> None:

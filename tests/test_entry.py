@@ -17,9 +17,9 @@ def test_every_job_has_an_oracle_or_is_listed_rows_only():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     rows_only = set(q) - set(o)
-    assert rows_only <= {"generated_pairs", "generated_calculus", "generated_integrals",
-                         "generated_arithmetic", "seeded_shuffle", "file_listing", "directory_summary",
-                         "weight_inventory", "largest_files"}
+    # models, fingerprints, files and edit distances: tests/llm holds them against brute force
+    llm = {n for n in rows_only if n == "pipeline" or n.startswith("op")}
+    assert rows_only - llm <= {"generated_pairs", "generated_calculus", "generated_integrals", "seeded_shuffle"}
 
 
 @pytest.mark.parametrize("name", sorted(E.queries()))

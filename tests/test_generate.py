@@ -54,7 +54,7 @@ def test_corruption_kinds(spark):
     kinds = {r.c.kind for r in out}
     assert kinds == set(G.CORRUPTIONS)
     by = {r.c.kind: r.c.text for r in out}
-    assert by["drop_constant"] == "= sin(x)" and by["swap_function"] == "= cos(x) + C" and by["truncate"] == ""
+    assert by["drop_constant"] == "= sin(x)" and by["swap_function"] == "= cos(x) + C" and by["truncate"] not in ("", "= sin(x) + C")
 
 
 def test_arithmetic_smoke_corpus(spark):
