@@ -18,7 +18,7 @@ def test_sft_records_lint_clean_and_deterministic(spark):
     b = G.gen_sft(idx(spark, 40), "train", 0, seed=5)
     assert sorted(r.raw for r in a.collect()) == sorted(r.raw for r in b.collect())
     cats = {json.loads(r.raw)["category"] for r in a.collect()}
-    assert cats == {c for _, c, _ in G.PHYSICS_TEMPLATES}
+    assert cats == {p[0] for p in G.PROBLEMS}
 
 
 def test_test_split_offset(spark):
@@ -36,7 +36,7 @@ def test_calculus_coefficient_reduced_once(spark):
     df = spark.createDataFrame([(i,) for i in range(200)], "i long")
     out = G.gen_calculus(df, seed=2).where(F.col("type") == "integral").collect()
     for r in out:
-        a, n = r.i % 9 + 1, r.i % 5 + 1
+        a, n = r.i // 5 + 1, r.i % 5 + 1
         coef = str(a // (n + 1)) if a % (n + 1) == 0 else f"{a}/{n + 1}"
         assert r.output == f"∫ {a}x^{n} dx = {coef}x^{n + 1} + C"
 
@@ -57,16 +57,29 @@ def test_corruption_kinds(spark):
     assert by["drop_constant"] == "= sin(x)" and by["swap_function"] == "= cos(x) + C" and by["truncate"] not in ("", "= sin(x) + C")
 
 
-def test_arithmetic_smoke_corpus(spark):
-    out = G.gen_arithmetic(idx(spark, 100)).collect()
-    assert len(out) == 38 and sum(r.split == "train" for r in out) == 30
+def test_rejected_answers_are_wrong_and_not_empty(spark):
+    g = G.gen_integrals(idx(spark, 1000), seed=11)
+    out = g.select("correct_answer", G.corrupt(F.col("correct_answer"), F.col("i"), seed=13)["text"].alias("r")).collect()
+    assert all(r.r.strip(" =") and r.r != r.correct_answer for r in out)
+
+
+def test_texts_grow_with_the_index(spark):
+    few = {(r.chosen[1].content, r.chosen_text) for r in G.gen_pairs(idx(spark, 300)).collect()}
+    many = {(r.chosen[1].content, r.chosen_text) for r in G.gen_pairs(idx(spark, 1200)).collect()}
+    assert len(few) == 300 and len(many) == 1200
+
+
+def test_arithmetic_corpus_uses_the_whole_index(spark):
+    out = G.gen_arithmetic(idx(spark, 114)).collect()
+    assert len(out) == 114 and sum(r.split == "train" for r in out) == 90
+    assert all(eval(r.instruction[8:-1]) == int(r.output) for r in out)
 
 
 def test_calculus_reference_mode_keeps_double_division(spark):
     df = spark.createDataFrame([(i,) for i in range(200)], "i long")
     fixed = {r.i: r.output for r in G.gen_calculus(df, seed=2).collect()}
     ref = {r.i: r.output for r in G.gen_calculus(df, seed=2, mode="reference").collect()}
-    # i = 2: a = 3, n = 3 -> 3/4 not divisible: same; i = 1: a = 2, n = 2 -> 2/3; i = 7: a = 8, n = 3 -> 8/4 = 2
+    # a = i // 5 + 1 and n = i % 5 + 1: the modes differ where n + 1 divides a
     diff = [i for i in fixed if fixed[i] != ref[i]]
     assert diff and all(ref[i].endswith(f"/{i % 5 + 2} + C") for i in diff)
-    assert all((i % 9 + 1) % (i % 5 + 2) == 0 for i in diff)
+    assert all((i // 5 + 1) % (i % 5 + 2) == 0 for i in diff)

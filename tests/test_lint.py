@@ -177,3 +177,13 @@ def test_long_form_lint_with_a_hot_conversation(spark):
     expected = {(0, f"messages[{p}]") for p in range(n_hot) if p % 2 == 1 and p % 3 == 0}
     assert {(r.idx, r.field) for r in out} == expected
     assert all(r.rule == "L21" for r in out)
+
+
+def test_pairs_keep_l23_of_the_rejected_list(spark):
+    import json
+    msgs = lambda text: [{"role": "user", "content": "q"}, {"role": "assistant", "content": "<think>a</think> " + text}]
+    recs = [(0, json.dumps({"chosen": msgs("ok"), "rejected": msgs("<tool_call>x")})), (1, json.dumps({"chosen": msgs("<tool_call>x"), "rejected": msgs("<tool_call>y")})),
+            (2, json.dumps({"chosen": msgs("ok"), "rejected": msgs("ok")}))]
+    df = spark.createDataFrame(recs, "idx long, raw string")
+    got = sorted(r.idx for r in L.lint_pairs(df).where("rule = 'L23'").collect())
+    assert got == [0, 1]

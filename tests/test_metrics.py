@@ -54,3 +54,29 @@ def test_latest_and_step_axis(spark):
     ax = {r.step: r.value for r in M.step_axis(p).collect()}
     assert ax == {5: 2.0, 6: 3.0}
     assert not math.isnan(M.stream_list(p).first().n_points)
+
+
+def test_status_changes_are_ordered_over_all_chunks_of_a_key():
+    import random
+
+    import pandas as pd
+    from tessera.streaming import metrics as M
+
+    class State:
+        exists, value = False, None
+
+        @property
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.exists, self.value = True, v
+    polls = [(f"e{k:04d}", k, pd.Timestamp(2024, 1, 1) + pd.Timedelta(minutes=k), "Running" if k // 50 % 2 else "Pending") for k in range(400)]
+    want = [k for k in range(400) if k == 0 or polls[k][3] != polls[k - 1][3]]
+    state, got = State(), []
+    for part in (polls[:250], polls[250:]):  # two micro-batches, each in shuffled chunks
+        random.Random(1).shuffle(part)
+        df = pd.DataFrame(part, columns=["event_id", "k", "polled_at", "status"])
+        for out in M.status_change_fn((7,), iter([df.iloc[a:a + 30] for a in range(0, len(df), 30)]), state):
+            got += out["k"].tolist()
+    assert got == want

@@ -30,3 +30,17 @@ def test_split_exact(spark):
     assert counts == {"train": 90, "test": 11}
     again = {r.doc_id for r in O.split_exact(df, "doc_id", 0.9, seed=3).where("split = 'test'").collect()}
     assert again == {r.doc_id for r in s.where("split = 'test'").collect()}
+
+
+def test_rank_keeps_rows_with_a_null_group(spark):
+    from tessera.operators import ordering as O
+    df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2), ("a", 1), ("b", 5)], "g string, o int")
+    got = sorted((str(r.g), r.o, r.rank) for r in O.rank_within(df, ["g"], ["o"]).collect())
+    assert got == [("None", 1, 1), ("None", 3, 2), ("a", 1, 1), ("a", 2, 2), ("b", 5, 1)]
+
+
+def test_group_advantage_keeps_rows_with_a_null_group(spark):
+    from tessera.operators import rl
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, reward double")
+    got = sorted((str(r.g), round(r.advantage, 6)) for r in rl.group_advantage(df, ["g"]).collect())
+    assert got == [("None", -0.707107), ("None", 0.707107), ("a", 0.0)]
