@@ -102,7 +102,7 @@ FROM conversations WHERE role IN ('system', 'user') GROUP BY conv_id
 UNION ALL
 SELECT 'doc-' || CAST(doc_id AS VARCHAR), 2,
        '<|im_start|>system' || chr(10) || '你是物理推理助手，请展示详细的推导过程。<|im_end|>' || chr(10)
-       || '<|im_start|>user' || chr(10) || split_part(text, chr(10), 1) || '<|im_end|>' || chr(10)
+       || '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10)
        || '<|im_start|>assistant' || chr(10)
 FROM documents""")
 def rl_prompts(spark, sf_dir):
@@ -110,10 +110,10 @@ def rl_prompts(spark, sf_dir):
     msgs = derive.conversation_messages(spark, sf_dir).select(
         F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("prompt_id"),
         F.col("messages"), F.lit(None).cast("string").alias("instruction"))
-    alp = derive.alpaca_records(spark, sf_dir).select(
-        F.concat(F.lit("doc-"), F.col("idx").cast("string")).alias("prompt_id"),
+    alp = tables.load(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("prompt_id"),
         F.lit(None).cast("array<struct<role:string,content:string>>").alias("messages"),
-        F.col("instruction"))
+        F.col("text").alias("instruction"))
     p = R.rl_prompts(msgs.unionByName(alp), "messages", "instruction")
     p = p.where(F.size("prompt") > 0)
     return p.select("prompt_id", F.size("prompt").cast("bigint").alias("n_turns"),
