@@ -8,7 +8,7 @@ DuckDB oracles use the same text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import DIGIT, NONWORD, WS, strip
@@ -98,6 +98,14 @@ def _keyword_count(text: Column, keywords: list[str]) -> Column:
     return out
 
 
+def with_answers(responses: DataFrame, answers: DataFrame, prompt: str = "prompt_id") -> DataFrame:
+    """Every response with the answer of its prompt (inner join; prompts without an answer drop out).
+
+    Many responses share a prompt; which side is broadcast or split is left to adaptive execution.
+    """
+    return responses.join(answers, prompt, "inner")
+
+
 def extract_expression(text: Column) -> Column:
     """Expression after '=' by the three patterns in order (null when none matches)."""
     t = F.coalesce(text, F.lit(""))

@@ -115,6 +115,36 @@ def preference_pairs_alpaca(df: DataFrame, instruction: str = "instruction", pro
             .withColumn("rejected_messages", alpaca_pair_messages(user, F.col(rejected))))
 
 
+MESSAGES = "array<struct<role:string,content:string>>"
+
+
+def preference_pairs(df: DataFrame, instruction: str = "instruction", prompt: str = "prompt",
+                     chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
+    """P8 + F2 for either form: ``chosen_messages`` and ``rejected_messages`` of rows with both sides.
+
+    The form of a row is that of its chosen side: a message list passes through as it is, a text gains
+    the default system and user turns.  The columns may be message arrays, strings, or VARIANT (a JSON
+    corpus that mixes both forms); a JSON null counts as a missing side.
+    """
+    from pyspark.sql import types as T_
+    kind = df.schema[chosen].dataType
+    if isinstance(kind, T_.ArrayType):
+        return (df.where(both_sides(F.col(chosen), F.col(rejected)))
+                .withColumn("chosen_messages", F.col(chosen)).withColumn("rejected_messages", F.col(rejected)))
+    if not isinstance(kind, T_.VariantType):
+        return preference_pairs_alpaca(df, instruction, prompt, chosen, rejected)
+    cols = df.columns
+    text = lambda name: F.col(name).cast("string") if name in cols else F.lit(None).cast("string")
+    user = F.coalesce(text(instruction), text(prompt), F.lit(""))
+    # the cast yields null unless the value is a list of objects
+    listed = F.try_variant_get(F.col(chosen), "$", MESSAGES).isNotNull()
+    side = lambda name: F.when(listed, F.try_variant_get(F.col(name), "$", MESSAGES)).otherwise(
+        alpaca_pair_messages(user, F.try_variant_get(F.col(name), "$", "string")))
+    there = lambda name: F.col(name).isNotNull() & ~F.is_variant_null(F.col(name))
+    return (df.where(there(chosen) & there(rejected))
+            .withColumn("chosen_messages", side(chosen)).withColumn("rejected_messages", side(rejected)))
+
+
 def both_sides(chosen: Column, rejected: Column) -> Column:
     """a pair needs both sides."""
     return chosen.isNotNull() & rejected.isNotNull()

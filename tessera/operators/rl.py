@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .joins import null_safe_join
 
 # ---- fixed values (defaults of the reference) ----
 DPO_BETA = 0.1
@@ -196,11 +197,10 @@ def gae(steps: DataFrame, last_values: DataFrame | None = None, gamma: float = G
     x = gamma * lam
     s = steps.select(traj, t, F.col("reward").cast("double").alias("r"), F.col("v").cast("double").alias("v"),
                      F.col("death").cast("int").alias("d"))
-    nxt = s.select(F.col(traj).alias("_tr"), (F.col(t) - 1).alias("_t"), F.col("v").alias("v_next"))
-    s = s.join(nxt, (s[traj] == nxt["_tr"]) & (s[t] == nxt["_t"]), "left").drop("_tr", "_t")
+    nxt = s.select(traj, (F.col(t) - 1).alias(t), F.col("v").alias("v_next"))
+    s = null_safe_join(s, nxt, [traj, t], "left")
     if last_values is not None:
-        lv = last_values.select(F.col(traj).alias("_tr"), F.col("v_final").cast("double"))
-        s = s.join(lv, s[traj] == lv["_tr"], "left").drop("_tr")
+        s = null_safe_join(s, last_values.select(traj, F.col("v_final").cast("double")), [traj], "left")
         vnext = F.coalesce(F.col("v_next"), F.col("v_final"), F.lit(0.0))
     else:
         vnext = F.coalesce(F.col("v_next"), F.lit(0.0))
@@ -250,7 +250,7 @@ def gae(steps: DataFrame, last_values: DataFrame | None = None, gamma: float = G
 
     carried = (summ.repartition(n_parts, traj).sortWithinPartitions(traj, F.col("chunk").desc())
                .mapInPandas(carry, schema=f"{traj} {ttype}, chunk long, a_next_chunk double"))
-    out = local.join(carried, [traj, "chunk"], "left")
+    out = null_safe_join(local, carried, [traj, "chunk"], "left")
     adv = F.when(F.col("a_next_chunk").isNull(), F.col("a_local")) \
         .otherwise(F.col("a_local") + F.col("f") * F.col("a_next_chunk"))
     return out.select(traj, t, adv.alias("advantage"), (adv + F.col("v")).alias("ret"))

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import null_safe_join
+
 BLOCK = 4096
 
 # ---- fixed values (must equal the reference's) ----
@@ -40,7 +42,7 @@ def prefix_sums(df: DataFrame, group: list[str], idx: str, cols: dict[str, Colum
     tot = base.groupBy(*group, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in cols])
     wo = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*group, "_b", *[F.sum(f"_t_{n}").over(wo).alias(f"_o_{n}") for n in cols])
-    out = local.join(off, [*group, "_b"], "left")
+    out = null_safe_join(local, off, [*group, "_b"], "left")
     for name in cols:
         out = out.withColumn(name, F.when(F.col(f"_o_{name}").isNull(), F.col(f"_l_{name}"))
                              .otherwise(F.col(f"_o_{name}") + F.col(f"_l_{name}")))
@@ -77,7 +79,7 @@ def smooth_loss(log: DataFrame, mode: str = "reference", run: str = "run_id", st
     else:
         val = F.col("mov_sum") / F.col("mov_n")
     n = log.groupBy(run).agg(F.count(F.lit(1)).alias("_n"))
-    return (m.join(n, run).withColumn("smoothed", F.when(F.col("_n") >= SMOOTH_WINDOW, val))
+    return (null_safe_join(m, n, [run]).withColumn("smoothed", F.when(F.col("_n") >= SMOOTH_WINDOW, val))
             .drop("mov_sum", "mov_n", "_n"))
 
 
@@ -98,7 +100,7 @@ def optimizer_steps(log: DataFrame, run: str, epoch: str, pos_in_epoch: str, acc
     w = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
     per_epoch = per_epoch.withColumn(
         "_before", F.coalesce(F.sum(F.ceil(F.col("_n") / accum)).over(w), F.lit(0)))
-    return (log.join(per_epoch, [run, epoch])
+    return (null_safe_join(log, per_epoch, [run, epoch])
             .withColumn("opt_step", F.col("_before") + F.ceil(F.col(pos_in_epoch) / accum))
             .withColumn("is_update", (F.col(pos_in_epoch) % accum == 0) | (F.col(pos_in_epoch) == F.col("_n")))
             .drop("_n", "_before"))
@@ -133,10 +135,10 @@ def status_changes(polls: DataFrame, job: str, k: str, status: str) -> DataFrame
     so a job with many polls does not skew it; the first terminal poll per
     job is an algebraic min.
     """
-    prev = polls.select(F.col(job).alias("_j"), (F.col(k) + 1).alias("_k"), F.col(status).alias("prev_status"))
-    p = polls.join(prev, (polls[job] == prev["_j"]) & (polls[k] == prev["_k"]), "left").drop("_j", "_k")
+    prev = polls.select(job, (F.col(k) + 1).alias(k), F.col(status).alias("prev_status"))
+    p = null_safe_join(polls, prev, [job, k], "left")
     term = polls.where(F.col(status).isin(*TERMINAL_STATUS)).groupBy(job).agg(F.min(k).alias("_end"))
-    p = p.join(term, job, "left")
+    p = null_safe_join(p, term, [job], "left")
     return (p.where((F.col("_end").isNull() | (F.col(k) <= F.col("_end")))
                     & (F.col("prev_status").isNull() | (F.col("prev_status") != F.col(status))))
             .drop("_end"))

@@ -26,5 +26,6 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     # importing the modules fills the registries
-    from . import (q_generate, q_lint, q_metrics, q_render, q_rl, q_runlog,  # noqa: F401
+    from . import (q_files, q_generate, q_lint, q_metrics, q_render, q_rl, q_runlog,  # noqa: F401
                    q_score, q_tokenise)
+    q_files.register_results()

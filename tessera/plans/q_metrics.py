@@ -81,17 +81,12 @@ def metric_rollup(spark, sf_dir):
 
 
 @register("metric_downsample", "WITH " + PT_SQL + """,
-r AS (SELECT *, row_number() OVER (PARTITION BY name, series ORDER BY time_unix_ms, step) AS rn,
+r AS (SELECT *, row_number() OVER (PARTITION BY name, series ORDER BY time_unix_ms, step, value NULLS FIRST) AS rn,
              count(*) OVER (PARTITION BY name, series) AS n FROM pt)
 SELECT name, series, time_unix_ms, value FROM r WHERE (rn - 1) % CAST(ceil(n / 5) AS BIGINT) = 0""")
 def metric_downsample(spark, sf_dir):
     """M3: uniform down-sampling to at most 5 points per series (stride over the time order)."""
-    p = points(spark, sf_dir)
-    r = O.rank_within(p, ["name", "series"], ["time_unix_ms", "step"], "rn")
-    n = p.groupBy("name", "series").agg(F.count(F.lit(1)).alias("n"))
-    r = r.join(n, ["name", "series"])
-    return (r.where((F.col("rn") - 1) % F.ceil(F.col("n") / 5) == 0)
-            .select("name", "series", "time_unix_ms", "value"))
+    return M.downsample(points(spark, sf_dir), 5).select("name", "series", "time_unix_ms", "value")
 
 
 @register("metric_step_axis", "WITH " + PT_SQL + """

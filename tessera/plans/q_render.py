@@ -10,6 +10,7 @@ from ..operators import ordering as O
 from ..operators import render as R
 from ..sources import tables
 from . import derive
+from ..streaming.metrics import new_run_dirs
 from .catalog import register
 
 ALPACA_SQL = r"""
@@ -168,6 +169,38 @@ def preference_pairs(spark, sf_dir):
                     R.chatml_messages(F.col("rejected_messages")).alias("rejected_chatml"))
 
 
+MIXED_PAIR = r"""CASE WHEN k % 3 = 0 THEN '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10)
+  || '<|im_start|>assistant' || chr(10) ELSE """ + CHATML_PAIR + " END"
+
+
+@register("preference_pairs_mixed", "WITH " + PAIRS_SQL + r"""
+SELECT lang, k, """ + MIXED_PAIR + r""" || chosen || '<|im_end|>' || chr(10) AS chosen_chatml,
+  """ + MIXED_PAIR + r""" || rejected || '<|im_end|>' || chr(10) AS rejected_chatml
+FROM pairs""")
+def preference_pairs_mixed(spark, sf_dir):
+    """P8 both forms + F2: a corpus file that mixes message lists (k divisible by 3) with Alpaca rows, read back.
+
+    Rows that lack the rejected side (absent or null) are added for k divisible by 7; they drop out again.
+    """
+    p = preference_source(spark, sf_dir).select("lang", "k", "prompt", "chosen", "rejected")
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    said = lambda c: F.array(turn("user", F.col("prompt")), turn("assistant", F.col(c)))
+    lists = F.to_json(F.struct("lang", "k", said("chosen").alias("chosen"), said("rejected").alias("rejected")))
+    texts = F.to_json(F.struct("lang", "k", "prompt", "chosen", "rejected"))
+    null_side = F.concat(F.lit('{"rejected":null,'), F.substr(F.to_json(F.struct("lang", "k", "prompt", "chosen")), F.lit(2)))
+    raw = p.select(F.when(F.col("k") % 3 == 0, lists).otherwise(texts).alias("value"))
+    raw = raw.unionByName(p.where(F.col("k") % 7 == 0).select(
+        F.when(F.col("k") % 2 == 0, null_side).otherwise(F.to_json(F.struct("lang", "k", said("chosen").alias("chosen")))).alias("value")))
+    d = new_run_dirs(spark, "pairs")
+    raw.write.text(d["out"])
+    v = spark.read.text(d["out"]).select(F.parse_json("value").alias("v"))
+    get = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind).alias(name)
+    rows = v.select(get("lang", "string"), get("k", "long"), get("prompt", "string"), get("chosen", "variant"), get("rejected", "variant"))
+    out = R.preference_pairs(rows)
+    return out.select("lang", "k", R.chatml_messages(F.col("chosen_messages")).alias("chosen_chatml"),
+                      R.chatml_messages(F.col("rejected_messages")).alias("rejected_chatml"))
+
+
 @register("pair_scored_texts", "WITH " + PAIRS_SQL + r"""
 SELECT lang, k, prompt || chosen || '<|im_end|>' AS chosen_text, prompt || rejected || '<|im_end|>' AS rejected_text
 FROM pairs""")

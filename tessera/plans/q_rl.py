@@ -232,6 +232,19 @@ def gae(spark, sf_dir):
     return g.select("traj_id", "t", r6(F.col("advantage")).alias("advantage"), r6(F.col("ret")).alias("ret"))
 
 
+FINAL_V = "coalesce(lead(v) OVER (PARTITION BY user_id ORDER BY t), CAST(user_id % 5 AS DOUBLE) / 10)"
+
+
+@register("gae_final_values", GAE_SQL.replace("coalesce(lead(v) OVER (PARTITION BY user_id ORDER BY t), 0.0)", FINAL_V) + """
+SELECT user_id AS traj_id, t, round(a, 6) AS advantage, round(a + v, 6) AS ret FROM rec""")
+def gae_final_values(spark, sf_dir):
+    """W6 with a value after the last step of each trajectory (a table of final values, joined by trajectory)."""
+    s = trajectories(spark, sf_dir)
+    last = s.select("traj_id").distinct().withColumn("v_final", (F.col("traj_id") % 5).cast("double") / F.lit(10))
+    g = rl.gae(s, last)
+    return g.select("traj_id", "t", r6(F.col("advantage")).alias("advantage"), r6(F.col("ret")).alias("ret"))
+
+
 @register("gae_normalised", GAE_SQL + """,
 st AS (SELECT avg(a) AS m, stddev_samp(a) AS sd FROM rec)
 SELECT user_id AS traj_id, t, round((a - m) / (sd + 1e-8), 6) AS advantage_norm FROM rec, st""")

@@ -157,10 +157,10 @@ def _kw_sql(t: str, kws) -> str:
 
 @register("symbolic_reward", f"""
 WITH x AS (
-  SELECT d.doc_id, split_part(d.text, chr(10), 1) || {_suffix_sql(REPLY_SUFFIXES, 'd.doc_id % 6')} AS reply,
-         {_suffix_sql(CORRECT_ANSWERS, 'd.doc_id % 3')} AS correct_answer,
+  SELECT d.doc_id, d.text || {_suffix_sql(REPLY_SUFFIXES, 'd.doc_id % 6')} AS reply,
+         {_suffix_sql(CORRECT_ANSWERS, 'c.c_custkey % 3')} AS correct_answer,
          CAST(l.quality AS DOUBLE) - 0.5 AS learned
-  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+  FROM documents d JOIN customer c ON c.c_custkey = d.doc_id % 120 LEFT JOIN labels l ON d.doc_id = l.doc_id),
 y AS (SELECT *, {_expr_sql('reply')} AS a, {_expr_sql('correct_answer')} AS b FROM x),
 z AS (SELECT *, coalesce(a IS NOT NULL AND a <> '' AND b IS NOT NULL AND b <> '' AND {_norm_sql('a')} = {_norm_sql('b')},
                          false) AS correct FROM y),
@@ -174,14 +174,20 @@ SELECT doc_id, a AS model_expr, correct, CAST(round(policy_reward, 6) AS DOUBLE)
          AS combined_reward
 FROM s""")
 def symbolic_reward(spark, sf_dir):
-    """R3 + R4 + R5 + J3: expression match, partial credit (both flavours), combined with a learned score."""
+    """R3 + R4 + R5 + J3: responses joined with the answers of their prompts, expression match, partial
+    credit (both flavours), combined with a learned score.
+
+    Prompts are customers, each with an answer; a document is a response to prompt doc_id mod 120.
+    """
     d = tables.load(spark, sf_dir, "documents").select("doc_id", "text")
     lab = tables.load(spark, sf_dir, "labels").select("doc_id", "quality")
-    x = d.join(lab, "doc_id", "left").select(
-        "doc_id",
-        F.concat(T.first_line(F.col("text")), _suffix_col(REPLY_SUFFIXES, F.col("doc_id") % 6)).alias("reply"),
-        _suffix_col(CORRECT_ANSWERS, F.col("doc_id") % 3).alias("correct_answer"),
+    prompts = tables.load(spark, sf_dir, "customer").select("c_custkey")
+    answers = prompts.select(F.col("c_custkey").alias("prompt_id"), _suffix_col(CORRECT_ANSWERS, F.col("c_custkey") % 3).alias("correct_answer"))
+    responses = d.join(lab, "doc_id", "left").select(
+        "doc_id", (F.col("doc_id") % 120).alias("prompt_id"),
+        F.concat(F.col("text"), _suffix_col(REPLY_SUFFIXES, F.col("doc_id") % 6)).alias("reply"),
         (F.col("quality").cast("double") - 0.5).alias("learned"))
+    x = W.with_answers(responses, answers)
     correct = W.expression_match(F.col("reply"), F.col("correct_answer"))
     pol = W.partial_credit_reward(F.col("reply"), correct)
     return x.select("doc_id", W.extract_expression(F.col("reply")).alias("model_expr"), correct.alias("correct"),

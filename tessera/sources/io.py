@@ -8,6 +8,7 @@ opening files on the driver.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -40,14 +41,14 @@ def read_corpus_dir(spark: SparkSession, root: str, schema: StructType | str, st
     return r.json(root).withColumn("file_path", F.col("_metadata.file_path"))
 
 
-def sniff_formats(spark: SparkSession, root: str) -> DataFrame:
+def sniff_formats(spark: SparkSession, root: str, pattern: str = CORPUS_GLOB) -> DataFrame:
     """S3: (file_path, format) -- 'array' when the first non-blank character is '[', else 'lines'.
 
     The first line of a file is the non-blank line with the smallest
     (split offset, position in split); splits of one file can land in any
     partition, so the offset orders them.
     """
-    t = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", CORPUS_GLOB).text(root)
+    t = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
          .select(F.col("_metadata.file_path").alias("file_path"), F.input_file_block_start().alias("_off"),
                  F.monotonically_increasing_id().alias("_pos"), F.ltrim("value").alias("v"))
          .where(F.col("v") != ""))
@@ -56,9 +57,9 @@ def sniff_formats(spark: SparkSession, root: str) -> DataFrame:
                         .otherwise(F.lit("lines")).alias("format"))
 
 
-def read_any(spark: SparkSession, root: str, schema: StructType | str) -> DataFrame:
+def read_any(spark: SparkSession, root: str, schema: StructType | str, pattern: str = CORPUS_GLOB) -> DataFrame:
     """S3 + S5: sniff each file, read JSON Lines and pretty arrays with the right reader, union them."""
-    fmt = sniff_formats(spark, root).collect()  # one row per file: file metadata, not data
+    fmt = sniff_formats(spark, root, pattern).collect()  # one row per file: file metadata, not data
     lines = [r.file_path for r in fmt if r.format == "lines"]
     arrays = [r.file_path for r in fmt if r.format == "array"]
     parts = []
@@ -101,3 +102,22 @@ def read_features_csv(spark: SparkSession, path: str, n_features: int) -> DataFr
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON Lines directory; nulls are written, non-ASCII text is kept as is."""
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """A directory of text files, each one JSON array with a record per line; nulls are kept.
+
+    A task streams its rows through and holds one batch; an array file cannot be split by a reader, so
+    the number of rows in a partition decides the size of a reading task.
+    """
+    def lines(batches):
+        lead = "["
+        for b in batches:
+            out = [("," if n else lead) + x for n, x in enumerate(b["value"].tolist())]
+            if out:
+                lead = ","
+                yield pd.DataFrame({"value": out})
+        yield pd.DataFrame({"value": ["]" if lead == "," else "[]"]})
+
+    records = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    records.mapInPandas(lines, "value string").write.text(path)

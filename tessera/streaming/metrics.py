@@ -86,6 +86,23 @@ def stream_list(points: DataFrame) -> DataFrame:
         F.max("time_unix_ms").alias("last_ms"))
 
 
+def downsample(points: DataFrame, max_points: int) -> DataFrame:
+    """M3: at most ``max_points`` points per series, a uniform stride over the time order.
+
+    Points that tie in time, step and value are equal in every returned column, so the order is
+    unique as far as results go; a hot series is ranked by range, not in one task.
+    """
+    from ..operators.joins import null_safe_join
+    from ..operators.ordering import rank_within
+    if max_points < 1:
+        raise ValueError("max_points must be at least 1")
+    p = points.select("name", "series", "time_unix_ms", "step", "value")
+    n = p.groupBy("name", "series").agg(F.count(F.lit(1)).alias("_n"))
+    r = null_safe_join(rank_within(p, ["name", "series"], ["time_unix_ms", "step", "value"], "_rn"), n, ["name", "series"])
+    return (r.where((F.col("_rn") - 1) % F.ceil(F.col("_n") / F.lit(max_points)) == 0)
+            .select("name", "series", "time_unix_ms", "step", "value"))
+
+
 def csv_export(points: DataFrame, path: str) -> None:
     """CSV with labels flattened to device and node columns."""
     (points.select("name", "time_unix_ms", "step", "value",
