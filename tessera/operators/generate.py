@@ -20,20 +20,20 @@ SYSTEM_PROMPT = "You are a physics reasoning assistant. Show the full derivation
 GENERATOR_SOURCE = "synthetic_generator"
 
 # One row per problem kind: category and difficulty (of the lint schema), the question with its quantities, the
-# working and the answer.  Quantities are SQL expressions of the index ``i`` that grow with it, so texts differ.
+# result and its digits, the working and the answer.  Quantities are SQL expressions of the index ``i`` that grow with it, so texts differ.
 PROBLEMS = [
     ("mechanics", "high_school", "A cart covers %d m in %d s at constant speed. How fast is it?", ["3 * i + 7", "i div 5 + 2"],
-     "q0 / q1", "speed is distance over time: %.4f m/s", "v = %.4f m/s"),
+     "q0 / q1", 4, "speed is distance over time: %.4f m/s", "v = %.4f m/s"),
     ("thermo", "undergraduate", "A %d W heater warms %d kg of water for one minute (c = 4186 J/(kg K)). By how much does its temperature rise?",
-     ["100 + 10 * i", "i div 3 + 1"], "60 * q0 / (4186 * q1)", "all heat goes into the water: rise of %.5f K", "rise = %.5f K"),
+     ["100 + 10 * i", "i div 3 + 1"], "60 * q0 / (4186 * q1)", 5, "all heat goes into the water: rise of %.5f K", "rise = %.5f K"),
     ("em", "high_school", "Resistors of %d ohm and %d ohm in series are connected to 24 V. Which current flows?", ["2 * i + 5", "i div 4 + 3"],
-     "24 / (q0 + q1)", "resistances in series add up: current of %.6f A", "I = %.6f A"),
+     "24 / (q0 + q1)", 6, "resistances in series add up: current of %.6f A", "I = %.6f A"),
     ("optics", "undergraduate", "An object stands %d cm beyond the focus of a lens of %d cm focal length. How far from the lens is its image?",
-     ["i + 4", "i div 6 + 10"], "q1 * (q0 + q1) / q0", "the lens equation gives %.4f cm", "b = %.4f cm"),
+     ["i + 4", "i div 6 + 10"], "q1 * (q0 + q1) / q0", 4, "the lens equation gives %.4f cm", "b = %.4f cm"),
     ("statistical", "graduate", "A system has %d independent spins and %d independent three-level atoms, all states equally likely. What is its entropy in units of k?",
-     ["i + 1", "i div 8 + 1"], "q0 * ln(2) + q1 * ln(3)", "entropies of independent parts add up: %.5f", "S/k = %.5f"),
+     ["i + 1", "i div 8 + 1"], "q0 * ln(2) + q1 * ln(3)", 5, "entropies of independent parts add up: %.5f", "S/k = %.5f"),
     ("mechanics", "undergraduate", "A spring of %d N/m is pressed together by %d cm. How much energy does it hold?", ["50 + 5 * i", "i div 9 + 2"],
-     "q0 * q1 * q1 / 20000", "half the constant times the square of the way in metres: %.5f J", "E = %.5f J"),
+     "q0 * q1 * q1 / 20000", 5, "half the constant times the square of the way in metres: %.5f J", "E = %.5f J"),
 ]
 
 INTEGRAL_FACTS = [  # (family, integrand, antiderivative, method)
@@ -59,19 +59,20 @@ def deterministic_uuid(seed: int, i: Column) -> Column:
                        F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def unit_hash(i: Column, seed: int) -> Column:
-    """Uniform [0, 1) from a hash of (i, seed) -- deterministic, unlike rand() after a recompute."""
-    return F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
+def choice(i: Column, seed: int, n: int) -> Column:
+    """A number below n from the md5 of ``seed:i`` -- deterministic, unlike rand() after a recompute, and any SQL engine can restate it."""
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), i.cast("string"))), 1, 8), 16, 10)
+    return F.pmod(h.cast("bigint"), F.lit(n).cast("bigint"))
 
 
 def _problem(k: int) -> Column:
     """struct(category, difficulty, question, think, answer) of problem kind k for the index ``i``."""
-    category, difficulty, question, quantities, result, working, answer = PROBLEMS[k]
+    category, difficulty, question, quantities, result, digits, working, answer = PROBLEMS[k]
     q = [F.expr(f"cast({e} as bigint)") for e in quantities]
     text = result
     for n, e in enumerate(quantities):
         text = text.replace(f"q{n}", f"cast({e} as double)")
-    r = F.expr(text)
+    r = F.round(F.expr(text) * F.lit(10.0 ** digits)) / F.lit(10.0 ** digits)  # so that printing never meets a tie
     return F.struct(F.lit(category).alias("category"), F.lit(difficulty).alias("difficulty"), F.format_string(question, *q).alias("question"),
                     F.format_string(working, r).alias("think"), F.format_string(answer, r).alias("answer"))
 
@@ -132,7 +133,7 @@ def gen_calculus(index: DataFrame, seed: int = 0, mode: str = "fixed") -> DataFr
     i = F.col("i")
     a = F.floor(i / 5) + 1
     n = i % 5 + 1
-    kind = F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(3))
+    kind = choice(i, seed, 3)
     deriv_q = F.format_string("Find the derivative of %dx^%d.", a, n)
     deriv_a = F.when(n == 1, F.format_string("d/dx = %d", a)).otherwise(
         F.format_string("d/dx = %dx^%d", a * n, n - 1))
@@ -160,54 +161,84 @@ def facts_table(spark: SparkSession) -> DataFrame:
 
 
 def gen_integrals(index: DataFrame, seed: int = 0, polynomial_share: float = 0.7) -> DataFrame:
-    """G4 + G5: integral questions -- a polynomial family in closed form mixed 70/30 with a facts table.
+    """G4 + G5: integral questions (i, type, prompt, correct_answer, method, steps).
 
-    The mixture is decided per row by a seeded hash, so the corpus has exactly
-    as many rows as the index (no rejection sampling needed).
+    A polynomial family is mixed, 70/30 by default, with the facts table and three families in closed form:
+    definite, rational and composite integrals, whose numbers grow with the index.  The mixture is decided per row
+    by a seeded hash, so the corpus has exactly as many rows as the index (no rejection sampling needed).
     """
-    spark = index.sparkSession
-    i = F.col("i")
-    poly = unit_hash(i, seed) < polynomial_share
-    fact = F.pmod(F.xxhash64(i, F.lit(seed + 17)), F.lit(len(INTEGRAL_FACTS))).cast("int")
-    base = index.select(i, poly.alias("is_poly"), fact.alias("fact"))
-    j = base.join(F.broadcast(facts_table(spark)), "fact")
-    a, n = F.floor(i / 5) + 1, i % 5 + 1
-    coef = F.when(a % (n + 1) == 0, (a / (n + 1)).cast("bigint").cast("string")).otherwise(
-        F.format_string("%d/%d", a, n + 1))
-    return j.select(
-        "i",
-        F.when(F.col("is_poly"), F.lit("polynomial")).otherwise(F.col("family")).alias("type"),
-        F.when(F.col("is_poly"), F.format_string("∫ %dx^%d dx", a, n))
-        .otherwise(F.concat(F.lit("∫ "), F.col("integrand"), F.lit(" dx"))).alias("prompt"),
-        F.when(F.col("is_poly"), F.format_string("= %sx^%d + C", coef, n + 1))
-        .otherwise(F.concat(F.lit("= "), F.col("antiderivative"), F.lit(" + C"))).alias("correct_answer"),
-        F.when(F.col("is_poly"), F.lit("power rule")).otherwise(F.col("method")).alias("method"))
-
-
-CORRUPTIONS = ["drop_constant", "truncate", "swap_function"]
-OPT_IN_CORRUPTIONS = ["flip_sign", "double_coefficient"]
+    i = F.col("i").cast("bigint")
+    facts, families = len(INTEGRAL_FACTS), ["definite", "rational", "composite"]
+    poly = choice(i, seed, 1_000_000) < int(polynomial_share * 1_000_000)
+    other = choice(i, seed + 17, facts + len(families)).cast("int")
+    a, n, b = F.floor(i / 5) + 1, i % 5 + 1, i % 7 + 2
+    value = (a * F.pow(b, n + 1)).cast("bigint")
+    coef = F.when(a % (n + 1) == 0, (a / (n + 1)).cast("bigint").cast("string")).otherwise(F.format_string("%d/%d", a, n + 1))
+    row = lambda kind, prompt, answer, method, steps: F.struct(
+        kind.alias("type"), prompt.alias("prompt"), answer.alias("correct_answer"), method.alias("method"), steps.alias("steps"))
+    say = F.format_string
+    polynomial = row(F.lit("polynomial"), say("∫ %dx^%d dx", a, n), say("= %sx^%d + C", coef, n + 1), F.lit("power rule"),
+                     say("Raise the exponent from %d to %d. Divide %d by %d. Add the constant.", n, n + 1, a, n + 1))
+    closed = {
+        "definite": row(F.lit("definite"), say("∫ from 0 to %d of %dx^%d dx", b, a * (n + 1), n), say("= %d", value), F.lit("limits"),
+                        say("An antiderivative is %dx^%d. At %d it is %d, at 0 it is 0.", a, n + 1, b, value)),
+        "rational": row(F.lit("rational"), say("∫ %d/(x + %d) dx", a, b), say("= %d ln|x + %d| + C", a, b), F.lit("logarithm"),
+                        say("The derivative of x + %d is 1. Its logarithm takes the factor %d.", b, a)),
+        "composite": row(F.lit("composite"), say("∫ %d cos(%dx) dx", a * b, b), say("= %d sin(%dx) + C", a, b), F.lit("substitution"),
+                         say("Put u = %dx, so that dx is du/%d. Then %d/%d is %d.", b, b, a * b, b, a)),
+    }
+    fact = row(F.col("family"), F.concat(F.lit("∫ "), F.col("integrand"), F.lit(" dx")), F.concat(F.lit("= "), F.col("antiderivative"), F.lit(" + C")),
+               F.col("fact_method"), F.concat(F.lit("The derivative of "), F.col("antiderivative"), F.lit(" is "), F.col("integrand"), F.lit(".")))
+    out = F.when(F.col("is_poly"), polynomial)
+    for k, name in enumerate(families):
+        out = out.when(F.col("fact") == facts + k, closed[name])
+    base = index.select(i.alias("i"), poly.alias("is_poly"), other.alias("fact"))
+    known = facts_table(index.sparkSession).withColumnRenamed("method", "fact_method")
+    return base.join(F.broadcast(known), "fact", "left").select("i", out.otherwise(fact).alias("r")).select("i", "r.*")
+
+
+# ---- fixed values (wrong replies and the answer mark of the reference) ----
+WRONG_MARK = " (错误)"
+REFUSAL = "无法计算此积分"
+ZERO_ANSWER = "0 + C"
+ANSWER_LEAD = "解: "
+# ---------------------------------------------------------------------------
+CORRUPTIONS = ["marked", "refusal", "zero"]
+OPT_IN_CORRUPTIONS = ["sign", "coefficient"]
 
 
 def corrupt(answer: Column, i: Column, seed: int = 0, kinds: list[str] | None = None) -> Column:
-    """A wrong reply for the rejected side; kind chosen by a seeded hash among ``kinds``."""
+    """struct(kind, text), a wrong reply for the rejected side; the kind is chosen by a seeded hash among ``kinds``.
+
+    The three default kinds always differ from the answer; ``sign`` and ``coefficient`` are opt-in (Q11), and where
+    they find nothing to change the reply is marked wrong instead.
+    """
     kinds = kinds or CORRUPTIONS
-    k = F.element_at(F.array(*[F.lit(x) for x in kinds]),
-                     (F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(len(kinds))) + 1).cast("int"))
+    k = F.element_at(F.array(*[F.lit(x) for x in kinds]), (choice(i, seed, len(kinds)) + 1).cast("int"))
+    first = F.regexp_extract(answer, r"[0-9]+", 0)
+    raised = (F.coalesce(first.try_cast("bigint"), F.lit(0)) + choice(i, seed + 1, 3) + 1).cast("string")
+    place = F.instr(answer, first)
     forms = {
-        "drop_constant": F.regexp_replace(answer, r"\s*\+\s*C\s*$", ""),
-        "truncate": F.rtrim(F.substr(answer, F.lit(1), F.ceil(F.length(answer) / 2).cast("int"))),
-        "swap_function": F.replace(F.replace(F.replace(answer, F.lit("sin"), F.lit("#")), F.lit("cos"), F.lit("sin")),
-                                   F.lit("#"), F.lit("cos")),
-        "flip_sign": F.regexp_replace(answer, "^= ", "= -"),
-        "double_coefficient": F.regexp_replace(answer, "^= ", "= 2 "),
+        "marked": F.concat(answer, F.lit(WRONG_MARK)),
+        "refusal": F.lit(REFUSAL),
+        "zero": F.lit(ZERO_ANSWER),
+        "sign": F.replace(answer, F.lit(" + "), F.lit(" - ")),
+        "coefficient": F.when(first == "", answer).otherwise(
+            F.concat(F.substr(answer, F.lit(1), place - 1), raised, F.substr(answer, place + F.length(first)))),
     }
     out = F.lit(None).cast("string")
     for name in reversed(kinds):
         out = F.when(k == name, forms[name]).otherwise(out)
-    # a form that leaves the answer as it is, or nothing of it, gives way to a changed sign
-    same = (out == answer) | (F.trim(F.replace(out, F.lit("="), F.lit(""))) == "")
-    out = F.when(same, F.concat(F.lit("= -("), F.regexp_replace(answer, "^= ", ""), F.lit(")"))).otherwise(out)
-    return F.struct(k.alias("kind"), out.alias("text"))
+    return F.struct(k.alias("kind"), F.when(out == answer, forms["marked"]).otherwise(out).alias("text"))
+
+
+def gen_integral_pairs(index: DataFrame, seed: int = 0, kinds: list[str] | None = None) -> DataFrame:
+    """G4-G6 as raw-prompt preference pairs: (i, prompt, chosen, rejected, type), the prompt in ChatML."""
+    g = gen_integrals(index, seed)
+    lead = F.lit(ANSWER_LEAD)
+    return g.select("i", F.concat(F.lit("<|im_start|>user\n"), F.col("prompt"), F.lit("<|im_end|>\n<|im_start|>assistant\n")).alias("prompt"),
+                    F.concat(lead, F.col("correct_answer")).alias("chosen"),
+                    F.concat(lead, corrupt(F.col("correct_answer"), F.col("i"), seed + 2, kinds)["text"]).alias("rejected"), "type")
 
 
 def gen_arithmetic(index: DataFrame, n_train: int = 30, n_test: int = 8) -> DataFrame:

@@ -63,8 +63,9 @@ def global_index(df: DataFrame, order: list[str | Column], name: str = "idx") ->
 
 
 def seeded_key(id_col: Column, seed: int) -> Column:
-    """Seeded shuffle key (order by it; per-epoch reshuffle = seed + epoch)."""
-    return F.xxhash64(id_col, F.lit(seed))
+    """Seeded shuffle key, 60 bits of an md5 (order by it, then by the id; per-epoch reshuffle = seed + epoch)."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), id_col.cast("string")))
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
 
 
 def split_exact(df: DataFrame, id_col: str, frac: float = 0.9, seed: int = 42) -> DataFrame:
