@@ -4,13 +4,20 @@ The fingerprint is ``"sha256:" + first 16 hex digits of sha256(canonical)``,
 where *canonical* is the message list printed as JSON with sorted keys,
 ``", "`` / ``": "`` separators and non-ASCII characters kept, i.e. what
 ``json.dumps(messages, ensure_ascii=False, sort_keys=True)`` prints.  It is
-built by string functions so it runs in whole-stage codegen; no Python UDF.
+built by string functions so it runs in whole-stage codegen.  Only records
+whose messages hold nested or float values, or are no list of objects, go
+through Python's own ``json`` in Arrow batches (``python_canonical``): how
+Python prints those cannot be told from a parsed value (1.0 and 1 are one).
 """
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: prefix and digest length of the fingerprint
 HASH_PREFIX = "sha256:"
@@ -59,6 +66,34 @@ def canonical_variant_messages(msgs: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(msgs, one), ", "), F.lit("]"))
 
 
+def _python_messages(raw: str | None) -> str | None:
+    if raw is None:
+        return None
+    try:
+        text = json.dumps(json.loads(raw)["messages"], ensure_ascii=False, sort_keys=True)
+        text.encode()  # a lone surrogate has no UTF-8 form
+        return text
+    except (ValueError, KeyError, TypeError, RecursionError):
+        return None
+
+
+def _python_batch(raw: pd.Series) -> pd.Series:
+    return raw.map(_python_messages, na_action="ignore").astype(object).where(raw.notna(), None)
+
+
+def plain_messages(msgs: Column) -> Column:
+    """Is the list made of objects whose values are texts, nulls, booleans or whole numbers?"""
+    def one(m: Column) -> Column:
+        obj = F.try_variant_get(m, "$", "map<string,variant>")
+        return F.coalesce(F.forall(F.map_values(obj), lambda x: F.schema_of_variant(x).isin("STRING", "VOID", "BOOLEAN", "BIGINT")), F.lit(False))
+    return F.coalesce(F.forall(msgs, one), F.lit(False))
+
+
+def python_canonical(raw: Column) -> Column:
+    """Canonical JSON of the ``messages`` value of a record text, whatever it is; null texts stay null and cost nothing."""
+    return F.pandas_udf(_python_batch, T.StringType())(raw)
+
+
 def digest(canonical: Column) -> Column:
     return F.concat(F.lit(HASH_PREFIX), F.substring(F.sha2(canonical, 256), 1, HASH_HEX_DIGITS))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.fingerprint import content_hash_of_variant_messages
+from ..functions.fingerprint import content_hash_of_variant_messages, digest, plain_messages, python_canonical
 
 # ---- fixed values of the record schema (must equal the reference's) ----
 VALID_SPLIT = ["train", "val", "test"]
@@ -223,17 +223,17 @@ def repair(records: DataFrame, seed: int = 0) -> DataFrame:
     id_x = _vget(v, "$.id")
     ver_x = _vget(v, "$.version")
     msgs = F.try_variant_get(v, "$.messages", "array<variant>")
-    new_hash = F.when(~F.array_contains(keys, "content_hash") & F.array_contains(keys, "messages"),
-                      content_hash_of_variant_messages(msgs))
+    wanted = ~F.array_contains(keys, "content_hash") & F.array_contains(keys, "messages")
+    by_python = python_canonical(F.when(wanted & ~plain_messages(msgs), F.col("raw")))
+    new_hash = F.when(wanted, F.coalesce(digest(by_python), content_hash_of_variant_messages(msgs)))
     patch = F.map_concat(
         F.map_filter(obj, lambda k, _: ~k.isin("id", "version", "content_hash")),
         F.create_map(F.lit("id"), F.when(_truthy(id_x), id_x).otherwise(new_id.cast("variant")),
                      F.lit("version"), F.when(_truthy(ver_x), ver_x)
                      .otherwise(F.lit(DEFAULT_VERSION).cast("variant"))),
-        F.map_filter(F.create_map(F.lit("content_hash"),
-                                  F.coalesce(new_hash.cast("variant"),
-                                             F.element_at(obj, F.lit("content_hash")))),
-                     lambda k, _: F.array_contains(keys, "content_hash") | new_hash.isNotNull()),
+        F.when(F.array_contains(keys, "content_hash") | new_hash.isNotNull(),
+               F.create_map(F.lit("content_hash"), F.coalesce(new_hash.cast("variant"), F.element_at(obj, F.lit("content_hash")))))
+        .otherwise(F.create_map().cast("map<string,variant>")),
     )
     fixed = F.when(obj.isNull(), F.col("raw")).otherwise(F.to_json(patch))
     return records.select("idx", fixed.alias("raw"))

@@ -9,8 +9,8 @@ partitions of the same group.  The per-(partition, group) table has at most
 ``partitions + groups`` rows; AQE broadcasts it when it is small (a runtime
 size check) and sort-merge joins it otherwise.
 
-The numbered rows are written once with a reliable ``checkpoint()`` to the
-shared checkpoint folder before the counts are taken: two separate range
+The numbered rows are written once to the shared checkpoint folder before the
+counts are taken (which read the key columns only): two separate range
 exchanges would each sample their own boundaries, so partition ids could
 disagree between the counts and the rows, and a re-run after an executor
 loss must see the same numbering.  The order columns must be unique within
@@ -19,7 +19,6 @@ a group (add an id as tie-breaker).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,15 +32,10 @@ def rank_within(df: DataFrame, group: list[str], order: list[str | Column], name
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     keys = [F.col(g) for g in group] + order_cols
-    # The range exchange samples its input in a job of its own before shuffling it; the cache
-    # lets the sample and the shuffle read one computation of the input.
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        ranged = cut_lineage(src.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-                             .withColumn("_pid", F.spark_partition_id())
-                             .withColumn("_mid", F.monotonically_increasing_id()))
-    finally:
-        src.unpersist(blocking=False)
+    # The range exchange samples its input before shuffling it; what comes out of an earlier exchange is reused.
+    ranged = cut_lineage(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()))
     gcols = ["_pid", *group]
     stats = ranged.groupBy(*gcols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     # over the per-(partition, group) counts: at most partitions + groups rows, never the data

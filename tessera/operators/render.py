@@ -46,17 +46,12 @@ def user_content(instruction: Column, extra_input: Column, prefix: Column | str
 
 def fallback_chat_text(messages: Column) -> Column:
     """``User: ...\\n\\nAssistant: `` / ``...\\n\\n`` per turn; other roles drop out."""
-    parts = F.transform(messages, lambda m: F.when(
-        m["role"] == "user", F.concat(F.lit(FALLBACK_USER), m["content"], F.lit(FALLBACK_ASSISTANT)))
-        .when(m["role"] == "assistant", F.concat(m["content"], F.lit(FALLBACK_TURN_END)))
-        .otherwise(F.lit("")))
-    return F.array_join(parts, "")
+    return F.array_join(F.transform(messages, lambda m: fallback_piece(m["role"], m["content"])), "")
 
 
 def chatml_messages(messages: Column, add_generation_prompt: bool = False) -> Column:
     """ChatML of a message list, system turn included."""
-    body = F.array_join(F.transform(messages, lambda m: F.concat(
-        F.lit(IM_START), m["role"], F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit(IM_END + "\n"))), "")
+    body = F.array_join(F.transform(messages, lambda m: chatml_piece(m["role"], m["content"])), "")
     return F.concat(body, F.lit(IM_START + "assistant\n")) if add_generation_prompt else body
 
 
@@ -222,11 +217,12 @@ def join_turns(turns: DataFrame, key: str, order: str, piece: Column, sep: str =
 
 
 def fallback_piece(role: Column, content: Column) -> Column:
-    """P3 piece of one turn (system turns render as '')."""
+    """P3 piece of one turn (system turns render as ''); a null content is empty, its turn stays."""
+    content = F.coalesce(content, F.lit(""))
     return (F.when(role == "user", F.concat(F.lit(FALLBACK_USER), content, F.lit(FALLBACK_ASSISTANT)))
             .when(role == "assistant", F.concat(content, F.lit(FALLBACK_TURN_END))).otherwise(F.lit("")))
 
 
 def chatml_piece(role: Column, content: Column) -> Column:
     """P4 piece of one turn."""
-    return F.concat(F.lit(IM_START), role, F.lit("\n"), F.coalesce(content, F.lit("")), F.lit(IM_END + "\n"))
+    return F.concat(F.lit(IM_START), F.coalesce(role, F.lit("")), F.lit("\n"), F.coalesce(content, F.lit("")), F.lit(IM_END + "\n"))

@@ -204,10 +204,11 @@ def gae(steps: DataFrame, last_values: DataFrame | None = None, gamma: float = G
         vnext = F.coalesce(F.col("v_next"), F.col("v_final"), F.lit(0.0))
     else:
         vnext = F.coalesce(F.col("v_next"), F.lit(0.0))
+    ttype = dict(steps.dtypes)[traj]
+    # pandas would turn a null id into a float; it travels as a flag beside a stand-in value
     s = (s.withColumn("delta", F.col("r") + F.lit(gamma) * (1 - F.col("d")) * vnext - F.col("v"))
          .withColumn("chunk", F.floor(F.col(t) / chunk))
-         .select(traj, t, "chunk", "delta", "d", "v"))
-    ttype = dict(steps.dtypes)[traj]
+         .select(F.col(traj).isNull().alias("no_id"), F.coalesce(F.col(traj), F.lit("0").cast(ttype)).alias(traj), t, "chunk", "delta", "d", "v"))
     t_type = dict(steps.dtypes)[t]
     n_parts = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -215,45 +216,45 @@ def gae(steps: DataFrame, last_values: DataFrame | None = None, gamma: float = G
         # rows arrive sorted by (traj, chunk, t desc); state carries across Arrow batches
         key, acc, fac = None, 0.0, 1.0
         for pdf in batches:
-            tr, ch = pdf[traj].to_numpy(), pdf["chunk"].to_numpy()
+            no, tr, ch = pdf["no_id"].to_numpy(), pdf[traj].to_numpy(), pdf["chunk"].to_numpy()
             delta, d = pdf["delta"].to_numpy(), pdf["d"].to_numpy()
             n = len(pdf)
             a_loc, f = [0.0] * n, [0.0] * n
             for i in range(n):
-                k = (tr[i], ch[i])
+                k = (no[i], tr[i], ch[i])
                 if k != key:
                     key, acc, fac = k, 0.0, 1.0
                 acc = delta[i] + x * (1 - d[i]) * acc
                 fac = x * (1 - d[i]) * fac
                 a_loc[i], f[i] = acc, fac
-            yield pd.DataFrame({traj: tr, t: pdf[t].to_numpy(), "chunk": ch, "a_local": a_loc, "f": f,
+            yield pd.DataFrame({"no_id": no, traj: tr, t: pdf[t].to_numpy(), "chunk": ch, "a_local": a_loc, "f": f,
                                 "v": pdf["v"].to_numpy()})
 
-    ordered = s.repartition(n_parts, traj, "chunk").sortWithinPartitions(traj, "chunk", F.col(t).desc())
+    ordered = s.repartition(n_parts, "no_id", traj, "chunk").sortWithinPartitions("no_id", traj, "chunk", F.col(t).desc())
     local = cut_lineage(ordered.mapInPandas(
-        fold, schema=f"{traj} {ttype}, {t} {t_type}, chunk long, a_local double, f double, v double"))
-    summ = local.where(F.col(t) == F.col("chunk") * chunk).select(traj, "chunk", "a_local", "f")
+        fold, schema=f"no_id boolean, {traj} {ttype}, {t} {t_type}, chunk long, a_local double, f double, v double"))
+    summ = local.where(F.col(t) == F.col("chunk") * chunk).select("no_id", traj, "chunk", "a_local", "f")
 
     def carry(batches):
         # chunk summaries sorted by (traj, chunk desc): A_start(j) = a_j + f_j A_start(j + 1)
         key, nxt_val = None, 0.0
         for pdf in batches:
-            tr, ch = pdf[traj].to_numpy(), pdf["chunk"].to_numpy()
+            no, tr, ch = pdf["no_id"].to_numpy(), pdf[traj].to_numpy(), pdf["chunk"].to_numpy()
             a, g = pdf["a_local"].to_numpy(), pdf["f"].to_numpy()
             start = [0.0] * len(pdf)
             for i in range(len(pdf)):
-                if tr[i] != key:
-                    key, nxt_val = tr[i], 0.0
+                if (no[i], tr[i]) != key:
+                    key, nxt_val = (no[i], tr[i]), 0.0
                 nxt_val = a[i] + g[i] * nxt_val
                 start[i] = nxt_val
-            yield pd.DataFrame({traj: tr, "chunk": ch - 1, "a_next_chunk": start})
+            yield pd.DataFrame({"no_id": no, traj: tr, "chunk": ch - 1, "a_next_chunk": start})
 
-    carried = (summ.repartition(n_parts, traj).sortWithinPartitions(traj, F.col("chunk").desc())
-               .mapInPandas(carry, schema=f"{traj} {ttype}, chunk long, a_next_chunk double"))
-    out = null_safe_join(local, carried, [traj, "chunk"], "left")
+    carried = (summ.repartition(n_parts, "no_id", traj).sortWithinPartitions("no_id", traj, F.col("chunk").desc())
+               .mapInPandas(carry, schema=f"no_id boolean, {traj} {ttype}, chunk long, a_next_chunk double"))
+    out = local.join(carried, ["no_id", traj, "chunk"], "left")
     adv = F.when(F.col("a_next_chunk").isNull(), F.col("a_local")) \
         .otherwise(F.col("a_local") + F.col("f") * F.col("a_next_chunk"))
-    return out.select(traj, t, adv.alias("advantage"), (adv + F.col("v")).alias("ret"))
+    return out.select(F.when(~F.col("no_id"), F.col(traj)).alias(traj), t, adv.alias("advantage"), (adv + F.col("v")).alias("ret"))
 
 
 def score_completions(df: DataFrame, text: str = "text", reward=None, out: str = "reward") -> DataFrame:

@@ -212,8 +212,7 @@ def corpus_file_roundtrip(spark, sf_dir):
     recs = G.gen_sft(doc_index(spark, sf_dir), "train", 0, seed=9)
     if not L.gated_write(recs, False, d["out"] + "/train"):
         raise RuntimeError("generated corpus did not lint clean")
-    back = io.require_rows(spark.read.option("recursiveFileLookup", True).text(d["out"]), "written corpus")
-    back = io.with_row_index(back.withColumnRenamed("value", "raw"), "idx")
+    back = io.require_rows(io.read_records(spark, d["out"]), "written corpus")
     typed = io.read_corpus(spark, d["out"] + "/train", CHAT_SCHEMA).where(F.col("id").isNotNull())
     rep = L.report(L.lint(back), back)
     return rep.withColumn("n_indexed", F.lit(typed.count()).cast("bigint"))

@@ -118,34 +118,34 @@ def metric_streams(spark, sf_dir):
     return M.stream_list(points(spark, sf_dir))
 
 
-def _written_points(spark, sf_dir, name, duplicates=True):
+def _replayed_points(spark, sf_dir, name, stream, duplicates=True):
+    """Folders of a run whose points were written and read commit by commit; ``stream`` takes the folders."""
     d = M.new_run_dirs(spark, name)
     p = raw_points(spark, sf_dir)
-    M.write_points(with_restart_duplicates(p) if duplicates else p, d["src"])
+    M.replay(with_restart_duplicates(p) if duplicates else p, "time_unix_ms", lambda part: M.write_points(part, d["src"]),
+             lambda: stream(d))
     return d
 
 
 @register("metric_points_stream", DEDUP_SQL)
 def metric_points_stream(spark, sf_dir):
     """S12 + S13 + M1 + M6 streamed: JSON point files replayed, decoded, de-duplicated within the watermark."""
-    d = _written_points(spark, sf_dir, "points")
-    M.stream_dedup_to_table(spark, d["src"], d["out"], d["ckpt"])
+    d = _replayed_points(spark, sf_dir, "points", lambda x: M.stream_dedup_to_table(spark, x["src"], x["out"], x["ckpt"]))
     return spark.read.parquet(d["out"]).select("name", "series", "step", "time_unix_ms", "value", "is_nan")
 
 
 @register("metric_latest_stream", LATEST_SQL)
 def metric_latest_stream(spark, sf_dir):
     """M5 streamed: latest value per series, update mode, changelog read back."""
-    d = _written_points(spark, sf_dir, "latest")
-    M.stream_agg_to_changelog(spark, d["src"], d["out"], d["ckpt"], M.latest)
+    d = _replayed_points(spark, sf_dir, "latest", lambda x: M.stream_agg_to_changelog(spark, x["src"], x["out"], x["ckpt"], M.latest))
     return M.read_changelog(spark, d["out"], ["name", "series"]).select("name", "series", "value", "time_unix_ms")
 
 
 @register("metric_rollup_stream", ROLLUP_SQL)
 def metric_rollup_stream(spark, sf_dir):
     """M2 streamed: hourly roll-up with a 1-minute watermark, update mode, changelog read back."""
-    d = _written_points(spark, sf_dir, "rollup", duplicates=False)
-    M.stream_agg_to_changelog(spark, d["src"], d["out"], d["ckpt"], M.rollup)
+    d = _replayed_points(spark, sf_dir, "rollup", lambda x: M.stream_agg_to_changelog(spark, x["src"], x["out"], x["ckpt"], M.rollup),
+                         duplicates=False)
     return _rollup_out(M.read_changelog(spark, d["out"], ["window_start_ms", "name", "series"]))
 
 
@@ -175,9 +175,9 @@ def status_changes_stream(spark, sf_dir):
                  _status_col().alias("status"))
     p = O.rank_within(p, ["job_id"], ["polled_at", "event_id"], "k")
     d = M.new_run_dirs(spark, "status")
-    M.write_in_time_order(p, d["src"], "polled_at", 8, lambda w: w.parquet(d["src"]))
-    M.stream_status_changes(spark, d["src"], d["out"], d["ckpt"],
-                            "job_id long, polled_at timestamp, event_id long, status string, k long")
+    M.replay(p, "polled_at", lambda part: part.write.mode("append").parquet(d["src"]),
+             lambda: M.stream_status_changes(spark, d["src"], d["out"], d["ckpt"],
+                                             "job_id long, polled_at timestamp, event_id long, status string, k long"))
     out = spark.read.parquet(d["out"])
     return out.select("job_id", "k", F.col("polled_at").cast("timestamp_ntz").alias("polled_at"), "status",
                       "prev_status")

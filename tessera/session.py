@@ -8,8 +8,8 @@ Scale notes
   size is bounded by construction (keyword lists, vocabularies of literals).
 * ``spark.sql.shuffle.partitions`` is left to the caller: 8 in tests, a few
   thousand on a 1000-executor cluster (``default_parallelism`` below).
-* Lineage is cut with ``DataFrame.checkpoint()`` into the shared folder named
-  by ``spark.checkpoint.dir``.  We only set that folder when the cluster has
+* Lineage is cut with tables written to the shared folder named by
+  ``spark.checkpoint.dir``.  We only set that folder when the cluster has
   not, which happens in local tests.
 """
 
@@ -106,24 +106,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss, unlike localCheckpoint).
-
-    The input is persisted while it is checkpointed: the eager count and the
-    checkpoint write are two jobs, and without the cache the second would
-    compute the input again.  The cache is dropped once the files are written.
-    """
-    from pyspark import StorageLevel
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist(blocking=False)
+    """``df`` written once to the shared folder and read back: computed once, cached nowhere, safe from lost executors."""
+    import uuid
+    path = scratch_path(df.sparkSession, f"cut-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "tables", name)
+    """A path under the shared checkpoint folder for a written table; the application's tables go when it ends."""
+    top = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+    if top not in _TO_DELETE:
+        _TO_DELETE.add(top)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(top)
+        fs = path.getFileSystem(conf)
+        fs.mkdirs(path)  # a path must exist to be marked
+        fs.deleteOnExit(path)
+    return f"{top}/{name}"
+
+
+_TO_DELETE: set[str] = set()

@@ -9,11 +9,11 @@ opening files on the driver.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.ordering import global_index
+from ..functions.text import is_blank
 
 CORPUS_GLOB = "*.{json,jsonl}"
 
@@ -84,11 +84,25 @@ def require_rows(df: DataFrame, what: str = "dataset") -> DataFrame:
 
 
 def with_row_index(df: DataFrame, name: str = "idx") -> DataFrame:
-    """Stable 0-based record index in file order (path, split offset, position)."""
+    """Stable 0-based record index in file order (path, split offset, position).
+
+    Rows of a split are read in order by one task, so the count of every split is enough: one pass counts, and
+    the records themselves are not sorted.  The table of counts has a row per split.
+    """
+    split = ["_src_fp", "_src_off"]
     keyed = (df.withColumn("_src_fp", F.col("_metadata.file_path"))
              .withColumn("_src_off", F.input_file_block_start())
              .withColumn("_src_pos", F.monotonically_increasing_id()))
-    return global_index(keyed, ["_src_fp", "_src_off", "_src_pos"], name).drop("_src_fp", "_src_off", "_src_pos")
+    counts = keyed.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min("_src_pos").alias("_first"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*split, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return keyed.join(starts, split).withColumn(name, F.col("_src_pos") + F.col("_shift")).drop(*split, "_src_pos", "_shift")
+
+
+def read_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """S1 + S8: (idx, raw) of the records of JSON Lines files in file order; blank lines are no records."""
+    lines = spark.read.option("recursiveFileLookup", True).text(paths)
+    return with_row_index(lines.where(~is_blank("value")).withColumnRenamed("value", "raw")).select("idx", "raw")
 
 
 def read_features_csv(spark: SparkSession, path: str, n_features: int) -> DataFrame:

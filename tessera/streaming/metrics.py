@@ -17,6 +17,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.render import NAN_SENTINEL, encode_non_finite
@@ -111,39 +112,41 @@ def csv_export(points: DataFrame, path: str) -> None:
      .write.mode("overwrite").option("header", True).csv(path))
 
 
-def write_points(points: DataFrame, path: str, files: int = 8) -> None:
-    """Metric-point sink (JSON Lines, nulls kept).
+def write_points(points: DataFrame, path: str) -> None:
+    """Metric-point sink (JSON Lines, nulls kept), one append; every partition writes its own files."""
+    points.write.mode("append").option("ignoreNullFields", False).json(path)
 
-    A file source hands files to a stream in modification-time order, so a
-    replay is written as ``files`` successive appends, one time range each,
-    the way a live writer appends over time.
-    """
-    write_in_time_order(points, path, "time_unix_ms", files,
-                        lambda w: w.option("ignoreNullFields", False).json(path))
 
+COMMITS = 4
 
-def write_in_time_order(df: DataFrame, path: str, time_col: str, files: int, save) -> None:
-    """Append ``df`` as ``files`` commits of consecutive ``time_col`` ranges (one file each)."""
-    from pyspark import StorageLevel
-    t = F.col(time_col).cast("double") if dict(df.dtypes)[time_col] in ("bigint", "int", "double") \
-        else F.unix_micros(F.col(time_col).cast("timestamp")).cast("double")
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)   # one computation for the range and all commits
-    try:
-        lo, hi = src.agg(F.min(t), F.max(t)).first()
-        if lo is None:
-            return
-        span = (hi - lo) or 1.0
-        bucket = F.least(F.floor((t - F.lit(lo)) * files / F.lit(span)), F.lit(files - 1))
-        for b in range(files):
-            save(src.where(bucket == b).coalesce(1).sortWithinPartitions(time_col).write.mode("append"))
-    finally:
-        src.unpersist(blocking=False)
 
+def replay(df: DataFrame, time_col: str, save, drain, commits: int = COMMITS) -> None:
+    """Feed a stream the way a live writer and a scheduled reader do.
 
-def read_points_stream(spark: SparkSession, path: str, files_per_trigger: int = 2) -> DataFrame:
+    ``df`` is cut into ``commits`` consecutive ranges of ``time_col``.  Each range is appended by ``save`` (as many
+    tasks as the range has partitions) and then read to its end by ``drain``, the stream started with
+    ``availableNow`` on its checkpoint.  A micro-batch is one whole commit, so the order of files within a commit
+    does not matter and no row comes behind the watermark of an earlier commit.
+    """
+    spark = df.sparkSession
+    t = F.col(time_col).cast("double") if dict(df.dtypes)[time_col] in ("bigint", "int", "double") \
+        else F.unix_micros(F.col(time_col).cast("timestamp")).cast("double")
+    lo, hi = df.agg(F.min(t), F.max(t)).first()
+    if lo is None:
+        save(df)
+        return drain()
+    bucket = F.coalesce(F.least(F.floor((t - F.lit(lo)) * commits / F.lit((hi - lo) or 1.0)), F.lit(commits - 1)).cast("int"), F.lit(0))
+    staged = scratch_path(spark, f"staged-{uuid.uuid4().hex}")
+    df.withColumn("_commit", bucket).write.partitionBy("_commit").parquet(staged)  # computed once, for all commits
+    table = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_commit", T.IntegerType())])).parquet(staged)
+    for k in range(commits):
+        save(table.where(F.col("_commit") == k).drop("_commit"))
+        drain()
+
+
+def read_points_stream(spark: SparkSession, path: str) -> DataFrame:
     """Metric directory as a stream (several files per run); schema is fixed, not inferred."""
-    return (spark.readStream.schema(POINT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-            .json(path))
+    return spark.readStream.schema(POINT_SCHEMA).json(path)
 
 
 def start_stateful(spark: SparkSession, start):
@@ -226,7 +229,7 @@ def status_change_fn(key, pdfs, state):
 
 def stream_status_changes(spark: SparkSession, src: str, out: str, ckpt: str, schema: str) -> None:
     """M7: job status change events as a stateful stream keyed by job."""
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src)
+    s = spark.readStream.schema(schema).parquet(src)
     r = s.groupBy("job_id").applyInPandasWithState(status_change_fn, STATUS_OUT, STATUS_STATE, "append",
                                                    GroupStateTimeout.NoTimeout)
     q = start_stateful(spark, lambda: r.writeStream.format("parquet").option("checkpointLocation", ckpt)

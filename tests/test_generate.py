@@ -49,12 +49,26 @@ def test_integral_mixture_exact_size_and_share(spark):
 
 
 def test_corruption_kinds(spark):
-    df = spark.createDataFrame([(i, "= sin(x) + C") for i in range(60)], "i long, a string")
+    df = spark.createDataFrame([(i, "= 3 sin(x) + C") for i in range(60)], "i long, a string")
     out = df.select(G.corrupt(F.col("a"), F.col("i"), seed=1).alias("c")).collect()
-    kinds = {r.c.kind for r in out}
-    assert kinds == set(G.CORRUPTIONS)
-    by = {r.c.kind: r.c.text for r in out}
-    assert by["drop_constant"] == "= sin(x)" and by["swap_function"] == "= cos(x) + C" and by["truncate"] not in ("", "= sin(x) + C")
+    assert {r.c.kind: r.c.text for r in out} == {"marked": "= 3 sin(x) + C (错误)", "refusal": "无法计算此积分", "zero": "0 + C"}
+    more = df.select(G.corrupt(F.col("a"), F.col("i"), seed=1, kinds=G.OPT_IN_CORRUPTIONS).alias("c")).collect()
+    by = {}
+    for r in more:
+        by.setdefault(r.c.kind, set()).add(r.c.text)
+    assert by == {"sign": {"= 3 sin(x) - C"}, "coefficient": {f"= {k} sin(x) + C" for k in (4, 5, 6)}}
+    none = spark.createDataFrame([(i, "= e^x") for i in range(20)], "i long, a string")
+    assert {r.c.text for r in none.select(G.corrupt(F.col("a"), F.col("i"), seed=1, kinds=G.OPT_IN_CORRUPTIONS).alias("c")).collect()} == {"= e^x (错误)"}
+
+
+def test_definite_integrals_have_their_value(spark):
+    import re
+    rows = G.gen_integrals(idx(spark, 3000), seed=3).where("type = 'definite'").collect()
+    assert len(rows) > 20
+    for r in rows:
+        b, a, n = map(int, re.fullmatch(r"∫ from 0 to (\d+) of (\d+)x\^(\d+) dx", r.prompt).groups())
+        assert a * b ** (n + 1) == (n + 1) * int(r.correct_answer[2:])
+    assert {r.type for r in G.gen_integrals(idx(spark, 3000), seed=3).select("type").distinct().collect()} >= {"polynomial", "rational", "composite", "trig"}
 
 
 def test_rejected_answers_are_wrong_and_not_empty(spark):

@@ -187,3 +187,13 @@ def test_pairs_keep_l23_of_the_rejected_list(spark):
     df = spark.createDataFrame(recs, "idx long, raw string")
     got = sorted(r.idx for r in L.lint_pairs(df).where("rule = 'L23'").collect())
     assert got == [0, 1]
+
+
+def test_hash_of_nested_float_and_unlisted_messages_is_pythons(spark):
+    import hashlib
+    values = ['[{"role":"user","content":[{"type":"text","text":"a, b: \\"c\\" \u00e9"},{"n":1.0,"m":[1e20,1e-7,0.1,12345678.5,-0.0]}]}]', '[{"role":"user","w":1.0}]',
+              '[{"role":"user","w":1e20,"v":1e-7}]', '[{"b":1,"a":true,"c":null}]', "null", '"text"', '{"role":"user"}', "[]", '[1,"x"]']
+    raw = spark.createDataFrame([(k, '{"messages": %s}' % v) for k, v in enumerate(values)], "idx long, raw string")
+    for r in L.repair(raw).collect():
+        want = json.dumps(json.loads(values[r.idx]), ensure_ascii=False, sort_keys=True)
+        assert json.loads(r.raw)["content_hash"] == "sha256:" + hashlib.sha256(want.encode()).hexdigest()[:16], values[r.idx]

@@ -29,10 +29,11 @@ def test_real_minus_999999_without_label_is_kept(spark):
 def test_stream_equals_batch_and_drops_late_points(spark, tmp_dir):
     rows = [("loss", float(k), BASE + k * 1000, k) for k in range(200)]
     src = f"{tmp_dir}/src"
-    M.write_points(M.encode(pts(spark, rows + rows[:20])), src, files=4)   # restart duplicates
-    late = pts(spark, [("loss", 99.0, BASE - 3_600_000, 999)])            # an hour late, written last
-    late.write.mode("append").option("ignoreNullFields", False).json(src)
-    M.stream_dedup_to_table(spark, src, f"{tmp_dir}/out", f"{tmp_dir}/ck")
+    drain = lambda: M.stream_dedup_to_table(spark, src, f"{tmp_dir}/out", f"{tmp_dir}/ck")
+    points = M.encode(pts(spark, rows + rows[:20])).repartition(5)        # restart duplicates, several files a commit
+    M.replay(points, "time_unix_ms", lambda part: M.write_points(part, src), drain)
+    M.write_points(pts(spark, [("loss", 99.0, BASE - 3_600_000, 999)]), src)  # an hour late, written last
+    drain()
     got = sorted(r.step for r in spark.read.parquet(f"{tmp_dir}/out").collect())
     assert got == list(range(200))
 
@@ -40,8 +41,8 @@ def test_stream_equals_batch_and_drops_late_points(spark, tmp_dir):
 def test_rollup_stream_equals_batch(spark, tmp_dir):
     rows = [("loss", float(k % 7), BASE + k * 20_000, k) for k in range(300)]
     p = pts(spark, rows)
-    M.write_points(p, f"{tmp_dir}/src", files=5)
-    M.stream_agg_to_changelog(spark, f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ck", M.rollup)
+    M.replay(p, "time_unix_ms", lambda part: M.write_points(part, f"{tmp_dir}/src"),
+             lambda: M.stream_agg_to_changelog(spark, f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ck", M.rollup))
     stream = {(r.window_start_ms, r.n, r.v_last) for r in
               M.read_changelog(spark, f"{tmp_dir}/out", ["window_start_ms", "name", "series"]).collect()}
     batch = {(r.window_start_ms, r.n, r.v_last) for r in M.rollup(M.decode(p)).collect()}

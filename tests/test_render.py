@@ -87,3 +87,23 @@ def test_empty_outputs(spark):
     cnt, first = R.empty_outputs(df)
     assert cnt.first().n_empty == 3
     assert [r.idx for r in first.collect()] == [0, 2, 3] and len(first.first().instruction80) == 80
+
+
+def test_pairs_of_either_form(spark):
+    raw = ['{"instruction":"q","chosen":"a","rejected":"b"}', '{"prompt":"p","chosen":"a","rejected":"b"}', '{"chosen":"a","rejected":null}', '{"chosen":"a"}',
+           '{"chosen":[{"role":"user","content":"u"},{"role":"assistant","content":"x"}],"rejected":[{"role":"assistant","content":null}]}']
+    v = spark.createDataFrame([(x,) for x in raw], "raw string").select(F.parse_json("raw").alias("v"))
+    get = lambda n, t: F.try_variant_get("v", f"$.{n}", t).alias(n)
+    rows = v.select(get("instruction", "string"), get("prompt", "string"), get("chosen", "variant"), get("rejected", "variant"))
+    got = [([tuple(m) for m in r.chosen_messages], [tuple(m) for m in r.rejected_messages]) for r in R.preference_pairs(rows).collect()]
+    lead = lambda q: [("system", R.DEFAULT_SYSTEM), ("user", q)]
+    assert got == [(lead("q") + [("assistant", "a")], lead("q") + [("assistant", "b")]), (lead("p") + [("assistant", "a")], lead("p") + [("assistant", "b")]),
+                   ([("user", "u"), ("assistant", "x")], [("assistant", None)])]
+    lists = spark.createDataFrame([([("user", "u")], [("user", "w")]), ([("user", "u")], None)], "chosen array<struct<role:string,content:string>>, rejected array<struct<role:string,content:string>>")
+    assert R.preference_pairs(lists).count() == 1
+
+
+def test_a_turn_without_content_stays(spark):
+    df = spark.createDataFrame([([("user", None), ("assistant", "a")],)], "m array<struct<role:string,content:string>>")
+    r = df.select(R.fallback_chat_text(F.col("m")).alias("f"), R.chatml_messages(F.col("m")).alias("c")).first()
+    assert r.f == "User: \n\nAssistant: a\n\n" and r.c == "<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n"

@@ -89,3 +89,16 @@ def test_reward_hook_accepts_expression_and_pandas_udf(spark):
     assert default == pytest.approx([1.0, 0.0])
     custom = [r.reward for r in rl.score_completions(df, reward=length_reward).collect()]
     assert custom == pytest.approx([2.6, 0.3])
+
+
+def test_gae_keeps_a_null_trajectory_and_uses_final_values(spark):
+    rows = [(tr, t, 1.0, 0.5, 0) for tr in (None, 1) for t in range(10)]
+    df = spark.createDataFrame(rows, "traj_id int, t long, reward double, v double, death int")
+    last = spark.createDataFrame([(None, 2.0), (1, 2.0)], "traj_id int, v_final double")
+    # lambda = 1: the return is the discounted sum of rewards and of the final value, for any chunking
+    for chunk in (3, 4096):
+        out = rl.gae(df, last, gamma=0.9, lam=1.0, chunk=chunk).collect()
+        assert len(out) == 20
+        for r in out:
+            left = 10 - r.t
+            assert abs(r.ret - (sum(0.9 ** k for k in range(left)) + 2.0 * 0.9 ** left)) < 1e-9

@@ -57,3 +57,14 @@ def test_first_last_and_best_checkpoint(spark):
     assert (fl.first_loss, fl.last_loss) == (2.0, 0.8)
     b = RL.best_checkpoint(df, "run_id", "step", "eval_loss").first()
     assert (b.best_step, b.best_eval_loss) == (3, 0.7)
+
+
+def test_null_groups_are_groups(spark):
+    rows = [(g, e, k, float(k)) for g in (None, 1) for e in (None, 2) for k in range(1, 13)]
+    df = spark.createDataFrame(rows, "run_id int, epoch int, pos long, x double")
+    out = RL.prefix_sums(df, ["run_id", "epoch"], "pos", {"cs": F.col("x")}, block=5).collect()
+    assert len(out) == 48 and all(r.cs == r.pos * (r.pos + 1) / 2 for r in out)
+    steps = RL.optimizer_steps(df, "run_id", "epoch", "pos", 4).collect()
+    assert len(steps) == 48 and sorted({r.opt_step for r in steps if r.run_id is None}) == [1, 2, 3, 4, 5, 6]
+    polls = spark.createDataFrame([(None, k, s) for k, s in enumerate("AABBA")], "job int, k long, status string")
+    assert [r.k for r in RL.status_changes(polls, "job", "k", "status").orderBy("k").collect()] == [0, 2, 4]

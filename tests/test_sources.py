@@ -66,3 +66,35 @@ def test_features_csv(spark, tmp_dir):
     write(f"{tmp_dir}/f.csv", "a,b,label\n0.5,1.5,1\n2,3,0\n")
     rows = io.read_features_csv(spark, f"{tmp_dir}/f.csv", 2).collect()
     assert rows[0].features == [0.5, 1.5] and rows[1].label == 0.0
+
+
+def test_blank_lines_are_no_records(spark, tmp_dir):
+    import os
+    os.makedirs(f"{tmp_dir}/b")
+    for name, text in (("a.jsonl", '{"x":1}\n\n  \n{"x":2}\n'), ("b.jsonl", '\n{"x":3}')):
+        with open(f"{tmp_dir}/b/{name}", "w") as f:
+            f.write(text)
+    got = sorted((r.idx, r.raw) for r in io.read_records(spark, f"{tmp_dir}/b").collect())
+    assert got == [(0, '{"x":1}'), (1, '{"x":2}'), (2, '{"x":3}')]
+
+
+def test_index_follows_files_and_splits(spark, tmp_dir):
+    spark.range(5000).selectExpr("concat('{\"x\":', id, '}') as value").repartition(3).write.text(f"{tmp_dir}/t")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = io.with_row_index(spark.read.text(f"{tmp_dir}/t").withColumn("f", F.col("_metadata.file_name"))).orderBy("idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    import glob
+    want = [line.rstrip("\n") for p in sorted(glob.glob(f"{tmp_dir}/t/*.txt")) for line in open(p)]
+    assert [r.idx for r in rows] == list(range(5000)) and [r.value for r in rows] == want
+
+
+def test_array_sink_round_trip(spark, tmp_dir):
+    rows = [(1, 'a "quoted", [b]\n'), (2, None), (3, "\u00e9\u65e5\\")]
+    df = spark.createDataFrame(rows, "x long, s string")
+    io.write_json_array(df.repartition(2), f"{tmp_dir}/arr")
+    io.write_json_array(df.where("x > 9"), f"{tmp_dir}/none")
+    assert sorted(tuple(r) for r in io.read_corpus(spark, f"{tmp_dir}/arr", "x long, s string", multiline=True).collect()) == rows
+    assert io.read_corpus(spark, f"{tmp_dir}/none", "x long, s string", multiline=True).count() == 0
