@@ -52,6 +52,15 @@ def chat_messages(conv: DataFrame) -> DataFrame:
                                                              x["content"].alias("content"))).alias("messages")))
 
 
+#: Records without a ``messages`` key are added, one for every conversation whose id is divisible by 41; their ids are shifted.
+ADDED = 1 << 40
+
+
+def added_ids(ids: DataFrame) -> DataFrame:
+    """(c): ids of the added records, from distinct conversation ids (c)."""
+    return ids.where(F.col("c") % 41 == 0).select((F.col("c") + ADDED).alias("c"))
+
+
 def chat_record_columns(msgs: DataFrame) -> DataFrame:
     """Typed chat records with planted field faults (null = key absent)."""
     c = F.col("c")
@@ -67,7 +76,7 @@ def chat_record_columns(msgs: DataFrame) -> DataFrame:
         F.when(c % 10 == 3, F.lit("biology")).otherwise(pick(L.VALID_CATEGORY, c % 8)).alias("category"),
         F.when(c % 17 == 0, F.lit("")).otherwise(F.lit("conversations")).alias("source"),
         F.when(c % 4 >= 2, F.concat(F.lit("sha256:"), F.substring(F.md5(c.cast("string")), 1, 16))).alias("content_hash"),
-        F.when(c % 41 != 0, F.col("messages")).alias("messages"),
+        "messages",
         F.when(c % 6 == 0, F.lit("too_long")).when(c % 6 == 1, F.lit("wrong_answer")).alias("rejection_reason"),
     )
 
@@ -78,7 +87,9 @@ def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     Absent keys are omitted; records with c % 4 == 1 carry ``content_hash: null``
     (present but null), which only the text form can express.
     """
-    rec = chat_record_columns(chat_messages(tables.load(spark, sf_dir, "conversations")))
+    conv = tables.load(spark, sf_dir, "conversations")
+    ids = conv.select(F.col("conv_id").alias("c")).distinct()
+    rec = chat_record_columns(chat_messages(conv).unionByName(added_ids(ids), allowMissingColumns=True))
     j = F.to_json(F.struct(*[F.col(n) for n in rec.columns if n != "c"]))
     raw = F.when(F.col("c") % 4 == 1, F.concat(F.lit('{"content_hash":null,'), j.substr(F.lit(2), F.length(j))))\
         .otherwise(j)
@@ -123,12 +134,12 @@ def chat_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """
     from ..operators.ordering import rank_within
     conv = tables.load(spark, sf_dir, "conversations")
-    t = conversation_turns(conv).where(F.col("c") % 41 != 0)   # c % 41 == 0: the record has no messages key
+    t = conversation_turns(conv)
     ids = conv.select(F.col("conv_id").alias("c")).distinct()
-    rec = chat_record_columns(ids.withColumn("messages", F.lit(None)))
+    rec = chat_record_columns(ids.unionByName(added_ids(ids)).withColumn("messages", F.lit(None)))
     c = F.col("c")
     records = rec.select(c.alias("idx"), "id", "version", "split", "difficulty", "category", "source",
-                         (c % 4 != 0).alias("has_hash_key"), (c % 41 != 0).alias("has_messages"),
+                         (c % 4 != 0).alias("has_hash_key"), (c < ADDED).alias("has_messages"),
                          F.lit(False).alias("has_tool_calls_key"), "rejection_reason")
     turns = rank_within(t, ["c"], ["turn"], "_r").select(
         F.col("c").alias("idx"), (F.col("_r") - 1).alias("pos"), "role", "content")

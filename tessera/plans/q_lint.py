@@ -20,12 +20,13 @@ t AS (
               WHEN conv_id % 31 = 0 AND turn = 0 THEN text || ' <tool_call>'
               ELSE text END AS content
   FROM conversations),
-m AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn) - 1 AS pos FROM t WHERE c % 41 <> 0),
+m AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn) - 1 AS pos FROM t),
 agg AS (SELECT c, count(*) AS n, bool_or(role = 'user') AS has_user, bool_or(role = 'assistant') AS has_asst,
                bool_or(coalesce(content, '') LIKE '%tool_call%') AS has_tool FROM m GROUP BY c),
 u AS (SELECT c, substr(h,1,8) || '-' || substr(h,9,4) || '-' || substr(h,13,4) || '-' || substr(h,17,4)
                 || '-' || substr(h,21,12) AS uu
-      FROM (SELECT DISTINCT conv_id AS c, md5(CAST(conv_id AS VARCHAR)) AS h FROM conversations)),
+      FROM (SELECT c, md5(CAST(c AS VARCHAR)) AS h FROM (SELECT DISTINCT conv_id AS c FROM conversations
+            UNION ALL SELECT DISTINCT conv_id + 1099511627776 FROM conversations WHERE conv_id % 41 = 0))),
 r AS (SELECT u.c,
    CASE WHEN u.c % 7 = 0 THEN NULL WHEN u.c % 13 = 0 THEN 'not-a-uuid-' || CAST(u.c AS VARCHAR)
         WHEN u.c % 29 = 0 THEN upper(uu) ELSE uu END AS id,
@@ -36,7 +37,7 @@ r AS (SELECT u.c,
         'nuclear','statistical'][u.c % 8 + 1] END AS category,
    CASE WHEN u.c % 17 = 0 THEN '' ELSE 'conversations' END AS source,
    u.c % 4 <> 0 AS has_hash_key,
-   u.c % 41 <> 0 AS has_messages,
+   u.c < 1099511627776 AS has_messages,
    CASE WHEN u.c % 6 = 0 THEN 'too_long' WHEN u.c % 6 = 1 THEN 'wrong_answer' END AS rejection_reason,
    agg.n, agg.has_user, agg.has_asst, agg.has_tool
   FROM u LEFT JOIN agg ON u.c = agg.c)
@@ -110,7 +111,7 @@ def lint_rule_counts(spark, sf_dir):
 
 
 @register("lint_report", ISSUES_SQL + """
-SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS total_records,
+SELECT (SELECT count(*) FROM r) AS total_records,
        count(*) FILTER (WHERE level = 'error') AS error_count,
        count(*) FILTER (WHERE level <> 'error') AS warning_count,
        count(*) FILTER (WHERE level = 'error') = 0 AS passed
@@ -164,7 +165,7 @@ def content_hash(spark, sf_dir):
 
 @register("repair_then_lint", ISSUES_SQL + """
 SELECT rule, count(*) AS n_issues FROM issues
-WHERE rule NOT IN ('L1', 'L3') AND NOT (rule = 'L22' AND idx % 41 <> 0) GROUP BY rule""")
+WHERE rule NOT IN ('L1', 'L3') AND NOT (rule = 'L22' AND idx < 1099511627776) GROUP BY rule""")
 def repair_then_lint(spark, sf_dir):
     """F6 + F5: after repair, id / version / hash issues are gone, others stay."""
     fixed = L.repair(derive.chat_records(spark, sf_dir), seed=7)

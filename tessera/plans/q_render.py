@@ -30,19 +30,23 @@ PREFIX_NO_PLACEHOLDER = "Answer the question."
 @register("alpaca_user_content", "WITH " + ALPACA_SQL + r"""
 SELECT idx,
   replace('请解答下面的问题：{instruction}', '{instruction}', instruction)
-    || CASE WHEN input <> '' THEN chr(10) || input ELSE '' END AS user_content,
-  'Answer the question.' || CASE WHEN input <> '' THEN chr(10) || input ELSE '' END AS user_content_replaced,
-  instruction || CASE WHEN input <> '' THEN chr(10) || input ELSE '' END AS user_content_plain
-FROM alp""")
+    || CASE WHEN extra <> '' THEN chr(10) || extra ELSE '' END AS user_content,
+  'Answer the question.' || CASE WHEN extra <> '' THEN chr(10) || extra ELSE '' END AS user_content_replaced,
+  instruction || CASE WHEN extra <> '' THEN chr(10) || extra ELSE '' END AS user_content_plain
+FROM (SELECT *, input || CASE WHEN input <> '' AND output <> '' THEN chr(10) ELSE '' END || output AS extra FROM alp)""")
 def alpaca_user_content(spark, sf_dir):
-    """P1 + P2: user turn from Alpaca rows; prefix passed as base64, with and without placeholder."""
+    """P1 + P2: user turn from Alpaca rows; prefix passed as base64, with and without placeholder.
+
+    The rest of a document is part of the extra input, so whole texts are used.
+    """
     a = derive.alpaca_records(spark, sf_dir)
+    extra = F.concat("input", F.when((F.col("input") != "") & (F.col("output") != ""), F.lit("\n")).otherwise(F.lit("")), "output")
     b64 = base64.b64encode(PREFIX.encode("utf-8")).decode("ascii")
     return a.select("idx",
-                    R.user_content(F.col("instruction"), F.col("input"), R.prefix_from_base64(b64)).alias("user_content"),
-                    R.user_content(F.col("instruction"), F.col("input"), PREFIX_NO_PLACEHOLDER)
+                    R.user_content(F.col("instruction"), extra, R.prefix_from_base64(b64)).alias("user_content"),
+                    R.user_content(F.col("instruction"), extra, PREFIX_NO_PLACEHOLDER)
                     .alias("user_content_replaced"),
-                    R.user_content(F.col("instruction"), F.col("input")).alias("user_content_plain"))
+                    R.user_content(F.col("instruction"), extra).alias("user_content_plain"))
 
 
 @register("chat_fallback_text", r"""
