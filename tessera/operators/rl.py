@@ -217,11 +217,10 @@ def gae(steps: DataFrame, last_values: DataFrame | None = None, gamma: float = G
         key, acc, fac = None, 0.0, 1.0
         for pdf in batches:
             no, tr, ch = pdf["no_id"].to_numpy(), pdf[traj].to_numpy(), pdf["chunk"].to_numpy()
-            delta, d = pdf["delta"].to_numpy(), pdf["d"].to_numpy()
+            delta, d = pdf["delta"].tolist(), pdf["d"].tolist()  # plain numbers, cheaper in a loop than numpy scalars
             n = len(pdf)
             a_loc, f = [0.0] * n, [0.0] * n
-            for i in range(n):
-                k = (no[i], tr[i], ch[i])
+            for i, k in enumerate(zip(no.tolist(), tr.tolist(), ch.tolist())):
                 if k != key:
                     key, acc, fac = k, 0.0, 1.0
                 acc = delta[i] + x * (1 - d[i]) * acc
