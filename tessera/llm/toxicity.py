@@ -16,10 +16,11 @@ three, fitted on labelled rows the counts have not seen (a bounded sample,
 ``fit_rows``), is the score.
 
 Counts come from all labelled training rows, distributed: tasks count
-distinct words, then their n-grams, and send one row per n-gram; sums and
-continuation counts are aggregations.  Tasks get the model as tables of
-2**``slot_bits`` hashed slots per order, whatever the corpus (sent as their
-non-zero slots); colliding rare n-grams share a slot.
+distinct words, then their n-grams, and send one row per n-gram, which an
+aggregation sums.  The model is these sums and the continuation counts they
+give, as sorted tables keyed by the n-gram itself (its bytes through a
+bijection), so no two n-grams share an entry and the tables grow with the
+distinct n-grams of the labelled rows; driver and tasks hold them.
 
 Edge cases: null and empty texts have no words and get the score of an
 all-zero document; without training rows of both classes every score is 0;
@@ -44,7 +45,7 @@ from .words import NON_WORD, Memo, grown, hash_words, mix, text_slices, word_bou
 
 ORDER = 5
 DISCOUNT = 0.75
-SLOT_BITS = 20
+SLOT_BITS = 64  # fewer would let n-grams share entries
 FIT_ROWS = 20_000
 CLEAR = 1.0  # log-likelihood ratio per letter
 MEMO_ROWS = 1 << 22
@@ -54,7 +55,7 @@ _LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(keys) >> np.uint64(64 - bits)).astype(np.int64)
+    return (mix(keys) >> np.uint64(64 - bits)).view(np.int64)
 
 
 def _grams(table: WordTable) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -118,125 +119,126 @@ def gram_counts(rows: DataFrame) -> DataFrame:
         .groupBy("key", "size").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _suffix(key: Column) -> Column:
-    return F.shiftrightunsigned(key, 8)
+class Table:
+    """Sums of some columns by slot: sorted slots and, behind the last, a row of zeros."""
 
+    def __init__(self, slots: np.ndarray, *columns: np.ndarray):
+        self.slots, back = np.unique(slots, return_inverse=True)
+        self.columns = np.zeros((len(columns), len(self.slots) + 1), np.float32)
+        for k, c in enumerate(columns):
+            self.columns[k, :-1] = np.bincount(back, weights=c, minlength=len(self.slots))
 
-def _context(key: Column, size: Column) -> Column:
-    return key.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (size - 1) * 8) - 1)
+    def find(self, slots: np.ndarray) -> np.ndarray:
+        """Row of each slot; the row of zeros where it has none."""
+        n = len(self.slots)
+        if not n:
+            return np.zeros(np.shape(slots), np.int64)
+        at = np.minimum(np.searchsorted(self.slots, slots), n - 1)
+        return np.where(self.slots[at] == slots, at, n)
+
+    def __getstate__(self) -> tuple:
+        """For sending, compressed."""
+        return (self.columns.shape, zlib.compress(np.diff(self.slots, prepend=0).tobytes(), 1), zlib.compress(self.columns.tobytes(), 1))
+
+    def __setstate__(self, state: tuple) -> None:
+        self.slots = np.cumsum(np.frombuffer(zlib.decompress(state[1]), np.int64))
+        self.columns = np.frombuffer(zlib.decompress(state[2]), np.float32).reshape(state[0])
+
+
+class _Values:
+    """One column of a table by slot."""
+
+    def __init__(self, table: Table, column: int):
+        self.table, self.column = table, column
+
+    def __getitem__(self, slots: np.ndarray) -> np.ndarray:
+        return self.table.columns[self.column][self.table.find(slots)]
 
 
 class Model:
-    """Slot tables of the two models and the fitted weights."""
+    """Tables of the two models and the fitted weights, from the counts of all distinct n-grams by class."""
 
-    def __init__(self, bits: int):
-        n = 1 << bits
-        zero = lambda: np.zeros(n, np.float32)
+    def __init__(self, bits: int, key: np.ndarray, n0: np.ndarray, n1: np.ndarray):
         self.bits = bits
-        self.count = [zero(), zero()]  # highest order, by class
-        self.total, self.types = [zero(), zero()], [zero(), zero()]  # of contexts
-        self.cont = {o: zero() for o in range(1, ORDER)}  # shared continuation counts
-        self.cont_total = {o: zero() for o in range(1, ORDER)}
-        self.cont_types = {o: zero() for o in range(1, ORDER)}
+        seen = n0 + n1 > 0
+        key, n0, n1 = key[seen], n0[seen], n1[seen]
+        self.grams = Table(_slot(key, bits), n0, n1)  # highest order, by class
+        self.contexts = Table(_slot(key & _LOW[_sizes(key) - 1], bits), n0, n1, n0 > 0, n1 > 0)  # totals and types
+        self.lower: dict[int, Table] = {}  # shared continuation counts
+        self.lower_contexts: dict[int, Table] = {}
+        for o in range(ORDER - 1, 0, -1):
+            # every distinct longer n-gram is one context of its suffix; n-grams cut short by a word's start give their own suffixes
+            key, c = np.unique(key[_sizes(key) > 1] >> np.uint64(8), return_counts=True)
+            mine = _sizes(key) == o
+            self.lower[o] = Table(_slot(key[mine], bits), c[mine])
+            self.lower_contexts[o] = Table(_slot(key[mine] & _LOW[o - 1], bits), c[mine], np.ones(int(mine.sum())))
         self.weights = np.zeros(4)
         self.mean, self.std = np.zeros(3), np.ones(3)
-        self.ready = False
+        self.ready = bool(n0.any() and n1.any())
         self.key = ""
 
-    def __getstate__(self) -> dict:
-        """For sending: tables as their non-zero slots, compressed."""
-        return {k: _sparse(v) for k, v in self.__dict__.items()}
+    @property
+    def count(self) -> list[_Values]:
+        return [_Values(self.grams, k) for k in (0, 1)]
+
+    @property
+    def total(self) -> list[_Values]:
+        return [_Values(self.contexts, k) for k in (0, 1)]
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update({k: _dense(v) for k, v in state.items()})
+    @property
+    def types(self) -> list[_Values]:
+        return [_Values(self.contexts, k) for k in (2, 3)]
 
+    @property
+    def cont(self) -> dict[int, _Values]:
+        return {o: _Values(t, 0) for o, t in self.lower.items()}
 
-class _Packed(tuple):
-    """(length, compressed slots, compressed values) of an array."""
+    @property
+    def cont_total(self) -> dict[int, _Values]:
+        return {o: _Values(t, 0) for o, t in self.lower_contexts.items()}
 
+    @property
+    def cont_types(self) -> dict[int, _Values]:
+        return {o: _Values(t, 1) for o, t in self.lower_contexts.items()}
 
-def _sparse(v):
-    if isinstance(v, list):
-        return [_sparse(x) for x in v]
-    if isinstance(v, dict):
-        return {k: _sparse(x) for k, x in v.items()}
-    if isinstance(v, np.ndarray) and v.dtype == np.float32:
-        at = np.flatnonzero(v)
-        return _Packed((len(v), zlib.compress(np.diff(at, prepend=0).astype("<u4").tobytes(), 1), zlib.compress(v[at].tobytes(), 1)))
-    return v
 
+def _sizes(key: np.ndarray) -> np.ndarray:
+    """Bytes of every n-gram; none holds a zero byte."""
+    return sum((key > _LOW[k]).astype(np.int64) for k in range(ORDER))
 
-def _dense(v):
-    if isinstance(v, list):
-        return [_dense(x) for x in v]
-    if isinstance(v, dict):
-        return {k: _dense(x) for k, x in v.items()}
-    if isinstance(v, _Packed):
-        out = np.zeros(v[0], np.float32)
-        out[np.cumsum(np.frombuffer(zlib.decompress(v[1]), "<u4"), dtype=np.int64)] = np.frombuffer(zlib.decompress(v[2]), np.float32)
-        return out
-    return v
+
+def collected(grams: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, n0, n1) of ``gram_counts``, by key."""
+    pdf = grams.select("key", "n0", "n1").toPandas()
+    key = pdf["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    return key[order], pdf["n0"].to_numpy(np.int64)[order], pdf["n1"].to_numpy(np.int64)[order]
 
 
 def train_counts(rows: DataFrame, bits: int = SLOT_BITS) -> Model:
-    """Both models from (text, label); the tables collected have at most 2**bits rows each."""
-    top = stored(gram_counts(rows), "grams")
-    m = Model(bits)
-
-    def slots(table: DataFrame, key: Column, **sums: Column) -> list[np.ndarray]:
-        """Sums by hashed key, as arrays over all slots."""
-        # the hash runs in the tasks; splitmix64 in SQL would differ from numpy's in nothing but speed
-        names = list(sums)
-
-        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                s = _slot(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)
-                yield pa.RecordBatch.from_arrays([pa.array(s), *b.columns[1:]], ["slot", *names])
-        part = table.select(key.alias("k"), *[c.cast("double").alias(x) for x, c in sums.items()])
-        pdf = part.mapInArrow(hashed, "slot long, " + ", ".join(f"{x} double" for x in sums)) \
-            .groupBy("slot").agg(*[F.sum(x).alias(x) for x in sums]).toPandas()
-        out = []
-        for x in sums:
-            a = np.zeros(1 << bits, np.float32)
-            a[pdf["slot"].to_numpy(np.int64)] = pdf[x].to_numpy(np.float64)
-            out.append(a)
-        return out
-    some = lambda c: (c > 0).cast("int")
-    m.count = slots(top, F.col("key"), n0=F.col("n0"), n1=F.col("n1"))
-    t = slots(top, _context(F.col("key"), F.col("size")), n0=F.col("n0"), n1=F.col("n1"), t0=some(F.col("n0")), t1=some(F.col("n1")))
-    m.total, m.types = t[:2], t[2:]
-    level = top.where(F.col("size") > 1).select("key", "size")
-    for o in range(ORDER - 1, 0, -1):
-        # every distinct longer n-gram is one context of its suffix; n-grams cut short by a word's start give their own suffixes
-        longer = level.where(F.col("size") > 1).select(_suffix(F.col("key")).alias("key"), (F.col("size") - 1).alias("size"))
-        level = longer.groupBy("key", "size").agg(F.count(F.lit(1)).alias("c"))
-        mine = level.where(F.col("size") == o)
-        (m.cont[o],) = slots(mine, F.col("key"), c=F.col("c"))
-        m.cont_total[o], m.cont_types[o] = slots(mine, _context(F.col("key"), F.col("size")), c=F.col("c"), t=F.lit(1))
-        level = level.select("key", "size")
-    m.ready = bool(m.total[0].any() and m.total[1].any())
-    return m
+    """Both models from (text, label)."""
+    return Model(bits, *collected(gram_counts(rows)))
 
 
 def word_ratios(m: Model, table: WordTable) -> np.ndarray:
     """log P(word | toxic) - log P(word | ordinary) of every word, in table order."""
     out = np.zeros(len(table.size))
     for size, n, keys in _grams(table):
-        p = np.full(n, 1.0 / 256)
+        keys, back = np.unique(keys, return_inverse=True)
+        p = np.full(len(keys), 1.0 / 256)
         for o in range(1, size):
             key = keys >> np.uint64(8 * (size - o))  # the last o bytes
-            s, c = _slot(key, m.bits), _slot(key & _LOW[o - 1], m.bits)
-            total = m.cont_total[o][c]
+            s, c = m.lower[o].find(_slot(key, m.bits)), m.lower_contexts[o].find(_slot(key & _LOW[o - 1], m.bits))
+            total, types = m.lower_contexts[o].columns[:, c]
             seen = total > 0
-            back = DISCOUNT * m.cont_types[o][c] * p
-            p = np.where(seen, (np.maximum(m.cont[o][s] - DISCOUNT, 0) + back) / np.where(seen, total, 1), p)
-        s, c = _slot(keys, m.bits), _slot(keys & _LOW[size - 1], m.bits)
+            p = np.where(seen, (np.maximum(m.lower[o].columns[0, s] - DISCOUNT, 0) + DISCOUNT * types * p) / np.where(seen, total, 1), p)
+        s, c = m.grams.find(_slot(keys, m.bits)), m.contexts.find(_slot(keys & _LOW[size - 1], m.bits))
         both = []
         for k in (0, 1):
-            total = m.total[k][c]
+            total = m.contexts.columns[k, c]
             seen = total > 0
-            both.append(np.where(seen, (np.maximum(m.count[k][s] - DISCOUNT, 0) + DISCOUNT * m.types[k][c] * p) / np.where(seen, total, 1), p))
-        out[:n] += np.log(both[1]) - np.log(both[0])
+            both.append(np.where(seen, (np.maximum(m.grams.columns[k, s] - DISCOUNT, 0) + DISCOUNT * m.contexts.columns[k + 2, c] * p) / np.where(seen, total, 1), p))
+        out[:n] += (np.log(both[1]) - np.log(both[0]))[back]
     return out
 
 

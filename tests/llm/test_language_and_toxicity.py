@@ -113,3 +113,19 @@ def test_toxicity_held_out(spark):
     toxic, clean = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0]
     assert len(toxic) >= 10
     assert sum(r.predicted for r in toxic) / len(toxic) > 0.7 and sum(r.predicted for r in clean) / len(clean) < 0.05
+
+
+def test_no_two_grams_share_an_entry(spark):
+    n = 40_000  # with the four letters before it, each word gives several distinct n-grams
+    rows = spark.range(n).selectExpr("substr(md5(cast(id as string)), 1, 12) text", "cast(id % 2 as int) label")
+    m = toxicity.train_counts(rows)
+    want = {}
+    for r in rows.collect():
+        s = f" {r.text} ".encode()
+        for i in range(1, len(s)):
+            g = s[max(0, i - toxicity.ORDER + 1):i + 1]
+            want.setdefault(g, [0, 0])[r.label] += 1
+    keys = np.array([int.from_bytes(g, "little") for g in want], np.uint64)
+    assert len(keys) > 250_000
+    for k in (0, 1):
+        assert (m.count[k][toxicity._slot(keys, m.bits)] == np.array([x[k] for x in want.values()])).all()
