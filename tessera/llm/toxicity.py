@@ -12,8 +12,9 @@ they have seen.
 The log-likelihood ratio of every word, divided by its length, is compared
 over the document: the mean over all its letters, the largest word value and
 the (log) number of words with a clear ratio.  A logistic function of these
-three, fitted on labelled rows the counts have not seen (a bounded sample,
-``fit_rows``), is the score.
+three is the score.  It is fitted on labelled documents chosen by hash, half
+of ``fit_rows`` of each class or all there are, in folds: a fold's documents
+are valued by the counts of all labelled rows less those of the fold.
 
 Counts come from all labelled training rows, distributed: tasks count
 distinct words, then their n-grams, and send one row per n-gram, which an
@@ -25,7 +26,8 @@ distinct n-grams of the labelled rows; driver and tasks hold them.
 Edge cases: null and empty texts have no words and get the score of an
 all-zero document; without training rows of both classes every score is 0;
 null or other labels than 0 and 1 are not learned; a doc_id with several
-label rows counts once per row; repeated rows are rows of their own; an empty
+label rows counts once per row; the only document of a class is not taken out
+of the counts that value it; repeated rows are rows of their own; an empty
 table gives no rows; extra columns are not read.
 """
 
@@ -35,6 +37,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +49,11 @@ from .words import NON_WORD, Memo, grown, hash_words, mix, text_slices, word_bou
 ORDER = 5
 DISCOUNT = 0.75
 SLOT_BITS = 64  # fewer would let n-grams share entries
-FIT_ROWS = 20_000
+FIT_ROWS, FIT_FOLDS = 20_000, 4
 CLEAR = 1.0  # log-likelihood ratio per letter
 MEMO_ROWS = 1 << 22
 THRESHOLD = 0.7
+_WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"
 
 _LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
@@ -324,24 +328,53 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, bits: int = SLOT_BITS
     known = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     rows = docs.where(use).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .where("text is not null").join(known.hint("merge"), "doc_id")  # one plan at every size
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(4))
-    rows = stored(rows.select("doc_id", "text", "label", (fold == 0).alias("fit")), "labelled")
-    model = train_counts(rows.where(~F.col("fit")), bits)
-    model.key = uuid.uuid4().hex
+    rows = rows.where(F.col("text").rlike(_WORD)).select("text", "label", F.xxhash64("doc_id", F.lit(7)).alias("h"))
+    rows = stored(rows, "labelled")
+    key, n0, n1 = collected(gram_counts(rows))
+    model = Model(bits, key, n0, n1)
     if model.ready:
         names = ["f0", "f1", "f2"]
-        sample = rows.where("fit").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(fit_rows).select("text", "label")
-        pdf = features(sample, model, names).select("label", *names).toPandas()  # at most fit_rows rows
-        y = pdf["label"].to_numpy()
-        if len(set(y.tolist())) == 2:
-            x = pdf[names].to_numpy()
-            model.mean, model.std = x.mean(0), np.maximum(x.std(0), 1e-9)
-            model.weights = fit_logistic((x - model.mean) / model.std, y)
-        else:
-            model.ready = False
+        fold, alone = _fit_folds(rows, fit_rows)
+        chosen = stored(rows.select("text", "label", fold.alias("fold")).where("fold is not null"), "chosen")  # about fit_rows rows
+        parts = []
+        for f in range(FIT_FOLDS):
+            mine = chosen.where(F.col("fold") == f)
+            k, a, b = collected(gram_counts(mine.where(~F.col("label").isin(alone))))
+            at = np.searchsorted(key, k)
+            less0, less1 = n0.copy(), n1.copy()
+            less0[at] -= a
+            less1[at] -= b
+            without = Model(bits, key, less0, less1)
+            without.key = uuid.uuid4().hex
+            each = features(mine.select("text", "label"), without, names).select("label", *names)
+            for label in (0, 1):  # a doc_id with very many rows: no more than fit_rows in all
+                parts.append(each.where(F.col("label") == label).limit(fit_rows // 2).toPandas())
+        pdf = pd.concat(parts, ignore_index=True)
+        x = pdf[names].to_numpy()
+        model.mean, model.std = x.mean(0), np.maximum(x.std(0), 1e-9)
+        model.weights = fit_logistic((x - model.mean) / model.std, pdf["label"].to_numpy())
+    model.key = uuid.uuid4().hex
     return model
 
 
+def _fit_folds(rows: DataFrame, fit_rows: int) -> tuple[Column, list[int]]:
+    """The fold of (label, h), null where it is not chosen, and the labels that only one document has.
+
+    The documents of a class with the smallest hashes are chosen, and dealt in equal numbers to the folds.
+    """
+    ids = rows.select("label", "h").distinct()
+    fold, alone = F.lit(None).cast("int"), []
+    for label in (0, 1):
+        h = [r["h"] for r in ids.where(F.col("label") == label).orderBy("h").limit(fit_rows // 2).collect()]
+        if len(h) == 1:
+            alone.append(label)
+        for f in reversed(range(FIT_FOLDS)):
+            cut = len(h) * (f + 1) // FIT_FOLDS
+            if cut:
+                fold = F.when((F.col("label") == label) & (F.col("h") <= h[cut - 1]), f).otherwise(fold)
+    return fold, alone
+
+
 def score(docs: DataFrame, model: Model, score_col: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1, higher for toxic texts."""
     if not model.ready:

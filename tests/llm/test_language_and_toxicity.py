@@ -129,3 +129,16 @@ def test_no_two_grams_share_an_entry(spark):
     assert len(keys) > 250_000
     for k in (0, 1):
         assert (m.count[k][toxicity._slot(keys, m.bits)] == np.array([x[k] for x in want.values()])).all()
+
+
+def test_every_labelled_row_is_counted_and_both_classes_are_fitted(spark):
+    ids = spark.range(1, 600).select("id", (F.pmod(F.xxhash64("id"), F.lit(4)) == 0).alias("fold")).collect()
+    rare, other = [r.id for r in ids if r.fold][:8], [r.id for r in ids if not r.fold]
+    rows = [(k, "zorgblat everywhere") for k in rare] + [(k, "a vile toad") for k in other[:8]] + [(k, f"a fine day for walk{k}") for k in other[8:]]
+    labels = spark.createDataFrame([(k, int(n < 16)) for n, (k, _) in enumerate(rows)], "doc_id long, toxic int")
+    docs = documents(spark, rows)
+    m = toxicity.train(docs, labels, F.lit(True), fit_rows=10)
+    slot = toxicity._slot(np.array([int.from_bytes(b" zorg", "little")], np.uint64), m.bits)
+    assert m.ready and m.count[1][slot][0] == 8 and m.count[0][slot][0] == 0
+    s = {r.doc_id: r.score for r in toxicity.score(docs.select("doc_id", "text"), m).collect()}
+    assert min(s[k] for k, _ in rows[:16]) > 0.5 > max(s[k] for k, _ in rows[16:])
