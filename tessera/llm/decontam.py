@@ -14,15 +14,19 @@ scan of the documents per block (a benchmark of a few thousand items is one
 block); a block is what a task holds.  Documents are scanned where they lie;
 nothing is shuffled.
 
-Edge cases: null or blank items and texts match nothing; items shorter than
-``min_item`` characters after normalisation are skipped (they would match
-ordinary prose); repeated item rows give one result each per item_id, the
+Items shorter than ``min_item`` characters after normalisation would match
+ordinary prose within a word or with an edit: they get floor(error_rate * n)
+edits (none under 13 characters) and a match must begin and end at the edge
+of a word.  In scripts written without spaces every letter is such an edge.
+
+Edge cases: null or blank items and texts match nothing; repeated item rows give one result each per item_id, the
 least distance; repeated documents give a row each; rows with null ids are
 compared like others; empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,12 +36,48 @@ from pyspark.sql import functions as F
 from .store import free
 
 ERROR_RATE, MIN_ITEM, BLOCK_CHARS = 0.08, 24, 8 << 20
+#: Thai to Myanmar, Khmer, kana, Han: no spaces between words
+UNSPACED = ((0x0E00, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF),
+            (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
 
 
 def normalised(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def joins(c: str) -> bool:
+    """Is ``c`` a letter, digit or mark of a script that parts words?"""
+    if not (c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M"):
+        return False
+    return not any(a <= ord(c) <= b for a, b in UNSPACED)
+
+
+def at_edge(text: str, i: int) -> bool:
+    return not 0 < i < len(text) or not (joins(text[i - 1]) and joins(text[i]))
+
+
+def edit_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def word_distance(text: str, at: int, item: str, k: int) -> int | None:
+    """Least distance up to k between the item and a stretch of whole words that begins at most k before or after ``at``."""
+    best = None
+    for a in range(max(0, at - k), at + k + 1):
+        if at_edge(text, a):
+            for b in range(max(a, a + len(item) - k), min(len(text), a + len(item) + k) + 1):
+                if at_edge(text, b):
+                    d = 0 if text[a:b] == item else edit_distance(item, text[a:b]) if k else k + 1
+                    if d <= k and (best is None or d < best):
+                        best = d
+    return best
+
+
 def edit_budget(n: int, rate: float = ERROR_RATE) -> int:
     return max(1, int(n * rate))
 
@@ -84,13 +124,14 @@ class Matcher:
 
     def __init__(self, items: list[tuple[object, str]], error_rate: float, min_item: int):
         import ahocorasick
+        self.min_item = min_item
         self.items: list[tuple[object, str, int, dict[str, int]]] = []
         at: dict[str, list[tuple[int, int]]] = {}
         for item_id, raw in items:
             item = normalised(raw)
-            if len(item) < min_item:
+            if not item:
                 continue
-            k = edit_budget(len(item), error_rate)
+            k = edit_budget(len(item), error_rate) if len(item) >= min_item else int(len(item) * error_rate)
             for off, piece in pieces(item, k):
                 at.setdefault(piece, []).append((len(self.items), off))
             self.items.append((item_id, item, k, masks(item)))
@@ -105,18 +146,24 @@ class Matcher:
         if not self.items or not text:
             return []
         norm = normalised(text)
+        best: dict[object, int] = {}
         windows: dict[int, list[list[int]]] = {}
         for end, (n, where) in self.automaton.iter(norm):
             for i, off in where:
-                _, item, k, _ = self.items[i]
+                item_id, item, k, peq = self.items[i]
                 a = end + 1 - n - off - k  # text that the whole item can take, with k insertions
                 b = a + len(item) + 2 * k
+                if len(item) < self.min_item:  # whole words only, beside each hit
+                    if best.get(item_id) != 0 and (not k or myers(peq, len(item), norm[max(0, a):b]) <= k):
+                        d = word_distance(norm, a + k, item, k)
+                        if d is not None:
+                            best[item_id] = min(d, best.get(item_id, d))
+                    continue
                 spans = windows.setdefault(i, [])
                 if spans and a <= spans[-1][1] and a >= spans[-1][0]:
                     spans[-1][1] = max(spans[-1][1], b)
                 else:
                     spans.append([a, b])
-        best: dict[object, int] = {}
         for i, spans in windows.items():
             item_id, item, k, peq = self.items[i]
             low = k + 1

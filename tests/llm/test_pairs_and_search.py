@@ -225,3 +225,13 @@ def test_decontamination_edges(spark):
     assert kept.columns == docs.columns and kept.count() == len(AWKWARD) - 2
     assert decontam.contaminated_pairs(docs, bench.limit(0)).count() == 0
     assert decontam.contaminated_pairs(documents(spark, []), bench).count() == 0
+
+
+def test_short_items_match_whole_words(spark):
+    items = [(1, "Who wrote Emma?"), (2, "首都はどこですか"), (3, "Pi"), (4, "What is DNA"), (5, "  ")]
+    docs = [(1, "Quiz: who  wrote emma? Austen"), (2, "問題：日本の首都はどこですか。"), (3, "a pi, a pie and spices"), (4, "spices only"),
+            (5, "somewhat is dna"), (6, "what is dna?"), (7, "who wrota emma? nobody"), (8, "what is dnas"), (9, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contaminated_pairs(documents(spark, docs), bench).collect()
+    assert {tuple(r) for r in got} == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (6, 4, 0), (7, 1, 1)}
+    assert {r.doc_id for r in decontam.clean_documents(documents(spark, docs), bench).collect()} == {4, 5, 8, 9}
