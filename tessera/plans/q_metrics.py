@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import ordering as O
 from ..sources import tables
 from ..streaming import metrics as M
+from ..session import cut_lineage
 from .catalog import register
 from .common import r6
 from .q_runlog import _status_col
@@ -174,10 +175,12 @@ def status_changes_stream(spark, sf_dir):
     p = e.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("polled_at"), "event_id",
                  _status_col().alias("status"))
     p = O.rank_within(p, ["job_id"], ["polled_at", "event_id"], "k")
+    p = cut_lineage(M.status_candidates(p))  # counted, cut and replayed
     d = M.new_run_dirs(spark, "status")
     M.replay(p, "polled_at", lambda part: part.write.mode("append").parquet(d["src"]),
              lambda: M.stream_status_changes(spark, d["src"], d["out"], d["ckpt"],
-                                             "job_id long, polled_at timestamp, event_id long, status string, k long"))
+                                             "job_id long, polled_at timestamp, event_id long, status string, k long"),
+             commit_rows=M.COMMIT_ROWS)
     out = spark.read.parquet(d["out"])
     return out.select("job_id", "k", F.col("polled_at").cast("timestamp_ntz").alias("polled_at"), "status",
                       "prev_status")

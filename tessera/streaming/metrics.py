@@ -15,7 +15,7 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -118,15 +118,19 @@ def write_points(points: DataFrame, path: str) -> None:
 
 
 COMMITS = 4
+COMMIT_ROWS = 1 << 20
 
 
-def replay(df: DataFrame, time_col: str, save, drain, commits: int = COMMITS) -> None:
+def replay(df: DataFrame, time_col: str, save, drain, commits: int = COMMITS, commit_rows: int | None = None) -> None:
     """Feed a stream the way a live writer and a scheduled reader do.
 
     ``df`` is cut into ``commits`` consecutive ranges of ``time_col``.  Each range is appended by ``save`` (as many
     tasks as the range has partitions) and then read to its end by ``drain``, the stream started with
     ``availableNow`` on its checkpoint.  A micro-batch is one whole commit, so the order of files within a commit
     does not matter and no row comes behind the watermark of an earlier commit.
+
+    With ``commit_rows``, a larger table is cut at quantiles of the time instead, into as many commits as keep each
+    to that many rows; rows of one instant stay together.
     """
     spark = df.sparkSession
     t = F.col(time_col).cast("double") if dict(df.dtypes)[time_col] in ("bigint", "int", "double") \
@@ -135,7 +139,16 @@ def replay(df: DataFrame, time_col: str, save, drain, commits: int = COMMITS) ->
     if lo is None:
         save(df)
         return drain()
-    bucket = F.coalesce(F.least(F.floor((t - F.lit(lo)) * commits / F.lit((hi - lo) or 1.0)), F.lit(commits - 1)).cast("int"), F.lit(0))
+    n = df.count() if commit_rows else 0
+    if commit_rows and n > commit_rows:
+        commits = max(commits, -(-2 * n // commit_rows))  # half full on average: quantiles are approximate
+        timed = df.select(t.alias("t")).where("t is not null")
+        cuts = sorted(set(timed.approxQuantile("t", [k / commits for k in range(1, commits)], 0.2 / commits)))
+        bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= t)), F.lit(0))
+        bucket = F.when(t.isNull(), 0).otherwise(bucket)
+        commits = len(cuts) + 1
+    else:
+        bucket = F.coalesce(F.least(F.floor((t - F.lit(lo)) * commits / F.lit((hi - lo) or 1.0)), F.lit(commits - 1)).cast("int"), F.lit(0))
     staged = scratch_path(spark, f"staged-{uuid.uuid4().hex}")
     df.withColumn("_commit", bucket).write.partitionBy("_commit").parquet(staged)  # computed once, for all commits
     table = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_commit", T.IntegerType())])).parquet(staged)
@@ -208,6 +221,21 @@ STATUS_OUT = "job_id long, k long, polled_at timestamp, status string, prev_stat
 STATUS_STATE = "last_status string, done boolean"
 
 
+STATUS_BLOCK = 4096
+
+
+def status_candidates(polls: DataFrame, block: int = STATUS_BLOCK) -> DataFrame:
+    """The polls (job_id, k, status, ...) that can be status changes, told within blocks of ``block`` ranks.
+
+    A poll goes if the poll before it in its block has the same status, or any before it in its block is terminal.
+    The first of a block stays, so changes and the previous status of each are those of all polls.
+    """
+    w = Window.partitionBy("job_id", F.floor((F.col("k") - 1) / block)).orderBy("k")
+    ended = F.max(F.col("status").isin(TERMINAL)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = polls.withColumn("_same", F.col("status") == F.lag("status").over(w)).withColumn("_ended", ended)
+    return marked.where(~F.coalesce("_same", F.lit(False)) & ~F.coalesce("_ended", F.lit(False))).drop("_same", "_ended")
+
+
 def status_change_fn(key, pdfs, state):
     """applyInPandasWithState: emit polls whose status changed, stop after a terminal status."""
     last, done = (state.get if state.exists else (None, False))

@@ -81,3 +81,23 @@ def test_status_changes_are_ordered_over_all_chunks_of_a_key():
         for out in M.status_change_fn((7,), iter([df.iloc[a:a + 30] for a in range(0, len(df), 30)]), state):
             got += out["k"].tolist()
     assert got == want
+
+
+def test_commits_are_bounded_by_rows_and_polls_reduced_to_candidates(spark):
+    from pyspark.sql import functions as F
+    from tessera.streaming import metrics as M
+    rows = spark.range(3000).select(F.when(F.col("id") < 2990, F.col("id")).otherwise(F.col("id") * 1000).alias("t"))  # nearly all in one range
+    sizes, seen = [], []
+
+    def save(part):
+        got = [r.t for r in part.collect()]
+        assert not seen or not got or min(got) > max(seen)
+        sizes.append(len(got))
+        seen.extend(got)
+    M.replay(rows, "t", save, lambda: None, commit_rows=500)
+    assert sum(sizes) == 3000 and max(sizes) <= 500
+    status = ["Running"] * 10 + [None, None] + ["Queued"] * 5 + ["Running", "Success", "Queued", "Success"] + ["Queued"] * 9
+    polls = spark.createDataFrame([(j, k + 1, s) for j in (1, None) for k, s in enumerate(status)], "job_id long, k long, status string")
+    got = sorted((r.k for r in M.status_candidates(polls, 8).where("job_id = 1").collect()))
+    assert got == [1, 9, 11, 12, 13, 17, 18, 19, 25]
+    assert M.status_candidates(polls, 8).count() == 2 * len(got)
