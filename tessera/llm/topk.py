@@ -16,7 +16,8 @@ piece are merged per query.  Pivots are a bounded, hash-chosen sample of
 rows; they decide speed, never results.
 
 Edge cases: vectors that are null, empty of components, hold null or
-non-finite components, or differ in length from the pivots' take no part,
+non-finite components, or differ in length from most (the longer of lengths
+equally frequent) take no part,
 neither do null ids; repeated rows are rows of their own, a repeated query id is one query (its least
 vector); a query leaves out every row with its own id; a query without other rows gives none; an empty table
 gives no rows; extra columns are not read.
@@ -83,12 +84,12 @@ def exact_top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_
                   .where("id is not null and v is not null"), "vectors")
     none = f"query_id long, rank int, {id_col} long, score long"
     # a bounded sample: the n_pivots rows with the smallest hash
-    sample = rows.orderBy(F.xxhash64("v"), "id").limit(n_pivots).collect()
-    if not sample:
+    common = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.col("count").desc(), F.col("size").desc()).first()
+    if common is None:
         return spark.createDataFrame([], none)
-    size = len(sample[0]["v"])
-    pivots = np.array([r["v"] for r in sample if len(r["v"]) == size], dtype=np.float64)
-    rows = rows.where(F.size("v") == size)
+    rows = rows.where(F.size("v") == common["size"])
+    sample = rows.orderBy(F.xxhash64("v"), "id").limit(n_pivots).collect()
+    pivots = np.array([r["v"] for r in sample], dtype=np.float64)
     n, n_q = rows.count(), rows.where("is_query").count()
     blocks, q_blocks = max(1, -(-n // row_block)), max(1, -(-n_q // query_block))
     block = lambda salt, many: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(many)).cast("int")

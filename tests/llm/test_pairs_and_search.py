@@ -235,3 +235,14 @@ def test_short_items_match_whole_words(spark):
     got = decontam.contaminated_pairs(documents(spark, docs), bench).collect()
     assert {tuple(r) for r in got} == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (6, 4, 0), (7, 1, 1)}
     assert {r.doc_id for r in decontam.clean_documents(documents(spark, docs), bench).collect()} == {4, 5, 8, 9}
+
+
+def test_the_most_frequent_length_is_searched(spark):
+    rows = [(k, [float(k), 1.0, 2.0]) for k in range(30)] + [(100 + k, [float(k)]) for k in range(8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    first = table.select("vec_id", topk.quantised(F.col("embedding")).alias("v")).orderBy(F.xxhash64("v"), "vec_id").collect()
+    odd = next(r.vec_id for r in first if len(r.v) == 1)
+    keep = [r.vec_id for r in first if len(r.v) == 3][-20:]  # hashed behind an odd row
+    assert [r.vec_id for r in first].index(odd) < [r.vec_id for r in first].index(keep[0])
+    got = topk.exact_top_k(table.where(F.col("vec_id").isin([odd, *keep])), F.lit(True), k=2)
+    assert {r.query_id for r in got.collect()} == set(keep)
