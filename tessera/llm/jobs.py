@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_ids, chat, decontam, langid, packing, secrets, simhash, substring, topk, toxicity
+from . import binary_ids, centroids, chat, decontam, langid, packing, secrets, simhash, substring, topk, toxicity, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,6 +132,89 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+@register
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with the totals of its subtree."""
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+ORACLES["op12_prefix_trie"] = """
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as r
+  from conversations where conv_id is not null
+), c as (
+  -- crc32 of the decimal conv_id, bit by bit: a byte is xored in (x >= 0), then eight shifts (x = -1)
+  select conv_id, conv_id - conv_id % 100 as base, xor(list_reduce(
+      list_concat([4294967295::bigint], flatten(list_transform(range(1, length(conv_id::varchar) + 1),
+        lambda i: list_concat([ascii(substr(conv_id::varchar, i, 1))::bigint], [-1, -1, -1, -1, -1, -1, -1, -1]::bigint[])))),
+      lambda s, x: case when x >= 0 then xor(s, x) else xor(s // 2, case when s % 2 = 1 then 3988292384::bigint else 0::bigint end) end), 4294967295::bigint) % 6 as h
+  from (select distinct conv_id from t)
+), s as (
+  select conv_id, r, role, text from (
+    select c.conv_id, t.r, t.role, t.text from c join t on t.conv_id = c.base and t.r <= c.h
+    union all
+    select c.conv_id, t.r + 1000000, t.role, t.text from c join t on t.conv_id = c.conv_id and t.r > c.h)
+), p as (
+  select c.conv_id, coalesce(list({'m': sha256(length(s.role) || ':' || s.role || s.text), 'n': length(s.text)} order by s.r) filter (where s.r is not null), []) as seq
+  from c left join s on s.conv_id = c.conv_id group by c.conv_id
+), m as (
+  select conv_id, len(seq) as size, unnest(range(0, len(seq) + 1)) as depth, seq from p
+), n as (
+  select depth, list_transform(seq[1:depth], lambda x: x.m) as path, min(conv_id) as conv_id, count(*) as n_convs,
+         max(case when depth > 0 then seq[depth].n else 0 end) as len,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where size = depth), '')) as ends_sha256
+  from m group by 1, 2
+), kids as (
+  select depth - 1 as depth, path[1:depth - 1] as path, count(*) as n_children from n where depth > 0 group by 1, 2
+), f as (
+  select n.*, coalesce(k.n_children, 0) as n_children, q.conv_id as parent_conv_id
+  from n left join kids k on k.depth = n.depth and k.path = n.path left join n q on q.depth = n.depth - 1 and q.path = n.path[1:n.depth - 1]
+)
+select a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, count(*) filter (where b.n_children = 0) as n_leaves,
+       cast(sum((b.n_convs - 1) * b.len) as bigint) as saved_tokens, a.ends_sha256
+from f a join f b on b.depth >= a.depth and b.path[1:a.depth] = a.path
+group by a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, a.ends_sha256
+"""
+
+
+@register
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its cluster after five rounds from forty hash-chosen centroids."""
+    return centroids.with_totals(*centroids.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+def _centroid_sql(rounds: int) -> str:
+    away = "list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} as (
+  select vec_id, e, least_at % 64 as c, least_at // 64 as distance
+  from (select v.vec_id, v.e, min({away} * 64 + c.c) as least_at from v cross join c{r} c group by v.vec_id, v.e))""")
+        if r < rounds:
+            steps.append(f"""m{r} as (
+  select c, list((s - ((s % n) + n) % n) // n order by i) as e
+  from (select c, i, sum(e[i])::hugeint as s, count(*) as n from a{r}, (select unnest(range(1, 65)) as i) group by c, i) group by c
+), c{r + 1} as (
+  select c.c, list_transform(coalesce(m.e, c.e), lambda x: x::bigint) as e from c{r} c left join m{r} m on m.c = c.c)""")
+    return f"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+  where len(embedding) = 64 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+), c0 as (
+  select row_number() over (order by sha256('2:' || vec_id::varchar)) - 1 as c, e from v qualify c < 40
+), {", ".join(steps)}, g as (
+  select c, sum(distance) as s from a{rounds} group by c
+)
+select a.vec_id, cast(a.c as integer) as cluster, cast(a.distance as bigint) as distance, cast(g.s as bigint) as cluster_inertia,
+       cast((select sum(s) from g) as bigint) as inertia, sha256(array_to_string(k.e, ',')) as centroid_sha256
+from a{rounds} a join g on g.c = a.c join c{rounds} k on k.c = a.c
+"""
+
+
+ORACLES["op13_centroid_clusters"] = _centroid_sql(centroids.ROUNDS)
+
+
 @register
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline: all stages over documents."""

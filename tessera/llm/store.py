@@ -2,7 +2,8 @@
 
 A written table cuts lineage: it survives lost executors, is computed once
 and read back with column pruning.  Nothing here touches a machine-local
-folder; the folder is whatever file system the cluster names.
+folder; the folder is whatever file system the cluster names.  The tables go
+when the application ends.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
