@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_ids, centroids, chat, decontam, langid, packing, secrets, simhash, substring, topk, toxicity, trie
+from . import binary_ids, centroids, chat, decontam, jaccard, langid, packing, secrets, simhash, substring, topk, toxicity, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,6 +132,31 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+@register
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set and the component of documents that links of similarity 0.8 connect."""
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLES["op11_jaccard_join"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select doc_id, case when len(w) = 0 then []
+    else list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w
+), e as (
+  select doc_id, len(s) as n, unnest(s) as x from s
+), l as (
+  select a.doc_id as a, b.doc_id as b from e a join e b on a.x = b.x and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id having 100 * count(*) >= 80 * (min(a.n) + min(b.n) - count(*))
+), r as (
+  select a, b from l union select r.a, l.b from r join l on r.b = l.a
+)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) as component_id
+from s left join r on r.a = s.doc_id group by s.doc_id, len(s.s)
+"""
+
+
 @register
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations, with the totals of its subtree."""

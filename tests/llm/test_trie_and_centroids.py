@@ -83,8 +83,12 @@ def test_trie_of_a_comb_and_of_copies(spark):
 def test_trie_of_a_long_conversation(spark):
     rows = [(3, t, "user", f"w{t % 7}") for t in range(9000)] + [(4, t, "user", f"w{t % 7}") for t in range(5000)]
     got = {(r[0], r[1]): r for r in trie_rows(spark, rows)}
-    assert len(got) == 1 + 9000 - zlib.crc32(b"3") % 6 + 5000 - zlib.crc32(b"4") % 6 or len(got) >= 9000 - 5
-    assert got[(3, 0)][3] == 2 and got[(3, 0)][5] in (1, 2)
+    h = {c: zlib.crc32(str(c).encode()) % 6 for c in (3, 4)}
+    seqs = {c: [f"w{t % 7}" for t in range(h[c], n)] for c, n in ((3, 9000), (4, 5000))}
+    shared = next((k for k, (a, b) in enumerate(zip(seqs[3], seqs[4])) if a != b), min(map(len, seqs.values())))
+    assert len(got) == 1 + len(seqs[3]) + len(seqs[4]) - shared
+    assert got[(3, 0)][2:7] == (None, 2, 1 if shared else 2, 1 if shared == len(seqs[4]) else 2, 2 * shared)
+    assert got[(3, 8000)][2:] == (3, 1, 1, 1, 0, sha(""))
 
 
 def test_trie_without_rows(spark):
