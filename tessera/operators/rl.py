@@ -10,12 +10,11 @@ split a hot group.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .joins import null_safe_join
+from .scan import FOLD, fold_back
 
 # ---- fixed values (defaults of the reference) ----
 DPO_BETA = 0.1
@@ -167,11 +166,8 @@ def best_worst_pairs(scored: DataFrame, group: list[str], score: str = "reward",
 
 # ------------------------------------------------------------------ GAE
 
-GAE_CHUNK = 4096
-
-
 def gae(steps: DataFrame, last_values: DataFrame | None = None, gamma: float = GAE_GAMMA,
-        lam: float = GAE_LAMBDA, traj: str = "traj_id", t: str = "t", chunk: int = GAE_CHUNK) -> DataFrame:
+        lam: float = GAE_LAMBDA, traj: str = "traj_id", t: str = "t", chunk: int = FOLD) -> DataFrame:
     """Generalised advantage estimation per trajectory.
 
     steps: (traj_id, t, reward, v, death) with t = 0..T-1 dense per trajectory;
@@ -180,80 +176,22 @@ def gae(steps: DataFrame, last_values: DataFrame | None = None, gamma: float = G
         delta_t = r_t + gamma (1 - d_t) V_{t+1} - V_t
         A_t     = delta_t + gamma lam (1 - d_t) A_{t+1},   A_T = 0,   R_t = A_t + V_t
 
-    Plan (no group larger than ``chunk`` rows, whatever the trajectory length):
-      1. V_{t+1} by an equi-join on (traj, t + 1): the key is unique, so a long
-         trajectory does not skew it.  delta is a JVM column expression.
-      2. Steps are cut into chunks of ``chunk`` steps, hash-partitioned by
-         (traj, chunk) and sorted by t descending inside each partition; one
-         ``mapInPandas`` pass runs the backward recurrence (A = 0 after each
-         chunk, in the reference's operation order) and the carry factor
-         f_t = prod_{k>=t in chunk} gamma lam (1 - d_k).  The result is
-         checkpointed: it is read twice below.
-      3. The chunk carries A_start(j) = a_j + f_j A_start(j+1) form a recurrence
-         over T / chunk rows per trajectory, again a sorted ``mapInPandas`` pass.
-      4. A_t = a_t + f_t A_start(next chunk).  A trajectory within one chunk gets
-         exactly the sequential result; longer ones differ by rounding only.
+    Each step is the affine map A -> delta + f A; maps compose in blocks of ``chunk`` steps and blocks of blocks
+    (``scan.fold_back``), so a trajectory of any length is many small tasks and nothing leaves the JVM.  V_{t+1}
+    stands in the same block, or comes with the first step of the next one.  Inside a block the operations are
+    those of the recursion, in its order.
     """
     x = gamma * lam
-    s = steps.select(traj, t, F.col("reward").cast("double").alias("r"), F.col("v").cast("double").alias("v"),
-                     F.col("death").cast("int").alias("d"))
-    nxt = s.select(traj, (F.col(t) - 1).alias(t), F.col("v").alias("v_next"))
-    s = null_safe_join(s, nxt, [traj, t], "left")
+    s = steps.select(traj, t, F.col("reward").cast("double").alias("r"), F.col("v").cast("double").alias("v"), F.col("death").cast("int").alias("d"))
+
+    def step(e: Column, following: Column) -> tuple[Column, Column]:
+        delta = e["r"] + F.lit(gamma) * (1 - e["d"]) * F.coalesce(following["v"], F.lit(0.0)) - e["v"]
+        return delta, F.lit(x) * (1 - e["d"])
+    after = None
     if last_values is not None:
-        s = null_safe_join(s, last_values.select(traj, F.col("v_final").cast("double")), [traj], "left")
-        vnext = F.coalesce(F.col("v_next"), F.col("v_final"), F.lit(0.0))
-    else:
-        vnext = F.coalesce(F.col("v_next"), F.lit(0.0))
-    ttype = dict(steps.dtypes)[traj]
-    # pandas would turn a null id into a float; it travels as a flag beside a stand-in value
-    s = (s.withColumn("delta", F.col("r") + F.lit(gamma) * (1 - F.col("d")) * vnext - F.col("v"))
-         .withColumn("chunk", F.floor(F.col(t) / chunk))
-         .select(F.col(traj).isNull().alias("no_id"), F.coalesce(F.col(traj), F.lit("0").cast(ttype)).alias(traj), t, "chunk", "delta", "d", "v"))
-    t_type = dict(steps.dtypes)[t]
-    n_parts = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def fold(batches):
-        # rows arrive sorted by (traj, chunk, t desc); state carries across Arrow batches
-        key, acc, fac = None, 0.0, 1.0
-        for pdf in batches:
-            no, tr, ch = pdf["no_id"].to_numpy(), pdf[traj].to_numpy(), pdf["chunk"].to_numpy()
-            delta, d = pdf["delta"].tolist(), pdf["d"].tolist()  # plain numbers, cheaper in a loop than numpy scalars
-            n = len(pdf)
-            a_loc, f = [0.0] * n, [0.0] * n
-            for i, k in enumerate(zip(no.tolist(), tr.tolist(), ch.tolist())):
-                if k != key:
-                    key, acc, fac = k, 0.0, 1.0
-                acc = delta[i] + x * (1 - d[i]) * acc
-                fac = x * (1 - d[i]) * fac
-                a_loc[i], f[i] = acc, fac
-            yield pd.DataFrame({"no_id": no, traj: tr, t: pdf[t].to_numpy(), "chunk": ch, "a_local": a_loc, "f": f,
-                                "v": pdf["v"].to_numpy()})
-
-    ordered = s.repartition(n_parts, "no_id", traj, "chunk").sortWithinPartitions("no_id", traj, "chunk", F.col(t).desc())
-    local = cut_lineage(ordered.mapInPandas(
-        fold, schema=f"no_id boolean, {traj} {ttype}, {t} {t_type}, chunk long, a_local double, f double, v double"))
-    summ = local.where(F.col(t) == F.col("chunk") * chunk).select("no_id", traj, "chunk", "a_local", "f")
-
-    def carry(batches):
-        # chunk summaries sorted by (traj, chunk desc): A_start(j) = a_j + f_j A_start(j + 1)
-        key, nxt_val = None, 0.0
-        for pdf in batches:
-            no, tr, ch = pdf["no_id"].to_numpy(), pdf[traj].to_numpy(), pdf["chunk"].to_numpy()
-            a, g = pdf["a_local"].to_numpy(), pdf["f"].to_numpy()
-            start = [0.0] * len(pdf)
-            for i in range(len(pdf)):
-                if (no[i], tr[i]) != key:
-                    key, nxt_val = (no[i], tr[i]), 0.0
-                nxt_val = a[i] + g[i] * nxt_val
-                start[i] = nxt_val
-            yield pd.DataFrame({"no_id": no, traj: tr, "chunk": ch - 1, "a_next_chunk": start})
-
-    carried = (summ.repartition(n_parts, "no_id", traj).sortWithinPartitions("no_id", traj, F.col("chunk").desc())
-               .mapInPandas(carry, schema=f"no_id boolean, {traj} {ttype}, chunk long, a_next_chunk double"))
-    out = local.join(carried, ["no_id", traj, "chunk"], "left")
-    adv = F.when(F.col("a_next_chunk").isNull(), F.col("a_local")) \
-        .otherwise(F.col("a_local") + F.col("f") * F.col("a_next_chunk"))
-    return out.select(F.when(~F.col("no_id"), F.col(traj)).alias(traj), t, adv.alias("advantage"), (adv + F.col("v")).alias("ret"))
+        after = last_values.select(traj, F.lit(None).cast("double").alias("r"), F.col("v_final").cast("double").alias("v"), F.lit(None).cast("int").alias("d"))
+    return fold_back(s, [traj], t, step, ["r", "v", "d"], after, "advantage", chunk, keep=["v"]).withColumn("ret", F.col("advantage") + F.col("v")) \
+        .select(traj, t, "advantage", "ret")
 
 
 def score_completions(df: DataFrame, text: str = "text", reward=None, out: str = "reward") -> DataFrame:

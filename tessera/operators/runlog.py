@@ -1,11 +1,7 @@
 """Training-log and evaluation summaries.
 
-A log is a long table (run_id, step, ...).  Running and moving statistics
-are computed without a window over a whole run: steps are cut into blocks
-of ``BLOCK`` rows; a window runs inside each block (bounded partition) and
-per-block totals, a table of steps / BLOCK rows, supply the offsets.  A
-moving window of w rows copies the last w - 1 rows of a block into the next
-block (a halo), so every frame is complete inside one block.
+A log is a long table (run_id, step, ...).  Running and moving statistics and
+previous rows come from ``scan``: no window and no join over a whole run.
 """
 
 from __future__ import annotations
@@ -14,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import null_safe_join
-
-BLOCK = 4096
+from .scan import moving_sums, prefix_sums, with_previous
 
 # ---- fixed values (must equal the reference's) ----
 SMOOTH_WINDOW = 10
@@ -25,45 +20,6 @@ TERMINAL_STATUS = ["Success", "Failed", "Terminated"]
 # ---------------------------------------------------
 
 
-def prefix_sums(df: DataFrame, group: list[str], idx: str, cols: dict[str, Column],
-                block: int = BLOCK) -> DataFrame:
-    """Add inclusive running sums ``name`` of each expression in ``cols`` along ``idx`` within ``group``.
-
-    idx must be dense (1, 2, 3, ... or 0, 1, 2, ...) per group.
-    """
-    b = F.floor(F.col(idx) / block)
-    base = df.withColumn("_b", b)
-    for name, c in cols.items():
-        base = base.withColumn(f"_v_{name}", c)
-    wl = Window.partitionBy(*group, "_b").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-    local = base
-    for name in cols:
-        local = local.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(wl))
-    tot = base.groupBy(*group, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in cols])
-    wo = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*group, "_b", *[F.sum(f"_t_{n}").over(wo).alias(f"_o_{n}") for n in cols])
-    out = null_safe_join(local, off, [*group, "_b"], "left")
-    for name in cols:
-        out = out.withColumn(name, F.when(F.col(f"_o_{name}").isNull(), F.col(f"_l_{name}"))
-                             .otherwise(F.col(f"_o_{name}") + F.col(f"_l_{name}")))
-    drop = ["_b"] + [f"_{p}_{n}" for n in cols for p in ("v", "l", "o")]
-    return out.drop(*drop)
-
-
-def moving_sums(df: DataFrame, group: list[str], idx: str, col: str, width: int,
-                block: int = BLOCK) -> DataFrame:
-    """Add ``mov_sum`` and ``mov_n``: sum / count of ``col`` over the last ``width`` rows (inclusive)."""
-    assert width <= block
-    b = F.floor(F.col(idx) / block)
-    own = df.withColumn("_b", b).withColumn("_halo", F.lit(False))
-    halo = (df.where(F.col(idx) - F.floor(F.col(idx) / block) * block >= block - (width - 1))
-            .withColumn("_b", b + 1).withColumn("_halo", F.lit(True)))
-    w = Window.partitionBy(*group, "_b").orderBy(idx).rowsBetween(-(width - 1), 0)
-    u = own.unionByName(halo)
-    return (u.withColumn("mov_sum", F.sum(col).over(w)).withColumn("mov_n", F.count(col).over(w))
-            .where(~F.col("_halo")).drop("_b", "_halo"))
-
-
 def smooth_loss(log: DataFrame, mode: str = "reference", run: str = "run_id", step_idx: str = "pos",
                 loss: str = "train_loss") -> DataFrame:
     """Moving average of the loss, only for runs with at least 10 points.
@@ -131,12 +87,10 @@ def curriculum(episodes: DataFrame, run: str, idx: str, mean_reward: str) -> Dat
 def status_changes(polls: DataFrame, job: str, k: str, status: str) -> DataFrame:
     """Polls whose status differs from the previous poll, up to the first terminal status.
 
-    The previous poll comes from an equi-join on (job, k - 1) -- unique keys,
-    so a job with many polls does not skew it; the first terminal poll per
+    The previous poll comes with the block's halo (``scan.with_previous``); the first terminal poll per
     job is an algebraic min.
     """
-    prev = polls.select(job, (F.col(k) + 1).alias(k), F.col(status).alias("prev_status"))
-    p = null_safe_join(polls, prev, [job, k], "left")
+    p = with_previous(polls, [job], k, {status: "prev_status"})
     term = polls.where(F.col(status).isin(*TERMINAL_STATUS)).groupBy(job).agg(F.min(k).alias("_end"))
     p = null_safe_join(p, term, [job], "left")
     return (p.where((F.col("_end").isNull() | (F.col(k) <= F.col("_end")))

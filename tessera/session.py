@@ -30,6 +30,8 @@ _BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # checkpoint files of DataFrames that are no longer referenced are removed by the context cleaner
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Texts may be long: a batch for Python is bounded in bytes, not only in rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     # ANSI mode would turn a bad cast in a malformed corpus row into a
     # failed job; corpus jobs must be total, so bad values become null.
     "spark.sql.ansi.enabled": "false",
@@ -54,7 +56,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply session-level settings to a session someone else built."""
-    for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+    for k in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.ansi.enabled"):
         spark.conf.set(k, _BASE_CONF[k])
     ensure_checkpoint_dir(spark)
     ship_package(spark)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import runlog as RL
+from tessera.operators import scan
 
 
 # losses 10, 20, 30, ...: smoothed values by hand
@@ -25,13 +26,13 @@ def test_smooth_loss(spark, mode, n):
 def test_moving_sums_cross_blocks(spark):
     xs = list(range(50))
     df = spark.createDataFrame([("r", k, float(x)) for k, x in enumerate(xs)], "run_id string, pos long, x double")
-    got = [r.mov_sum for r in RL.moving_sums(df, ["run_id"], "pos", "x", 4, block=8).orderBy("pos").collect()]
+    got = [r.mov_sum for r in scan.moving_sums(df, ["run_id"], "pos", "x", 4, block=8).orderBy("pos").collect()]
     assert got == [float(sum(xs[max(0, i - 3):i + 1])) for i in range(50)]
 
 
 def test_prefix_sums_cross_blocks(spark):
     df = spark.createDataFrame([(g, k, float(k)) for g in ("a", "b") for k in range(1, 40)], "g string, i long, x double")
-    out = RL.prefix_sums(df, ["g"], "i", {"cs": F.col("x")}, block=5).orderBy("g", "i").collect()
+    out = scan.prefix_sums(df, ["g"], "i", {"cs": F.col("x")}, block=5).orderBy("g", "i").collect()
     assert [r.cs for r in out if r.g == "a"] == [float(sum(range(1, k + 1))) for k in range(1, 40)]
 
 
@@ -62,7 +63,7 @@ def test_first_last_and_best_checkpoint(spark):
 def test_null_groups_are_groups(spark):
     rows = [(g, e, k, float(k)) for g in (None, 1) for e in (None, 2) for k in range(1, 13)]
     df = spark.createDataFrame(rows, "run_id int, epoch int, pos long, x double")
-    out = RL.prefix_sums(df, ["run_id", "epoch"], "pos", {"cs": F.col("x")}, block=5).collect()
+    out = scan.prefix_sums(df, ["run_id", "epoch"], "pos", {"cs": F.col("x")}, block=5).collect()
     assert len(out) == 48 and all(r.cs == r.pos * (r.pos + 1) / 2 for r in out)
     steps = RL.optimizer_steps(df, "run_id", "epoch", "pos", 4).collect()
     assert len(steps) == 48 and sorted({r.opt_step for r in steps if r.run_id is None}) == [1, 2, 3, 4, 5, 6]
