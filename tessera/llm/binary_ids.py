@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .store import partitions, table_path
 from .tokens import END_ID, batch_ids, default_path
+from .worker import tidy
 
 BLOCK_IDS = 1 << 16
 _WIDTH = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
@@ -66,6 +67,7 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def id_counts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(id, n) over all texts; a task sends one row per id it met."""
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << 16, np.int64)
         for b in batches:
@@ -90,6 +92,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_
     spark.createDataFrame([(r["id"], k) for k, r in enumerate(order)], "id long, rank long").coalesce(1) \
         .write.parquet(f"{out}/ranks")
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, block, before = TaskContext.get().partitionId(), 0, 0
@@ -153,6 +156,7 @@ def _decoded(spark: SparkSession, out: str, schema: str, last) -> DataFrame:
     kind = pa.binary() if schema.endswith("binary") else pa.int64()
     names = [x.split()[0] for x in schema.split(", ")]
 
+    @tidy
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):  # a block a row

@@ -27,13 +27,15 @@ compared like others; empty tables give no rows; extra columns are not read.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import free
+from .store import broadcast, free
+from .worker import held, tidy
 
 ERROR_RATE, MIN_ITEM, BLOCK_CHARS = 0.08, 24, 8 << 20
 #: Thai to Myanmar, Khmer, kana, Han: no spaces between words
@@ -191,10 +193,11 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, error_rate: float
     out = None
     for block in _blocks(benchmark, "item_id", block_chars):
         items = [(r["item_id"], r["text"]) for r in block.select("item_id", "text").collect()]  # about block_chars characters
-        held = docs.sparkSession.sparkContext.broadcast(items)
+        sent, token = broadcast(docs.sparkSession, items), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value, error_rate, min_item)
+        @tidy
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, token=token) -> Iterator[pa.RecordBatch]:
+            matcher = held(("matcher", token), lambda: Matcher(sent.value, error_rate, min_item))
             for b in batches:
                 rows = [(d, i, n) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for i, n in matcher.find(t.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
@@ -211,11 +214,12 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, error_rate: float = E
     out = docs
     for block in _blocks(benchmark, "item_id", block_chars):
         items = [(r["item_id"], r["text"]) for r in block.select("item_id", "text").collect()]
-        held = docs.sparkSession.sparkContext.broadcast(items)
+        sent, token = broadcast(docs.sparkSession, items), uuid.uuid4().hex
         (name,) = free(out.columns, "scanned_text")
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value, error_rate, min_item)
+        @tidy
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, token=token) -> Iterator[pa.RecordBatch]:
+            matcher = held(("matcher", token), lambda: Matcher(sent.value, error_rate, min_item))
             for b in batches:
                 keep = pa.array([not matcher.find(t.as_py()) for t in b.column(b.num_columns - 1)], pa.bool_())
                 yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(keep)

@@ -51,6 +51,7 @@ from pyspark.sql import functions as F
 from .simhash import components
 from .store import partitions, stored
 from .words import hash_words, mix, text_slices, word_bounds
+from .worker import tidy
 
 SHINGLE, PERCENT = 5, 80
 CHUNK_WORDS = 2 << 20
@@ -170,6 +171,7 @@ def _chunk_rows(chunk: int, s: np.ndarray, n: np.ndarray, ids: np.ndarray, bucke
 
 def prefix_rows(docs: DataFrame, buckets: int, shingle: int, percent: int, chunk_words: int) -> DataFrame:
     """Packed prefix elements of all (doc_id, text)."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -193,6 +195,7 @@ def prefix_rows(docs: DataFrame, buckets: int, shingle: int, percent: int, chunk
 
 def shared_elements(rows: DataFrame) -> DataFrame:
     """Headers, and for each chunk the documents of its elements that another chunk has (once per element)."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
 
@@ -249,6 +252,7 @@ def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
 
 def class_sets(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(rep, k1, k2, n, band, s, bits, bits_below) of every possible class, read again from its representative's text."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, k1, k2 = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3))
@@ -282,6 +286,7 @@ def prefix_entries(sets: DataFrame, percent: int) -> DataFrame:
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of those pairs of representatives that have linked sets; bit counts first, then sorted arrays."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -337,6 +342,7 @@ def tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
             lag += 1
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
         for b in batches:
@@ -412,6 +418,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
 def sizes_only(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, n_shingles, null) of rows that take no part."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, _, n in shingle_sets(b.column(1), shingle):

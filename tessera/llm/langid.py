@@ -37,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import free
+from .store import broadcast, free
 from .words import Memo, grown, hash_words, mix, text_slices, word_bounds
+from .worker import held, tidy
 
 ALPHA = 0.5
 PIECE_BYTES = 8
-MEMO_ROWS = 1 << 22
+MEMO_ROWS = 1 << 20
 MIN_SCORE = 0.5
 UND = "und"
 
@@ -153,15 +154,6 @@ def forward(pieces: Pieces, p: np.ndarray, words: WordTable) -> np.ndarray:
     return out
 
 
-_WORKER: dict[object, object] = {}
-
-
-def worker_pieces(path: str) -> Pieces:
-    if ("pieces", path) not in _WORKER:
-        _WORKER[("pieces", path)] = Pieces(path)
-    return _WORKER[("pieces", path)]
-
-
 def _words(buf: np.ndarray, off: np.ndarray):
     low = LOWER[buf]
     starts, ends, ptr = word_bounds(low, off, NON_LETTER)
@@ -170,8 +162,9 @@ def _words(buf: np.ndarray, off: np.ndarray):
 
 def piece_counts(docs: DataFrame, path: str) -> DataFrame:
     """(lang, piece, n): occurrences of every piece in the texts of every language."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = worker_pieces(path)
+        vocab = held(("pieces", path), lambda: Pieces(path))
         names: dict[str, int] = {}
         total: list[np.ndarray] = []
         memo = Memo(20)
@@ -258,8 +251,8 @@ class Scorer:
     """Word log-probabilities of one model, memoised in a worker."""
 
     def __init__(self, model: Model):
-        self.model, self.pieces = model, worker_pieces(model.path)
-        self.memo = Memo(22)
+        self.model, self.pieces = model, Pieces(model.path)
+        self.memo = Memo(21)
         self.logp = np.zeros((1 << 16, len(model.langs)), np.float32)
 
     def predict(self, col: pa.Array) -> tuple[list[str], list[float]]:
@@ -297,22 +290,16 @@ class Scorer:
         return names, scores
 
 
-def worker_scorer(model: Model) -> Scorer:
-    held = _WORKER.get("scorer")
-    if held is None or held.model.key != model.key:
-        held = _WORKER["scorer"] = Scorer(model)
-    return held
-
-
 def predict(docs: DataFrame, model: Model, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """``docs`` with a predicted language and its score, from the text alone."""
     if not model.langs:
         return docs.withColumn(lang_col, F.lit(UND)).withColumn(score_col, F.lit(0.0))
     (name,) = free(docs.columns, "langid_text")
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    sent = broadcast(docs.sparkSession, model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = worker_scorer(held.value)
+        scorer = held(("language", sent.value.key), lambda: Scorer(sent.value))
         for b in batches:
             lang, score = scorer.predict(b.column(b.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())],

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .store import stored
 from .tokens import END_ID, batch_ids, default_path
+from .worker import tidy
 
 SEQ_LEN = 4096
 CELL_PIECES = 40_000
@@ -45,6 +46,7 @@ def pieces(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN, end
     path = path or default_path()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc_ids = b.column(0).to_numpy(zero_copy_only=False) if not b.column(0).null_count else np.array(b.column(0).to_pylist(), object)

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import free, quoted, stored
+from .worker import tidy
 
 KINDS = ("assign", "access", "hex", "live")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -86,6 +87,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("owner", pa.string()), ("repository", pa.string()),
                         ("spans", pa.list_(_SPAN)), ("base_sha256", pa.string())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         row = TaskContext.get().partitionId() << 33

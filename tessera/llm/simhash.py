@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import free, stored
+from .worker import tidy
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 
@@ -64,6 +65,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = pc.fill_null(b.column(1).cast(pa.large_string()), "").cast(pa.large_binary())
@@ -140,12 +142,14 @@ def hex16(fp: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row for each component: the smallest doc_id (of repeated rows of that id, one).
+    """``docs`` with one document for each component: the smallest doc_id.
 
+    Of rows that repeat both its doc_id and its text, one stays; other texts under that doc_id stay.
     Rows with a null doc_id belong to no component and stay.
     """
     names = near_duplicates(docs.select("doc_id", "text"), shingle, max_bits)
-    (k,) = free(docs.columns, "kept_id")
+    k, t = free(docs.columns, "kept_id", "kept_text")
     kept = names.where("doc_id = component_id").select(F.col("doc_id").alias(k)).distinct()
-    own = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id").cast("long") == F.col(k), "left_semi").dropDuplicates(["doc_id"])
+    own = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id").cast("long") == F.col(k), "left_semi")
+    own = own.withColumn(t, F.xxhash64("text")).dropDuplicates(["doc_id", t]).drop(t)
     return own.unionByName(docs.where(F.col("doc_id").isNull()))

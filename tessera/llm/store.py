@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
@@ -27,6 +28,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SENT: list[Broadcast] = []
+
+
+def broadcast(spark: SparkSession, value: object) -> Broadcast:
+    """``value`` sent to the tasks; ``release_broadcasts`` takes it off the executors again."""
+    _SENT.append(spark.sparkContext.broadcast(value))
+    return _SENT[-1]
+
+
+def release_broadcasts() -> None:
+    """Take what was sent so far off the executors, for use when its results are written; whoever still needs it is sent it anew."""
+    while _SENT:
+        _SENT.pop().unpersist()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 
 from .store import partitions, stored
 from .words import hash_words, mix, text_slices, word_bounds
+from .worker import tidy
 
 WINDOW = 50
 CHUNK_WORDS = 2 << 20
@@ -178,6 +179,7 @@ def anchor_rows(docs: DataFrame, block: int, buckets: int) -> DataFrame:
                 rows.append(_row(k, kind, chunk, len(x).to_bytes(8, "little") + r[x].astype("<u4").tobytes() + planes(at[x].astype(np.int64), 4)))
         return rows
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _Chunks(flush)
         for b in batches:
@@ -196,6 +198,7 @@ def _read(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def match_anchors(rows: DataFrame) -> DataFrame:
     """Step 2: stream the probes of each bucket past its blocks."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blocks, index, flags = None, [], None, None
 
@@ -322,6 +325,7 @@ def window_rows(some: DataFrame, window: int, buckets: int) -> DataFrame:
                              + planes(doc[x].astype(np.int64), 8) + planes(at[x].astype(np.int64), 4)))
         return rows
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _Chunks(flush)
         for b in batches:
@@ -336,6 +340,7 @@ def window_rows(some: DataFrame, window: int, buckets: int) -> DataFrame:
 
 def match_windows(rows: DataFrame) -> DataFrame:
     """Step 3: places of windows that a smaller document of another chunk has."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
 
@@ -389,6 +394,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     spans = spans_by_document(hits, window - block, window)
     joined = table.join(spans, ["doc_id", "text_key"], "left")
 
+    @tidy
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, sha, kept = [], [], []
@@ -422,6 +428,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     joined = done.where("spans is not null").drop("spans").join(removals, ["doc_id", "text_key"], "left")
     schema = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []

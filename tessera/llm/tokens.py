@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 
 from .words import Memo, grown, hash_words, text_slices, word_bounds
+from .worker import held
 
 END_ID = 1
-POOL_IDS = 32 << 20  # ids kept by the memo
+MEMO_WORDS, POOL_IDS = 1 << 20, 4 << 20  # words and ids kept by the memo: some 40 MB
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _BYTE_CHARS: list[str] = []
 
@@ -47,7 +48,7 @@ class WordIds:
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
-        self.memo = Memo()
+        self.memo = Memo(21)
         self.marks: dict[str, list[int]] = {}
         self._reset()
 
@@ -101,7 +102,7 @@ class WordIds:
 
     def ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, number of ids of each word)."""
-        if self.used > POOL_IDS:
+        if self.used > POOL_IDS or self.memo.rows > MEMO_WORDS:
             self._reset()
         h = hash_words(buf, starts, ends)
         row = self.memo.find(h)
@@ -119,14 +120,8 @@ class WordIds:
         return self.pool[where], n
 
 
-_WORKER: dict[str, WordIds] = {}
-
-
 def worker_ids(path: str) -> WordIds:
-    if path not in _WORKER:
-        _WORKER.clear()
-        _WORKER[path] = WordIds(path)
-    return _WORKER[path]
+    return held(("ids", path), lambda: WordIds(path))
 
 
 def batch_ids(col: pa.Array, path: str, end_id: int = END_ID):

@@ -43,15 +43,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .langid import LOWER, WordTable
-from .store import free, stored
+from .store import broadcast, free, stored
 from .words import NON_WORD, Memo, grown, hash_words, mix, text_slices, word_bounds
+from .worker import held, tidy
 
 ORDER = 5
 DISCOUNT = 0.75
 SLOT_BITS = 64  # fewer would let n-grams share entries
 FIT_ROWS, FIT_FOLDS = 20_000, 4
 CLEAR = 1.0  # log-likelihood ratio per letter
-MEMO_ROWS = 1 << 22
+MEMO_ROWS = 1 << 20
 THRESHOLD = 0.7
 _WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"
 
@@ -87,6 +88,7 @@ def _slices(col: pa.Array):
 
 def gram_counts(rows: DataFrame) -> DataFrame:
     """(key, size, n0, n1): counts of every n-gram in the ordinary and toxic texts of (text, label)."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, ...]] = []
         held = 0
@@ -246,12 +248,9 @@ def word_ratios(m: Model, table: WordTable) -> np.ndarray:
     return out
 
 
-_WORKER: dict[str, object] = {}
-
-
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.memo = model, Memo(22)
+        self.model, self.memo = model, Memo(21)
         self.ratio = np.zeros(1 << 16, np.float32)
 
     def features(self, col: pa.Array) -> np.ndarray:
@@ -286,21 +285,15 @@ class Scorer:
         return np.concatenate(out) if out else np.zeros((0, 3))
 
 
-def worker_scorer(model: Model) -> Scorer:
-    held = _WORKER.get("scorer")
-    if held is None or held.model.key != model.key:
-        held = _WORKER["scorer"] = Scorer(model)
-    return held
-
-
 def features(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
     """``docs`` with the three features under ``names``."""
     from pyspark.sql import types as T
     (text,) = free(docs.columns, "toxicity_text")
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    sent = broadcast(docs.sparkSession, model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = worker_scorer(held.value)
+        scorer = held(("toxicity", sent.value.key), lambda: Scorer(sent.value))
         for b in batches:
             f = scorer.features(b.column(b.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(f[:, k]) for k in range(3))], names=[*b.schema.names[:-1], *names])

@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import rank_within
-from ..operators.runlog import prefix_sums
+from ..operators.scan import prefix_sums
 from .store import partitions, stored
 
 FAN = 4096

@@ -20,14 +20,14 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(jobs.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     rel = con.sql(jobs.ORACLES[name])
     df = jobs.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     assert cols == sorted(rel.columns)
     pick = [rel.columns.index(c) for c in cols]
-    assert sorted(tuple(r) for r in df.select(*cols).collect()) == sorted(tuple(r[k] for k in pick) for r in rel.fetchall())
+    assert sorted((tuple(r) for r in df.select(*cols).collect()), key=repr) == sorted((tuple(r[k] for k in pick) for r in rel.fetchall()), key=repr)
 
 
 def chats(spark, rows):
