@@ -10,8 +10,8 @@ Edge cases, by stage (see the operators for more):
 * language: null texts and texts without a letter, and texts whose best
   language has a score under one half, go; a model needs rows with ``lang``,
   without any no document can be identified and all go.
-* near_duplicates: empty texts do not reach it; repeated doc_ids leave one
-  row; rows with a null doc_id stay.
+* near_duplicates: empty texts do not reach it; rows that repeat a
+  doc_id and its text leave one; rows with a null doc_id stay.
 * decontamination: an empty benchmark keeps every row.
 * secrets: no row goes; values are replaced in ``text`` and ``n_chars`` follows.
 * packing: one row per piece, columns of the operator.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, langid, packing, secrets, simhash
-from tessera.llm.store import stored
+from tessera.llm.store import release_broadcasts, stored
 from tessera.session import configure
 
 
@@ -36,6 +36,7 @@ def _stage(fn):
     @functools.wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         configure(spark)
+        release_broadcasts()  # the stages before are written
         return fn(spark, docs, sf_dir)
     return run_stage
 
