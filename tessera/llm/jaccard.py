@@ -18,17 +18,19 @@ Two documents are linked if 100 * |x & y| >= percent * |x | y|.
    consist of it.  Entries with one element and size band form a *tile*
    (band b with the sets of band b + 1; a band is a size ratio of 1 / percent,
    so links never reach further).
-4. First every set is compared with the first sets of two of its tiles alone;
-   their links join most of a group of near copies into one component.  Then
-   tiles that still hold several components compare all pairs of different
-   components: bits of x that y has not are elements that y has not, which
-   bounds the overlap from above.  Pairs that the bound lets through are
-   intersected exactly.  A large tile is cut into blocks and all pairs of
-   blocks, so a hot element is spread over tasks; pairs inside one component
-   are never made.
-
-Bitmaps have as many bits as the largest set of the band, rounded up to a
-power of two; the next band's are folded to that width.
+4. Groups of near copies are joined first, in linear work: the most central
+   set of a tile, whose elements are the most shared, is compared with one set
+   of every other component in it (of all sets at first), for two tiles of
+   each set at most, in a few rounds.  Then tiles that still hold several
+   components compare all pairs of different components: bits of x that y has
+   not are elements that y has not, which bounds the overlap from above.
+   Pairs that the bound lets through are intersected exactly.  A large tile is
+   cut into blocks and all pairs of blocks, so a hot element is spread over
+   tasks; pairs inside one component are never made.
+
+Bitmaps have four times as many bits as the largest set of the band has
+elements, rounded up to a power of two; the next band's are folded to that
+width.
 
 Edge cases: a null text or one without words has no shingles and is linked
 with nothing; fewer words than a shingle has are one shingle; rows with a
@@ -57,6 +59,8 @@ SHINGLE, PERCENT = 5, 80
 CHUNK_WORDS = 2 << 20
 BUCKET_ENTRIES = 2 << 20
 TILE = 1024  # sets of a block
+ROUNDS = 2  # of comparisons with central sets, before all that is left is compared
+BITS = 4  # of a bitmap, for each element of the band's largest set
 PAIRS = 1 << 20  # pairs compared at once, times bitmap words
 HEADER, ASK, TELL, HITS = 0, 1, 2, 3
 _ROW = "bucket int, kind int, chunk long, data binary"
@@ -88,7 +92,7 @@ def band_bits(band: int, percent: int) -> int:
     edge = 1
     for _ in range(band + 1):
         edge = edge * 100 // percent + 1
-    return max(64, 1 << (edge - 1).bit_length())
+    return max(64, 1 << (BITS * (edge - 1) - 1).bit_length())
 
 
 def shingle_sets(col: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -273,15 +277,35 @@ def class_sets(docs: DataFrame, classes: DataFrame, shingle: int, percent: int)
 
 
 def prefix_entries(sets: DataFrame, percent: int) -> DataFrame:
-    """(s, band, rep, k1, n): rarest elements of every set, without those that no other set has."""
+    """(s, band, rep, k1, k2, n, central): rarest elements of every set, without those that no other set has."""
     every = sets.select("rep", "k1", "k2", "n", "band", F.explode("s").alias("s"))
     held = every.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     mine = Window.partitionBy("rep", "k1", "k2")  # at most the elements of one text
     ranked = every.join(held, "s").withColumn("place", F.dense_rank().over(mine.orderBy("df", "s")))
-    ranked = ranked.withColumn("shared", F.max("place").over(mine))
+    ranked = ranked.withColumn("shared", F.max("place").over(mine)).withColumn("central", F.sum("df").over(mine) / F.col("n"))
     # n - shared elements that it alone has come first
     least = F.ceil(F.col("n") * percent / 100)
-    return ranked.where(F.col("place") <= F.col("shared") - least + 1).select("s", "band", "rep", "k1", "k2", "n")
+    return ranked.where(F.col("place") <= F.col("shared") - least + 1).select("s", "band", "rep", "k1", "k2", "n", "central")
+
+
+def tile_rows(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Entries with their component, in their own tile (side 0) and in that of the band below (side 1)."""
+    if comps is None:
+        named = entries.withColumn("comp", F.col("rep"))
+    else:
+        named = entries.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
+    both = F.explode(F.sequence(F.lit(0), F.when(F.col("band") > 0, 1).otherwise(0)))
+    return named.withColumn("side", both).withColumn("band", F.col("band") - F.col("side"))
+
+
+def central_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): the most central set of a tile with the most central one of every other component, two for each b at most."""
+    rank = F.struct("central", "rep")
+    top = rows.groupBy("s", "band").agg(F.max(F.struct("central", "rep", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
+        .where("lo != hi").select("s", "band", F.col("c.rep").alias("a"), F.col("c.comp").alias("own"), F.col("c.central").alias("weight"))
+    other = rows.join(top, ["s", "band"]).where("comp != own").groupBy("s", "band", "comp").agg(F.max(rank).alias("m"), F.first("a").alias("a"), F.first("weight").alias("weight"))
+    each = other.groupBy(F.col("m.rep").alias("b")).agg(F.array_distinct(F.array(F.max_by("a", F.struct("weight", "a")), F.min("a"))).alias("a"))
+    return each.select(F.explode("a").alias("a"), "b").where("a != b")
 
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -369,11 +393,8 @@ def tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return tiles.mapInArrow(run, "a long, b long").distinct()
 
 
-def open_tiles(entries: DataFrame, comps: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
+def open_tiles(rows: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
     """Rows of all tiles that still hold several components, sorted by tile: a large tile as all pairs of its blocks."""
-    named = entries.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
-    both = F.explode(F.sequence(F.lit(0), F.when(F.col("band") > 0, 1).otherwise(0)))  # in its own tile and in that of the band below
-    rows = stored(named.withColumn("side", both).withColumn("band", F.col("band") - F.col("side")), "tile-rows")
     size = rows.groupBy("s", "band").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("side").alias("least")) \
         .where("lo != hi and least = 0").select("s", "band", F.ceil(F.col("m") / tile).cast("int").alias("g"))
     q = F.pmod(F.xxhash64("rep", "k1", "k2"), F.col("g")).cast("int")
@@ -383,7 +404,7 @@ def open_tiles(entries: DataFrame, comps: DataFrame, sets: DataFrame, tile: int)
     bits = sets.select("rep", "k1", "k2", "bits", "bits_below")
     full = cut.join(bits, ["rep", "k1", "k2"]).withColumn("bits", F.when(F.col("side") == 0, F.col("bits")).otherwise(F.col("bits_below")))
     full = full.withColumn("tile", F.xxhash64("s", "band", "i", "j"))
-    n = partitions(entries.sparkSession)
+    n = partitions(rows.sparkSession)
     return full.select("tile", "band", "side", "block", "n", "rep", "comp", "bits").repartition(n, "band", "tile").sortWithinPartitions("band", "tile", "n", "rep")
 
 
@@ -400,11 +421,12 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     classes = stored(sized.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("possible").alias("possible")), "classes")
     sets = stored(class_sets(some, classes.where("possible"), shingle, percent), "class-sets")
     entries = stored(prefix_entries(sets, percent), "prefix-entries")
-    first = entries.groupBy("s", "band").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("s", "band", "a")
-    star = entries.join(first, ["s", "band"]).where("rep != a").groupBy(F.col("rep").alias("b")).agg(F.array_distinct(F.array(F.min("a"), F.max("a"))).alias("a"))
-    star = star.select(F.explode("a").alias("a"), "b")  # two comparisons a set at most; the tiles below do the rest
-    links = stored(linked_pairs(star, sets, percent), "first-links")
-    more = tile_pairs(open_tiles(entries, components(links), sets, tile), percent)
+    links = comps = None
+    for _ in range(ROUNDS):
+        found = linked_pairs(central_pairs(tile_rows(entries, comps)), sets, percent)
+        links = stored(found if links is None else links.unionByName(found), "links")
+        comps = components(links)
+    more = tile_pairs(open_tiles(stored(tile_rows(entries, comps), "tile-rows"), sets, tile), percent)
     links = links.unionByName(linked_pairs(more, sets, percent))
     # rows that repeat a doc_id link their classes
     named = sized.where("n > 0").join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"]).select("doc_id", "rep").distinct()

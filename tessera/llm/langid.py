@@ -1,8 +1,7 @@
 """Operator 2: language identification by segmentation-marginalised unigrams.
 
-The vocabulary is fixed and public: the pieces of at most eight bytes of a
-sentencepiece file, and every single byte, so that any word has a
-segmentation.  For each language, piece probabilities are the add-alpha
+The vocabulary is fixed and public: all lower-case pieces of a sentencepiece
+file, and every single byte, so that any word has a segmentation.  For each language, piece probabilities are the add-alpha
 shares of the pieces' occurrences in that language's training texts (all
 segmentations alike).  The probability of a word is the sum over all its
 segmentations of the product of its pieces' probabilities, by the forward
@@ -15,7 +14,9 @@ so digits, marks and white space say nothing.  Each task works on its
 distinct words: training counts a word's pieces once, times its frequency;
 scoring keeps the log-probabilities of words it has met in a bounded memo.
 The forward algorithm runs over many words at once in numpy, with a ring of
-nine states, whatever the length of a word.
+one state more than the longest piece has bytes, whatever the length of a
+word.  Pieces are found by 64-bit keys: their bytes, or a hash of them beyond
+eight (no two pieces share a key).
 
 Shuffled: one row per (language, piece) and task.  Sent to the tasks: the
 table of probabilities, languages x pieces (about 30,000), independent of
@@ -42,7 +43,6 @@ from .words import Memo, grown, hash_words, mix, text_slices, word_bounds
 from .worker import held, tidy
 
 ALPHA = 0.5
-PIECE_BYTES = 8
 MEMO_ROWS = 1 << 20
 MIN_SCORE = 0.5
 UND = "und"
@@ -57,8 +57,23 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def long_keys(first: np.ndarray, n: int, later) -> np.ndarray:
+    """Keys of n > 8 bytes: ``first`` are the first eight, ``later(k)`` the eight from byte k on."""
+    h = mix(first + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64)))
+    for k in range(8, n, 8):
+        h = mix(h ^ (later(k) & _LOW[min(8, n - k)]))
+    return h
+
+
+def piece_key(raw: bytes) -> int:
+    if len(raw) <= 8:
+        return int.from_bytes(raw, "little")
+    eight = lambda k: np.array([int.from_bytes(raw[k:k + 8], "little")], np.uint64)
+    return int(long_keys(eight(0), len(raw), eight)[0])
+
+
 class Pieces:
-    """The vocabulary as a hash table from packed bytes to piece numbers."""
+    """The vocabulary as a hash table from keys to piece numbers."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -67,15 +82,18 @@ class Pieces:
         for i in range(sp.get_piece_size()):
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
                 raw = sp.id_to_piece(i).replace("▁", " ").encode()
-                if 0 < len(raw) <= PIECE_BYTES and raw == raw.lower():
+                if raw and raw == raw.lower():
                     found.add(raw)
         self.pieces = sorted(found)
         self.n = len(self.pieces)
+        self.lengths = sorted({len(x) for x in self.pieces})
         self.bits = 18
         self.key = np.zeros((1 << self.bits) + 64, np.uint64)
         self.number = np.full(len(self.key), self.n, np.int32)  # n: no piece
         self.probes = 1
-        keys = np.array([int.from_bytes(p, "little") for p in self.pieces], np.uint64)
+        keys = np.array([piece_key(p) for p in self.pieces], np.uint64)
+        if len(np.unique(keys)) < self.n:
+            raise ValueError("two pieces share a key")
         for k, (key, slot) in enumerate(zip(keys.tolist(), (mix(keys) >> np.uint64(64 - self.bits)).tolist())):
             at = slot
             while self.key[at]:
@@ -120,37 +138,46 @@ class WordTable:
         """Words of at least ``n`` bytes: they come first."""
         return int(np.searchsorted(-self.size, -n, side="right"))
 
-    def steps(self) -> Iterator[tuple[int, int, int, np.ndarray]]:
-        """(place, piece length, words, keys) of all substrings a piece may equal."""
+    def steps(self, lengths: list[int]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(place, piece length, words, keys) of all substrings of these lengths; the length 1 is one of them."""
         for i in range(self.longest):
-            v = self.eight[self.at[:self.longer(i + 1)] + i]
-            for k in range(1, min(PIECE_BYTES, self.longest - i) + 1):
+            at = self.at[:self.longer(i + 1)] + i
+            v = self.eight[at]
+            for k in lengths:
                 n = self.longer(i + k)
-                yield i, k, n, v[:n] & _LOW[k]
+                if not n:
+                    break
+                yield i, k, n, v[:n] & _LOW[k] if k <= 8 else long_keys(v[:n], k, lambda b: self.eight[at[:n] + b])
 
 
 def forward(pieces: Pieces, p: np.ndarray, words: WordTable) -> np.ndarray:
     """log P(word | language) of every word, in the order of ``WordTable.order``; p is (pieces + 1) x languages."""
     n, langs = len(words.size), p.shape[1]
-    ring = np.zeros((PIECE_BYTES + 1, n, langs))
+    width = min(pieces.lengths[-1], max(words.longest, 1)) + 1
+    ring = np.zeros((width, n, langs))
     ring[0] = 1.0
     scale = np.zeros((n, 1))
     out = np.empty((n, langs))
-    for i, k, m, keys in words.steps():
-        now = i % (PIECE_BYTES + 1)
-        if k == 1:
-            if i and i % 16 == 0:  # long words: keep the numbers in range
+
+    def leave(i: int) -> None:
+        """All pieces from place i on are done."""
+        ring[i % width] = 0.0  # free for place i + width
+        a, b = words.longer(i + 2), words.longer(i + 1)
+        if b > a:  # words that end at place i + 1
+            out[a:b] = np.log(ring[(i + 1) % width, a:b]) + scale[a:b]
+    place = 0
+    for i, k, m, keys in words.steps(pieces.lengths):
+        if i != place:
+            leave(place)
+            place = i
+            if i % 16 == 0:  # long words: keep the numbers in range
                 live = ring[:, :m]
                 top = live.max(axis=(0, 2))[:, None]
                 live /= top
                 scale[:m] += np.log(top)
-        then = (i + k) % (PIECE_BYTES + 1)
-        ring[then, :m] += ring[now, :m] * p[pieces.find(keys)]
-        if k == min(PIECE_BYTES, words.longest - i):
-            ring[now] = 0.0  # free for place i + 9
-            a, b = words.longer(i + 2), words.longer(i + 1)
-            if b > a:  # words that end at place i + 1
-                out[a:b] = np.log(ring[(i + 1) % (PIECE_BYTES + 1), a:b]) + scale[a:b]
+        ring[(i + k) % width, :m] += ring[i % width, :m] * p[pieces.find(keys)]
+    if n:
+        leave(place)
     return out
 
 
@@ -181,7 +208,7 @@ def piece_counts(docs: DataFrame, path: str) -> DataFrame:
                 ends = np.cumsum(size)
                 table = WordTable(flat, ends - size, ends)
                 weight = count[:memo.rows][table.order]
-                for _, _, m, keys in table.steps():
+                for _, _, m, keys in table.steps(vocab.lengths):
                     number = vocab.find(keys)
                     for c in range(len(names)):
                         total[c] += np.bincount(number, weights=weight[:m, c], minlength=vocab.n + 1)

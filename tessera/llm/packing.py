@@ -11,10 +11,12 @@ the emptiest bin gives a piece to a bin with room, or exchanges one of its
 pieces, or two of them, for a smaller one of another bin.  Every step raises
 the sum of squared fills; a bin whose pieces are all gone is dropped.  Bins
 that are full up to ``slack`` ids are closed; pieces of the others go, dealt
-anew into fewer cells, to the next round, until one cell is left (or a round
-leaves most pieces open, which the last round then closes).  So no task holds
-more than a cell whatever the corpus, and the waste of the many cells is
-packed again.
+anew into fewer cells, to the next round, until one cell is left, the open
+bins are as few as their pieces allow (by their sum, or because that many
+pieces are longer than half a sequence), or a round over all open pieces
+saves no bin, in which case the bins before it stay.  So no task holds more
+than a cell whatever the corpus, and the waste of the many cells is packed
+again.
 
 Edge cases: a null text is empty (one piece, the end id); an empty table
 yields no rows; repeated doc_ids and null doc_ids are rows like others; extra
@@ -90,6 +92,25 @@ def best_fit(length: np.ndarray, seq_len: int) -> list[list[int]]:
     return bins
 
 
+def _offers(own: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """(rising sums, pieces) of what a bin can give in exchange: any one or any two of its pieces, one way for each sum.
+
+    Pieces of one length are alike, and a bin holds fewer than 2 * sqrt(its fill) lengths, so all pairs are few.
+    """
+    lengths, first, many = np.unique(size[own], return_index=True, return_counts=True)
+    found: dict[int, tuple[int, ...]] = {}
+    for i, a in enumerate(lengths.tolist()):
+        found.setdefault(a, (int(own[first[i]]),))
+    for i, a in enumerate(lengths.tolist()):
+        if many[i] > 1:
+            p, q = own[size[own] == a][:2].tolist()
+            found.setdefault(2 * a, (p, q))
+        for j in range(i + 1, len(lengths)):
+            found.setdefault(a + int(lengths[j]), (int(own[first[i]]), int(own[first[j]])))
+    sums = sorted(found)
+    return np.array(sums, np.int64), [found[s] for s in sums]
+
+
 def local_search(bins: list[list[int]], length: np.ndarray, seq_len: int) -> list[list[int]]:
     """Empty underfull bins by moves, one-for-one and two-for-one exchanges; each raises the sum of squared fills."""
     fill = np.array([int(length[b].sum()) for b in bins], dtype=np.int64)
@@ -127,14 +148,13 @@ def local_search(bins: list[list[int]], length: np.ndarray, seq_len: int) -> lis
                 fill[d] -= size[y]
                 continue
             x, r = size[other], room[where[other]]
-            best, step = 0, None
-            for give in [(k,) for k in own.tolist()] + [(a, b) for n, a in enumerate(own[:32].tolist()) for b in own[n + 1:32].tolist()]:
-                s = int(size[list(give)].sum())
-                gain = s - x
-                gain = np.where((gain > 0) & (gain <= r), gain, 0)
-                k = int(np.argmax(gain))
-                if gain[k] > best:
-                    best, step = int(gain[k]), (give, int(other[k]))
+            sums, gives = _offers(own, size)
+            at = np.searchsorted(sums, x + r, "right") - 1  # the most that fits where piece x leaves
+            gain = np.where(at >= 0, sums[at] - x, 0)
+            k = int(np.argmax(gain))
+            best, step = int(gain[k]), None
+            if best > 0:
+                step = gives[int(at[k])], int(other[k])
             if step is None:
                 break
             give, take = step
@@ -177,18 +197,24 @@ def pack(table: DataFrame, seq_len: int = SEQ_LEN, cell_pieces: int = CELL_PIECE
     """Pieces with (sequence_id, offset)."""
     spark = table.sparkSession
     rest, done, n, turn = table, [], table.count(), 0
+    before = None  # open pieces as they stand, and in how many bins
     while n:
         cells = -(-n // cell_pieces)
         final = cells == 1
-
-        dealt = rest.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(cells)))
-        packed = stored(dealt.groupBy("cell").applyInPandas(_cell_packer(turn, final, seq_len, slack), _PACKED), "packed")
-        left = packed.where(~F.col("closed")).count()
-        if final or left * 2 > n and turn:  # dealing anew no longer helps: every bin stays as it is
-            done.append(packed)
+        cell = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(turn)), F.lit(cells))  # equal rows spread too
+        packed = stored(rest.withColumn("cell", cell).groupBy("cell").applyInPandas(_cell_packer(turn, final, seq_len, slack), _PACKED), "packed")
+        bins = packed.select("sequence_id").distinct().count()
+        if before is not None and bins >= before[1]:
+            done.append(before[0])
             break
         done.append(packed.where("closed"))
-        rest, n, turn = packed.where(~F.col("closed")).select(*table.columns), left, turn + 1
+        left = packed.where(~F.col("closed"))
+        r = left.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("ids"), F.count_if(F.col("length") * 2 > seq_len).alias("long"),
+                     F.count_distinct("sequence_id").alias("bins")).first()
+        if r["n"] and r["bins"] <= max(-(-r["ids"] // seq_len), r["long"]):  # as few as can be
+            done.append(left)
+            break
+        before, rest, n, turn = (left, r["bins"]), left.select(*table.columns), r["n"], turn + 1
     if not done:
         return spark.createDataFrame([], _PACKED)
     out = done[0]

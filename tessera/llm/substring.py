@@ -8,7 +8,7 @@ rolling 25-word window probes the index.  Hits are extended to maximal exact
 repeats: the 50-word windows around a hit are compared by their own hashes,
 and a word is removed if one of them has an equal in a smaller document.
 
-Shape of the jobs (``b`` = bucket of a hash, a few per shuffle partition):
+Shape of the jobs (``b`` = bucket of a hash; their number follows from the size of the texts):
 
 1. Each task hashes the words of its documents (64 bit) and, by running sums,
    all their 25-word windows.  A *chunk* of documents (a bounded number of
@@ -51,7 +51,7 @@ from .worker import tidy
 
 WINDOW = 50
 CHUNK_WORDS = 2 << 20
-BUCKETS_PER_PARTITION = 2
+BUCKETS_PER_PARTITION, BUCKET_WORDS = 8, 4 << 20  # many buckets even out the partitions; a bucket gets so many words' probes
 _Q1, _Q2 = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 | 1
 BLOCK, PROBE, HEADER, PLACES = 0, 1, 2, 3
 _ROW = "bucket int, kind int, chunk long, data binary"
@@ -96,8 +96,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class _Chunks:
     """Gathers documents of a task into chunks: word hashes, word counts and keys of whole documents."""
 
-    def __init__(self, flush):
+    def __init__(self, flush, chunk_words: int):
         from pyspark import TaskContext
+        self.most = chunk_words
         self.flush, self.no = flush, TaskContext.get().partitionId() << 24
         self._new()
 
@@ -114,7 +115,7 @@ class _Chunks:
         self.keys.append(keys)
         self.more.append(more)
         self.words += len(h)
-        if self.words >= CHUNK_WORDS:
+        if self.words >= self.most:
             yield from self.end()
 
     def end(self) -> Iterator[pa.RecordBatch]:
@@ -150,7 +151,7 @@ def _inside(n: np.ndarray, size: int, total: int) -> np.ndarray:
     return np.flatnonzero(at + size <= end_of)
 
 
-def anchor_rows(docs: DataFrame, block: int, buckets: int) -> DataFrame:
+def anchor_rows(docs: DataFrame, block: int, buckets: int, chunk_words: int) -> DataFrame:
     """Step 1: probes, blocks, local candidates and headers of all chunks."""
     def flush(chunk: int, h: np.ndarray, n: np.ndarray, keys: np.ndarray, _) -> list[tuple]:
         rows = [_header(chunk % buckets, chunk, keys, n)]
@@ -181,7 +182,7 @@ def anchor_rows(docs: DataFrame, block: int, buckets: int) -> DataFrame:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _Chunks(flush)
+        chunks = _Chunks(flush, chunk_words)
         for b in batches:
             ids = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1)
             for i, j, buf, off in text_slices(b.column(2)):
@@ -300,7 +301,7 @@ def _starts(raw: bytes) -> np.ndarray:
     return np.concatenate([np.arange(a, b) for a, b in pairs]) if len(pairs) else np.zeros(0, np.int64)
 
 
-def window_rows(some: DataFrame, window: int, buckets: int) -> DataFrame:
+def window_rows(some: DataFrame, window: int, buckets: int, chunk_words: int) -> DataFrame:
     """Step 3: the windows in the spans of (doc_id, text_key, text, spans), once per chunk."""
     def flush(chunk: int, h: np.ndarray, n: np.ndarray, keys: np.ndarray, more: list) -> list[tuple]:
         rows = [_header(chunk % buckets, chunk, keys, n)]
@@ -327,7 +328,7 @@ def window_rows(some: DataFrame, window: int, buckets: int) -> DataFrame:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _Chunks(flush)
+        chunks = _Chunks(flush, chunk_words)
         for b in batches:
             ids = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1)
             spans = b.column(3).to_pylist()
@@ -378,7 +379,7 @@ def match_windows(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(run, _ROW)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, chunk_words: int = CHUNK_WORDS) -> tuple[DataFrame, DataFrame]:
     """(documents, removals).
 
     documents: (doc_id, text_key, n_words, kept_sha256, text, spans): digests
@@ -388,9 +389,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     """
     spark = docs.sparkSession
     block = (window + 1) // 2
-    buckets = BUCKETS_PER_PARTITION * partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = max(BUCKETS_PER_PARTITION * partitions(spark), -(-size // (6 * BUCKET_WORDS)))  # a word and its space: six bytes or so
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    hits = match_anchors(anchor_rows(table.where("doc_id is not null"), block, buckets))
+    hits = match_anchors(anchor_rows(table.where("doc_id is not null"), block, buckets, chunk_words))
     spans = spans_by_document(hits, window - block, window)
     joined = table.join(spans, ["doc_id", "text_key"], "left")
 
@@ -410,7 +412,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     done = stored(joined.select("doc_id", "text_key", "text", "spans")
                   .mapInArrow(digest, "doc_id long, text_key long, n_words long, kept_sha256 string, text string, spans binary"), "anchored")
     some = done.where("spans is not null").select("doc_id", "text_key", "text", "spans")
-    removed = match_windows(window_rows(some, window, buckets))
+    removed = match_windows(window_rows(some, window, buckets, chunk_words))
     return done, spans_by_document(removed, 0, window)
 
 
@@ -422,9 +424,9 @@ def removed_words(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(marks[:n]) > 0
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text of documents that lose words, kept_sha256) of every row."""
-    done, removals = repeated_spans(docs, window)
+    done, removals = repeated_spans(docs, window, chunk_words)
     joined = done.where("spans is not null").drop("spans").join(removals, ["doc_id", "text_key"], "left")
     schema = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
 

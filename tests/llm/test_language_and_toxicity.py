@@ -22,12 +22,13 @@ def test_forward_sums_all_segmentations():
         total = [np.zeros(3) for _ in range(len(s) + 1)]
         total[0] += 1
         for end in range(1, len(s) + 1):
-            for n in range(1, min(8, end) + 1):
+            for n in range(1, end + 1):
                 k = number.get(s[end - n:end])
                 if k is not None:
                     total[end] = total[end] + total[end - n] * p[k]
         return np.log(total[-1])
-    words = [b"the", b"a", "été".encode(), b"nationalisation", b"q" * 60]
+    words = [b"the", b"a", "été".encode(), b"nationalisation", b"q" * 60, b"application", b"x" * 20 + b"responsibility" * 3]
+    assert any(len(x) > 16 for x in pieces.pieces)
     flat = np.frombuffer(b"".join(words) + b"\0" * 16, np.uint8)
     ends = np.cumsum([len(w) for w in words])
     table = langid.WordTable(flat, ends - np.array([len(w) for w in words]), ends)
@@ -36,6 +37,25 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(row, plain(words[k]))
 
 
+def test_model_equals_piece_counts_of_whole_texts(spark):
+    import re
+    docs = [(1, "The cat's nationalisation, 12 the", "en"), (2, "le chat été\nLE", "fr"), (3, "the application the", "en"), (4, None, "fr"), (5, "x", None)]
+    model = langid.train(documents(spark, [(i, t, g, None) for i, t, g in docs]))
+    vocab = langid.Pieces(langid.default_vocabulary())
+    number = {w: k for k, w in enumerate(vocab.pieces)}
+    n = {g: np.full(vocab.n, langid.ALPHA) for g in ("en", "fr")}
+    for _, text, g in docs:
+        for word in re.findall(rb"[a-z\x80-\xff]+", (text or "").encode().lower()) if g else []:
+            s = b" " + word
+            for a in range(len(s)):
+                for b in range(a + 1, len(s) + 1):
+                    if s[a:b] in number:
+                        n[g][number[s[a:b]]] += 1
+    assert model.langs == ["en", "fr"]
+    for c, g in enumerate(model.langs):
+        assert np.allclose(model.p[:-1, c], n[g] / n[g].sum())
+
+
 def test_language_edges(spark):
     train = documents(spark, [(k, t, g, None) for k, (t, g) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr"), (None, "de"), ("x", None)] * 3)])
     model = langid.train(train)

@@ -141,8 +141,7 @@ def test_substring_query(spark):
 
 
 @pytest.mark.parametrize("chunk", [1 << 20, 300])
-def test_substring_passages_at_any_place(spark, monkeypatch, chunk):
-    monkeypatch.setattr(substring, "CHUNK_WORDS", chunk)  # reaches the tasks by value only where they import it: the large chunk is the default
+def test_substring_passages_at_any_place(spark, chunk):
     rng = random.Random(8)
     word = lambda: f"w{rng.randrange(10**6)}"
     passages = [[word() for _ in range(n)] for n in (49, 50, 51, 80, 130)]
@@ -154,7 +153,7 @@ def test_substring_passages_at_any_place(spark, monkeypatch, chunk):
             a = rng.randrange(0, 5)
             w += p[a:len(p) - rng.randrange(0, 5)] + [word() for _ in range(rng.randrange(0, 40))]
         docs.append((i * 7 % 61, " ".join(w)))
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.without_repeats(documents(spark, docs)).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.without_repeats(documents(spark, docs), chunk_words=chunk).collect()}
     assert got == plain_removal(docs)
 
 
@@ -246,3 +245,35 @@ def test_the_most_frequent_length_is_searched(spark):
     assert [r.vec_id for r in first].index(odd) < [r.vec_id for r in first].index(keep[0])
     got = topk.exact_top_k(table.where(F.col("vec_id").isin([odd, *keep])), F.lit(True), k=2)
     assert {r.query_id for r in got.collect()} == set(keep)
+
+
+def test_every_length_is_searched(spark):
+    table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 1.0]), (100, [1.0]), (101, [2.0])], "vec_id long, embedding array<float>")
+    got = topk.exact_top_k(table, F.col("vec_id") % 100 == 0).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 3 * 1024 ** 2), (100, 1, 101, 2 * 1024 ** 2)]
+
+
+def test_large_components_score_exactly(spark):
+    rows = [(0, [1e6, 1e6, -3.0]), (1, [2e6, -2e6, 1.0]), (2, [2e6, 1.0, 0.0]), (3, [1e12, 1e12, 0.0]), (4, [-1e30, 0.0, 0.0])]
+    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    q = [int(np.floor(1024 * x)) for x in rows[0][1]]
+    hold = lambda x: max(-2 ** 63, min(2 ** 63 - 1, x))
+    want = sorted(((hold(sum(a * hold(int(np.floor(1024 * x))) for a, x in zip(q, v))), -i) for i, v in rows[1:]), reverse=True)
+    assert [(r.score, -r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == want
+
+
+def test_pivots_spare_most_rows():
+    rng = np.random.default_rng(4)
+    centres = rng.integers(-4000, 4000, (30, 16))
+    x = (centres[rng.integers(0, 30, 4000)] + rng.integers(-60, 60, (4000, 16))).astype(np.int64)
+    pivots = x[:32].astype(np.float64)
+    ids = np.arange(4000)
+    far = topk.distances(x, pivots)
+    evaluated = 0
+    for i, best, score, n in topk.search_block(ids[:40], x[:40], far[:40], ids, x, far, 10):
+        s = x @ x[i]
+        s[i] = -(1 << 60)
+        want = np.lexsort((ids, -s))[:10]
+        assert best.tolist() == want.tolist() and score.tolist() == s[want].tolist()
+        evaluated += n
+    assert evaluated < 0.35 * 40 * 4000

@@ -128,3 +128,48 @@ def test_local_search_empties_a_bin():
     assert len(packing.local_search([[0, 3], [1, 2], [4, 5]], length, 10)) == 2
     got = packing.local_search([[0], [1], [2], [3], [4], [5]], length, 10)
     assert sorted(k for b in got for k in b) == list(range(6)) and len(got) == 2
+
+
+def plain_fewest(lengths, size):
+    """Fewest bins by trying every way (few pieces)."""
+    best = [len(lengths)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(rooms)
+            return
+        for i in sorted(set(rooms), reverse=True):
+            if i >= lengths[k]:
+                rest = list(rooms)
+                rest[rest.index(i)] -= lengths[k]
+                place(k + 1, rest)
+        place(k + 1, rooms + [size - lengths[k]])
+    place(0, [])
+    return best[0]
+
+
+def test_packing_reaches_small_optima():
+    rng = np.random.default_rng(9)
+    far = 0
+    for _ in range(40):
+        lengths = np.sort(rng.integers(1, 60, 10))[::-1].copy()
+        bins = packing.pack_lengths(lengths, 60)
+        assert sorted(k for b in bins for k in b) == list(range(10)) and all(lengths[b].sum() <= 60 for b in bins)
+        far += len(bins) - plain_fewest(lengths.tolist(), 60)
+    assert far <= 1
+
+
+def test_exchanges_of_any_two_pieces():
+    own = np.arange(50)
+    size = np.concatenate([np.arange(1, 51), [7, 7]])
+    sums, gives = packing._offers(np.concatenate([own, [50, 51]]), size)
+    assert sums.tolist() == list(range(1, 100)) and all(size[list(g)].sum() == s and len(set(g)) == len(g) <= 2 for s, g in zip(sums, gives))
+
+
+def test_rounds_end_when_no_bin_is_saved(spark):
+    rows = [(k, 0, 0, 3000 if k % 2 else 700, k) for k in range(400)]  # long pieces that never share a sequence
+    table = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack(table, 4096, cell_pieces=50).collect()
+    assert len(out) == 400 and len({r.sequence_id for r in out}) == 200
