@@ -13,8 +13,9 @@ the sum of squared fills; a bin whose pieces are all gone is dropped.  Bins
 that are full up to ``slack`` ids are closed; pieces of the others go, dealt
 anew into fewer cells, to the next round, until one cell is left, the open
 bins are as few as their pieces allow (by their sum, or because that many
-pieces are longer than half a sequence), or a round over all open pieces
-saves no bin, in which case the bins before it stay.  So no task holds more
+pieces are longer than half a sequence).  A round that saves no bin is taken
+back; then the fuller half of the open bins is closed as it was, and the
+emptier half, where cells were dealt unevenly, goes on.  So no task holds more
 than a cell whatever the corpus, and the waste of the many cells is packed
 again.
 
@@ -193,6 +194,14 @@ def _cell_packer(turn: int, final: bool, seq_len: int, slack: int):
     return one
 
 
+def _halves(packed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pieces of the bins that are at least as full as the median, and of the others."""
+    fill = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
+    middle = fill.agg(F.percentile_approx("fill", 0.5)).first()[0]
+    both = stored(packed.join(fill, "sequence_id").select(*packed.columns, (F.col("fill") >= middle).alias("full")), "halves")
+    return both.where("full").drop("full"), both.where("not full").drop("full")
+
+
 def pack(table: DataFrame, seq_len: int = SEQ_LEN, cell_pieces: int = CELL_PIECES, slack: int = SLACK) -> DataFrame:
     """Pieces with (sequence_id, offset)."""
     spark = table.sparkSession
@@ -204,6 +213,12 @@ def pack(table: DataFrame, seq_len: int = SEQ_LEN, cell_pieces: int = CELL_PIECE
         cell = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(turn)), F.lit(cells))  # equal rows spread too
         packed = stored(rest.withColumn("cell", cell).groupBy("cell").applyInPandas(_cell_packer(turn, final, seq_len, slack), _PACKED), "packed")
         bins = packed.select("sequence_id").distinct().count()
+        if before is not None and bins >= before[1] and not final:
+            full, left = _halves(before[0])
+            done.append(full)
+            r = left.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sequence_id").alias("bins")).first()
+            before, rest, n, turn = (left, r["bins"]), left.select(*table.columns), r["n"], turn + 1
+            continue
         if before is not None and bins >= before[1]:
             done.append(before[0])
             break
