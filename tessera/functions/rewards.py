@@ -25,7 +25,6 @@ PPO_KEYWORD_STEP, PPO_INTEGRAL_BONUS, PPO_BASE = 0.15, 0.1, -0.5
 RM_KEYWORDS = ["解", "积分", "=", "+ C", "C"]
 RM_KEYWORD_STEP = 0.1
 LEARNED_WEIGHT, SYMBOLIC_WEIGHT = 0.3, 0.7
-# ---------------------------------------------------
 
 SOLUTION_SPLIT = rf"(?s)^(.*?)\n?{WS}*{SOLUTION_MARK}{WS}*{COLONS}{WS}*(.*)\z"
 SOLUTION_PRESENT = rf"{SOLUTION_MARK}{WS}*{COLONS}"
@@ -34,6 +33,14 @@ ANSWER_TO_END = rf"(?s){ANSWER_MARK}{WS}*{COLONS}{WS}*(.*)\z"
 ANSWER_TO_BREAK = rf"(?s){ANSWER_MARK}{WS}*{COLONS}{WS}*(.*?)(?:\n\n|\n{SOLUTION_MARK}|\n?\z)"
 EQUATION = rf"[A-Za-z]{WS}*={WS}*[-+]?{DIGIT}"
 UNIT = rf"(^|{NONWORD})(" + "|".join(UNITS) + rf")({NONWORD}|$)"
+# expression after '=' (three patterns, tried in order; '.' is any char but \n)
+EXPR_PATTERNS = [
+    rf"={WS}*([^\n]+?){WS}*\+?{WS}*C",
+    rf"={WS}*([^\n]+?){WS}*<\|im_end\|>",
+    rf"={WS}*([^\n]+?)\n?\z",
+]
+# ---------------------------------------------------
+
 # Same language, faster in Java: a first-character gate, the left boundary as a look-behind, then the
 # units as a trie grouped by first character (built from UNITS, longest suffix first).
 _WORD = r"[\p{L}\p{N}_]"
@@ -51,15 +58,9 @@ def _unit_trie() -> str:
 
 
 UNIT_JAVA = _unit_trie()
-# expression after '=' (three patterns, tried in order; '.' is any char but \n)
-EXPR_PATTERNS = [
-    rf"={WS}*([^\n]+?){WS}*\+?{WS}*C",
-    rf"={WS}*([^\n]+?){WS}*<\|im_end\|>",
-    rf"={WS}*([^\n]+?)\n?\z",
-]
 
 
-def parse_answer_solution(text: Column) -> Column:
+def answer_and_solution(text: Column) -> Column:
     """struct(answer, solution) of a reply or ground-truth text.
 
     (1) empty -> two empty strings; (2) split once at the solution marker:
@@ -68,17 +69,16 @@ def parse_answer_solution(text: Column) -> Column:
     line; (4) nothing found: the whole stripped text is the answer.
     """
     t = F.coalesce(text, F.lit(""))
-    head = F.regexp_extract(t, SOLUTION_SPLIT, 1)
-    tail = F.regexp_extract(t, SOLUTION_SPLIT, 2)
-    split_ans = F.when(head.rlike(ANSWER_PRESENT), strip(F.regexp_extract(head, ANSWER_TO_END, 1))) \
-        .otherwise(strip(head))
-    fb_ans = F.when(t.rlike(ANSWER_PRESENT), strip(F.regexp_extract(t, ANSWER_TO_BREAK, 1))).otherwise(F.lit(""))
-    answer = (F.when(t == "", F.lit(""))
-              .when(t.rlike(SOLUTION_PRESENT), split_ans)
-              .when(fb_ans != "", fb_ans)
-              .otherwise(strip(t)))
-    solution = F.when((t != "") & t.rlike(SOLUTION_PRESENT), strip(tail)).otherwise(F.lit(""))
-    return F.struct(answer.alias("answer"), solution.alias("solution"))
+    # plain substring tests first: most texts hold neither mark, and no pattern runs over them
+    has_answer = lambda c: c.contains(ANSWER_MARK) & c.rlike(ANSWER_PRESENT)
+    halves = F.when(t.contains(SOLUTION_MARK), F.split(t, SOLUTION_PRESENT, 2))  # one cut at the first solution mark
+    has_solution = F.coalesce(F.size(halves) > 1, F.lit(False))
+    head, tail = F.get(halves, F.lit(0)), F.get(halves, F.lit(1))
+    marked = F.when(has_answer(head), strip(F.regexp_extract(head, ANSWER_TO_END, 1))).otherwise(strip(head))
+    found = F.when(has_answer(t), strip(F.regexp_extract(t, ANSWER_TO_BREAK, 1))).otherwise(F.lit(""))
+    parsed = F.when(has_solution, F.struct(marked.alias("answer"), strip(tail).alias("solution"))) \
+        .otherwise(F.struct(F.when(found != "", found).otherwise(strip(t)).alias("answer"), F.lit("").alias("solution")))
+    return F.when(t == "", F.struct(F.lit("").alias("answer"), F.lit("").alias("solution"))).otherwise(parsed)
 
 
 def structural_reward(response: Column) -> Column:

@@ -10,8 +10,10 @@ narrow pass (no shuffle) whatever the corpus size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions.fingerprint import content_hash_of_variant_messages, digest, plain_messages, python_canonical
@@ -78,22 +80,32 @@ def _enum_rules(v: Column, key: str, valid: list[str], miss_rule: str, bad_rule:
 def lint(records: DataFrame, strict: bool = False, messages_key: str = "messages") -> DataFrame:
     """records(idx, raw) -> issues(idx, level, field, rule, msg).
 
-    ``messages_key`` names the message list the message rules look at
-    (``chosen`` / ``rejected`` for preference-pair records, see lint_pairs).
+    ``messages_key`` names the message list the message rules look at.
     """
-    mk = messages_key
+    return exploded(issue_lists(records, strict, [messages_key]))
+
+
+def exploded(lists: DataFrame) -> DataFrame:
+    """One row per issue of ``issue_lists``."""
+    # a plain explode adds an inferred filter on the list, which would take every rule a second time
+    return lists.select("idx", F.explode_outer("issues").alias("i")).where(F.col("i").isNotNull()).select("idx", "i.level", "i.field", "i.rule", "i.msg")
+
+
+def issue_lists(records: DataFrame, strict: bool = False, messages_keys: list[str] | None = None, keep_raw: bool = False) -> DataFrame:
+    """(idx, issues) of every record, with ``raw`` if wanted; a record with several message lists is parsed once for all."""
+    message_keys = messages_keys or ["messages"]
     warn = "error" if strict else "warning"
     # Parse once: the record text, its VARIANT and its key list are projected
     # first, so the rules below read columns instead of re-parsing the text.
-    parsed = (records.select("idx", F.try_parse_json(F.col("raw")).alias("_v"),
-                             F.json_object_keys(F.col("raw")).alias("_keys"))
-              .withColumn("_msgs_x", F.try_variant_get(F.col("_v"), f"$.{mk}", "variant"))
-              .withColumn("_msgs", F.try_variant_get(F.col("_msgs_x"), "$", "array<variant>"))
-              .withColumn("_m", F.transform("_msgs", lambda m: F.struct(
-                  F.try_variant_get(m, "$.role", "variant").alias("rx"),
-                  F.try_variant_get(m, "$.role", "string").alias("r"),
-                  F.try_variant_get(m, "$.content", "string").alias("c"),
-                  _kind(m).startswith("OBJECT").alias("obj")))))
+    parsed = records.select("idx", *(["raw"] if keep_raw else []), F.try_parse_json(F.col("raw")).alias("_v"), F.json_object_keys(F.col("raw")).alias("_keys"))
+    for k, mk in enumerate(message_keys):
+        parsed = (parsed.withColumn(f"_msgs_x{k}", F.try_variant_get(F.col("_v"), f"$.{mk}", "variant"))
+                  .withColumn(f"_msgs{k}", F.try_variant_get(F.col(f"_msgs_x{k}"), "$", "array<variant>"))
+                  .withColumn(f"_m{k}", F.transform(f"_msgs{k}", lambda m: F.struct(
+                      F.try_variant_get(m, "$.role", "variant").alias("rx"),
+                      F.try_variant_get(m, "$.role", "string").alias("r"),
+                      F.try_variant_get(m, "$.content", "string").alias("c"),
+                      _kind(m).startswith("OBJECT").alias("obj")))))
     v, keys = F.col("_v"), F.col("_keys")
     is_obj = _kind(v).startswith("OBJECT")
 
@@ -102,14 +114,9 @@ def lint(records: DataFrame, strict: bool = False, messages_key: str = "messages
     ver_x = _vget(v, "$.version")
     ver_s = F.try_variant_get(ver_x, "$", "string")
     src_x = _vget(v, "$.source")
-    msgs_x = F.col("_msgs_x")
-    msgs_kind = _kind(msgs_x)
-    msgs = F.col("_msgs")
-    is_list = msgs_kind.startswith("ARRAY")
-    n_msgs = F.size(msgs)
-    mcols = F.col("_m")
-    roles = F.transform(mcols, lambda m: m["r"])
-    list_ok = is_list & (n_msgs >= 2)
+    says_tool = F.lit(False)  # of any list: a record field is named once
+    for k in range(len(message_keys)):
+        says_tool = says_tool | F.exists(F.coalesce(F.col(f"_m{k}"), F.array()), lambda m: F.coalesce(m["c"], F.lit("")).contains("tool_call") & m["obj"])
 
     record_rules = [
         _issue(~_truthy(id_x), "error", "id", "L1", "id: missing"),
@@ -122,19 +129,8 @@ def lint(records: DataFrame, strict: bool = False, messages_key: str = "messages
         *_enum_rules(v, "difficulty", VALID_DIFFICULTY, "L7", "L8"),
         *_enum_rules(v, "category", VALID_CATEGORY, "L9", "L10"),
         _issue(~_truthy(src_x), "error", "source", "L11", "source: missing or empty"),
-        _issue(msgs_x.isNull() | F.is_variant_null(msgs_x), "error", mk, "L12", f"{mk}: missing"),
-        _issue(msgs_x.isNotNull() & ~F.is_variant_null(msgs_x) & ~is_list,
-               "error", mk, "L13", f"{mk}: must be an array"),
-        _issue(is_list & (n_msgs < 2), "error", mk, "L14",
-               F.concat(F.lit(f"{mk}: at least 2 messages needed, got "), n_msgs.cast("string"))),
-        _issue(list_ok & ~F.array_contains(roles, "user"), "error", mk, "L15",
-               f"{mk}: no message with role=user"),
-        _issue(list_ok & ~F.array_contains(roles, "assistant"), "error", mk, "L16",
-               f"{mk}: no message with role=assistant"),
         _issue(~F.array_contains(keys, "content_hash"), warn, "content_hash", "L22", "content_hash: missing"),
-        _issue(F.exists(F.coalesce(mcols, F.array()),
-                        lambda m: F.coalesce(m["c"], F.lit("")).contains("tool_call") & m["obj"])
-               & ~F.array_contains(keys, "tool_calls"),
+        _issue(says_tool & ~F.array_contains(keys, "tool_calls"),
                "error", "tool_calls", "L23", "tool_calls: content has a tool call but tool_calls is absent"),
     ]
     rr_x = _vget(v, "$.rejection_reason")
@@ -146,7 +142,7 @@ def lint(records: DataFrame, strict: bool = False, messages_key: str = "messages
                F.concat(F.lit("rejection_reason: invalid value '"), rr_s,
                         F.lit(f"', allowed {_sorted_list(VALID_REJECTION)}"))))
 
-    def per_message(m: Column, i: Column) -> Column:
+    def per_message(mk: str, m: Column, i: Column) -> Column:
         field = F.concat(F.lit(f"{mk}["), i.cast("string"), F.lit("]"))
         r_x, r, c = m["rx"], m["r"], m["c"]
         pre = F.concat(field, F.lit(": "))
@@ -160,23 +156,53 @@ def lint(records: DataFrame, strict: bool = False, messages_key: str = "messages
                    warn, field, "L21", F.concat(pre, F.lit("assistant turn without <think>"))),
         )
 
-    msg_rules = F.when(list_ok, F.flatten(F.transform(mcols, per_message))).otherwise(F.array())
+    def list_rules(k: int, mk: str) -> Column:
+        msgs_x, mcols = F.col(f"_msgs_x{k}"), F.col(f"_m{k}")
+        is_list = _kind(msgs_x).startswith("ARRAY")
+        n_msgs = F.size(F.col(f"_msgs{k}"))
+        roles = F.transform(mcols, lambda m: m["r"])
+        list_ok = is_list & (n_msgs >= 2)
+        whole = F.array(
+            _issue(msgs_x.isNull() | F.is_variant_null(msgs_x), "error", mk, "L12", f"{mk}: missing"),
+            _issue(msgs_x.isNotNull() & ~F.is_variant_null(msgs_x) & ~is_list,
+                   "error", mk, "L13", f"{mk}: must be an array"),
+            _issue(is_list & (n_msgs < 2), "error", mk, "L14",
+                   F.concat(F.lit(f"{mk}: at least 2 messages needed, got "), n_msgs.cast("string"))),
+            _issue(list_ok & ~F.array_contains(roles, "user"), "error", mk, "L15",
+                   f"{mk}: no message with role=user"),
+            _issue(list_ok & ~F.array_contains(roles, "assistant"), "error", mk, "L16",
+                   f"{mk}: no message with role=assistant")
+        )
+        each = F.when(list_ok, F.flatten(F.transform(mcols, lambda m, i: per_message(mk, m, i)))).otherwise(F.array())
+        return F.concat(whole, each)
+
     parse_rule = _issue(F.lit(True), "error", "record", "L0", "record: not a JSON object")
     all_issues = F.when(~is_obj | v.isNull(), F.array(parse_rule)).otherwise(
-        F.concat(F.array(*record_rules), msg_rules))
-    return (parsed
-            .select("idx", F.explode(F.array_compact(all_issues)).alias("i"))
-            .select("idx", "i.level", "i.field", "i.rule", "i.msg"))
+        F.concat(F.array(*record_rules), *[list_rules(k, mk) for k, mk in enumerate(message_keys)]))
+    return parsed.select("idx", *(["raw"] if keep_raw else []), F.array_compact(all_issues).alias("issues"))
 
 
 def lint_pairs(records: DataFrame, strict: bool = False) -> DataFrame:
     """F5 for preference-pair records: record rules once, message rules on both ``chosen`` and ``rejected``."""
-    chosen = lint(records, strict, "chosen")
-    rejected = lint(records, strict, "rejected")
-    own = rejected.where(F.col("field").startswith("rejected") & (F.col("rule") != "L23"))
-    # L23 names a record field although either list may cause it: once per record
-    l23 = chosen.where("rule = 'L23'").unionByName(rejected.where("rule = 'L23'")).distinct()
-    return chosen.where("rule <> 'L23'").unionByName(own).unionByName(l23)
+    return exploded(issue_lists(records, strict, ["chosen", "rejected"]))
+
+
+def lint_once(records: DataFrame, strict: bool = False, messages_keys: list[str] | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """((idx, raw, issues) as written once, totals): one pass lints, counts and writes.
+
+    The totals (total_records, error_count, warning_count) are observed while the table is written, so report, rule
+    counts and a gated write read what is there and nothing is linted again.
+    """
+    from pyspark.sql import Observation
+
+    from ..session import cut_lineage
+    o = Observation()
+    is_error = lambda x: x["level"] == "error"
+    errors = F.size(F.filter("issues", is_error))
+    lists = issue_lists(records, strict, messages_keys, keep_raw=True).observe(
+        o, F.count(F.lit(1)).alias("total_records"), F.coalesce(F.sum(errors), F.lit(0)).alias("error_count"),
+        F.coalesce(F.sum(F.size("issues") - errors), F.lit(0)).alias("warning_count"))
+    return cut_lineage(lists), o.get
 
 
 def rule_counts(issues: DataFrame) -> DataFrame:
@@ -186,17 +212,10 @@ def rule_counts(issues: DataFrame) -> DataFrame:
                  F.count_distinct("idx").alias("n_records")))
 
 
-def report(issues: DataFrame, records: DataFrame) -> DataFrame:
-    """A1 headline: totals, error / warning counts and pass flag (one row).
-
-    The record total is a scalar count applied as a literal to the one-row
-    issue aggregate (no join).
-    """
-    total = records.count()
-    return (issues.agg(F.count_if(F.col("level") == "error").alias("error_count"),
-                       F.count_if(F.col("level") != "error").alias("warning_count"))
-            .select(F.lit(total).cast("bigint").alias("total_records"), "error_count", "warning_count",
-                    (F.col("error_count") == 0).alias("passed")))
+def report(spark: SparkSession, totals: dict[str, int]) -> DataFrame:
+    """A1 headline (one row): total_records, error_count, warning_count and the pass flag, from ``lint_once``."""
+    cols = ["total_records", "error_count", "warning_count"]
+    return spark.range(1).select(*[F.lit(totals[c]).cast("bigint").alias(c) for c in cols], F.lit(totals["error_count"] == 0).alias("passed"))
 
 
 def first_issues(issues: DataFrame, level: str, n: int) -> DataFrame:
@@ -240,17 +259,11 @@ def repair(records: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def gated_write(repaired: DataFrame, strict: bool, path: str) -> bool:
-    """F8: write the repaired records only if linting them finds no error.
-
-    The repaired table is checkpointed first so the error count and the write
-    read the same rows without recomputing the repair.
-    """
-    from ..session import cut_lineage
-    fixed = cut_lineage(repaired)
-    n_err = lint(fixed, strict).where(F.col("level") == "error").limit(1).count()
-    if n_err:
+    """F8: write the repaired records only if linting them finds no error; repaired, linted and counted in one pass."""
+    table, totals = lint_once(repaired, strict)
+    if totals["error_count"]:
         return False
-    fixed.select("raw").write.mode("overwrite").text(path)
+    table.select("raw").write.mode("overwrite").text(path)
     return True
 
 
@@ -344,3 +357,62 @@ def records_from_table(df: DataFrame, idx: str | None = None) -> DataFrame:
         return df.select(F.col(idx).alias("idx"), raw.alias("raw"))
     from ..sources.io import with_row_index
     return with_row_index(df.select(raw.alias("raw")), "idx")
+
+
+FATAL = ["missing", "empty", "not parsed"]
+
+
+def _readable_parquet(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """The rows of those files that can be read; none if no file has a schema."""
+    if not paths:
+        return None
+    try:
+        return spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", True).parquet(*paths)
+    except AnalysisException:
+        return None
+
+
+def lint_files(spark: SparkSession, root: str, strict: bool = False, pattern: str = "*.{json,jsonl,parquet}") -> DataFrame:
+    """A1 for files: one row per .jsonl, .json or .parquet file under ``root``, sniffed; a file that cannot be linted is a row too.
+
+    (file_path, fatal, total_records, error_count, warning_count, passed); fatal is ``missing`` (no such path),
+    ``empty`` (no record, or a Parquet file without readable rows), ``not parsed`` (a record that is no JSON), or null.
+    """
+    from ..sources import io
+    kind = "file_path string, fatal string, total_records long, error_count long, warning_count long, passed boolean"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(conf).exists(path):
+        return spark.range(1).select(F.lit(root).alias("file_path"), F.lit(FATAL[0]).alias("fatal"), *[F.lit(0).cast("long").alias(c) for c in
+                                     ("total_records", "error_count", "warning_count")], F.lit(False).alias("passed")).to(StructType.fromDDL(kind))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    files = listed.select(F.col("_metadata.file_path").alias("file_path"), "length")
+    formats = {"lines": [], "array": [], "parquet": []}
+    for r in io.sniff_formats(spark, root, pattern.replace(",parquet", "")).collect():  # a row per file
+        formats[r["format"]].append(r["file_path"])
+    formats["parquet"] = [r["file_path"] for r in files.where("file_path like '%.parquet' and length > 0").collect()]
+    raws = []
+    if formats["lines"]:
+        raws.append(spark.read.text(formats["lines"]).where(~T.is_blank(F.col("value"))).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("raw")))
+    if formats["array"]:
+        raws.append(io.array_records(spark, formats["array"]).select("file_path", "raw"))
+    t = _readable_parquet(spark, formats["parquet"])
+    if t is not None:
+        raws.append(t.select(F.col("_metadata.file_path").alias("file_path"), F.to_json(F.struct(*t.columns), {"ignoreNullFields": "false"}).alias("raw")))
+    found = None
+    for r in raws:
+        found = r if found is None else found.unionByName(r)
+    if found is None:
+        per_file = files.where("false").select("file_path", *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("total_records", "long"), ("broken", "boolean"), ("error_count", "long"), ("warning_count", "long"))])
+    else:
+        lists = issue_lists(found.withColumnRenamed("file_path", "idx"), strict, keep_raw=True)
+        errors = F.size(F.filter("issues", lambda x: x["level"] == "error"))
+        per_file = lists.groupBy(F.col("idx").alias("file_path")).agg(
+            F.count(F.lit(1)).alias("total_records"), F.bool_or(F.try_parse_json("raw").isNull()).alias("broken"),
+            F.sum(errors).alias("error_count"), F.sum(F.size("issues") - errors).alias("warning_count"))
+    out = files.join(per_file, "file_path", "left")
+    fatal = F.when(F.col("total_records").isNull(), FATAL[1]).when(F.col("broken"), FATAL[2])
+    n = lambda c: F.when(fatal.isNull(), F.col(c)).otherwise(F.lit(0)).cast("long").alias(c)
+    return out.select("file_path", fatal.alias("fatal"), n("total_records"), n("error_count"), n("warning_count"),
+                      (fatal.isNull() & (F.coalesce("error_count", F.lit(0)) == 0)).alias("passed"))

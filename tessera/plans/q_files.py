@@ -13,7 +13,6 @@ from .catalog import ORACLES, QUERIES, register
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string"
 DOC_SQL = "SELECT doc_id, text, lang, source FROM documents"
-N_FEATURES = 64
 
 
 def _documents(spark, sf_dir):
@@ -30,10 +29,10 @@ def corpus_json_lines(spark, sf_dir):
 
 @register("corpus_json_arrays", DOC_SQL)
 def corpus_json_arrays(spark, sf_dir):
-    """Files that hold one JSON array each."""
+    """Files that hold one JSON array each, read in byte ranges."""
     d = new_run_dirs(spark, "arrays")
     io.write_json_array(_documents(spark, sf_dir), d["out"])
-    return io.read_corpus(spark, d["out"], DOC_SCHEMA, multiline=True)
+    return io.read_arrays(spark, d["out"], DOC_SCHEMA).drop("file_path")
 
 
 @register("corpus_mixed_directory", """
@@ -85,9 +84,10 @@ def features_csv(spark, sf_dir):
     """Vectors written as CSV with a header and the label in the last column, read as feature arrays."""
     d = new_run_dirs(spark, "features")
     e = tables.load(spark, sf_dir, "embeddings")
-    e.select(*[F.get("embedding", F.lit(k)).alias(f"f{k}") for k in range(N_FEATURES)], "label") \
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    e.select(*[F.get("embedding", F.lit(k)).alias(f"f{k}") for k in range(width)], "label") \
         .write.option("header", True).csv(d["out"])
-    back = io.read_features_csv(spark, d["out"], N_FEATURES)
+    back = io.read_features_csv(spark, d["out"], width)
     q = F.transform("features", lambda x: F.floor(x.cast("double") * F.lit(1024.0)).cast("string"))
     return back.select(F.col("label").cast("long").alias("label"), F.array_join(q, ",").alias("features"))
 

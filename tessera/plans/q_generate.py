@@ -50,7 +50,7 @@ SELECT count(*) AS total_records, CAST(0 AS BIGINT) AS error_count, CAST(0 AS BI
 def generated_sft_lint(spark, sf_dir):
     """G1 -> F5 round trip: the lint report of the generated corpus (every record clean)."""
     recs = G.gen_sft(doc_index(spark, sf_dir), "train", 0, seed=3)
-    return L.report(L.lint(recs), recs)
+    return L.report(spark, L.lint_once(recs)[1])
 
 
 # The problem table once more, as a person would write it in SQL.
@@ -179,6 +179,36 @@ def seeded_shuffle(spark, sf_dir):
     return O.global_index(k, ["k", "doc_id"], "position").select("doc_id", "position")
 
 
+def _shards_sql(seed: int, world: int, epochs: list[int]) -> str:
+    """The keyed permutation in SQL: rounds on (p, q), walked on while a place is beyond n."""
+    h = f"CAST('0x' || substr(md5('{seed}:' || epoch || ':%d:' || %s), 1, 15) AS BIGINT)"
+    rounds = []
+    for r in range(O.ROUNDS):
+        p, q = (f"(p + {h % (r, 'q')}) % a", "q") if r % 2 == 0 else ("p", f"(q + {h % (r, 'p')}) % b")
+        rounds.append(f"(SELECT doc_id, epoch, n, a, b, step, {p} AS p, {q} AS q FROM @)")
+    nested = "(SELECT doc_id, epoch, n, a, b, step, x // b AS p, x % b AS q FROM {src})"
+    for part in rounds:
+        nested = part.replace("@", nested)
+    values = ", ".join(f"({e})" for e in epochs)
+    return f"""
+WITH RECURSIVE s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS x, count(*) OVER () AS n FROM documents),
+g AS (SELECT *, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM s),
+z AS (SELECT doc_id, epoch, x, n, a, (n + a - 1) // a AS b, 0 AS step FROM g, (VALUES {values}) e(epoch)),
+w AS (SELECT * FROM z
+      UNION ALL SELECT doc_id, epoch, p * b + q AS x, n, a, b, step + 1 AS step FROM {nested.format(src='(SELECT * FROM w WHERE step = 0 OR x >= n)')}),
+d AS (SELECT doc_id, epoch, x, n FROM w WHERE step > 0 AND x < n),
+t AS (SELECT doc_id, epoch, unnest(range(x, (n + {world} - 1) // {world} * {world}, n)) AS p FROM d)
+SELECT doc_id, epoch, CAST(p % {world} AS INTEGER) AS rank, p // {world} AS slot FROM t"""
+
+
+@register("epoch_shards", _shards_sql(42, 6, [0, 1]))
+def epoch_shards(spark, sf_dir):
+    """Two shuffled epochs of the documents over six ranks, padded by wrapping; one index, no sort per epoch."""
+    d = O.global_index(tables.load(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], "idx")
+    n = tables.load(spark, sf_dir, "documents").count()
+    return O.epoch_shards(d, "idx", n, 6, 42, [0, 1]).select("doc_id", "epoch", "rank", "slot")
+
+
 @register("split_exact_members", f"""
 SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {SHUFFLE_SQL.format(seed=42)}, doc_id) <= CAST(floor(0.9 * count(*) OVER ()) AS BIGINT)
        THEN 'train' ELSE 'test' END AS split FROM documents""")
@@ -214,7 +244,7 @@ def corpus_file_roundtrip(spark, sf_dir):
         raise RuntimeError("generated corpus did not lint clean")
     back = io.require_rows(io.read_records(spark, d["out"]), "written corpus")
     typed = io.read_corpus(spark, d["out"] + "/train", CHAT_SCHEMA).where(F.col("id").isNotNull())
-    rep = L.report(L.lint(back), back)
+    rep = L.report(spark, L.lint_once(back)[1])
     return rep.withColumn("n_indexed", F.lit(typed.count()).cast("bigint"))
 
 
@@ -226,4 +256,4 @@ def generated_pairs_lint(spark, sf_dir):
     p = G.gen_pairs(doc_index(spark, sf_dir), seed=5)
     recs = p.select(F.col("i").alias("idx"), F.to_json(F.struct(
         "id", "version", "split", "difficulty", "category", "source", "content_hash", "chosen", "rejected")).alias("raw"))
-    return L.report(L.lint_pairs(recs), recs)
+    return L.report(spark, L.lint_once(recs, messages_keys=["chosen", "rejected"])[1])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint as FP
 from ..operators import lint as L
-from ..sources import tables
+from ..sources import io, tables
 from . import derive
 from .catalog import register
 
@@ -118,8 +120,40 @@ SELECT (SELECT count(*) FROM r) AS total_records,
 FROM issues""")
 def lint_report(spark, sf_dir):
     """A1: totals and pass flag."""
-    recs = derive.chat_records(spark, sf_dir)
-    return L.report(L.lint(recs), recs)
+    _, totals = L.lint_once(derive.chat_records(spark, sf_dir))
+    return L.report(spark, totals)
+
+
+@register("lint_pass_report", ISSUES_SQL + """
+SELECT 'rule ' || rule AS item, count(*) AS n FROM issues GROUP BY rule
+UNION ALL SELECT 'level ' || level, count(*) FROM issues GROUP BY level
+UNION ALL SELECT 'records', count(*) FROM r""")
+def lint_pass_report(spark, sf_dir):
+    """A1 + A2: totals and issues per rule from one pass over the records (linted, counted and written once)."""
+    table, totals = L.lint_once(derive.chat_records(spark, sf_dir))
+    rules = L.exploded(table).groupBy(F.concat(F.lit("rule "), "rule").alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    named = {"level error": "error_count", "level warning": "warning_count", "records": "total_records"}
+    heads = spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for k, c in named.items() for x in (k, totals[c])])).alias("item", "n"))
+    return rules.unionByName(heads.where("n > 0 or item = 'records'").select("item", F.col("n").cast("long")))
+
+
+@register("lint_files", ISSUES_SQL + """,
+s AS (SELECT (SELECT count(*) FROM r) AS n, count(*) FILTER (WHERE level = 'error') AS e, count(*) FILTER (WHERE level <> 'error') AS w FROM issues)
+SELECT folder, fatal, CASE WHEN fatal IS NULL THEN n ELSE 0 END AS total_records, CASE WHEN fatal IS NULL THEN e ELSE 0 END AS error_count,
+       CASE WHEN fatal IS NULL THEN w ELSE 0 END AS warning_count
+FROM s, (VALUES ('lines', NULL), ('arrays', NULL), ('torn', 'not parsed'), ('nowhere', 'missing')) f(folder, fatal)""")
+def lint_files(spark, sf_dir):
+    """A1 over files: JSON Lines, arrays, torn files and a missing path, each file sniffed; summed per folder."""
+    from ..session import scratch_path
+    base = scratch_path(spark, f"lint-{uuid.uuid4().hex}")
+    records = derive.chat_records(spark, sf_dir)
+    records.select("raw").write.text(f"{base}/in/lines")
+    torn = F.substring("raw", 1, F.length("raw") - 1)
+    records.select(torn.alias("value")).write.text(f"{base}/in/torn")
+    io.write_raw_array(records.select("raw"), f"{base}/in/arrays")
+    rows = L.lint_files(spark, f"{base}/in", pattern="*.txt").unionByName(L.lint_files(spark, f"{base}/nowhere"))
+    folder = F.regexp_extract("file_path", "(lines|arrays|torn|nowhere)(/[^/]*)?$", 1)
+    return rows.groupBy(folder.alias("folder"), "fatal").agg(*[F.sum(c).alias(c) for c in ("total_records", "error_count", "warning_count")])
 
 
 @register("lint_first_errors", ISSUES_SQL + """

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ordering as O
 from ..sources import tables
+from ..streaming import changelog
 from ..streaming import metrics as M
-from ..session import cut_lineage
+from ..streaming import status as ST
 from .catalog import register
 from .common import r6
 from .q_runlog import _status_col
@@ -55,6 +55,8 @@ SELECT time_unix_ms // 3600000 * 3600000 AS window_start_ms, name, series, min(v
        round(avg(value), 6) AS v_avg, count(value) AS n, arg_max_null(value, (time_unix_ms, step)) AS v_last
 FROM pt GROUP BY 1, name, series"""
 
+ROLLUP_KEY = ["window_start_ms", "name", "series"]
+
 LATEST_SQL = "WITH " + PT_SQL + """
 SELECT name, series, arg_max_null(value, (time_unix_ms, step)) AS value, max(time_unix_ms) AS time_unix_ms
 FROM pt GROUP BY name, series"""
@@ -138,16 +140,16 @@ def metric_points_stream(spark, sf_dir):
 @register("metric_latest_stream", LATEST_SQL)
 def metric_latest_stream(spark, sf_dir):
     """M5 streamed: latest value per series, update mode, changelog read back."""
-    d = _replayed_points(spark, sf_dir, "latest", lambda x: M.stream_agg_to_changelog(spark, x["src"], x["out"], x["ckpt"], M.latest))
-    return M.read_changelog(spark, d["out"], ["name", "series"]).select("name", "series", "value", "time_unix_ms")
+    d = _replayed_points(spark, sf_dir, "latest", lambda x: M.stream_agg_to_changelog(spark, x["src"], x["out"], x["ckpt"], M.latest, ["name", "series"], 3))
+    return changelog.read(spark, d["out"], ["name", "series"]).select("name", "series", "value", "time_unix_ms")
 
 
 @register("metric_rollup_stream", ROLLUP_SQL)
 def metric_rollup_stream(spark, sf_dir):
     """M2 streamed: hourly roll-up with a 1-minute watermark, update mode, changelog read back."""
-    d = _replayed_points(spark, sf_dir, "rollup", lambda x: M.stream_agg_to_changelog(spark, x["src"], x["out"], x["ckpt"], M.rollup),
+    d = _replayed_points(spark, sf_dir, "rollup", lambda x: M.stream_agg_to_changelog(spark, x["src"], x["out"], x["ckpt"], M.rollup, ROLLUP_KEY),
                          duplicates=False)
-    return _rollup_out(M.read_changelog(spark, d["out"], ["window_start_ms", "name", "series"]))
+    return _rollup_out(changelog.read(spark, d["out"], ROLLUP_KEY))
 
 
 @register("metric_csv_export", "WITH " + PT_SQL + """
@@ -160,27 +162,83 @@ def metric_csv_export(spark, sf_dir):
         .option("header", True).csv(d["out"])
 
 
-@register("status_changes_stream", """
+STATUS_SQL = """
 WITH p AS (SELECT user_id AS job_id, ts AS polled_at,
               CASE event_type WHEN 'click' THEN 'Queued' WHEN 'signup' THEN 'Preparing' WHEN 'view' THEN 'Running'
                               WHEN 'purchase' THEN 'Success' WHEN 'error' THEN 'Failed' END AS status,
               row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 q AS (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY k) AS prev_status FROM p),
-t AS (SELECT job_id, min(k) AS k_end FROM p WHERE status IN ('Success', 'Failed', 'Terminated') GROUP BY job_id)
-SELECT q.job_id, q.k, q.polled_at, q.status, q.prev_status FROM q LEFT JOIN t ON q.job_id = t.job_id
-WHERE (t.k_end IS NULL OR q.k <= t.k_end) AND (q.prev_status IS NULL OR q.prev_status <> q.status)""")
-def status_changes_stream(spark, sf_dir):
-    """M7: status change events from a stream of polls, state kept per job (applyInPandasWithState)."""
+t AS (SELECT job_id, min(k) AS k_end FROM p WHERE status IN ('Success', 'Failed', 'Terminated') GROUP BY job_id),
+r AS (SELECT q.* FROM q LEFT JOIN t ON q.job_id = t.job_id WHERE t.k_end IS NULL OR q.k <= t.k_end)"""
+
+
+def _status_stream(spark, sf_dir, heartbeats):
+    """Raw polls of all jobs, written in any order within a commit, read by the stateful stream."""
     e = tables.load(spark, sf_dir, "events")
-    p = e.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("polled_at"), "event_id",
-                 _status_col().alias("status"))
-    p = O.rank_within(p, ["job_id"], ["polled_at", "event_id"], "k")
-    p = cut_lineage(M.status_candidates(p))  # counted, cut and replayed
+    p = e.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("polled_at"), "event_id", _status_col().alias("status"))
     d = M.new_run_dirs(spark, "status")
-    M.replay(p, "polled_at", lambda part: part.write.mode("append").parquet(d["src"]),
-             lambda: M.stream_status_changes(spark, d["src"], d["out"], d["ckpt"],
-                                             "job_id long, polled_at timestamp, event_id long, status string, k long"),
-             commit_rows=M.COMMIT_ROWS)
-    out = spark.read.parquet(d["out"])
-    return out.select("job_id", "k", F.col("polled_at").cast("timestamp_ntz").alias("polled_at"), "status",
-                      "prev_status")
+    save = lambda part: part.write.mode("append").parquet(d["src"])
+    drain = lambda: ST.stream_status_events(spark, d["src"], d["out"], d["ckpt"], heartbeats)
+    M.replay(p, "polled_at", save, drain, commit_rows=M.COMMIT_ROWS)
+    save(ST.clock(spark, p))  # time goes on after the last poll
+    drain()
+    out = spark.read.schema(ST.EVENTS).parquet(d["out"])
+    return out.withColumn("polled_at", F.col("polled_at").cast("timestamp_ntz"))
+
+
+@register("status_changes_stream", STATUS_SQL + """
+SELECT job_id, k, polled_at, status, prev_status FROM r WHERE prev_status IS NULL OR prev_status <> status""")
+def status_changes_stream(spark, sf_dir):
+    """M7: status change events from a stream of raw polls, ordered in the state behind the watermark."""
+    return _status_stream(spark, sf_dir, False).select("job_id", "k", "polled_at", "status", "prev_status")
+
+
+@register("status_heartbeats_stream", STATUS_SQL + """
+SELECT job_id, k, polled_at, status FROM r WHERE prev_status = status""")
+def status_heartbeats_stream(spark, sf_dir):
+    """M7: heartbeats, the polls that find a job's status unchanged, from the same stream."""
+    return _status_stream(spark, sf_dir, True).where("event = 'heartbeat'").select("job_id", "k", "polled_at", "status")
+
+
+def flawed_points(spark, sf_dir):
+    """Points some of which have no name or no time."""
+    step = F.col("step")
+    return raw_points(spark, sf_dir).withColumn("name", F.when(step % 13 != 0, F.col("name"))) \
+        .withColumn("time_unix_ms", F.when(step % 17 != 0, F.col("time_unix_ms")))
+
+
+@register("metric_rejects_stream", """
+WITH p AS (SELECT event_id // 10 AS step FROM events)
+SELECT CASE WHEN step % 13 = 0 THEN 'no name' WHEN step % 17 = 0 THEN 'no time' ELSE 'accepted' END AS outcome, count(*) AS n_points
+FROM p GROUP BY 1""")
+def metric_rejects_stream(spark, sf_dir):
+    """M1 streamed with a reject path: every point is in the accepted or, with its reason, in the rejected table."""
+    d = M.new_run_dirs(spark, "rejects")
+    M.replay(flawed_points(spark, sf_dir), "time_unix_ms", lambda part: M.write_points(part, d["src"]),
+             lambda: M.stream_accept_reject(spark, d["src"], d["out"], d["ckpt"]))
+    ok = spark.read.parquet(f"{d['out']}/accepted/delta/*").select(F.lit("accepted").alias("outcome"))
+    bad = spark.read.parquet(f"{d['out']}/rejected/delta/*").select(F.col("reason").alias("outcome"))
+    return ok.unionByName(bad).groupBy("outcome").agg(F.count(F.lit(1)).alias("n_points"))
+
+
+def _range_sql(width: str) -> str:
+    return "WITH " + PT_SQL + f""", b AS (SELECT min(time_unix_ms) AS lo, max(time_unix_ms) AS hi FROM pt),
+w AS (SELECT {width} AS w FROM b)
+SELECT time_unix_ms // w * w AS window_start_ms, min(value) AS v_min, max(value) AS v_max, round(sum(value) / count(value), 6) AS v_avg,
+       count(value) AS n, arg_max(value, (time_unix_ms, step, value)) FILTER (WHERE value IS NOT NULL) AS v_last
+FROM pt, w WHERE name = 'view' AND node = 'n1' GROUP BY 1"""
+
+
+RANGE_POINTS = 200
+
+
+@register("metric_range", _range_sql("CASE " + " ".join(
+    f"WHEN hi // {w} - lo // {w} + 1 <= {RANGE_POINTS} THEN {w}" for w in M.WIDTHS_MS) + f" ELSE {M.WIDTHS_MS[-1]} END"))
+def metric_range(spark, sf_dir):
+    """M2 / M3: one metric of one node over the whole time range in at most 200 windows, read from one level of the pyramid."""
+    p = points(spark, sf_dir)
+    d = M.new_run_dirs(spark, "pyramid")
+    M.pyramid(p, d["out"])
+    lo, hi = p.agg(F.min("time_unix_ms"), F.max("time_unix_ms")).first()
+    r = M.query_range(spark, d["out"], "view", lo or 0, hi or 0, RANGE_POINTS, {"node": "n1"})
+    return r.select("window_start_ms", "v_min", "v_max", r6(F.col("v_avg")).alias("v_avg"), "n", "v_last")

@@ -76,8 +76,8 @@ e AS (SELECT doc_id, lang, {_GA} AS gt_answer, {_GS} AS gt_solution, {_MA} AS mo
 def eval_table_df(spark, sf_dir):
     gt, replies = eval_inputs(spark, sf_dir)
     j = gt.join(replies, gt["doc_id"] == replies["id"], "left")  # J4: every ground truth row is kept
-    g = W.parse_answer_solution(F.col("gt_full"))
-    m = W.parse_answer_solution(F.col("model_full"))
+    g = W.answer_and_solution(F.col("gt_full"))
+    m = W.answer_and_solution(F.col("model_full"))
     return j.select("doc_id", "lang", g["answer"].alias("gt_answer"), g["solution"].alias("gt_solution"),
                     m["answer"].alias("model_answer"), m["solution"].alias("model_solution"))
 

@@ -8,6 +8,7 @@ from ..functions.text import WS
 from ..operators import ordering as O
 from ..operators import render as R
 from ..operators import tokenise as TK
+from ..session import cut_lineage
 from ..sources import tables
 from . import derive
 from .catalog import register
@@ -79,11 +80,10 @@ SELECT count(*) AS n_batches, CAST(sum(real_t) AS BIGINT) AS real_tokens, CAST(s
        round(1 - sum(real_t) / sum(n * max_t), 6) AS waste_ratio FROM b""")
 def padding_report(spark, sf_dir):
     """Padding waste of batches of 8 in index order (lengths in word tokens)."""
-    from ..functions.text import whitespace_tokens
     a = derive.alpaca_records(spark, sf_dir)
     _, full = _prompt_full(a)
-    lens = O.global_index(a.select("idx", F.size(whitespace_tokens(full)).alias("n_tok")), ["idx"], "k")
-    r = TK.padding_report(lens, F.floor(F.col("k") / BATCH), "n_tok")
+    lens = cut_lineage(TK.token_counts(a, ["idx"], full))  # split once; what follows ranks two narrow columns
+    r = TK.padding_report(O.global_index(lens, ["idx"], "k"), F.floor(F.col("k") / BATCH), "n_tokens")
     return r.select("n_batches", F.col("real_tokens").cast("bigint"), F.col("padded_tokens").cast("bigint"),
                     r6(F.col("waste_ratio")).alias("waste_ratio"))
 
@@ -98,13 +98,11 @@ SELECT side, count(*) AS n_batches, CAST(sum(real_t) AS BIGINT) AS real_tokens,
 FROM b GROUP BY side""")
 def pair_padding_report(spark, sf_dir):
     """P12 for preference pairs: chosen and rejected sides padded separately, batches of 8 in pair order."""
-    from ..functions.text import whitespace_tokens
     from .q_render import preference_source
     p = preference_source(spark, sf_dir)
-    sides = (p.select(F.lit("chosen").alias("side"), "lang", "k", F.size(whitespace_tokens(F.col("chosen"))).alias("n_tok"))
-             .unionByName(p.select(F.lit("rejected").alias("side"), "lang", "k",
-                                   F.size(whitespace_tokens(F.col("rejected"))).alias("n_tok"))))
+    sides = p.select("lang", "k", F.explode(F.create_map(F.lit("chosen"), "chosen", F.lit("rejected"), "rejected")).alias("side", "text"))
+    sides = cut_lineage(TK.token_counts(sides, ["side", "lang", "k"], F.col("text")))
     ranked = O.rank_within(sides, ["side"], ["lang", "k"], "_r")
-    r = TK.padding_report(ranked, F.floor((F.col("_r") - 1) / BATCH), "n_tok", ["side"])
+    r = TK.padding_report(ranked, F.floor((F.col("_r") - 1) / BATCH), "n_tokens", ["side"])
     return r.select("side", "n_batches", F.col("real_tokens").cast("bigint"), F.col("padded_tokens").cast("bigint"),
                     r6(F.col("waste_ratio")).alias("waste_ratio"))

@@ -1,14 +1,19 @@
 """Corpus sources and sinks.
 
 JSON Lines and JSON arrays are read by Spark's JSON source with an explicit
-schema (no inference pass over the data).  Format sniffing looks at the
+schema (no inference pass over the data).  A file that holds one huge array is
+read by many tasks (``read_arrays``).  Format sniffing looks at the
 first non-blank line of every file with a distributed text scan, not by
 opening files on the driver.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,6 +39,65 @@ def read_corpus(spark: SparkSession, paths: str | list[str], schema: StructType
     return r.json(paths)
 
 
+_TOKEN = re.compile(r'\\.|"', re.DOTALL)
+
+
+def _quotes_and_depths(text: str) -> tuple[int, int, int]:
+    """(unescaped quotes, depth gained if the text begins outside a string, the same if it begins inside one)."""
+    cuts, at = [], 0
+    for m in _TOKEN.finditer(text):
+        if m.group() == '"':
+            cuts.append(text[at:m.start()])
+            at = m.end()
+    cuts.append(text[at:])
+    gain = [sum(x.count(c) for c in "{[") - sum(x.count(c) for c in "}]") for x in cuts]
+    return len(cuts) - 1, sum(gain[::2]), sum(gain[1::2])
+
+
+def array_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file_path, record, raw) of files that each hold one JSON array of objects; byte ranges of a file are read in parallel.
+
+    The text source splits files by bytes and cuts at every ``}``, which may end an object or stand in a string.  Each
+    piece is scanned once for both cases: how many unescaped quotes it has, and how deep it goes if it begins outside
+    or inside a string.  Running sums over the pieces of a file (``scan.prefix_sums``) then say which case holds and
+    where the depth returns to that of the array: there a record ends, and its pieces are put together again.
+    What follows the last record and is not the end of the array comes as a last record that does not parse.
+    """
+    from ..operators.scan import prefix_sums
+    from ..session import cut_lineage
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_quotes_and_depths(t) for t in b.column(2).to_pylist()]
+            q, outside, inside = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int32()) for x in (q, outside, inside))], [*b.schema.names, "q", "d0", "d1"])
+    pieces = with_row_index(spark.read.option("recursiveFileLookup", True).option("lineSep", "}").text(paths)
+                            .withColumn("file_path", F.col("_metadata.file_path")), "no").select("file_path", "no", "value")
+    pieces = cut_lineage(pieces.mapInArrow(scan, "file_path string, no long, value string, q int, d0 int, d1 int"))
+    span = pieces.groupBy("file_path").agg(F.min("no").alias("first"), F.max("no").alias("last"))
+    rows = pieces.drop("value").join(span, "file_path").select("file_path", (F.col("no") - F.col("first")).alias("i"), "no", "q", "d0", "d1",
+                                                               (F.col("no") == F.col("last")).alias("end"))
+    rows = prefix_sums(rows, ["file_path"], "i", {"quotes": F.col("q")})
+    inside = F.pmod(F.col("quotes") - F.col("q"), F.lit(2)) == 1
+    closes = (F.pmod("quotes", F.lit(2)) == 0) & ~F.col("end")  # the } that cut the piece stands outside of strings
+    rows = rows.withColumn("closes", closes).withColumn("gain", F.when(inside, F.col("d1")).otherwise(F.col("d0")) - F.col("closes").cast("int"))
+    rows = prefix_sums(rows.drop("quotes"), ["file_path"], "i", {"depth": F.col("gain")})
+    ends = (F.col("closes") & (F.col("depth") == 1)).cast("int")
+    rows = prefix_sums(rows.withColumn("ends", ends).drop("depth"), ["file_path"], "i", {"upto": F.col("ends")})
+    whole = pieces.join(rows.select("no", "ends", (F.col("upto") - F.col("ends")).alias("record")), "no").groupBy("file_path", "record").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "value"))), lambda x: x["value"]), "}").alias("t"), F.max("ends").alias("whole"))
+    tail = F.regexp_replace("t", r"^\s*(\[\s*)?\]?\s*\z", "")  # the end of the array, of an empty one too, and of a file that ends with }
+    body = F.regexp_replace("t", r"^\s*[\[,]?\s*", "")  # the bracket that opens the array, or the comma before the record
+    raw = F.when(F.col("whole") == 1, F.concat(body, F.lit("}"))).otherwise(tail)
+    return whole.select("file_path", "record", raw.alias("raw")).where("raw != ''")
+
+
+def read_arrays(spark: SparkSession, paths: str | list[str], schema: StructType | str, strict: bool = True) -> DataFrame:
+    """Records, with ``file_path``, of files that each hold one JSON array of objects (``array_records``)."""
+    record = F.from_json("raw", schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
+    return array_records(spark, paths).select("file_path", record.alias("r")).select("r.*", "file_path")
+
+
 def read_corpus_dir(spark: SparkSession, root: str, schema: StructType | str, strict: bool = True) -> DataFrame:
     """Every ``*.json`` / ``*.jsonl`` under ``root`` (recursive), with provenance ``file_path``."""
     r = (spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", CORPUS_GLOB)
@@ -66,8 +130,7 @@ def read_any(spark: SparkSession, root: str, schema: StructType | str, pattern:
     if lines:
         parts.append(read_corpus(spark, lines, schema).withColumn("file_path", F.col("_metadata.file_path")))
     if arrays:
-        parts.append(read_corpus(spark, arrays, schema, multiline=True)
-                     .withColumn("file_path", F.col("_metadata.file_path")))
+        parts.append(read_arrays(spark, arrays, schema))
     if not parts:
         raise EmptyInput(f"no corpus file under {root}")
     out = parts[0]
@@ -124,6 +187,16 @@ def write_json_array(df: DataFrame, path: str) -> None:
     A task streams its rows through and holds one batch; an array file cannot be split by a reader, so
     the number of rows in a partition decides the size of a reading task.
     """
+    records = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    _array_lines(records).write.text(path)
+
+
+def write_raw_array(records: DataFrame, path: str) -> None:
+    """As ``write_json_array``, of records (raw) that are JSON texts already."""
+    _array_lines(records.select(F.col("raw").alias("value"))).write.text(path)
+
+
+def _array_lines(records: DataFrame) -> DataFrame:
     def lines(batches):
         lead = "["
         for b in batches:
@@ -132,6 +205,4 @@ def write_json_array(df: DataFrame, path: str) -> None:
                 lead = ","
                 yield pd.DataFrame({"value": out})
         yield pd.DataFrame({"value": ["]" if lead == "," else "[]"]})
-
-    records = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    records.mapInPandas(lines, "value string").write.text(path)
+    return records.mapInPandas(lines, "value string")

@@ -1,32 +1,31 @@
-"""Metric points: encode, sink, stream source, roll-ups, latest values, dedup.
+"""Metric points: encode, sink, stream source, roll-ups, latest values, dedup (M1-M6, A18, S12-S14); M7 is in ``status``.
 
 The same column functions serve batch and stream: ``decode`` / ``rollup`` /
 ``latest`` take any DataFrame, so a stream replayed from the metric files
 gives the batch result on the same rows (checked in the tests).
 
 Streaming policy (ours; the reference polls files every 5 s and has no late
-data rule): event time = ``time_unix_ms``, watermark 1 minute, later rows are
-dropped.  Update-mode aggregates are written per micro-batch to an append-only
-changelog (``foreachBatch``); readers take the newest row per key.
+data rule): event time = ``time_unix_ms``, watermark 1 minute.  Later rows are
+dropped where a stream keeps state, and go to a reject table with their reason
+in ``stream_accept_reject``.  Update-mode aggregates are written per
+micro-batch as deltas and compacted into snapshots (``changelog``).
 """
 
 from __future__ import annotations
 
 import uuid
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.render import NAN_SENTINEL, encode_non_finite
 from ..session import scratch_path
+from . import changelog
 
 POINT_SCHEMA = ("name string, kind string, value double, time_unix_ms long, step long, step_domain string, "
                 "unit string, labels map<string,string>")
 WATERMARK = "1 minute"
-TERMINAL = ["Success", "Failed", "Terminated"]
 
 
 def labels_key(labels: Column) -> Column:
@@ -118,7 +117,7 @@ def write_points(points: DataFrame, path: str) -> None:
 
 
 COMMITS = 4
-COMMIT_ROWS = 1 << 20
+COMMIT_ROWS = 1 << 17  # of one core
 
 
 def replay(df: DataFrame, time_col: str, save, drain, commits: int = COMMITS, commit_rows: int | None = None) -> None:
@@ -130,7 +129,7 @@ def replay(df: DataFrame, time_col: str, save, drain, commits: int = COMMITS, co
     does not matter and no row comes behind the watermark of an earlier commit.
 
     With ``commit_rows``, a larger table is cut at quantiles of the time instead, into as many commits as keep each
-    to that many rows; rows of one instant stay together.
+    to that many rows per core of the cluster; rows of one instant stay together.
     """
     spark = df.sparkSession
     t = F.col(time_col).cast("double") if dict(df.dtypes)[time_col] in ("bigint", "int", "double") \
@@ -140,6 +139,7 @@ def replay(df: DataFrame, time_col: str, save, drain, commits: int = COMMITS, co
         save(df)
         return drain()
     n = df.count() if commit_rows else 0
+    commit_rows = commit_rows and commit_rows * max(1, spark.sparkContext.defaultParallelism)
     if commit_rows and n > commit_rows:
         commits = max(commits, -(-2 * n // commit_rows))  # half full on average: quantiles are approximate
         timed = df.select(t.alias("t")).where("t is not null")
@@ -195,74 +195,118 @@ def stream_dedup_to_table(spark: SparkSession, src: str, out: str, ckpt: str) ->
     run_available(q)
 
 
-def stream_agg_to_changelog(spark: SparkSession, src: str, out: str, ckpt: str, agg) -> None:
-    """Update-mode aggregate -> append-only changelog of (batch_id, rows) via foreachBatch."""
+def stream_agg_to_changelog(spark: SparkSession, src: str, out: str, ckpt: str, agg, key: list[str], every: int = 8) -> None:
+    """Update-mode aggregate -> one delta per micro-batch, compacted into a snapshot after ``every`` of them."""
     s = agg(decode(read_points_stream(spark, src)).withWatermark("time", WATERMARK))
 
     def sink(df: DataFrame, batch_id: int) -> None:
-        df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        changelog.append(df, out, batch_id)
+        changelog.compact(spark, out, key, every)
 
     q = start_stateful(spark, lambda: s.writeStream.outputMode("update").option("checkpointLocation", ckpt)
                        .foreachBatch(sink).trigger(availableNow=True).start())
     run_available(q)
 
 
-def read_changelog(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
-    """Newest row per key of a changelog written by ``stream_agg_to_changelog``."""
-    c = spark.read.parquet(path)
-    cols = [x for x in c.columns if x != "batch_id"]
-    newest = F.max_by(F.struct(*[F.col(x) for x in cols if x not in key]), F.col("batch_id"))
-    return c.groupBy(*key).agg(newest.alias("_r")).select(*key, "_r.*")
+# ---------------------------------------------------------------- M1 with a reject path
 
+LATE_MS = 60_000
 
-# ---------------------------------------------------------------- M7
 
-STATUS_OUT = "job_id long, k long, polled_at timestamp, status string, prev_status string"
-STATUS_STATE = "last_status string, done boolean"
+def reject_reason(points: DataFrame, seen_ms: Column | None = None, late_ms: int = LATE_MS) -> Column:
+    """Why a raw point is refused: no name, no time, or more than ``late_ms`` before ``seen_ms``; null if it is accepted."""
+    late = F.col("time_unix_ms") < seen_ms - late_ms if seen_ms is not None else F.lit(False)
+    return (F.when(F.col("name").isNull(), "no name").when(F.col("time_unix_ms").isNull(), "no time")
+            .when(F.coalesce(late, F.lit(False)), "late"))
 
 
-STATUS_BLOCK = 4096
+def stream_accept_reject(spark: SparkSession, src: str, out: str, ckpt: str, late_ms: int = LATE_MS) -> None:
+    """M1: every point of the stream goes to ``out/accepted`` or, with its reason, to ``out/rejected``.
 
+    Both tables and a ledger (counts and greatest time, observed while writing) have one folder per batch id; a batch
+    replayed after a restart overwrites its own folders and sees the ledgers before it only, so accepted and rejected
+    rows add up to the input.
+    """
+    from pyspark.sql import Observation
 
-def status_candidates(polls: DataFrame, block: int = STATUS_BLOCK) -> DataFrame:
-    """The polls (job_id, k, status, ...) that can be status changes, told within blocks of ``block`` ranks.
-
-    A poll goes if the poll before it in its block has the same status, or any before it in its block is terminal.
-    The first of a block stays, so changes and the previous status of each are those of all polls.
+    def sink(df: DataFrame, batch_id: int) -> None:
+        before = [b for b in changelog.batches(spark, f"{out}/ledger") if b < batch_id]
+        seen = changelog.read_batches(spark, f"{out}/ledger", before).agg(F.max("max_time_ms")).first()[0] if before else None
+        o = Observation()
+        marked = df.withColumn("reason", reject_reason(df, F.lit(seen).cast("long"), late_ms))
+        counts = [F.count_if(c).alias(n) for n, c in (("accepted", F.col("reason").isNull()), ("no_name", F.col("reason") == "no name"),
+                                                     ("no_time", F.col("reason") == "no time"), ("late", F.col("reason") == "late"))]
+        marked = marked.observe(o, F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("reason").isNull(), F.col("time_unix_ms"))).alias("max_time_ms"), *counts)
+        staged = changelog.folder(f"{out}/staged", batch_id)
+        marked.write.mode("overwrite").parquet(staged)  # the batch is computed once, for both tables
+        whole = spark.read.schema(marked.schema).parquet(staged)
+        changelog.append(whole.where("reason is null").drop("reason"), f"{out}/accepted", batch_id)
+        changelog.append(whole.where("reason is not null"), f"{out}/rejected", batch_id)
+        got = o.get
+        row = spark.range(1).select(*[F.lit(got[c]).cast("long").alias(c) for c in ("n", "max_time_ms", "accepted", "no_name", "no_time", "late")])
+        changelog.append(row.withColumn("max_time_ms", F.greatest(F.col("max_time_ms"), F.lit(seen).cast("long"))), f"{out}/ledger", batch_id)
+        changelog.remove(spark, staged)
+    run_available(read_points_stream(spark, src).writeStream.option("checkpointLocation", ckpt).foreachBatch(sink).trigger(availableNow=True).start())
+
+
+# ---------------------------------------------------------------- M2 / M3 as a pyramid of mergeable aggregates
+
+WIDTHS_MS = [60_000, 600_000, 3_600_000, 21_600_000, 86_400_000, 604_800_000]
+
+
+def pyramid(points: DataFrame, path: str, widths: list[int] | None = None) -> None:
+    """Write (min, max, sum, count, last) per series and window, at every width; a coarser level comes from the finer one.
+
+    Folders are by level and name, rows sorted by time, so a query reads one level of one name and prunes by time.
     """
-    w = Window.partitionBy("job_id", F.floor((F.col("k") - 1) / block)).orderBy("k")
-    ended = F.max(F.col("status").isin(TERMINAL)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = polls.withColumn("_same", F.col("status") == F.lag("status").over(w)).withColumn("_ended", ended)
-    return marked.where(~F.coalesce("_same", F.lit(False)) & ~F.coalesce("_ended", F.lit(False))).drop("_same", "_ended")
-
-
-def status_change_fn(key, pdfs, state):
-    """applyInPandasWithState: emit polls whose status changed, stop after a terminal status."""
-    last, done = (state.get if state.exists else (None, False))
-    # a key's polls of one micro-batch may come in several Arrow chunks without an order between them
-    polls = pd.concat(list(pdfs), ignore_index=True).sort_values(["polled_at", "event_id"], ignore_index=True)
-    if not done and len(polls):
-        terminal = polls["status"].isin(list(TERMINAL)).to_numpy()
-        if terminal.any():  # nothing counts after the first terminal status
-            polls = polls.iloc[:int(terminal.argmax()) + 1]
-            done = True
-        prev = polls["status"].shift(1)
-        prev.iloc[0] = last
-        changed = polls.assign(job_id=key[0], prev_status=prev)[(polls["status"] != prev).to_numpy()]
-        last = polls["status"].iloc[-1]
-        if len(changed):
-            yield changed[["job_id", "k", "polled_at", "status", "prev_status"]]
-    state.update((last, done))
-
-
-def stream_status_changes(spark: SparkSession, src: str, out: str, ckpt: str, schema: str) -> None:
-    """M7: job status change events as a stateful stream keyed by job."""
-    s = spark.readStream.schema(schema).parquet(src)
-    r = s.groupBy("job_id").applyInPandasWithState(status_change_fn, STATUS_OUT, STATUS_STATE, "append",
-                                                   GroupStateTimeout.NoTimeout)
-    q = start_stateful(spark, lambda: r.writeStream.format("parquet").option("checkpointLocation", ckpt)
-                       .option("path", out).outputMode("append").trigger(availableNow=True).start())
-    run_available(q)
+    widths = sorted(widths or WIDTHS_MS)
+    if any(b % a for a, b in zip(widths, widths[1:])):
+        raise ValueError("every width must be a multiple of the one before")
+    spark, key = points.sparkSession, ["name", "series", "window_start_ms"]
+    start = lambda c, w: (F.col(c) - F.pmod(F.col(c), F.lit(w))).alias("window_start_ms")
+    last = lambda c: F.max(c).alias("last")
+    each = points.select("name", "series", start("time_unix_ms", widths[0]), "value",
+                         F.when(F.col("value").isNotNull(), F.struct("time_unix_ms", "step", "value")).alias("last"))
+    level = each.groupBy(*key).agg(F.min("value").alias("v_min"), F.max("value").alias("v_max"), F.sum("value").alias("v_sum"),
+                                   F.count("value").alias("n"), last("last"))
+    for k, width in enumerate(widths):
+        if k:
+            level = finer.groupBy("name", "series", start("window_start_ms", width)) \
+                .agg(F.min("v_min").alias("v_min"), F.max("v_max").alias("v_max"), F.sum("v_sum").alias("v_sum"), F.sum("n").alias("n"), last("last"))
+        folder = f"{path}/width={width}"
+        level.sortWithinPartitions("name", "window_start_ms").write.mode("overwrite").partitionBy("name").parquet(folder)
+        finer = spark.read.schema(level.schema).parquet(folder)
+
+
+def pick_width(from_ms: int, to_ms: int, max_points: int, widths: list[int] | None = None) -> int:
+    """The finest width with at most ``max_points`` windows that meet [from_ms, to_ms]; beyond the coarsest level, a multiple of it."""
+    widths = sorted(widths or WIDTHS_MS)
+    most = lambda w: to_ms // w - from_ms // w + 1 <= max_points
+    if max_points < 1:
+        raise ValueError("max_points must be at least 1")
+    width = next((w for w in widths if most(w)), None)
+    k = 1
+    while width is None:  # a range that meets time zero takes two windows at any width
+        k *= 2
+        width = k * widths[-1] if most(k * widths[-1]) or k > 1 << 32 else None
+    return width
+
+
+def query_range(spark: SparkSession, path: str, name: str, from_ms: int, to_ms: int, max_points: int, labels: dict[str, str] | None = None,
+                widths: list[int] | None = None) -> DataFrame:
+    """(window_start_ms, v_min, v_max, v_avg, n, v_last) of a metric over the series with these labels, from one level; no raw point is read."""
+    width = pick_width(from_ms, to_ms, max_points, widths)
+    level = max(w for w in widths or WIDTHS_MS if width % w == 0)
+    kind = ("name string, series string, window_start_ms long, v_min double, v_max double, v_sum double, n long, "
+            "last struct<time_unix_ms: long, step: long, value: double>")
+    rows = spark.read.schema(kind).parquet(f"{path}/width={level}") \
+        .where((F.col("name") == name) & F.col("window_start_ms").between(from_ms // width * width, to_ms))
+    for k, v in (labels or {}).items():
+        rows = rows.where(F.element_at(F.from_json("series", "map<string,string>"), F.lit(k)) == v)
+    start = F.col("window_start_ms") - F.pmod(F.col("window_start_ms"), F.lit(width))
+    return rows.groupBy(start.alias("window_start_ms")).agg(
+        F.min("v_min").alias("v_min"), F.max("v_max").alias("v_max"), (F.sum("v_sum") / F.sum("n")).alias("v_avg"), F.sum("n").alias("n"),
+        F.max("last")["value"].alias("v_last"))
 
 
 def new_run_dirs(spark: SparkSession, name: str) -> dict[str, str]:

@@ -197,3 +197,39 @@ def test_hash_of_nested_float_and_unlisted_messages_is_pythons(spark):
     for r in L.repair(raw).collect():
         want = json.dumps(json.loads(values[r.idx]), ensure_ascii=False, sort_keys=True)
         assert json.loads(r.raw)["content_hash"] == "sha256:" + hashlib.sha256(want.encode()).hexdigest()[:16], values[r.idx]
+
+
+def test_files_that_cannot_be_linted_are_rows_too(spark, tmp_dir):
+    import json
+    import os
+    ok = {"id": "123e4567-e89b-42d3-a456-426614174000", "version": "v1.0.0", "split": "train", "difficulty": "graduate", "category": "em", "source": "s",
+          "content_hash": "h", "messages": [{"role": "user", "content": "} [ \\\" {"}, {"role": "assistant", "content": "<think>x</think> y"}]}
+    bad = {**ok, "split": "dev"}
+    put = {"good.jsonl": json.dumps(ok) + "\n\n" + json.dumps(ok) + "\n", "array.json": json.dumps([ok, bad], indent=1), "empty.jsonl": "", "blank.json": " \n ", "none.json": "[]",
+           "torn.jsonl": json.dumps(ok) + "\n" + json.dumps(ok)[:-2] + "\n", "torn.json": json.dumps([ok, bad])[:-9], "noise.json": json.dumps([ok])[:-1] + ", 5]"}
+    os.makedirs(f"{tmp_dir}/f/deep")
+    for name, text in put.items():
+        with open(f"{tmp_dir}/f/deep/{name}", "w") as f:
+            f.write(text)
+    with open(f"{tmp_dir}/f/broken.parquet", "w") as f:
+        f.write("no parquet at all, but long enough to look at")
+    spark.createDataFrame([(ok["id"], "v1.0.0", "train", "graduate", "em", "", "h")], "id string, version string, split string, difficulty string, category string, source string, content_hash string") \
+        .coalesce(1).write.parquet(f"{tmp_dir}/f/table")
+    got = {os.path.basename(r.file_path): (r.fatal, r.total_records, r.error_count, r.passed) for r in L.lint_files(spark, f"{tmp_dir}/f").collect()}
+    part = next(k for k in got if k.startswith("part-"))
+    assert got.pop(part) == (None, 1, 2, False)  # source empty, messages missing
+    assert got == {"good.jsonl": (None, 2, 0, True), "array.json": (None, 2, 1, False), "empty.jsonl": ("empty", 0, 0, False), "blank.json": ("empty", 0, 0, False),
+                   "none.json": ("empty", 0, 0, False), "torn.jsonl": ("not parsed", 0, 0, False), "torn.json": ("not parsed", 0, 0, False),
+                   "noise.json": ("not parsed", 0, 0, False), "broken.parquet": ("empty", 0, 0, False)}
+    gone = L.lint_files(spark, f"{tmp_dir}/nowhere").collect()
+    assert [(r.fatal, r.passed) for r in gone] == [("missing", False)]
+
+
+def test_one_pass_gives_totals_and_issues(spark):
+    recs = spark.createDataFrame([(0, "{}"), (1, "no json"), (2, "[]")], "idx long, raw string")
+    table, totals = L.lint_once(recs)
+    issues = L.lint(recs).collect()
+    assert totals == {"total_records": 3, "error_count": sum(r.level == "error" for r in issues), "warning_count": sum(r.level != "error" for r in issues)}
+    assert sorted(map(tuple, L.exploded(table).collect())) == sorted(map(tuple, issues))
+    empty, totals = L.lint_once(recs.where("false"))
+    assert totals == {"total_records": 0, "error_count": 0, "warning_count": 0} and empty.count() == 0

@@ -1,11 +1,15 @@
 """Metric points: sentinel, non-finite values, duplicates, late data, stream = batch."""
 
 import math
+import os
 
 from pyspark.sql import functions as F
 
+from tessera.streaming import changelog
 from tessera.streaming import metrics as M
+from tessera.streaming import status as ST
 
+ROLLUP = ["window_start_ms", "name", "series"]
 BASE = 1_700_000_000_000
 
 
@@ -42,9 +46,9 @@ def test_rollup_stream_equals_batch(spark, tmp_dir):
     rows = [("loss", float(k % 7), BASE + k * 20_000, k) for k in range(300)]
     p = pts(spark, rows)
     M.replay(p, "time_unix_ms", lambda part: M.write_points(part, f"{tmp_dir}/src"),
-             lambda: M.stream_agg_to_changelog(spark, f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ck", M.rollup))
-    stream = {(r.window_start_ms, r.n, r.v_last) for r in
-              M.read_changelog(spark, f"{tmp_dir}/out", ["window_start_ms", "name", "series"]).collect()}
+             lambda: M.stream_agg_to_changelog(spark, f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ck", M.rollup, ROLLUP, 2))
+    assert changelog.snapshot_of(spark, f"{tmp_dir}/out") is not None and len(changelog.batches(spark, f"{tmp_dir}/out")) < 2
+    stream = {(r.window_start_ms, r.n, r.v_last) for r in changelog.read(spark, f"{tmp_dir}/out", ROLLUP).collect()}
     batch = {(r.window_start_ms, r.n, r.v_last) for r in M.rollup(M.decode(p)).collect()}
     assert stream == batch
 
@@ -57,33 +61,7 @@ def test_latest_and_step_axis(spark):
     assert not math.isnan(M.stream_list(p).first().n_points)
 
 
-def test_status_changes_are_ordered_over_all_chunks_of_a_key():
-    import random
-
-    import pandas as pd
-    from tessera.streaming import metrics as M
-
-    class State:
-        exists, value = False, None
-
-        @property
-        def get(self):
-            return self.value
-
-        def update(self, v):
-            self.exists, self.value = True, v
-    polls = [(f"e{k:04d}", k, pd.Timestamp(2024, 1, 1) + pd.Timedelta(minutes=k), "Running" if k // 50 % 2 else "Pending") for k in range(400)]
-    want = [k for k in range(400) if k == 0 or polls[k][3] != polls[k - 1][3]]
-    state, got = State(), []
-    for part in (polls[:250], polls[250:]):  # two micro-batches, each in shuffled chunks
-        random.Random(1).shuffle(part)
-        df = pd.DataFrame(part, columns=["event_id", "k", "polled_at", "status"])
-        for out in M.status_change_fn((7,), iter([df.iloc[a:a + 30] for a in range(0, len(df), 30)]), state):
-            got += out["k"].tolist()
-    assert got == want
-
-
-def test_commits_are_bounded_by_rows_and_polls_reduced_to_candidates(spark):
+def test_commits_are_bounded_by_rows(spark):
     from pyspark.sql import functions as F
     from tessera.streaming import metrics as M
     rows = spark.range(3000).select(F.when(F.col("id") < 2990, F.col("id")).otherwise(F.col("id") * 1000).alias("t"))  # nearly all in one range
@@ -94,10 +72,119 @@ def test_commits_are_bounded_by_rows_and_polls_reduced_to_candidates(spark):
         assert not seen or not got or min(got) > max(seen)
         sizes.append(len(got))
         seen.extend(got)
-    M.replay(rows, "t", save, lambda: None, commit_rows=500)
+    M.replay(rows, "t", save, lambda: None, commit_rows=125)  # of each of four cores
     assert sum(sizes) == 3000 and max(sizes) <= 500
-    status = ["Running"] * 10 + [None, None] + ["Queued"] * 5 + ["Running", "Success", "Queued", "Success"] + ["Queued"] * 9
-    polls = spark.createDataFrame([(j, k + 1, s) for j in (1, None) for k, s in enumerate(status)], "job_id long, k long, status string")
-    got = sorted((r.k for r in M.status_candidates(polls, 8).where("job_id = 1").collect()))
-    assert got == [1, 9, 11, 12, 13, 17, 18, 19, 25]
-    assert M.status_candidates(polls, 8).count() == 2 * len(got)
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_dir):
+    path, key = f"{tmp_dir}/log", ["k"]
+    delta = lambda rows: spark.createDataFrame(rows, "k long, v string")
+    state = lambda: sorted(tuple(r) for r in changelog.read(spark, path, key).collect())
+    for b, rows in enumerate([[(1, "a"), (2, "a")], [(1, "b")], [(3, "c")]]):
+        changelog.append(delta(rows), path, b)
+        changelog.append(delta(rows), path, b)  # the same batch once more
+    assert state() == [(1, "b"), (2, "a"), (3, "c")] and changelog.compact(spark, path, key, 4) is None
+    assert changelog.compact(spark, path, key, 3) == 2 and changelog.batches(spark, path) == []
+    changelog.append(delta([(1, "old")]), path, 1)  # a batch that the snapshot holds
+    assert state() == [(1, "b"), (2, "a"), (3, "c")]
+    changelog.append(delta([(2, None), (4, "d")]), path, 3)
+    assert state() == [(1, "b"), (2, None), (3, "c"), (4, "d")]
+    changelog.append(delta([(5, "e")]), path, 4)
+    assert changelog.compact(spark, path, key, 2) == 4 and changelog.snapshot_of(spark, path) == 4
+    assert state() == [(1, "b"), (2, None), (3, "c"), (4, "d"), (5, "e")]
+
+
+def test_accepted_and_rejected_add_up_to_the_input_after_a_restart(spark, tmp_dir):
+    rows = [("loss" if k % 5 else None, float(k), BASE + k * 1000 if k % 7 else None, k) for k in range(300)]
+    late = [("loss", 1.0, BASE - 10 * 60_000, 900), ("loss", 2.0, BASE + 299_000 - 59_000, 901)]  # ten minutes, and just in time
+    src, out, ck = (f"{tmp_dir}/{x}" for x in ("src", "out", "ck"))
+    drain = lambda: M.stream_accept_reject(spark, src, out, ck)
+    M.write_points(pts(spark, rows).repartition(3), src)
+    drain()
+    M.write_points(pts(spark, late), src)
+    drain()
+    drain()  # nothing new
+    import shutil
+    table = lambda x: spark.read.parquet(f"{out}/{x}/delta/*")
+    want = {"no name": 60, "no time": sum(k % 7 == 0 and k % 5 != 0 for k in range(300)), "late": 1}
+    for again in (False, True):
+        if again:  # the last batch runs once more, as after a crash before its commit
+            for f in os.listdir(f"{ck}/commits"):
+                if f.strip(".").startswith("1"):
+                    os.remove(f"{ck}/commits/{f}")
+            drain()
+        assert {r.reason: r["count"] for r in table("rejected").groupBy("reason").count().collect()} == want
+        assert table("accepted").count() == len(rows) + len(late) - sum(want.values())
+        ledger = table("ledger").agg(F.sum("n").alias("n"), F.sum("accepted").alias("a"), F.sum("late").alias("l")).first()
+        assert (ledger.n, ledger.a, ledger.l) == (302, table("accepted").count(), 1)
+    assert not [f for f in os.listdir(f"{out}/staged") if not f.startswith(".")]
+    del shutil
+
+
+def test_pyramid_levels_give_what_raw_points_give(spark, tmp_dir):
+    import random
+    rng = random.Random(6)
+    rows = [("loss" if k % 3 else "lr", rng.choice([1.5, -2.0, float("nan"), 7.0]), BASE + rng.randrange(0, 40 * 86_400_000), k) for k in range(800)]
+    p = M.decode(M.encode(pts(spark, rows)))
+    M.pyramid(p, f"{tmp_dir}/pyr")
+    for lo, hi, most in ((BASE, BASE + 3_600_000 * 30, 40), (BASE, BASE + 40 * 86_400_000, 50), (BASE + 5, BASE + 86_400_000 * 3, 10), (BASE, BASE + 40 * 86_400_000, 3)):
+        width = M.pick_width(lo, hi, most)
+        got = {r.window_start_ms: (r.v_min, r.v_max, r.n, r.v_last) for r in M.query_range(spark, f"{tmp_dir}/pyr", "loss", lo, hi, most, {"device": "0"}).collect()}
+        want = {}
+        for r in sorted(p.where("name = 'loss'").collect(), key=lambda r: (r.time_unix_ms, r.step)):
+            w = r.time_unix_ms // width * width
+            if lo // width * width <= w <= hi:
+                a = want.get(w, (None, None, 0, None))
+                v = r.value
+                want[w] = a if v is None else (v if a[0] is None else min(a[0], v), v if a[1] is None else max(a[1], v), a[2] + 1, v)
+        assert got == want and len(got) <= most
+    plan = M.query_range(spark, f"{tmp_dir}/pyr", "loss", BASE, BASE + 1000, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(name" in plan and "PushedFilters: [IsNotNull(window_start_ms)" in plan
+
+
+STATUSES = ["Queued", "Queued", "Running", None, "Running", "Running", "Success", "Running", "Failed"]
+
+
+def plain_events(polls, heartbeats):
+    """polls in order: (t, id, status) -> (k, status, prev, event)."""
+    out, last = [], None
+    for k, (_, _, s) in enumerate(polls):
+        change = last is None or (s is not None and s != last)
+        if change or heartbeats:
+            out.append((k + 1, s, last, "change" if change else "heartbeat"))
+        last = s
+        if s in ("Success", "Failed", "Terminated"):
+            break
+    return out
+
+
+def test_status_stream_orders_raw_polls_and_drops_late_ones(spark, tmp_dir):
+    import datetime as dt
+    import random
+    rng = random.Random(8)
+    t0 = dt.datetime(2024, 1, 1)
+    polls, want = [], {}
+    for job in range(1, 7):  # job 1 has half of all polls, many at one instant
+        n = 400 if job == 1 else rng.randrange(3, 90)
+        mine = sorted((rng.randrange(0, 3600), 1000 * job + k, rng.choice(STATUSES if job != 1 else STATUSES[:6])) for k in range(n))
+        polls += [(job, t0 + dt.timedelta(seconds=s), i, x) for s, i, x in mine]
+        want[job] = plain_events(mine, True)
+    cut = [p for p in polls if p[1] < t0 + dt.timedelta(minutes=30)], [p for p in polls if p[1] >= t0 + dt.timedelta(minutes=30)]
+    src, out, ck = (f"{tmp_dir}/{x}" for x in ("src", "out", "ck"))
+    save = lambda rows: spark.createDataFrame(rows, ST.POLLS).repartition(3).write.mode("append").parquet(src)
+    drain = lambda: ST.stream_status_events(spark, src, out, ck, heartbeats=True, page=16)
+    early = {}
+    for k, part in enumerate(cut):
+        rng.shuffle(part)
+        for half in (part[::2], part[1::2]):  # polls of one time range in two commits, each out of order
+            save(half)
+        drain()
+        early[k] = spark.read.schema(ST.EVENTS).parquet(out).count()
+    save([(1, t0, 1, "Failed")])  # an hour late: it must not end job 1
+    save([(9, t0 + dt.timedelta(hours=2), 5, "Running")])  # time goes on
+    drain()
+    got = {}
+    for r in spark.read.schema(ST.EVENTS).parquet(out).collect():
+        got.setdefault(r.job_id, []).append((r.k, r.status, r.prev_status, r.event))
+    assert {j: sorted(v) for j, v in got.items()} == want
+    assert 0 < early[0] < early[1] < sum(map(len, want.values()))  # polls are held until the watermark has passed them

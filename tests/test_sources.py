@@ -98,3 +98,37 @@ def test_array_sink_round_trip(spark, tmp_dir):
     io.write_json_array(df.where("x > 9"), f"{tmp_dir}/none")
     assert sorted(tuple(r) for r in io.read_corpus(spark, f"{tmp_dir}/arr", "x long, s string", multiline=True).collect()) == rows
     assert io.read_corpus(spark, f"{tmp_dir}/none", "x long, s string", multiline=True).count() == 0
+
+
+def test_one_array_file_is_read_by_many_tasks(spark, tmp_dir):
+    import json
+    import random
+    rng = random.Random(4)
+    parts = ["}", "{", "]", "[", ",", '"', "\\", "\\\\", "é", "日本", " ", "\n", "a", "}{", '"}', "\\\""]
+    rows = [{"x": k, "s": "".join(rng.choice(parts) for _ in range(rng.randrange(0, 30))) if k % 7 else None, "o": {"k": [k, {"z": "}"}]} if k % 3 else None}
+            for k in range(900)]
+    os.makedirs(f"{tmp_dir}/arr")
+    for name, some, indent in (("a", rows[:600], None), ("b", rows[600:], 2)):
+        with open(f"{tmp_dir}/arr/{name}.json", "w", encoding="utf-8") as f:
+            json.dump(some, f, indent=indent, ensure_ascii=False)
+    with open(f"{tmp_dir}/arr/c.json", "w") as f:
+        f.write(" [ ] \n")
+    kind = "x long, s string, o struct<k: array<string>>"
+    want = sorted((r.x, r.s) for r in io.read_corpus(spark, f"{tmp_dir}/arr", kind, multiline=True).collect())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        back = io.read_arrays(spark, f"{tmp_dir}/arr", kind)
+        assert spark.read.option("lineSep", "}").text(f"{tmp_dir}/arr").rdd.getNumPartitions() > 10
+        got = back.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.x, r.s) for r in got) == want == [(r["x"], r["s"]) for r in rows]
+    assert {r.file_path.rsplit("/", 1)[1] for r in got} == {"a.json", "b.json"}
+    assert all((r.o is None) == (r.x % 3 == 0) and (r.o is None or len(r.o.k) == 2) for r in got)
+
+
+def test_quotes_and_depths_of_both_cases():
+    assert io._quotes_and_depths('[{"a": "x{"') == (4, 2, 1)
+    assert io._quotes_and_depths('\\" {') == (0, 1, 0)
+    assert io._quotes_and_depths('} ", [') == (1, -1, 1)

@@ -51,7 +51,7 @@ PARSE_CASES = {
 
 
 def test_answer_parse_matches_rules(spark):
-    got = _one(spark, W.parse_answer_solution, list(PARSE_CASES))
+    got = _one(spark, W.answer_and_solution, list(PARSE_CASES))
     assert {c: (g["answer"], g["solution"]) for c, g in zip(PARSE_CASES, got)} == PARSE_CASES
 
 
