@@ -385,12 +385,12 @@ def lint_files(spark: SparkSession, root: str, strict: bool = False, pattern: st
     if not path.getFileSystem(conf).exists(path):
         return spark.range(1).select(F.lit(root).alias("file_path"), F.lit(FATAL[0]).alias("fatal"), *[F.lit(0).cast("long").alias(c) for c in
                                      ("total_records", "error_count", "warning_count")], F.lit(False).alias("passed")).to(StructType.fromDDL(kind))
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    files = listed.select(F.col("_metadata.file_path").alias("file_path"), "length")
+    names = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root).inputFiles()  # listed, not read; empty files too
+    files = spark.createDataFrame([(x,) for x in names], "file_path string")
     formats = {"lines": [], "array": [], "parquet": []}
     for r in io.sniff_formats(spark, root, pattern.replace(",parquet", "")).collect():  # a row per file
         formats[r["format"]].append(r["file_path"])
-    formats["parquet"] = [r["file_path"] for r in files.where("file_path like '%.parquet' and length > 0").collect()]
+    formats["parquet"] = [x for x in names if x.endswith(".parquet")]
     raws = []
     if formats["lines"]:
         raws.append(spark.read.text(formats["lines"]).where(~T.is_blank(F.col("value"))).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("raw")))
@@ -411,7 +411,8 @@ def lint_files(spark: SparkSession, root: str, strict: bool = False, pattern: st
         per_file = lists.groupBy(F.col("idx").alias("file_path")).agg(
             F.count(F.lit(1)).alias("total_records"), F.bool_or(F.try_parse_json("raw").isNull()).alias("broken"),
             F.sum(errors).alias("error_count"), F.sum(F.size("issues") - errors).alias("warning_count"))
-    out = files.join(per_file, "file_path", "left")
+    key = lambda c: F.regexp_replace(c, r"^(\w+):/+", r"$1:/")  # noqa: E731  one path is written file:/ and file:///
+    out = files.join(per_file.withColumn("_key", key("file_path")).drop("file_path"), key("file_path") == F.col("_key"), "left")
     fatal = F.when(F.col("total_records").isNull(), FATAL[1]).when(F.col("broken"), FATAL[2])
     n = lambda c: F.when(fatal.isNull(), F.col(c)).otherwise(F.lit(0)).cast("long").alias(c)
     return out.select("file_path", fatal.alias("fatal"), n("total_records"), n("error_count"), n("warning_count"),
