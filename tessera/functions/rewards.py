@@ -70,15 +70,15 @@ def answer_and_solution(text: Column) -> Column:
     """
     t = F.coalesce(text, F.lit(""))
     # plain substring tests first: most texts hold neither mark, and no pattern runs over them
-    has_answer = lambda c: c.contains(ANSWER_MARK) & c.rlike(ANSWER_PRESENT)
-    halves = F.when(t.contains(SOLUTION_MARK), F.split(t, SOLUTION_PRESENT, 2))  # one cut at the first solution mark
-    has_solution = F.coalesce(F.size(halves) > 1, F.lit(False))
-    head, tail = F.get(halves, F.lit(0)), F.get(halves, F.lit(1))
-    marked = F.when(has_answer(head), strip(F.regexp_extract(head, ANSWER_TO_END, 1))).otherwise(strip(head))
-    found = F.when(has_answer(t), strip(F.regexp_extract(t, ANSWER_TO_BREAK, 1))).otherwise(F.lit(""))
-    parsed = F.when(has_solution, F.struct(marked.alias("answer"), strip(tail).alias("solution"))) \
-        .otherwise(F.struct(F.when(found != "", found).otherwise(strip(t)).alias("answer"), F.lit("").alias("solution")))
-    return F.when(t == "", F.struct(F.lit("").alias("answer"), F.lit("").alias("solution"))).otherwise(parsed)
+    cut = F.when(t.contains(SOLUTION_MARK), F.split(t, SOLUTION_PRESENT, 2)).otherwise(F.array(t))  # one cut at the first solution mark
+
+    def parsed(parts: Column) -> Column:
+        head, two = F.get(parts, F.lit(0)), F.size(parts) > 1
+        marked = head.contains(ANSWER_MARK) & head.rlike(ANSWER_PRESENT)
+        found = F.when(marked, strip(F.regexp_extract(head, ANSWER_TO_BREAK, 1))).otherwise(F.lit(""))
+        answer = F.when(two & marked, strip(F.regexp_extract(head, ANSWER_TO_END, 1))).when(two | (found == ""), strip(head)).otherwise(found)
+        return F.struct(answer.alias("answer"), F.when(two, strip(F.get(parts, F.lit(1)))).otherwise(F.lit("")).alias("solution"))
+    return F.get(F.transform(F.array(cut), parsed), F.lit(0))  # the parts are bound once, however often they are named
 
 
 def structural_reward(response: Column) -> Column:
