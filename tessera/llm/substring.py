@@ -51,7 +51,7 @@ from .worker import tidy
 
 WINDOW = 50
 CHUNK_WORDS = 2 << 20
-BUCKETS_PER_PARTITION, BUCKET_WORDS = 8, 4 << 20  # many buckets even out the partitions; a bucket gets so many words' probes
+BUCKETS_PER_PARTITION, BUCKET_WORDS = 2, 4 << 20  # at least; a bucket gets so many words' probes at most
 _Q1, _Q2 = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 | 1
 BLOCK, PROBE, HEADER, PLACES = 0, 1, 2, 3
 _ROW = "bucket int, kind int, chunk long, data binary"
