@@ -188,3 +188,29 @@ def test_status_stream_orders_raw_polls_and_drops_late_ones(spark, tmp_dir):
         got.setdefault(r.job_id, []).append((r.k, r.status, r.prev_status, r.event))
     assert {j: sorted(v) for j, v in got.items()} == want
     assert 0 < early[0] < early[1] < sum(map(len, want.values()))  # polls are held until the watermark has passed them
+
+
+def test_status_state_grows_with_buckets_not_with_jobs(spark, tmp_dir):
+    import datetime as dt
+    import random
+    rng = random.Random(11)
+    t0 = dt.datetime(2024, 1, 1)
+    jobs = [None, *range(-150, 150), (1 << 62) + 1, (1 << 62) + 2]  # too large for a float, which nulls must not make of them
+    polls, want = [], {}
+    for n, job in enumerate(jobs):
+        mine = sorted((rng.randrange(0, 3600), 100 * n + k + (1 << 60), rng.choice(STATUSES)) for k in range(rng.randrange(1, 12)))
+        mine = [(mine[0][0] - 1, None, "Queued"), *mine]  # a null event_id is the first of its instant
+        polls += [(job, t0 + dt.timedelta(seconds=s), i, x) for s, i, x in mine]
+        want[job] = plain_events(mine, True)
+    src, out, ck = (f"{tmp_dir}/{x}" for x in ("src", "out", "ck"))
+    for part in ([p for p in polls if p[1] < t0 + dt.timedelta(minutes=20)], [p for p in polls if p[1] >= t0 + dt.timedelta(minutes=20)],
+                 [(ST.CLOCK_JOB, t0 + dt.timedelta(hours=2), 0, None)]):
+        rng.shuffle(part)
+        spark.createDataFrame(part, ST.POLLS).repartition(3).write.mode("append").parquet(src)
+        ST.stream_status_events(spark, src, out, ck, heartbeats=True, page=16, buckets=3)
+    got = {}
+    for r in spark.read.schema(ST.EVENTS).parquet(out).collect():
+        got.setdefault(r.job_id, []).append((r.k, r.status, r.prev_status, r.event))
+    assert {j: sorted(v) for j, v in got.items()} == want
+    state = spark.read.format("statestore").option("stateVarName", "bucket").load(ck)
+    assert state.count() <= 4  # three buckets, and the one of polls without a job_id; before, one row a job
