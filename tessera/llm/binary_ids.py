@@ -15,10 +15,11 @@ bits.  Decoding looks every control byte up in a 256-row numpy table of four
 lengths, turns lengths into offsets by a running sum and reads four unaligned
 bytes per id, masked by its length; a second table lookup maps ranks to ids.
 
-Two passes: the first counts ids (one row per id and task is shuffled), the
-second range-partitions the texts by doc_id, encodes and writes.  The rank
-table has at most one row per vocabulary entry, which bounds what the driver
-sends out.
+Every text is tokenised once: a first job range-partitions the texts by
+doc_id and writes their plain ids as blocks to the shared folder, a second
+counts these ids (one row per id and task is shuffled), a third writes each
+block again as ranks, in any order.  The rank table has at most one row per
+vocabulary entry, which bounds what the driver sends out.
 
 Edge cases: a null text is empty and yields only the end id; an empty table
 writes and returns no rows; rows with a null doc_id come first; rows that
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import partitions, table_path
+from .store import partitions, stored, table_path
 from .tokens import END_ID, batch_ids, default_path
 from .worker import tidy
 
@@ -65,33 +66,8 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return four[at] & _MASK[width]
 
 
-def id_counts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(id, n) over all texts; a task sends one row per id it met."""
-    @tidy
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << 16, np.int64)
-        for b in batches:
-            for _, _, ids, _ in batch_ids(b.column(0), path, end_id):
-                if len(ids):
-                    m = np.bincount(ids, minlength=len(n))
-                    m[:len(n)] += n
-                    n = m
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["id", "n"])
-    return docs.select("text").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
-    """Encode (doc_id, text) into the folder ``out``."""
-    spark, path = docs.sparkSession, path or default_path()
-    counts = id_counts(docs, path, end_id).collect()  # one row per vocabulary entry at most
-    order = sorted(counts, key=lambda r: (-r["n"], r["id"]))
-    rank = np.zeros(max((r["id"] for r in counts), default=0) + 1, np.uint32)
-    for k, r in enumerate(order):
-        rank[r["id"]] = k
-    spark.createDataFrame([(r["id"], k) for k, r in enumerate(order)], "id long, rank long").coalesce(1) \
-        .write.parquet(f"{out}/ranks")
-
+def plain_blocks(docs: DataFrame, path: str, end_id: int, block_ids: int) -> DataFrame:
+    """Blocks of whole documents with their ids as they are, little-endian, two bytes an id where that is enough."""
     @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -102,11 +78,10 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_
         def flush() -> pa.RecordBatch:
             nonlocal block, before, held, size
             ids = np.concatenate([x for _, x in held])
-            control, data = encode(rank[ids])
             row = {"part": part, "block": block, "start": before, "n_tokens": len(ids), "doc_ids": [d for d, _ in held],
-                   "lengths": [len(x) for _, x in held], "control": control, "data": data}
+                   "lengths": [len(x) for _, x in held], "ids": ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes()}
             block, before, held, size = block + 1, before + len(ids), [], 0
-            return pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
+            return pa.RecordBatch.from_pylist([row], schema=_PLAIN_SCHEMA)
 
         for b in batches:
             doc_ids = b.column(0).to_pylist()
@@ -120,15 +95,62 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_
         if held:
             yield flush()
 
-    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-     .repartitionByRange(partitions(spark), "doc_id", F.substring("text", 1, 40)).sortWithinPartitions("doc_id", "text")  # one id's texts spread by their beginnings
-     .mapInArrow(pack, BLOCK_TYPE).write.option("compression", "none").parquet(f"{out}/blocks"))
+    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+                  # one id's texts spread by their beginnings
+                  .repartitionByRange(partitions(docs.sparkSession), "doc_id", F.substring("text", 1, 40)).sortWithinPartitions("doc_id", "text")
+                  .mapInArrow(pack, PLAIN_TYPE), "token-id-blocks")
+
+
+def _block_ids(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
+
+
+def id_counts(blocks: DataFrame) -> DataFrame:
+    """(id, n) over all plain blocks; a task sends one row per id it met."""
+    @tidy
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for size, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                m = np.bincount(_block_ids(raw.as_buffer(), size), minlength=len(n))
+                m[:len(n)] += n
+                n = m
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["id", "n"])
+    return blocks.select("n_tokens", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
+    """Encode (doc_id, text) into the folder ``out``."""
+    spark = docs.sparkSession
+    blocks = plain_blocks(docs, path or default_path(), end_id, block_ids)
+    counts = id_counts(blocks).collect()  # one row per vocabulary entry at most
+    order = sorted(counts, key=lambda r: (-r["n"], r["id"]))
+    rank = np.zeros(max((r["id"] for r in counts), default=0) + 1, np.uint32)
+    for k, r in enumerate(order):
+        rank[r["id"]] = k
+    spark.createDataFrame([(r["id"], k) for k, r in enumerate(order)], "id long, rank long").coalesce(1) \
+        .write.parquet(f"{out}/ranks")
+
+    @tidy
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):  # a block a row
+                r = b.slice(i, 1)
+                control, data = encode(rank[_block_ids(r.column(6)[0].as_buffer(), r.column(3)[0].as_py())])
+                yield pa.RecordBatch.from_arrays([*(r.column(k).cast(_SCHEMA.field(k).type) for k in range(6)),
+                                                  pa.array([control], pa.binary()), pa.array([data], pa.binary())], schema=_SCHEMA)
+
+    blocks.mapInArrow(ranked, BLOCK_TYPE).write.option("compression", "none").parquet(f"{out}/blocks")
 
 
-_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()),
-                     ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
-BLOCK_TYPE = ("part int, block int, start long, n_tokens long, doc_ids array<long>, lengths array<long>, "
-              "control binary, data binary")
+_PLACE = [("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()),
+          ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))]
+_PLAIN_SCHEMA = pa.schema([*_PLACE, ("ids", pa.binary())])
+_SCHEMA = pa.schema([*_PLACE, ("control", pa.binary()), ("data", pa.binary())])
+_PLACE_TYPE = "part int, block int, start long, n_tokens long, doc_ids array<long>, lengths array<long>"
+PLAIN_TYPE = f"{_PLACE_TYPE}, ids binary"
+BLOCK_TYPE = f"{_PLACE_TYPE}, control binary, data binary"
 
 
 def read(spark: SparkSession, out: str) -> DataFrame:

@@ -76,6 +76,32 @@ def test_files_of_an_empty_table(spark):
     assert binary_ids.token_id_files(documents(spark, [])).count() == 0
 
 
+def test_files_tokenise_a_text_once(spark, tmp_dir, monkeypatch):
+    import os
+    seen = f"{tmp_dir}/seen"
+    os.mkdir(seen)
+    real = tokens.batch_ids
+
+    def noted(col, *args):
+        import uuid
+        with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(col)))
+        return real(col, *args)
+    monkeypatch.setattr(binary_ids, "batch_ids", noted)
+    docs = documents(spark, AWKWARD)
+    binary_ids.write(docs, tmp_dir + "/out", block_ids=100)
+    assert sum(int(open(f"{seen}/{f}").read()) for f in os.listdir(seen)) == len(AWKWARD)  # before: twice that
+
+
+def test_blocks_of_wide_ids(spark, tokenizer, tmp_dir):
+    docs = documents(spark, AWKWARD)  # an end id that two bytes do not hold
+    binary_ids.write(docs, tmp_dir + "/out", end_id=70_001, block_ids=100)
+    flat = {r.start: np.frombuffer(r.ids, "<u4").tolist() for r in binary_ids.read(spark, tmp_dir + "/out").collect()}
+    want = [x for r in sorted(AWKWARD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+            for x in [*plain(tokenizer, r[1])[:-1], 70_001]]
+    assert [x for k in sorted(flat) for x in flat[k]] == want
+
+
 def check_packing(rows, want, seq_len):
     """want: list of (doc_id, ids)."""
     sequences, per = collections.defaultdict(list), collections.Counter()
