@@ -76,6 +76,12 @@ def test_commits_are_bounded_by_rows(spark):
     assert sum(sizes) == 3000 and max(sizes) <= 500
 
 
+def test_commits_are_few_where_rows_are_many(spark):
+    rows, sizes = spark.range(1_100_000).withColumnRenamed("id", "t"), []
+    M.replay(rows, "t", lambda part: sizes.append(part.count()), lambda: None, commit_rows=M.COMMIT_ROWS)
+    assert sum(sizes) == 1_100_000 and len(sizes) == M.COMMITS  # every commit is a restart of the stream; before, five
+
+
 def test_a_replayed_batch_changes_nothing(spark, tmp_dir):
     path, key = f"{tmp_dir}/log", ["k"]
     delta = lambda rows: spark.createDataFrame(rows, "k long, v string")
@@ -214,3 +220,29 @@ def test_status_state_grows_with_buckets_not_with_jobs(spark, tmp_dir):
     assert {j: sorted(v) for j, v in got.items()} == want
     state = spark.read.format("statestore").option("stateVarName", "bucket").load(ck)
     assert state.count() <= 4  # three buckets, and the one of polls without a job_id; before, one row a job
+
+
+def test_many_polls_of_a_bucket_make_few_runs(spark, tmp_dir):
+    import datetime as dt
+    import random
+    rng = random.Random(12)
+    t0 = dt.datetime(2024, 1, 1)
+    mine = sorted((rng.randrange(0, 40), k, rng.choice(STATUSES[:6])) for k in range(400))  # none ends the job
+    polls = [(1, t0 + dt.timedelta(seconds=s), i, x) for s, i, x in mine]
+    rng.shuffle(polls)
+    src, out, ck = (f"{tmp_dir}/{x}" for x in ("src", "out", "ck"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "20")  # twenty chunks
+    try:
+        for part in (polls, [(ST.CLOCK_JOB, t0 + dt.timedelta(hours=2), 0, None)]):
+            spark.createDataFrame(part, ST.POLLS).repartition(3).write.mode("append").parquet(src)
+            ST.stream_status_events(spark, src, out, ck, heartbeats=True, page=16, buckets=1)
+            state = spark.read.format("statestore").option("stateVarName", "bucket").load(ck)
+            if part is polls:  # the watermark has passed none of them
+                (runs,) = [len(r.runs) // 24 for r in state.select("value.runs").collect()]
+    finally:
+        spark.conf.set(key, old)
+    got = [(r.k, r.status, r.prev_status, r.event) for r in spark.read.schema(ST.EVENTS).parquet(out).collect()]
+    assert sorted(got) == plain_events(mine, True)
+    assert runs == 3  # before, one run a chunk: 20
