@@ -15,9 +15,9 @@ differing bit, or at bit 0 where the halves are equal.
 
 Only distinct fingerprints are indexed, so exact copies (and all other
 documents with one fingerprint) are one row however many they are.  The join
-is a plain equi-join of 64 narrow rows per distinct fingerprint, which
-adaptive execution splits where a variant is common; its output is links
-only.
+is a plain sort-merge equi-join of 64 narrow rows per distinct fingerprint,
+never a broadcast of them, which adaptive execution splits where a variant is
+common; its output is links only.
 
 Components: alternating large-star and small-star steps over the links, each
 written to the shared folder, until a step changes nothing; every node ends
@@ -95,7 +95,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     j = F.shiftrightunsigned(F.col("key"), 32)
     by_high = (j < 32) & ((high != 0) | (j == 0))
     by_low = (j >= 32) & (F.bit_count(high) >= 2) & ((low != 0) | (j == 32))
-    pair = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(x) <= max_bits) & (by_high | by_low))
+    # the size of an exploded table is reckoned without its 64 rows for one, so it may look small enough to broadcast: one plan at every size
+    pair = a.join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.bit_count(x) <= max_bits) & (by_high | by_low))
     return pair.select("a", "b")
 
 

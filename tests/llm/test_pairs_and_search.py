@@ -62,6 +62,45 @@ def test_links_find_every_pair_once(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def near_rows(n=60):
+    """Documents in pairs that differ in one late word of many, and the plain fingerprints."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(n):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(400)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-1] + ["other"]))]
+    return rows, [(i, plain_fingerprint(t)) for i, t in rows]
+
+
+def watch_link_plans(monkeypatch):
+    """The plans of the links that ``components`` is given from now on."""
+    plans, real = [], simhash.components
+
+    def seen(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return real(edges)
+    monkeypatch.setattr(simhash, "components", seen)
+    return plans
+
+
+def test_links_are_never_broadcast(spark):
+    signed = [x - (1 << 64) if x >> 63 else x for _, x in near_rows()[1]]
+    fps = simhash.stored(spark.createDataFrame([(x,) for x in set(signed)], "fp long"), "few-fingerprints")
+    found = simhash.links(fps)  # a small file, of which every row explodes into 64
+    assert {tuple(r) for r in found.collect()} == {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 3}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_pipeline_stage_broadcasts_no_variants(spark, monkeypatch):
+    import corpus_pipeline
+    rows, fps = near_rows()
+    plans = watch_link_plans(monkeypatch)
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(plain_components(fps).values()))
+    assert len(plans) == 1 and "SortMergeJoin [key#" in plans[0] and "BroadcastHashJoin [key#" not in plans[0]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(k, k + 1) for k in range(0, 300)]
     star = [(1000, k) for k in range(1001, 1400)]
