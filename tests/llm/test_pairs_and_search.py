@@ -101,6 +101,18 @@ def test_pipeline_stage_broadcasts_no_variants(spark, monkeypatch):
     assert len(plans) == 1 and "SortMergeJoin [key#" in plans[0] and "BroadcastHashJoin [key#" not in plans[0]
 
 
+def test_simhash_query_broadcasts_no_variants(spark, tmp_dir, monkeypatch):
+    rows, fps = near_rows(20)
+    rows += [(None, "no id"), (500, None), (0, rows[0][1])]
+    fps += [(500, 0)]
+    documents(spark, rows).write.parquet(f"{tmp_dir}/documents.parquet")
+    plans = watch_link_plans(monkeypatch)
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in jobs.op4_simhash(spark, tmp_dir).collect()}
+    want = plain_components(fps)
+    assert got == {(i, f"{x:016x}", want[i]) for i, x in fps} | {(None, f"{plain_fingerprint('no id'):016x}", None)}
+    assert len(plans) == 1 and "SortMergeJoin [key#" in plans[0] and "BroadcastHashJoin [key#" not in plans[0]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(k, k + 1) for k in range(0, 300)]
     star = [(1000, k) for k in range(1001, 1400)]
